@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, vector_search
+from . import embedding_dedup, mixing, secrets, sharding, vector_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +23,22 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_vectors(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_read(spark, sf_dir, "documents"))
+
+
+def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_read(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_vector_search)}
+    found = (op1_embedding_dedup, op2_vector_search, op5_mix_sources, op8_shard, op9_secrets)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix_sources": mixing.MIX_SQL}
