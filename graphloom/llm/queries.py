@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, secrets, sharding, vector_search
+from . import embedding_dedup, mixing, secrets, sharding, vector_search, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_vectors(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages")).drop("payload")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents"))
 
@@ -36,9 +40,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_vector_search, op5_mix_sources, op8_shard, op9_secrets)
+    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op5_mix_sources, op8_shard, op9_secrets)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.MIX_SQL}
+    return {"op3_warc": warc.ARCHIVE_SQL, "op5_mix_sources": mixing.MIX_SQL}
