@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, secrets, sharding, vector_search, warc
+from . import embedding_dedup, language, line_dedup, mixing, secrets, sharding, vector_search, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages")).drop("payload")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(_read(spark, sf_dir, "documents")).drop("mixture")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"))
 
@@ -40,9 +48,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op5_mix_sources, op8_shard, op9_secrets)
+    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op4_line_dedup, op5_mix_sources, op6_language, op8_shard, op9_secrets)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ARCHIVE_SQL, "op5_mix_sources": mixing.MIX_SQL}
+    return {"op3_warc": warc.ARCHIVE_SQL, "op4_line_dedup": line_dedup.DEDUP_SQL, "op5_mix_sources": mixing.MIX_SQL}
