@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, line_dedup, mixing, secrets, sharding, vector_search, warc
+from . import bpe, embedding_dedup, language, line_dedup, mixing, ngram_join, secrets, sharding, vector_search, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(_read(spark, sf_dir, "documents")).drop("mixture")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(_read(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"))
 
@@ -47,10 +51,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_texts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op4_line_dedup, op5_mix_sources, op6_language, op8_shard, op9_secrets)
+    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op4_line_dedup, op5_mix_sources, op6_language, op7_bpe, op8_shard, op9_secrets, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ARCHIVE_SQL, "op4_line_dedup": line_dedup.DEDUP_SQL, "op5_mix_sources": mixing.MIX_SQL}
+    return {"op3_warc": warc.ARCHIVE_SQL, "op4_line_dedup": line_dedup.DEDUP_SQL, "op5_mix_sources": mixing.MIX_SQL, "op10_ngram_join": ngram_join.JOIN_SQL}
