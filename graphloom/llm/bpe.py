@@ -217,33 +217,37 @@ def encode_texts(
     pattern: str = public_tokenizers.PATTERN,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep_ids: bool = True,
+    keep: tuple[str, ...] = ("ids", "decoded"),
 ) -> DataFrame:
     """Encodes every whole text by the ranks in ``path`` (on every worker), then decodes the ids.
 
     Returns doc_id, n_tokens long, ids_sha256 string (hex, of the ids as little-endian unsigned 32-bit integers),
-    decoded_sha256 string (hex, of the decoded bytes), and with ``keep_ids`` ids array<int> and decoded string.
+    decoded_sha256 string (hex, of the decoded bytes), and of ids array<int> and decoded string those that ``keep`` names.
 
     Nulls and odd rows: a null text is empty and has no ids. Repeated rows and null ids are rows like any other. An empty
     table gives an empty result. Other columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    schema += "".join(f", {name} {kinds[name][0]}" for name in keep)
 
     def answer(encoder: Encoder, ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
+        columns: dict[str, list] = {"n": [], "of_ids": [], "of_bytes": [], "ids": [], "decoded": []}
         for pieces in held:
             own = encoder.encoded(pieces)
             back = decode(own, encoder.merges.bytes_of)
-            row = (len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), own.astype(np.int32), back)
-            for column, value in zip(columns, row if keep_ids else row[:3]):
-                column.append(value)
-        arrays = [ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if keep_ids:
-            arrays += [pa.array(columns[3], pa.list_(pa.int32())), pa.array([x.decode() for x in columns[4]], pa.string())]
-            names += ["ids", "decoded"]
+            columns["n"].append(len(own))
+            columns["of_ids"].append(hashlib.sha256(own.tobytes()).hexdigest())
+            columns["of_bytes"].append(hashlib.sha256(back).hexdigest())
+            if "ids" in keep:
+                columns["ids"].append(own.astype(np.int32))
+            if "decoded" in keep:
+                columns["decoded"].append(back.decode())
+        arrays = [ids, pa.array(columns["n"], pa.int64()), pa.array(columns["of_ids"], pa.string()), pa.array(columns["of_bytes"], pa.string())]
+        arrays += [pa.array(columns[name], kinds[name][1]) for name in keep]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches):

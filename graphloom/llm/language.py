@@ -107,15 +107,16 @@ def solve(likelihood: np.ndarray, sizes: np.ndarray, rounds: int = 8, penalty: f
     return best
 
 
-def identify(docs: DataFrame, languages: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, mixture) for each row; see ``predict_languages``."""
+def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
+    """(row: all columns of ``docs`` as a struct, lang_pred, score, mixture) for each row; see ``predict_languages``."""
     model = docs.sparkSession.sparkContext.broadcast(table)  # bounded: BUCKETS numbers for each language
-    schema = "doc_id {}, lang_pred string, score double, mixture map<string,double>"
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, mixture map<string,double>"
 
     def run(batches):
         probabilities, known, vectors, used = model.value, {}, np.zeros((0, len(languages)), dtype=np.float32), 0
 
-        def answer(ids, held, sizes):
+        def answer(rows, held, sizes):
             flat = np.concatenate([x for x in held if len(x)]) if any(sizes) else np.zeros(0, dtype=np.int32)
             sizes = np.array(sizes)
             preds, scores, mixtures = [UNKNOWN] * len(sizes), [0.0] * len(sizes), [[] for _ in sizes]
@@ -127,8 +128,8 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, id_col: s
                     preds[i], scores[i] = languages[best], float(min(1.0, row[best]))
                     mixtures[i] = [(languages[k], float(row[k])) for k in np.flatnonzero(row > 1e-3)]
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array(preds), pa.array(scores, pa.float64()), pa.array(mixtures, pa.map_(pa.string(), pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "mixture"],
+                [rows, pa.array(preds), pa.array(scores, pa.float64()), pa.array(mixtures, pa.map_(pa.string(), pa.float64()))],
+                names=["row", "lang_pred", "score", "mixture"],
             )
 
         for batch in batches:
@@ -163,8 +164,17 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, id_col: s
                     if used > KEPT_WORDS:
                         known, used = {}, 0
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema.format(kind))
+    return rows.mapInArrow(run, schema)
+
+
+def known_languages(docs: DataFrame, min_share: float = 0.25, docs_per_language: int = 3000) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, lang and any others) whose language can be told.
+
+    Rejected are texts without letters and texts of which no language has at least ``min_share``.
+    """
+    languages, table = train(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
+    told = identify(docs, languages, table)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share)).select("row.*")
 
 
 def predict_languages(docs: DataFrame, docs_per_language: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -180,4 +190,5 @@ def predict_languages(docs: DataFrame, docs_per_language: int = 3000, id_col: st
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     languages, table = train(own, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
-    return identify(own, languages, table).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
+    told = identify(own.select("doc_id", "text"), languages, table)
+    return told.select("row.doc_id", is_held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "mixture")

@@ -40,7 +40,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(_read(spark, sf_dir, "documents"), keep_ids=False)
+    return bpe.encode_texts(_read(spark, sf_dir, "documents"), keep=())
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
