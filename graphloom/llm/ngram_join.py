@@ -197,14 +197,14 @@ def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall:
         ),
         "classes",
     )
-    labels = signed.join(classes.select(F.col("rep").alias("doc_id"), "text_key", F.col("class").alias("_c")), ["doc_id", "text_key"], "left_semi")
+    labels = signed.join(classes.select(F.col("rep").alias("doc_id"), "text_key", F.col("class").alias("_c")).hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi")
     shift = BITS * (DEPTH - prefix_length(threshold, recall))
     nodes = work.save(
         labels.select(F.col("doc_id").alias("rep"), F.posexplode("labels").alias("tree", "label")).select("rep", "tree", F.shiftright("label", shift).alias("prefix")),
         "nodes",
     )
     stars = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("most > b").drop("most")
-    met = nodes.join(stars, ["tree", "prefix"]).select(F.col("rep").alias("a"), "b")
+    met = nodes.join(stars.hint("merge"), ["tree", "prefix"]).select(F.col("rep").alias("a"), "b")
     bundles = work.save(components(work, met, "bundles"), "bundles").withColumnRenamed("node", "rep").withColumnRenamed("component", "bundle")
     work.drop("signed", "nodes")
     blocks = bundles.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
