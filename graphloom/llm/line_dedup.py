@@ -41,7 +41,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = own.select("doc_id", "text_key", F.explode(F.transform(starts, window)).alias("w")).where("w is not null")
     windows = work.save(windows.select("w.h1", "w.h2", F.struct("doc_id", "text_key", "w.at").alias("place")), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(firsts, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    # both joins are by shuffle at every size, so that small inputs show what large ones cost
+    later = windows.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
     covered = work.save(
         later.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.text_key").alias("_key")).agg(F.collect_set("place.at").alias("_at")), "covered"
     )
@@ -50,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     merged = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     left = F.transform(F.array_except(everything, merged), lambda i: F.element_at(text_lines, i + 1))
     joined = docs.withColumn("_own_key", F.xxhash64(text_col)).join(
-        covered, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left"
+        covered.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left"
     )
     return joined.withColumns(
         {
