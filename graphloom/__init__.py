@@ -1,0 +1 @@
+"""A versioned knowledge graph as Spark DataFrames: ingest, query, mine, measure."""
