@@ -271,8 +271,10 @@ def problems(md: Column) -> Column:
         return F.regexp_extract(block, rf"(?m)^\s*[-*]\s*{name}\s*[:：]\s*(.+?)\s*$", 1)
 
     def one(block):
-        lines = F.transform(F.split(block, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r:：-")))
-        fallback = F.coalesce(F.try_element_at(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(归因|涉及对象)\s*[:：]") & ~x.rlike(r"^\d+$")), F.lit(1)), F.lit(""))
+        lines = F.transform(F.split(block, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
+        # without a description, the first line that is no heading and no field; that may be what follows in the heading itself
+        plain = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.rlike(r"^[-*] .*[:：]"))
+        fallback = F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit(""))
         description = field(block, "描述")
         parts = F.filter(F.transform(F.split(field(block, "归因"), "[,，、]", -1), lambda x: F.trim(x)), lambda x: x != "")
         objects = F.transform(F.regexp_extract_all(field(block, "涉及对象"), F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda x: F.trim(x))

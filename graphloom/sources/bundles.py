@@ -38,7 +38,7 @@ class unzip:
 
 def members(archives: DataFrame, content: str = "content") -> DataFrame:
     """(archive, idx, name, content) for archives (path, content); an unsafe member stops the job."""
-    rows = archives.select(F.col("path").alias("archive"), content).lateralJoin(unzip(F.col(content).outer()))
+    rows = archives.select(F.col("path").alias("archive"), F.col(content).alias("_zip")).lateralJoin(unzip(F.col("_zip").outer()))
     safe = F.when(unsafe_member(F.col("name")), F.raise_error(F.concat(F.lit("unsafe archive member: "), F.col("name")))).otherwise(F.lit(True))
     return rows.where(safe.cast("boolean")).select("archive", "idx", "name", "content")
 
