@@ -15,6 +15,8 @@ from .shared import Workspace
 WINDOW = 3
 #: What is cut from both ends of a line before it is hashed.
 BLANKS = " \t\r"
+#: Columns of the result besides those of the documents.
+ADDED = ("n_lines", "n_removed")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,8 +26,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Nulls and odd rows: a null text stays null and has no lines; texts of fewer than three lines stay as they are. Rows with
     the same id and text are one document and are treated alike; a null id comes first in order. A document whose lines all
-    repeat is left with an empty text. An empty table gives an empty result. Other columns pass through; they must not be
-    named n_lines or n_removed.
+    repeat is left with an empty text. An empty table gives an empty result. Other columns pass through, but
+    for those named n_lines or n_removed, which are replaced.
     """
     work = Workspace(docs.sparkSession, "line-dedup")
     lines = F.split(F.col(text_col), "\n", -1)
@@ -46,20 +48,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = work.save(
         later.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.text_key").alias("_key")).agg(F.collect_set("place.at").alias("_at")), "covered"
     )
-    text_lines = F.split(F.col(text_col), "\n", -1)
+    text = F.col("_row").getField(text_col)
+    text_lines = F.split(text, "\n", -1)
     everything = F.sequence(F.lit(0), F.size(text_lines) - 1)
     merged = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     left = F.transform(F.array_except(everything, merged), lambda i: F.element_at(text_lines, i + 1))
-    joined = docs.withColumn("_own_key", F.xxhash64(text_col)).join(
-        covered.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left"
+    # the document travels as one struct, so that its other columns can have any names
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own_id"), F.xxhash64(text_col).alias("_own_key"))
+    joined = whole.join(covered.hint("shuffle_hash"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
+    new_text = F.when(F.col("_at").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return joined.select(
+        *(new_text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(text_lines)).cast("long").alias("n_lines"),
+        F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size(merged)).cast("long").alias("n_removed"),
     )
-    return joined.withColumns(
-        {
-            text_col: F.when(F.col("_at").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
-            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(text_lines)).cast("long"),
-            "n_removed": F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size(merged)).cast("long"),
-        }
-    ).drop("_own_key", "_id", "_key", "_at")
 
 
 #: What ``dedup_lines`` gives over ``documents`` (doc_id, n_lines, n_removed, text) in DuckDB's SQL.

@@ -140,27 +140,26 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     work = Workspace(docs.sparkSession, "mixing")
     sized = work.save(_sized(docs, "doc_id", "text", "source", seed), "sized")
     cuts = _cuts(work, sized, weights, max_epochs)
-    own = docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_key": mix_key(F.col("doc_id"), seed),
-        }
+    text = F.col("_row.text")
+    # the document travels as one struct, so that its other columns can have any names
+    own = docs.select(
+        F.struct("*").alias("_row"),
+        F.struct(mix_key(F.col("doc_id"), seed).alias("key"), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).alias("_mine"),
     )
     named = cuts.select(F.struct("*").alias("_cut"))
-    own = own.join(named, F.col("source").eqNullSafe(F.col("_cut._s")))
-    mine = F.struct(F.col("_key").alias("key"), F.col("doc_id"), F.col("_size").alias("size"))
+    own = own.join(named, F.col("_row.source").eqNullSafe(F.col("_cut._s"))).where("_mine.size > 0")
+    mine = F.col("_mine")
     cut = F.struct(F.col("_cut.cut_key").alias("key"), F.col("_cut.cut_id").alias("doc_id"), F.col("_cut.cut_size").alias("size"))
-    part = F.when(mine == cut, F.col("_cut.cut_words")).otherwise(F.lit(0))
-    whole = F.col("_cut.epochs") + F.when(mine < cut, 1).otherwise(0)
-    own = own.where("_size > 0").withColumn("_part", F.coalesce(part, F.lit(0)))
-    words = F.array_repeat(F.lit(-1).cast("long"), F.coalesce(whole, F.col("_cut.epochs")).cast("int"))
-    words = F.when(F.col("_part") > 0, F.concat(words, F.array("_part"))).otherwise(words)
-    own = own.withColumn("_words", F.explode(words))
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col("_words").cast("int")), "")
-    own = own.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words))
+    part = F.coalesce(F.when(mine == cut, F.col("_cut.cut_words")), F.lit(0))
+    whole = F.col("_cut.epochs") + F.coalesce(F.when(mine < cut, 1), F.lit(0))
+    words = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
+    words = F.when(part > 0, F.concat(words, F.array(part))).otherwise(words)
+    own = own.select("_row", F.explode(words).alias("_words"))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col("_words").cast("int")), "")
+    new = {"text": F.when(F.col("_words") < 0, text).otherwise(first_words)}
     if "n_chars" in docs.columns:
-        own = own.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return own.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_words") < 0, F.col("_row.n_chars")).otherwise(F.length(new["text"]).cast("long"))
+    return own.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 #: The plan of ``mix_plan`` over ``documents`` in DuckDB's SQL.

@@ -65,16 +65,17 @@ def _base(df: DataFrame) -> DataFrame:
 
 
 def _pairs(token: F.Column) -> F.Column:
-    """Numbers of the token's neighbouring character pairs: row and column of the models' table."""
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: code(i) * len(ALPHABET) + code(i + 1))
+    """Numbers of the token's neighbouring character pairs: row and column of the models' table. One walk, however long."""
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(token)), lambda x, y: x * len(ALPHABET) + y)
+    return F.slice(pairs, F.lit(1), F.length(token) - 1)
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratios (random string against ordinary token) for each pair of ``ALPHABET``.
 
     The labelled samples come from about ``sample_docs`` documents, chosen by a hash of id and text: values that the fixed
-    patterns find, and the other tokens of those documents. The table has len(ALPHABET) squared entries whatever the input.
+    patterns find, and the other tokens of those documents (a secret that no pattern names counts as ordinary there). The table has len(ALPHABET) squared entries whatever the input.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
@@ -93,7 +94,8 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
             )
         ).alias("t")
     )
-    counts = tokens.select("t.label", F.explode(_pairs(F.col("t.token"))).alias("pair")).groupBy("label", "pair").count()
+    # a pair counts once for each token, so that a very long one weighs no more than the table has entries
+    counts = tokens.select("t.label", F.explode(F.array_distinct(_pairs(F.col("t.token")))).alias("pair")).groupBy("label", "pair").count()
     size = len(ALPHABET)
     table = [[smoothing] * (size * size) for _ in range(2)]
     for label, pair, number in counts.collect():  # at most 2 * len(ALPHABET) ** 2 rows
@@ -132,12 +134,11 @@ def find_secrets(
     def ratio(token):
         return F.aggregate(_pairs(token), F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1))
 
-    def random(token, i):
-        r = ratio(token)
-        return (r >= min_ratio) & (r >= min_mean * (F.length(token) - 1))
+    def random(token):
+        return ratio(token) >= F.greatest(F.lit(min_ratio), min_mean * (F.length(token) - 1))
 
     covered = lambda s: F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scored = F.zip_with(spans, F.col("_tokens"), lambda s, t: F.when(random(t, 0), s))
+    scored = F.zip_with(spans, F.col("_tokens"), lambda s, t: F.when(random(t), s))
     df = df.withColumn("_added", F.when(F.size("_tokens") > 0, F.filter(scored, lambda s: s.isNotNull() & ~covered(s))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     names = F.array(*(F.lit(k[0]) for k in KINDS), F.lit(MARKOV))
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
