@@ -1,10 +1,11 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Every pass draws random hyperplanes, concatenates the signs into one key and orders all vectors by it. Vectors in the
-same block of ``window`` consecutive ranks, or in neighbouring blocks, are compared exactly. Equal vectors are one
-class before the passes, so copies cost nothing. The number of passes follows from the number of vectors and the
-wanted recall at the threshold. No pair leaves a task: a task returns sums of links and a spanning forest, and it
-counts a pair only in the first pass whose window holds both, which it knows from the block numbers each vector carries.
+"""Near-duplicate vectors by random projection passes.
+
+Every pass draws random hyperplanes and joins the signs into a key. The vectors of one key are a run, and all pairs of a
+run are compared exactly, so a pair is missed only where no pass gives both the same key; the number of passes follows
+from the bits of a key and the wanted recall at the threshold, whatever the vectors' distribution. Runs longer than two
+windows are dealt out as tiles of two blocks, so no task holds one whole. Equal vectors are one class before the passes,
+so copies cost nothing. No pair leaves a task: a task returns sums of links and a spanning forest, and it counts a pair
+only in the first pass where both have one key, which it knows from the keys each vector carries.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace, components, min_labels, shuffle_width, sorted_groups
 
-#: Blocks that one group holds besides the neighbour before its first one.
-BLOCKS_PER_GROUP = 16
+#: A long run has so many blocks, or more where a block would be longer than WINDOWS_PER_BLOCK windows.
+BLOCKS_PER_RUN, WINDOWS_PER_BLOCK = 16, 8
+#: Rows of a block that are compared at once.
+SLICE = 512
 
 
 def usable(column) -> F.Column:
@@ -35,10 +38,14 @@ def one_vector_per_id(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def passes_needed(n: int, window: int, threshold: float, recall: float) -> int:
-    """Passes after which a pair at the threshold has met in some window with probability ``recall``."""
+def key_bits(n: int, window: int) -> int:
+    """Bits of a key: the fewest at which ``n`` evenly spread vectors make runs of at most two windows."""
+    return min(30, max(0, math.ceil(math.log2(max(n, 1) / (2 * window)))))
+
+
+def passes_needed(bits: int, threshold: float, recall: float) -> int:
+    """Passes after which a pair at the threshold has had one key in some pass with probability ``recall``."""
     same_sign = 1 - math.acos(threshold) / math.pi
-    bits = max(0.0, math.log2(max(n, 1) / (2 * window)))
     meet = same_sign**bits
     return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -49,7 +56,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def _keys(passes: int, bits: int, seed: int):
-    """Adds the sign keys of each pass to batches of (cid, dim, embedding)."""
+    """Adds the keys of all passes to batches of (cid, copies, dim, embedding)."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -57,56 +64,54 @@ def _keys(passes: int, bits: int, seed: int):
             table = pa.Table.from_batches([batch])
             dims = table.column("dim").to_numpy()
             for dim in np.unique(dims):
-                part = table.filter(pa.array(dims == dim))
+                part = table.filter(pa.array(dims == dim)).combine_chunks()
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
                 signs = (_matrix(part) @ planes[dim] > 0).reshape(part.num_rows, passes, bits)
-                keys = signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(part.column("cid").to_numpy(), passes)),
-                        pa.array(np.full(part.num_rows * passes, dim, dtype=np.int32)),
-                        pa.array(np.tile(np.arange(passes, dtype=np.int32), part.num_rows)),
-                        pa.array(keys.ravel()),
-                    ],
-                    names=["cid", "dim", "pass", "key"],
-                )
+                keys = (signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int32)
+                offsets = np.arange(0, keys.size + 1, passes, dtype=np.int32)
+                yield from part.append_column("keys", pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))).to_batches()
 
     return run
 
 
 def _compare(threshold: float):
-    """Compares each block with itself and the block before it; see the module's text for what it returns."""
-
-    def load(table: pa.Table):
-        x = _matrix(table)
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        blocks = table.column("blocks").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        return x, table.column("cid").to_numpy(), table.column("copies").to_numpy(), blocks
+    """Compares the pairs of each tile; see the module's text for what it returns."""
 
     def run(batches):
-        before_key, before = None, None
-        for key, table in sorted_groups(batches, ["dim", "pass", "group", "block"]):
-            x, cid, copies, blocks = load(table)
-            dim, number, group, block = key
-            if block // BLOCKS_PER_GROUP == group:
-                other = [load(table)] if before_key != (dim, number, group, block - 1) else [before, (x, cid, copies, blocks)]
-                y, y_cid, y_copies, y_blocks = (np.concatenate([o[i] for o in other]) for i in range(4))
-                skip = len(y) - len(x)
-                i, j = np.nonzero(x @ y.T >= threshold)
-                later = j < i + skip
-                i, j = i[later], j[later]
+        for (_, number, _, left, right), table in sorted_groups(batches, ["dim", "pass", "key", "left", "right"]):
+            if table.num_rows < 2:
+                continue
+            x = _matrix(table)
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            cid, copies, block = (table.column(c).to_numpy() for c in ("cid", "copies", "block"))
+            earlier = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)[:, :number].T
+            rows = np.flatnonzero(block == left)
+            others = rows if left == right else np.flatnonzero(block == right)
+            y, y_earlier = x[others], np.ascontiguousarray(earlier[:, others])
+            links, forest = np.zeros(len(x)), []
+            for at in range(0, len(rows), SLICE):
+                some = rows[at : at + SLICE]
+                linked = x[some] @ y.T >= threshold
+                if left == right:
+                    linked &= np.arange(len(others)) < np.arange(at, at + len(some))[:, None]
+                for mine, theirs in zip(earlier[:, some], y_earlier):
+                    if not linked.any():
+                        break
+                    linked &= mine[:, None] != theirs
+                i, j = np.nonzero(linked)
                 if len(i):
-                    first = ~(np.abs(blocks[i, :number] - y_blocks[j, :number]) <= 1).any(axis=1)
-                    links = np.bincount(i[first] + skip, weights=y_copies[j[first]], minlength=len(y))
-                    links += np.bincount(j[first], weights=copies[i[first]], minlength=len(y))
-                    root = min_labels(len(y), i + skip, j)
-                    seen = np.flatnonzero((links > 0) | (root != np.arange(len(y))))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(y_cid[seen]), pa.array(y_cid[root[seen]]), pa.array(links[seen].astype(np.int64))],
-                        names=["a", "b", "links"],
-                    )
-            before_key, before = key, (x, cid, copies, blocks)
+                    i, j = some[i], others[j]
+                    links += np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
+                    root = min_labels(len(x), i, j)
+                    below = np.flatnonzero(root != np.arange(len(x)))
+                    forest.append((below, root[below]))
+            if forest:
+                root = min_labels(len(x), *(np.concatenate(ends) for ends in zip(*forest)))
+                seen = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[seen]), pa.array(cid[root[seen]]), pa.array(links[seen].astype(np.int64))], names=["a", "b", "links"]
+                )
 
     return run
 
@@ -138,36 +143,29 @@ def near_duplicate_vectors(
         good.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")),
         "classes",
     )
-    n = classes.count()
-    passes = passes_needed(n, window, threshold, recall)
-    bits = min(62, max(16, math.ceil(math.log2(max(n, 2))) + 8))
-    keys = classes.select("cid", "dim", "embedding").mapInArrow(_keys(passes, bits, seed), "cid long, dim int, pass int, key long")
-    ordered = work.save(
-        keys.repartitionByRange(width, "pass", "dim", "key", "cid")
-        .sortWithinPartitions("pass", "dim", "key", "cid")
-        .select("cid", "pass", F.monotonically_increasing_id().alias("place")),
-        "ordered",
+    bits = key_bits(classes.count(), window)
+    passes = passes_needed(bits, threshold, recall)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    keyed = classes.select("cid", "copies", "dim", "embedding").mapInArrow(
+        _keys(passes, bits, seed), f"cid long, copies long, dim int, embedding {kind}, keys array<int>"
     )
-    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
-    # one row for each partition of the sort: as few as there are shuffle partitions
-    starts = sizes.alias("x").join(sizes.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(
-        F.coalesce(F.sum("y.size"), F.lit(0)).alias("start")
+    keyed = work.save(keyed, "keyed")
+    runs = keyed.select("dim", F.posexplode("keys").alias("pass", "key")).groupBy("dim", "pass", "key").agg(F.count("*").alias("n"))
+    long_block = F.least(F.greatest(F.col("n") / BLOCKS_PER_RUN, F.lit(window)), F.lit(WINDOWS_PER_BLOCK * window))
+    long_runs = runs.where(F.col("n") > 2 * window).select("dim", "pass", "key", F.ceil(F.col("n") / long_block).cast("int").alias("n_blocks"))
+    long_runs = work.save(long_runs, "long_runs")
+    spread = keyed.select("cid", "copies", "dim", "embedding", "keys", F.posexplode("keys").alias("pass", "key")).join(
+        long_runs, ["dim", "pass", "key"], "left"
     )
-    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
-    blocks = (
-        ranked.select("cid", F.struct("pass", F.floor((F.col("start") + within) / window).cast("long").alias("block")).alias("at"))
-        .groupBy("cid")
-        .agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["block"]).alias("blocks"))
+    spread = spread.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    tiles = spread.select(
+        "dim", "pass", "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "cid", "copies", "embedding", "keys"
     )
-    placed = work.save(classes.join(blocks, "cid"), "placed")
-    spread = placed.select("cid", "copies", "dim", "embedding", "blocks", F.posexplode("blocks").alias("pass", "block"))
-    spread = spread.withColumn("own", F.floor(F.col("block") / BLOCKS_PER_GROUP).cast("long"))
-    after = F.floor((F.col("block") + 1) / BLOCKS_PER_GROUP).cast("long")
-    spread = spread.withColumn("group", F.explode(F.when(after == F.col("own"), F.array("own")).otherwise(F.array("own", after)))).drop("own")
     found = work.save(
-        spread.repartition(width, "dim", "pass", "group")
-        .sortWithinPartitions("dim", "pass", "group", "block")
+        tiles.repartition(width, "dim", "pass", "key", "left", "right")
+        .sortWithinPartitions("dim", "pass", "key", "left", "right")
         .mapInArrow(_compare(threshold), "a long, b long, links long"),
         "found",
     )

@@ -77,6 +77,19 @@ def test_small_windows_still_find_the_links(spark):
     assert sum(r["n_links"] for r in found) >= 0.99 * total > 0
 
 
+def test_near_copies_longer_than_many_windows(spark):
+    """All links of distinct near copies that fill many windows are counted, and they stay one component."""
+    rng = np.random.default_rng(11)
+    dense = (rng.standard_normal(16) + 0.02 * rng.standard_normal((700, 16))).astype(np.float32).astype(float).tolist()
+    rows = [(i, v, 0) for i, v in enumerate(clustered(600, seed=9))] + [(5000 + i, v, 0) for i, v in enumerate(dense)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), window=8).collect()}
+    links = brute_links(rows)
+    assert min(len(links[i]) for i in range(5000, 5700)) >= 699
+    assert {i: r["n_links"] for i, r in got.items() if i >= 5000} == {i: len(links[i]) for i in range(5000, 5700)}
+    assert {r["component_id"] for i, r in got.items() if i >= 5000} == {component(links)[5000]}
+    assert all(r["n_links"] <= len(links[i]) for i, r in got.items())
+
+
 @pytest.mark.parametrize("blocks", [(4096, 512), (37, 11)])
 def test_nearest_equal_brute_force(spark, blocks):
     rows = fixture()
