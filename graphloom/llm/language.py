@@ -4,6 +4,9 @@ Training counts the letter trigrams of words for each language. A document is a
 language, and expectation-maximisation over the words' trigram likelihoods estimates the languages' proportions. The set of
 languages is the one with the highest penalised likelihood among the document's one, two, three ... strongest. The language
 with the largest proportion is the prediction.
+
+Where texts may be rejected, a background takes part besides the chosen languages: for each word the better of letters drawn
+independently and uniform trigrams. It has the words that no learned language explains.
 """
 
 from __future__ import annotations
@@ -36,13 +39,21 @@ def word_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64)[inside], before[starts]
 
 
+def background_likelihoods(words: list[str], starts: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word without any language; ``starts`` as ``word_trigrams`` gives them."""
+    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
+    each = letters[codes % BUCKETS]
+    drawn = np.add.reduceat((each[:-2] + each[1:-1] + each[2:])[codes[1:-1] != 32], starts)
+    return np.maximum(drawn, -np.log(BUCKETS) * np.array([len(w) for w in words]))
+
+
 def is_held_out(doc_id: F.Column) -> F.Column:
     """Documents that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, usable: F.Column, docs_per_language: int = 3000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages, logarithms of trigram probabilities as a matrix languages x BUCKETS).
+def train(docs: DataFrame, usable: F.Column, docs_per_language: int = 3000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, logarithms of trigram probabilities as a matrix languages x BUCKETS, those of letters over all languages).
 
     ``docs`` has text and lang; ``usable`` names the rows that may be learned from. About ``docs_per_language`` whole
     documents of each language are used, chosen by a hash of the text.
@@ -51,26 +62,28 @@ def train(docs: DataFrame, usable: F.Column, docs_per_language: int = 3000, smoo
     rows = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(rows)
     if not languages:
-        return [], np.zeros((0, BUCKETS), dtype=np.float32)
+        return [], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(BUCKETS, dtype=np.float32)
     number = {x: i for i, x in enumerate(languages)}
     sizes = labelled.sparkSession.createDataFrame([(x, docs_per_language * 1e6 / n) for x, n in rows.items()], "lang string, share double")
     some = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("train"), "text"), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches):
-        totals = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        totals = np.zeros((len(languages) + 1, BUCKETS), dtype=np.int64)  # the last row counts letters
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORD.findall(text.lower())
                 if words:
                     totals[number[lang]] += np.bincount(word_trigrams(words)[0], minlength=BUCKETS)
+                    totals[-1] += np.bincount(np.frombuffer((" " + " ".join(words)).encode("utf-32-le"), dtype=np.uint32) % BUCKETS, minlength=BUCKETS)
         lang, bucket = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[lang, bucket])], names=["lang", "bucket", "n"])
 
-    table = np.full((len(languages), BUCKETS), smoothing)
+    table = np.full((len(languages) + 1, BUCKETS), smoothing)
     counted = some.select("lang", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most BUCKETS rows for each language
     table[found["lang"].to_numpy(), found["bucket"].to_numpy()] += found["n"].to_numpy()
-    return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return languages, table[:-1], table[-1]
 
 
 def solve(likelihood: np.ndarray, sizes: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> np.ndarray:
@@ -107,14 +120,30 @@ def solve(likelihood: np.ndarray, sizes: np.ndarray, rounds: int = 8, penalty: f
     return best
 
 
-def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(row: all columns of ``docs`` as a struct, lang_pred, score, mixture) for each row; see ``predict_languages``."""
-    model = docs.sparkSession.sparkContext.broadcast(table)  # bounded: BUCKETS numbers for each language
+def beside_background(p: np.ndarray, likelihood: np.ndarray, sizes: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Proportions ``p`` of the languages estimated anew with the background, whose likelihoods are the last column."""
+    starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    chance = np.exp(likelihood - likelihood.max(axis=1, keepdims=True))
+    p = np.column_stack([0.75 * p, np.full(len(sizes), 0.25)]).astype(np.float32)
+    for _ in range(rounds):
+        joint = chance * p[doc]
+        joint /= joint.sum(axis=1, keepdims=True) + 1e-30
+        p = (np.add.reduceat(joint, starts, axis=0) / sizes[:, None]).astype(np.float32)
+    return p
+
+
+def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text", letters: np.ndarray | None = None) -> DataFrame:
+    """(row: all columns of ``docs`` as a struct, lang_pred, score, mixture) for each row; see ``predict_languages``.
+
+    With ``letters`` the background takes part: shares are of all words, and a text of which it has the most is ``und``.
+    """
+    model = docs.sparkSession.sparkContext.broadcast((table, letters))  # bounded: BUCKETS numbers for each language
+    columns = len(languages) + (letters is not None)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, mixture map<string,double>"
 
     def run(batches):
-        probabilities, known, vectors, used = model.value, {}, np.zeros((0, len(languages)), dtype=np.float32), 0
+        (probabilities, letters), known, vectors, used = model.value, {}, np.zeros((0, columns), dtype=np.float32), 0
 
         def answer(rows, held, sizes):
             flat = np.concatenate([x for x in held if len(x)]) if any(sizes) else np.zeros(0, dtype=np.int32)
@@ -122,10 +151,14 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
             preds, scores, mixtures = [UNKNOWN] * len(sizes), [0.0] * len(sizes), [[] for _ in sizes]
             real = np.flatnonzero(sizes)
             if len(real):
-                p = solve(vectors[flat], sizes[real])
-                for i, row in zip(real, p):
+                likelihood = vectors[flat]
+                p, background = solve(likelihood[:, : len(languages)], sizes[real]), np.zeros(len(real))
+                if letters is not None:
+                    p = beside_background(p, likelihood, sizes[real])
+                    p, background = p[:, :-1], p[:, -1]
+                for i, row, rest in zip(real, p, background):
                     best = int(row.argmax())
-                    preds[i], scores[i] = languages[best], float(min(1.0, row[best]))
+                    preds[i], scores[i] = UNKNOWN if rest > row[best] else languages[best], float(min(1.0, row[best]))
                     mixtures[i] = [(languages[k], float(row[k])) for k in np.flatnonzero(row > 1e-3)]
             return pa.RecordBatch.from_arrays(
                 [rows, pa.array(preds), pa.array(scores, pa.float64()), pa.array(mixtures, pa.map_(pa.string(), pa.float64()))],
@@ -153,9 +186,11 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
                     if fresh:
                         grams, starts = word_trigrams(fresh)
                         # each word has a trigram at least, so that every segment has a row
-                        fresh_vectors = np.stack([np.add.reduceat(line[grams], starts) for line in probabilities], axis=1).astype(np.float32)
+                        lines = [np.add.reduceat(line[grams], starts) for line in probabilities]
+                        lines += [] if letters is None else [background_likelihoods(fresh, starts, letters)]
+                        fresh_vectors = np.stack(lines, axis=1).astype(np.float32)
                         if used + len(fresh) > len(vectors):
-                            vectors = np.concatenate([vectors[:used], fresh_vectors, np.zeros((used + len(fresh), len(languages)), dtype=np.float32)])
+                            vectors = np.concatenate([vectors[:used], fresh_vectors, np.zeros((used + len(fresh), columns), dtype=np.float32)])
                         else:
                             vectors[used : used + len(fresh)] = fresh_vectors
                         used, fresh = used + len(fresh), []
@@ -170,10 +205,11 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
 def known_languages(docs: DataFrame, min_share: float = 0.25, docs_per_language: int = 3000) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang and any others) whose language can be told.
 
-    Rejected are texts without letters and texts of which no language has at least ``min_share``.
+    Rejected are texts without letters, texts of which no language has at least ``min_share`` of the words, and texts of which
+    the background has more words than any language: random letters, encoded data, code, languages that were not learned.
     """
-    languages, table = train(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
-    told = identify(docs, languages, table)
+    languages, table, letters = train(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
+    told = identify(docs, languages, table, letters=letters)
     return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share)).select("row.*")
 
 
@@ -189,6 +225,6 @@ def predict_languages(docs: DataFrame, docs_per_language: int = 3000, id_col: st
     table gives an empty result. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    languages, table = train(own, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
+    languages, table, _ = train(own, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
     told = identify(own.select("doc_id", "text"), languages, table)
     return told.select("row.doc_id", is_held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "mixture")

@@ -93,6 +93,24 @@ def test_language_of_odd_and_mixed_texts(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    import random
+
+    rng = random.Random(4)
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'de'").select("doc_id", "text", "lang")
+    unlearned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de' and length(text) > 200").selectExpr("doc_id + 1000000 as doc_id", "text", "cast(null as string) as lang")
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(200))
+    encoded = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    with open(language.__file__) as code:
+        junk = [letters, encoded, code.read(), "все люди рождаются свободными и равными в своем достоинстве и правах", "qqqq " * 50, "12 34"]
+    odd = spark.createDataFrame([(2_000_000 + k, t, None) for k, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.known_languages(learned.unionByName(unlearned).unionByName(odd)).collect()}
+    clean = {r["doc_id"] for r in learned.collect() if any(c.isalpha() for c in r["text"] or "")}
+    others = {r["doc_id"] for r in unlearned.collect()}
+    assert clean <= kept and not any(i >= 2_000_000 for i in kept)
+    assert len(others & kept) <= 0.05 * len(others)
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
