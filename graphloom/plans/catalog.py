@@ -602,7 +602,8 @@ def doc_ref_rewrite(spark, sf):
 @query()
 def extract_problems(spark, sf):
     c = X.read(spark, sf, "conversations")
-    md = F.concat(F.lit("# R\n### 问题 1\n- 描述: "), F.left("text", F.lit(40)), F.lit("\n- 归因: a，b、c\n- 涉及对象: [[A@B@C]] [[D]]\n"))
+    line = F.regexp_replace("text", r"\R+", " ")  # a field of a review is one line, so the whole text becomes one
+    md = F.concat(F.lit("# R\n### 问题 1\n- 描述: "), line, F.lit("\n- 归因: a，b、c\n- 涉及对象: [[A@B@C]] [[D]]\n"))
     return c.select("conv_id", "turn", F.to_json(text.problems(md)).alias("problems"))
 
 

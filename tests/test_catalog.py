@@ -1,6 +1,8 @@
 """Every registered query against a second engine, over the smallest tables."""
 
+import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -34,3 +36,18 @@ def test_same_rows(name, spark, duck, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(name, spark):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_problems_hold_whole_texts(spark, tmp_path):
+    texts = ["short", "long " * 400 + "end", "one\ntwo\n\nthree " + "x" * 100 + "\r\nlast", None]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def brute(t):
+        md = "# R\n### 问题 1\n- 描述: " + re.sub(r"[\r\n]+", " ", t) + "\n- 归因: a，b、c\n- 涉及对象: [[A@B@C]] [[D]]\n"
+        field = {x: re.search(rf"^\s*[-*]\s*{x}\s*[:：]\s*(.+?)\s*$", md, re.M)[1] for x in ("描述", "归因", "涉及对象")}
+        return [{"description": field["描述"], "attribution": re.split("[,，、]", field["归因"]), "objects": re.findall(r"\[\[([^\]]+)\]\]", field["涉及对象"])}]
+
+    got = {r["conv_id"]: r["problems"] and json.loads(r["problems"]) for r in catalog.queries()["extract_problems"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
+    assert [len(got[i][0]["description"].split()) for i in (1, 2)] == [401, 5]
