@@ -18,18 +18,30 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.known_languages(docs)
 
 
+def with_row_keys(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with _row_key, a number of each row's own; written, so that it stays the same however often it is read."""
+    return Workspace(spark, name).save(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated three-line passages, and documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or length(trim(text)) > 0")
+    """Removes repeated three-line passages, and documents of which nothing is left. Every row is a document of its own."""
+    keyed = with_row_keys(spark, docs, "pipeline-lines").withColumn("_row_key", F.struct("doc_id", "_row_key"))
+    out = line_dedup.dedup_lines(keyed, id_col="_row_key").where("n_removed = 0 or length(trim(text)) > 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near duplicates."""
-    doubles = ngram_join.near_duplicate_texts(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(doubles.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row, the one with the smallest id (a null one last), of each group of near duplicates."""
+    keyed = with_row_keys(spark, docs, "pipeline-groups")
+    found = ngram_join.near_duplicate_texts(keyed, id_col="_row_key").where("n_links > 0").select(F.col("doc_id").alias("_row_key"), "component_id")
+    found = Workspace(spark, "pipeline-members").save(found, "members")
+    ids = found.join(keyed.select("_row_key", "doc_id").hint("shuffle_hash"), "_row_key")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_key"))
+    chosen = ids.groupBy("component_id").agg(smallest.alias("x")).select("x._row_key")
+    doubles = found.select("_row_key").join(chosen.hint("shuffle_hash"), "_row_key", "left_anti")
+    return keyed.join(doubles.hint("shuffle_hash"), "_row_key", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,3 +161,17 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     enc = base_tokenizer()
     five = sorted((r["doc_id"], r["ids"]) for r in stages["bpe"](spark, four, SF).collect())
     assert five == sorted((r["doc_id"], enc.encode_ordinary(r["text"])) for r in four.collect())
+
+
+def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
+    """Of each group of copies one row stays, whatever the ids; a clean text that shares its id with a copy stays."""
+    copy, near, clean, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("copy", "near", "clean", "other"))
+    rows = [(1, copy), (7, copy), (7, clean), (None, copy), (None, near), (None, near), (5, other), (5, other), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    left = sorted(map(tuple, stages["ngram_join"](spark, docs, SF).collect()), key=repr)
+    assert left == sorted([(1, copy), (7, clean), (None, near), (5, other), (None, None), (9, "")], key=repr)
+    lines = "\n".join(f"line {k}" for k in range(6))
+    docs = spark.createDataFrame([(None, lines), (None, lines), (3, lines), (4, "\n".join("abcd")), (4, "\n".join("abcd"))], "doc_id long, text string")
+    left = sorted((r["text"] for r in stages["line_dedup"](spark, docs, SF).collect()), key=repr)
+    assert left == sorted([lines, "\n".join("abcd")], key=repr)
