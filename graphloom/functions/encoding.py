@@ -38,11 +38,11 @@ def decoded(pages: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(StructType().add("score", DoubleType()).add("segments", IntegerType()))
 def reversal(texts: pd.Series) -> pd.DataFrame:
-    """Share of long Chinese stretches of the first 8192 characters that read as UTF-8 when turned back into GBK bytes."""
+    """Share of long Chinese stretches of 4096 characters, over the whole text, that read as UTF-8 when turned back into GBK bytes."""
     rows = []
     for t in texts:
         good = total = 0
-        for at in range(0, min(len(t or ""), 8192), 4096):
+        for at in range(0, len(t or ""), 4096):
             stretch = re.sub("[^一-鿿]", "", t[at : at + 4096])
             if len(stretch) >= 20:
                 total += 1
@@ -57,8 +57,7 @@ def reversal(texts: pd.Series) -> pd.DataFrame:
 
 def mojibake(df, column: str = "text"):
     """Adds kind (null: none found), score, segments: texts that look wrongly decoded."""
-    head = F.left(F.col(column), F.lit(8192))
-    latin = F.regexp_count(head, F.lit("[æÃåç]{2,}")) > 3
+    latin = F.regexp_count(F.col(column), F.lit("[æÃåç]{2,}")) > 3
     lost = F.regexp_count(F.col(column), F.lit("\ufffd")) > 5
     scored = df.withColumn("_r", reversal(F.col(column)))
     kind = F.when(F.col("_r.score") > 0.3, "gbk-misread-utf8").when(latin, "latin-misread").when(lost, "replacement-chars")

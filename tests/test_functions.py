@@ -1,3 +1,4 @@
+import re
 from itertools import product
 
 import pytest
@@ -180,6 +181,17 @@ def test_mojibake(spark):
     assert kinds[2] is None and kinds[3] == "replacement-chars" and kinds[4] is None
 
 
+def test_mojibake_after_a_clean_head(spark):
+    """A text is judged whole: what is garbled after its first 8192 characters counts."""
+    head = "plain words " * 700
+    wrong = "知识图谱".encode("utf-8").decode("gbk")
+    texts = [head + wrong * 4000, head + "ææåå x " * 10, head + "x" * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: (r["kind"], r["segments"]) for r in encoding.mojibake(rows).collect()}
+    assert got[1][0] == "latin-misread" and got[2] == (None, 0)
+    assert got[0][1] == sum(len(re.sub("[^一-鿿]", "", texts[0][at : at + 4096])) >= 20 for at in range(0, len(texts[0]), 4096)) > 2
+
+
 def test_html_to_markdown():
     page = """<html><head><title>t</title></head><body><nav>x</nav><h2>Head</h2><p>a <b>b</b> <a href="x.html">l</a><br>c</p>
     <ul><li>one</li><li>two<ol start="3"><li>in</li></ol></li></ul><pre class="language-sql">SELECT
