@@ -18,19 +18,20 @@ def command_pages(pages: DataFrame) -> DataFrame:
     return titled.select(*pages.columns, "_t.name_zh", "_t.name", X.verb_of(F.col("_t.name")).alias("verb"), X.object_of(F.col("_t.name")).alias("object"))
 
 
-def scan_names(docs: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
+def scan_names(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(key, name): the known names that the lines of each document hold, as distinct rows.
 
-    ``docs`` is (key, md), ``names`` (name): upper-case words with single blanks, at most ``longest`` of them. Names stand on
+    ``docs`` is (key, md), ``names`` (name): upper-case words with single blanks, any number of them. Names stand on
     word borders, the longest wins, matches do not overlap; fenced code and contents lines do not count. Lines are cut into
-    words, runs of words are joined with the names by equality, and each line's matches are then taken from the left.
+    words, runs of as many words as some name has are joined with the names by equality, and each line's matches are then taken from the left.
     """
+    lengths = sorted(n for (n,) in names.where("name is not null").select(F.size(F.split("name", " "))).distinct().collect())  # a few numbers
     words = F.regexp_extract_all("line", F.lit(r"[A-Z0-9_]+|[^A-Z0-9_]+"), 0)
     lines = docs.select("key", F.posexplode(F.split(X.prose(F.col("md")), "\n")).alias("line_no", "line")).where(F.col("line").rlike("[A-Z0-9_]"))
     parts = lines.select("key", "line_no", words.alias("w"))
 
     def runs(i):
-        length = F.sequence(F.lit(1), F.lit(longest))
+        length = F.array(*map(F.lit, lengths)).cast("array<int>")
         ends = F.filter(length, lambda n: (i + 2 * n - 2 <= F.size("w")) & F.forall(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.element_at("w", i + 2 * k - 1) == " ")))
         return F.transform(ends, lambda n: F.struct(i.alias("at"), (i + 2 * n - 2).alias("last"), F.array_join(F.slice("w", i, 2 * n - 1), "").alias("name")))
 

@@ -586,16 +586,21 @@ def parse_md(spark, sf):
 @query()
 def dictionary_scan(spark, sf):
     docs = X.read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.upper("text").alias("md"))
-    names = X.read(spark, sf, "benchmark").select(F.array_join(F.slice(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9_]+"), 0), 1, 2), " ").alias("name"))
-    return mining.scan_names(docs, names, 2)
+    words = X.read(spark, sf, "benchmark").select(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9_]+"), 0).alias("w"))
+    names = words.select("w", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("n")).where("size(w) >= n").select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name"))
+    return mining.scan_names(docs, names)
 
 
 @query()
 def doc_ref_rewrite(spark, sf):
     c = X.commands(spark, sf)
-    docs = c.select(F.concat_ws("@", "id", "version").alias("key"), F.concat(F.lit("See [增加（"), "local", F.lit("）](a/增加（"), "local", F.lit("）_1.md) and [gone](b/x.md) and [web](http://e.org)")).alias("md"))
-    nothing = spark.createDataFrame([], "filename string, id string"), spark.createDataFrame([], "code string")
-    out = mining.rewrite_references(docs, "NF0", c.select(F.col("local").alias("name")).distinct(), *nothing)
+    code = F.concat(F.lit("GWFD-"), F.lpad((F.col("src") % 1_000_000).cast("string"), 6, "0"))
+    links = F.concat(F.lit(" and [gone](b/x.md) and [web](http://e.org) and [page](c/page_"), "src", F.lit(".md) and [feature](d/"), code, F.lit(" x.md)"))
+    docs = c.select(F.concat_ws("@", "id", "version").alias("key"), F.concat(F.lit("See [增加（"), "local", F.lit("）](a/增加（"), "local", F.lit("）_1.md)"), links).alias("md"))
+    # every third page has no source file, every second feature does not exist
+    sources = c.where("src % 3 <> 0").select(F.concat(F.lit("page_"), "src", F.lit(".md")).alias("filename"), "id")
+    features = c.where("src % 2 = 0").select(code.alias("code")).distinct()
+    out = mining.rewrite_references(docs, "NF0", c.select(F.col("local").alias("name")).distinct(), sources, features)
     return out.select("key", "md", "n_resolved", "n_stripped", F.array_join("commands", ",").alias("commands"))
 
 

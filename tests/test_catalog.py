@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 
+from graphloom.operators import mining
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,37 @@ def test_problems_hold_whole_texts(spark, tmp_path):
     got = {r["conv_id"]: r["problems"] and json.loads(r["problems"]) for r in catalog.queries()["extract_problems"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
     assert [len(got[i][0]["description"].split()) for i in (1, 2)] == [401, 5]
+
+
+def test_dictionary_scan_equals_brute_force(spark):
+    docs = {r["doc_id"]: (r["text"] or "").upper() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = [re.findall("[A-Z0-9_]+", r["text"].upper()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    names = {" ".join(w[:n]) for w in words for n in range(2, 7) if len(w) >= n}
+    by_length = re.compile(r"(?<![A-Z0-9_])(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?![A-Z0-9_])")
+    expected = {(i, x) for i, t in docs.items() for line in t.split("\n") for x in by_length.findall(line)}
+    got = {tuple(r) for r in catalog.queries()["dictionary_scan"](spark, SF).select("key", "name").collect()}
+    assert got == expected and max(len(x.split(" ")) for _, x in got) == 6
+
+
+def test_names_of_any_length_are_found(spark):
+    long_name = " ".join(f"W{k}" for k in range(9))
+    docs = spark.createDataFrame([("k", f"a {long_name} b W0 W1")], "key string, md string")
+    found = mining.scan_names(docs, spark.createDataFrame([(long_name,), ("W0 W1",), ("W3",)], "name string")).collect()
+    assert {r["name"] for r in found} == {long_name, "W0 W1"}
+
+
+def test_doc_ref_rewrite_equals_brute_force(spark):
+    rows = catalog.X.commands(spark, SF).collect()
+    sources = {}
+    for r in rows:
+        if r["src"] % 3:
+            sources[r["src"]] = min(sources.get(r["src"], r["id"]), r["id"])
+    features = {r["src"] for r in rows if r["src"] % 2 == 0}
+    expected = {}
+    for r in rows:
+        page = f"[[{sources[r['src']]}]]" if r["src"] in sources else "page"
+        feature = f"[[NF0@Feature@GWFD-{r['src']:06d}]]" if r["src"] in features else "feature"
+        n = 1 + (r["src"] in sources) + (r["src"] in features)
+        expected[f"{r['id']}@{r['version']}"] = (f"See [[NF0@MMLCommand@{r['local']}]] and gone and [web](http://e.org) and {page} and {feature}", n, 4 - n, r["local"])
+    got = {r["key"]: (r["md"], r["n_resolved"], r["n_stripped"], r["commands"]) for r in catalog.queries()["doc_ref_rewrite"](spark, SF).collect()}
+    assert got == expected and {n for _, n, _, _ in got.values()} == {1, 2, 3}
