@@ -1,9 +1,10 @@
-"""Near-duplicate texts by an n-gram Jaccard join over a MinHash LSH forest.
+"""Near-duplicate texts by an n-gram Jaccard join over banded MinHash.
 
-Texts with the same words are one class. Each class gets a signature of min-hashes, cut into the labels of a forest: a tree's
-label packs its hashes most significant first, so labels in order are the leaves of a prefix trie and a shorter prefix is a
-right shift. Matched prefixes start at full length and are shortened until a pair at the threshold meets in some tree with the
-target probability. Classes that meet are bundled (connected components over star edges, never pairs), and every pair of a
+Texts with the same words are one class. Each class gets a signature of min-hashes, cut into one label for each tree: a label
+packs its hashes most significant first, so a shorter prefix is a right shift. One fixed prefix length is used for all texts,
+the longest at which a pair at the threshold meets in some tree with the target probability: this is banded MinHash, and not a
+forest that shortens each text's prefixes by what it has matched. All pairs above the threshold are wanted here, not the
+nearest few, so the recall must hold for every pair and no text may stop at a longer prefix. Classes that meet are bundled (connected components over star edges, never pairs), and every pair of a
 bundle is then verified exactly on shingle sets. Large bundles are dealt out as tiles of two blocks, so no task holds one
 whole. A task returns sums of links and a spanning forest, never the pairs.
 """
