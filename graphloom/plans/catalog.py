@@ -156,15 +156,24 @@ def business_domains(spark, sf):
     return graph.newest_per_id(X.objects(spark, sf).where("type = 'BusinessDomain'")).select("id", "name", "domain")
 
 
+def _positions(df: DataFrame, column: str) -> DataFrame:
+    """(position long from 0 in the order of ``column``, column): no task holds more than a range of the rows."""
+    ordered = df.repartitionByRange(column).sortWithinPartitions(column).select(column, F.monotonically_increasing_id().alias("_place")).persist()
+    part = F.shiftright("_place", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    # one row for each partition of the sort: as few as there are shuffle partitions
+    starts = sizes.alias("x").join(sizes.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.size"), F.lit(0)).alias("_start"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("_start") + within).cast("long").alias("position"), column)
+
+
 @query("""SELECT position, id, status, resolved_version FROM (
     SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM (SELECT DISTINCT id FROM objects WHERE type IN ('MMLCommand', 'BusinessDomain'))) JOIN
     (SELECT id, 'ok' AS status, version AS resolved_version FROM latest) USING (id)""")
 def batch_md(spark, sf):
-    from pyspark.sql import Window
-
     objects = X.objects(spark, sf)
     asked = objects.where("type in ('MMLCommand', 'BusinessDomain')").select("id").distinct()
-    asked = asked.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("position"), "id")
+    asked = _positions(asked, "id")
     twice = asked.unionByName(asked.withColumn("position", F.col("position") + 1_000_000)).withColumn("version", F.lit(None).cast("string"))
     return graph.batch_fetch(objects, twice).select("position", "id", "status", "resolved_version")
 

@@ -86,3 +86,11 @@ def test_doc_ref_rewrite_equals_brute_force(spark):
         expected[f"{r['id']}@{r['version']}"] = (f"See [[NF0@MMLCommand@{r['local']}]] and gone and [web](http://e.org) and {page} and {feature}", n, 4 - n, r["local"])
     got = {r["key"]: (r["md"], r["n_resolved"], r["n_stripped"], r["commands"]) for r in catalog.queries()["doc_ref_rewrite"](spark, SF).collect()}
     assert got == expected and {n for _, n, _, _ in got.values()} == {1, 2, 3}
+
+
+def test_positions_take_no_single_task(spark):
+    ids = spark.range(0, 5000, 1, 8).selectExpr("concat('n', id * 7919 % 5000) as id")
+    numbered = catalog._positions(ids, "id")
+    assert [tuple(r) for r in numbered.orderBy("position").collect()] == list(enumerate(sorted(r["id"] for r in ids.collect())))
+    plan = catalog.queries()["batch_md"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
