@@ -31,13 +31,6 @@ def usable(column) -> F.Column:
     return F.coalesce(column.isNotNull() & (F.size(column) > 0) & ~bad & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def one_vector_per_id(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id long, embedding array<float or double>) with one row for each id: the smallest vector that it has."""
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).groupBy("vec_id").agg(
-        F.min("embedding").alias("embedding")
-    )
-
-
 def key_bits(n: int, window: int) -> int:
     """Bits of a key: the fewest at which ``n`` evenly spread vectors make runs of at most two windows."""
     return min(30, max(0, math.ceil(math.log2(max(n, 1) / (2 * window)))))
@@ -50,9 +43,12 @@ def passes_needed(bits: int, threshold: float, recall: float) -> int:
     return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def _directions(table: pa.Table) -> np.ndarray:
+    """The vectors at length 1; their largest components go first, so that no square overflows or vanishes."""
     flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(table.num_rows, -1)
+    x = flat.astype(np.float64).reshape(table.num_rows, -1)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _keys(passes: int, bits: int, seed: int):
@@ -67,7 +63,7 @@ def _keys(passes: int, bits: int, seed: int):
                 part = table.filter(pa.array(dims == dim)).combine_chunks()
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                signs = (_matrix(part) @ planes[dim] > 0).reshape(part.num_rows, passes, bits)
+                signs = (_directions(part) @ planes[dim] > 0).reshape(part.num_rows, passes, bits)
                 keys = (signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int32)
                 offsets = np.arange(0, keys.size + 1, passes, dtype=np.int32)
                 yield from part.append_column("keys", pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))).to_batches()
@@ -75,6 +71,21 @@ def _keys(passes: int, bits: int, seed: int):
     return run
 
 
+def joined(root: np.ndarray, rows: np.ndarray, others: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches, once ``linked`` (rows x others) is added to what ``root`` already joins.
+
+    Each turn links every node to one that it does not reach yet, so that no list of all pairs is made.
+    """
+    while True:
+        pairs = linked & (root[rows][:, None] != root[others])
+        down, across = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
+        if not len(down):
+            return root
+        left = np.concatenate([rows[down], rows[pairs[:, across].argmax(axis=0)]])
+        right = np.concatenate([others[pairs[down].argmax(axis=1)], others[across]])
+        root = min_labels(len(root), root[left], root[right])[root]
+
+
 def _compare(threshold: float):
     """Compares the pairs of each tile; see the module's text for what it returns."""
 
@@ -82,14 +93,14 @@ def _compare(threshold: float):
         for (_, number, _, left, right), table in sorted_groups(batches, ["dim", "pass", "key", "left", "right"]):
             if table.num_rows < 2:
                 continue
-            x = _matrix(table)
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            x = _directions(table)
             cid, copies, block = (table.column(c).to_numpy() for c in ("cid", "copies", "block"))
+            copies = copies.astype(np.float64)
             earlier = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)[:, :number].T
             rows = np.flatnonzero(block == left)
             others = rows if left == right else np.flatnonzero(block == right)
             y, y_earlier = x[others], np.ascontiguousarray(earlier[:, others])
-            links, forest = np.zeros(len(x)), []
+            links, root = np.zeros(len(x)), np.arange(len(x))
             for at in range(0, len(rows), SLICE):
                 some = rows[at : at + SLICE]
                 linked = x[some] @ y.T >= threshold
@@ -99,16 +110,12 @@ def _compare(threshold: float):
                     if not linked.any():
                         break
                     linked &= mine[:, None] != theirs
-                i, j = np.nonzero(linked)
-                if len(i):
-                    i, j = some[i], others[j]
-                    links += np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
-                    root = min_labels(len(x), i, j)
-                    below = np.flatnonzero(root != np.arange(len(x)))
-                    forest.append((below, root[below]))
-            if forest:
-                root = min_labels(len(x), *(np.concatenate(ends) for ends in zip(*forest)))
-                seen = np.flatnonzero(links)
+                if linked.any():
+                    links[some] += linked @ copies[others]
+                    links[others] += copies[some] @ linked
+                    root = joined(root, some, others, linked)
+            seen = np.flatnonzero(links)
+            if len(seen):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cid[seen]), pa.array(cid[root[seen]]), pa.array(links[seen].astype(np.int64))], names=["a", "b", "links"]
                 )
@@ -131,18 +138,16 @@ def near_duplicate_vectors(
     included), kept boolean, n_copies long (vectors equal to it, itself included).
 
     Nulls and odd rows: a vector that is null, empty, zero or has null or non-finite components links with nothing, and
-    is kept. Rows with one id count once, by the smallest vector; a null id is one row that links with nothing. Vectors
-    of different lengths never link. An empty table gives an empty result. Other columns are ignored.
+    is kept. So does a row with a null id. Every row is a vector of its own, also where rows share an id. Vectors of
+    different lengths never link. An empty table gives an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "embedding-dedup")
     width = shuffle_width(spark)
-    rows = work.save(one_vector_per_id(vectors, id_col, vector_col), "rows")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    classes = work.save(
-        good.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")),
-        "classes",
-    )
+    equal = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = work.save(equal.withColumn("dim", F.size("embedding")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     bits = key_bits(classes.count(), window)
     passes = passes_needed(bits, threshold, recall)
     kind = classes.schema["embedding"].dataType.simpleString()
@@ -170,15 +175,13 @@ def near_duplicate_vectors(
         "found",
     )
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    parts = work.save(components(work, found.select("a", "b"), "parts"), "parts")
-    of_class = (
-        classes.select("cid", "copies", F.col("embedding").alias("_e"))
-        .join(links, "cid", "left")
-        .join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    )
-    of_class = work.save(
-        of_class.where("copies > 1 or links is not null or component is not null"), "of_class"
-    )  # all other classes are single vectors without links
+    parts = work.save(components(work, found.select("a", "b"), "parts").withColumnRenamed("node", "cid"), "parts")
+    names = parts.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("name"))
+    parts = parts.join(work.save(names, "names"), "component")
+    of_class = classes.select("cid", "copies", "least", F.col("embedding").alias("_e")).join(links, "cid", "left").join(parts, "cid", "left")
+    of_class = work.save(of_class.where("copies > 1 or component is not null"), "of_class")  # all others are single vectors without links
+    work.drop("keyed", "long_runs", "found", "parts", "names")
+    name = F.coalesce("name", "least", "vec_id")
     return (
         rows.withColumn("_e", F.when(F.col("vec_id").isNotNull() & usable(F.col("embedding")), F.col("embedding")))
         .select("vec_id", "_e")
@@ -186,8 +189,8 @@ def near_duplicate_vectors(
         .select(
             "vec_id",
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-            F.coalesce("component", "cid", "vec_id").alias("component_id"),
-            F.coalesce(F.coalesce("component", "cid", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+            name.alias("component_id"),
+            F.coalesce(name == F.col("vec_id"), F.lit(True)).alias("kept"),
             F.coalesce("copies", F.lit(1)).alias("n_copies"),
         )
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,18 +11,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where that is unset, one of its own.
+
+    On a cluster an unset folder is an error: a machine's own folder would lose what other machines wrote.
+    """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -94,35 +100,69 @@ def min_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
+def sums_before(work: Workspace, df: DataFrame, order: list[F.Column], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with, for each ``new: column`` of ``sums``, the sum of the column over all rows that come earlier in ``order``.
+
+    Rows are dealt out by ranges of ``order``, which should be unique; each range adds up its own rows, and only the ranges'
+    totals, as few as there are shuffle partitions, meet in one task.
+    """
+    ranges = df.repartitionByRange(shuffle_width(work.spark), *order).withColumn("_range", F.spark_partition_id())
+    ranges = work.save(ranges, name)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("_range").agg(*(F.sum(c).alias(f"_{new}") for new, c in sums.items()))
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{new}").over(earlier), F.lit(0)).alias(f"_{new}") for new in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.join(F.broadcast(starts), "_range")  # bounded: a row for each shuffle partition
+    return out.withColumns({new: F.col(f"_{new}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for new, c in sums.items()}).drop(
+        "_range", *(f"_{new}" for new in sums)
+    )
+
+
+#: A node with more edges than MOST_EDGES, and than its share of all edges if there were HUBS such nodes, is a hub.
+MOST_EDGES, HUBS = 256, 10_000
+
+
+def _with_lowest(edges: DataFrame, n: int) -> DataFrame:
+    """(a, b, low): each of the ``n`` edges with the smallest b of its a.
+
+    Nodes with very many edges are no hot keys: there are fewer than HUBS of them, so they are joined by broadcast.
+    """
+    lowest = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    most = max(MOST_EDGES, n // HUBS)
+    hubs = lowest.where(F.col("n") > most).select("a", F.col("low").alias("_low"))
+    marked = edges.join(F.broadcast(hubs), "a", "left")
+    others = marked.where("_low is null").drop("_low").join(lowest.where(F.col("n") <= most).select("a", "low"), "a")
+    return marked.where("_low is not null").select("a", "b", F.col("_low").alias("low")).unionByName(others)
+
+
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (a long, b long), as ``(node, component)`` with the smallest node as name.
 
-    Alternates the large-star and small-star steps until the edges no longer change. Every step is a grouped minimum
-    (combined before the shuffle) and a join, so a node with very many edges is split by adaptive execution. Self
-    loops and nulls are ignored; nodes without edges are not in the result.
+    Alternates the large-star and small-star steps until every node has one edge, to its component's name. Every step is a
+    grouped minimum (combined before the shuffle) and a join in which no node is a hot key. Self loops and nulls are
+    ignored; nodes without edges are not in the result.
     """
-    spark = work.spark
-    current = work.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
-    )
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current = work.save(down, f"{name}-0")
     step = 0
     while True:
+        n = current.count()
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = (
-            both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        )
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(lowest, "a")
+        lowest = _with_lowest(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
+        large = work.save(lowest.distinct(), f"{name}-{step}-large")
+        small = _with_lowest(large, large.count())
         small = small.select("a", F.col("low").alias("b")).unionByName(
             small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
         step += 1
         after = work.save(small.where("a <> b").distinct(), f"{name}-{step}")
-        changed = after.join(current, ["a", "b"], "left_anti").limit(1).count() + current.join(after, ["a", "b"], "left_anti").limit(1).count()
-        work.drop(f"{name}-{step - 1}")
+        work.drop(f"{name}-{step - 1}", f"{name}-{step - 1}-large")
         current = after
-        if not changed:
+        ends = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("named")).unionByName(
+            after.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("named"))
+        )
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("named").alias("named"))
+        if ends.where("up > 1 or up = 1 and named = 1").isEmpty():
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -1,5 +1,7 @@
 """Vector operators against brute force in double precision."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -27,23 +29,38 @@ def usable(v):
     return v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(c != 0 for c in v)
 
 
-def by_id(rows):
-    return {i: v for i, v, _ in rows if i is not None and usable(v)}
+def directions(vectors):
+    x = np.array(vectors, dtype=float)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def brute_links(rows):
-    vectors = by_id(rows)
-    links = {i: set() for i in vectors}
-    for dim in {len(v) for v in vectors.values()}:
-        ids = [i for i, v in vectors.items() if len(v) == dim]
-        x = np.array([vectors[i] for i in ids])
-        x /= np.linalg.norm(x, axis=1)[:, None]
+    """Links by row number, every row a vector of its own."""
+    links = {k: set() for k, (i, v, _) in enumerate(rows) if i is not None and usable(v)}
+    for dim in {len(rows[k][1]) for k in links}:
+        own = [k for k in links if len(rows[k][1]) == dim]
+        x = directions([rows[k][1] for k in own])
         for a, b in zip(*np.nonzero(x @ x.T >= 0.9)):
             if a != b:
-                links[ids[a]].add(ids[b])
+                links[own[a]].add(own[b])
     return links
 
 
+def expected_rows(rows):
+    """(vec_id, n_links, component_id, kept) of every row."""
+    links = brute_links(rows)
+    name = component(links)
+    least = {}
+    for k, c in name.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        c = least[name[k]] if k in name else i
+        out.append((i, len(links.get(k, ())), c, c == i))
+    return sorted(out, key=repr)
+
+
 def component(links):
     name = {}
     for i in sorted(links):
@@ -56,16 +73,27 @@ def component(links):
     return name
 
 
+def found_rows(df):
+    return sorted((tuple(r) for r in df.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows = fixture()
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
-    links = brute_links(rows)
-    names = component(links)
-    assert set(got) == {i for i, _, _ in rows}
-    for i, r in got.items():
-        assert (r["n_links"], r["component_id"]) == ((len(links[i]), names[i]) if i in links else (0, i)), i
-        assert r["kept"] == (r["component_id"] == i)
-    assert got[7]["n_copies"] == 31
+    df = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA))
+    assert found_rows(df) == expected_rows(rows)
+    assert {r["n_copies"] for r in df.where("vec_id = 7").collect()} == {31}
+
+
+def test_dense_groups_and_extreme_sizes(spark):
+    """Thousands of multiples and of noisy copies of one vector keep all links; very small and large vectors keep theirs."""
+    rng = np.random.default_rng(2)
+    base, other = rng.standard_normal((2, 16))
+    rows = [(i, (base * (i + 1)).tolist(), 0) for i in range(1500)]
+    rows += [(5000 + i, (other + 0.02 * rng.standard_normal(16)).tolist(), 0) for i in range(1500)]
+    rows += [(9000 + k, v, 0) for k, v in enumerate(([1e-200, 1e-200], [0.99, 0.14], [1e200, 2e200], [1.0, 2.0], [5e-324, 5e-324], [-1e308, 1e308]))]
+    rows += [(9003, [2.0, -1.0], 0), (9003, [1.0, 2.0], 0)]  # other rows with an id that is there
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert found_rows(embedding_dedup.near_duplicate_vectors(df)) == expected_rows(rows)
 
 
 def test_small_windows_still_find_the_links(spark):
@@ -83,11 +111,10 @@ def test_near_copies_longer_than_many_windows(spark):
     dense = (rng.standard_normal(16) + 0.02 * rng.standard_normal((700, 16))).astype(np.float32).astype(float).tolist()
     rows = [(i, v, 0) for i, v in enumerate(clustered(600, seed=9))] + [(5000 + i, v, 0) for i, v in enumerate(dense)]
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), window=8).collect()}
-    links = brute_links(rows)
-    assert min(len(links[i]) for i in range(5000, 5700)) >= 699
-    assert {i: r["n_links"] for i, r in got.items() if i >= 5000} == {i: len(links[i]) for i in range(5000, 5700)}
-    assert {r["component_id"] for i, r in got.items() if i >= 5000} == {component(links)[5000]}
-    assert all(r["n_links"] <= len(links[i]) for i, r in got.items())
+    expected = {i: (n, c) for i, n, c, _ in expected_rows(rows)}
+    assert min(expected[i][0] for i in range(5000, 5700)) >= 699
+    assert all((got[i]["n_links"], got[i]["component_id"]) == expected[i] for i in range(5000, 5700))
+    assert all(r["n_links"] <= expected[i][0] for i, r in got.items())
 
 
 @pytest.mark.parametrize("blocks", [(4096, 512), (37, 11)])
@@ -95,10 +122,24 @@ def test_nearest_equal_brute_force(spark, blocks):
     rows = fixture()
     df = spark.createDataFrame(rows, SCHEMA)
     got = vector_search.nearest_vectors(df, df.where("vec_id % 25 = 0"), 10, candidate_rows=blocks[0], query_rows=blocks[1]).collect()
-    vectors = by_id(rows)
+    good = [(i, np.array(v)) for i, v, _ in rows if i is not None and usable(v)]
     expected = []
-    for q in (i for i in vectors if i % 25 == 0):
-        near = sorted((float(np.sqrt(((np.array(v) - np.array(vectors[q])) ** 2).sum())), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+    for q, x in {(i, tuple(v)): (i, v) for i, v in good if i % 25 == 0}.values():
+        near = sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, v in good if i != q and len(v) == len(x))
         expected += [(q, k + 1, i, d) for k, (d, i) in enumerate(near[:10])]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(x[:3] for x in expected)
     assert {(r["query_id"], r["rank"]): pytest.approx(r["score"], rel=1e-12) for r in got} == {x[:2]: x[3] for x in expected}
+
+
+def test_nearest_of_very_small_and_large_vectors(spark):
+    rows = [(100, [1.0, 1.0]), (1, [5e-324, 5e-324]), (2, [1e160, 1e160]), (3, [3.0, 1.0]), (4, [1e308, -1e308]), (5, [1e-200, 2e-200]), (200, [2e160, 2e160]), (6, [1.0, 1.5]), (100, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.nearest_vectors(df, df.where("vec_id % 100 = 0"), 3).collect()
+    far = lambda x, y: math.hypot(*(a - b for a, b in zip(x, y)))
+    expected = []
+    for q, x in rows:
+        if q % 100 == 0:
+            expected += [(q, k + 1, i, d) for k, (d, i) in enumerate(sorted((far(x, v), i) for i, v in rows if i != q)[:3])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(expected)]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in sorted(expected)], rel=1e-12)
