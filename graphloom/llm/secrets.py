@@ -31,21 +31,57 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 TRAINING_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
 
 
+#: Spans as arrays; array results that grow one by one are built in pieces of so many elements, since each step copies its piece.
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+CHUNK = 128
+
+
+def _let(value: F.Column, use) -> F.Column:
+    """``use(value)`` with the value computed once. Inside a lambda, a plain expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: F.Column, op, first: F.Column) -> F.Column:
+    """For each of ``values`` (array<int>), the result of the associative ``op`` over ``first`` and all values up to it."""
+
+    def along(part, start):
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, state, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(op(a["at"], x))).alias("out")))["out"]
+
+    def in_chunks(chunks):
+        starts = along(F.transform(chunks, lambda c: F.aggregate(c, first, op)), first)
+        return F.flatten(F.zip_with(chunks, _let(starts, lambda x: F.concat(F.array(first), F.slice(x, F.lit(1), F.size(x) - 1))), along))
+
+    numbers = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+    cut = lambda v: _let(F.transform(numbers(v), lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK))), in_chunks)
+    return _let(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: F.Column, kind: int, pattern: str, matches: F.Column, sizes: F.Column | None, least: int) -> F.Column:
     """Spans (start, kind, end) in code points of the matches: the texts between them come from a split at the pattern."""
-    between = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+
+    def with_ends(lengths):
+        ends = _scan(F.zip_with(F.slice(between, F.lit(1), F.size(lengths)), lengths, lambda x, y: x + y), lambda x, y: x + y, F.lit(0))
+        spans = F.zip_with(ends, lengths, lambda end, n: F.struct((end - n).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        return F.zip_with(spans, lengths if sizes is None else F.transform(sizes, F.length), lambda span, n: F.when(n >= least, span))
+
+    found = F.filter(_let(F.transform(matches, F.length), with_ends), lambda span: span.isNotNull())
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPANS))
+
+
+def _apart(base: F.Column, added: F.Column) -> F.Column:
+    """Those of ``added`` that overlap no span of ``base``: one walk over both in order, and one back."""
 
-    def step(acc, i):
-        match = F.element_at(matches, i)
-        start = acc["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(match)
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        size = F.length(match if sizes is None else F.element_at(sizes, i))
-        return F.struct(end.alias("at"), F.when(size >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def walk(both):
+        is_base = lambda s: s["kind"] < len(KINDS)
+        before = _scan(F.transform(both, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y), F.lit(-1))
+        beyond = _scan(F.transform(F.reverse(both), lambda s: F.when(is_base(s), -s["start"]).otherwise(-(2**31) + 1)), lambda x, y: F.greatest(x, y), F.lit(-(2**31) + 1))
+        limits = F.zip_with(before, F.reverse(beyond), lambda x, y: F.struct(x.alias("from"), (-y).alias("to")))
+        return F.zip_with(both, limits, lambda s, m: F.when(~is_base(s) & (m["from"] <= s["start"]) & (s["end"] <= m["to"]), s))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(matches)), first, step)["spans"]
-    return F.when(F.size(matches) > 0, walked).otherwise(first["spans"])
+    kept = F.filter(_let(F.array_sort(F.concat(base, added)), walk), lambda s: s.isNotNull())
+    return F.when((F.size(base) > 0) & (F.size(added) > 0), kept).otherwise(added)
 
 
 def _base(df: DataFrame) -> DataFrame:
@@ -137,9 +173,9 @@ def find_secrets(
     def random(token):
         return ratio(token) >= F.greatest(F.lit(min_ratio), min_mean * (F.length(token) - 1))
 
-    covered = lambda s: F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scored = F.zip_with(spans, F.col("_tokens"), lambda s, t: F.when(random(t), s))
-    df = df.withColumn("_added", F.when(F.size("_tokens") > 0, F.filter(scored, lambda s: s.isNotNull() & ~covered(s))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    scored = F.filter(F.zip_with(spans, F.col("_tokens"), lambda s, t: F.when(random(t), s)), lambda s: s.isNotNull())
+    df = df.withColumn("_random", F.when(F.size("_tokens") > 0, scored).otherwise(F.array().cast(SPANS)))
+    df = df.withColumn("_added", _apart(F.col("_base"), F.col("_random")))
     names = F.array(*(F.lit(k[0]) for k in KINDS), F.lit(MARKOV))
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and held-out accuracy, with odd rows."""
 
 import hashlib
+import math
 import re
 import struct
 
@@ -111,6 +112,48 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     assert len(others & kept) <= 0.05 * len(others)
 
 
+def plain_mixture(likelihood, rounds=8, penalty=2.0):
+    """Proportions of one document's languages by expectation-maximisation, word by word; all language sets of the strongest."""
+    n, languages = len(likelihood), len(likelihood[0])
+
+    def improve(p, times):
+        for _ in range(times):
+            total = [0.0] * languages
+            for word in likelihood:
+                joint = [x * math.exp(w - max(word)) for x, w in zip(p, word)]
+                for k, x in enumerate(joint):
+                    total[k] += x / (sum(joint) + 1e-30)
+            p = [x / n for x in total]
+        return p, sum(math.log(sum(x * math.exp(w - max(word)) for x, w in zip(p, word)) + 1e-30) + max(word) for word in likelihood)
+
+    full, _ = improve([1 / languages] * languages, rounds)
+    order = sorted(range(languages), key=lambda k: -full[k])
+    found = []
+    for m in range(1, languages + 1):
+        p = [full[k] + 1e-6 if k in order[:m] else 0.0 for k in range(languages)]
+        p, fit = improve([x / sum(p) for x in p], 0 if m == 1 else rounds // 2)
+        found.append((fit - penalty * (m - 1) * math.log(n + 1), -m, p))
+    return max(found)[2]
+
+
+def test_mixtures_equal_plain_expectation_maximisation():
+    """Documents of one to seven languages, in one batch."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    docs = []
+    for k in range(1, 8):
+        own = rng.integers(0, k, 60 * k)  # the language of each word
+        x = rng.normal(-30, 2, (len(own), 7))
+        x[np.arange(len(own)), own] += 8
+        docs.append(x.astype(np.float32))
+    docs.append(rng.normal(-30, 1, (1, 7)).astype(np.float32))
+    got = language.solve(np.concatenate(docs), np.array([len(x) for x in docs]))
+    for k, (x, p) in enumerate(zip(docs, got)):
+        assert p == pytest.approx(plain_mixture(x.astype(float).tolist()), abs=2e-3), k
+    assert (got[6] > 0.05).sum() == 7  # no limit on the number of languages
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
@@ -140,36 +183,97 @@ def test_secrets(spark):
     assert "markov:4:36" in judged[23]["spans"] and judged[24]["n_markov"] == 0
 
 
+def brute_markov(text, ratios):
+    """Spans of the tokens that the models take for random and that overlap no base span."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_secrets(text)]
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        at = [secrets.ALPHABET.index(c) for c in m.group()]
+        ratio = sum(ratios[x * len(secrets.ALPHABET) + y] for x, y in zip(at, at[1:]))
+        if ratio >= max(20.0, 0.8 * (len(at) - 1)) and not any(s < m.end() and m.start() < e for s, e in base):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ratios = secrets.train(docs)
+    odd = [(10**6, "key q7RzX0vLp2KdW9sTfB4nYh8JmC6gUe1A token=q7RzX0vLp2KdW9sTfB4nYh8JmC6gUe1A x"), (10**6 + 1, "é" * 300 + " Xq7RzX0vLp2KdW9sTfB4nYh8JmC6gUe1Ap0123456789abcdef01 q7RzX0vLp2KdW9sTfB4nYh8JmC6gUe1A")]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + odd
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, DOC), ratios=ratios).collect()}
+    expected = {i: brute_markov(t or "", ratios) for i, t in rows}
+    assert {i: [x for x in r["spans"].split(",") if x.startswith("markov")] for i, r in got.items()} == expected
+    assert sum(map(len, expected.values())) >= 2
+
+
+def test_secrets_of_texts_with_very_many_matches(spark):
+    """Time grows with a text's length, whatever it holds: matches of a pattern, random tokens, or both by turns."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    token = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(24))
+    hexes = " ".join("%032x" % rng.getrandbits(128) for _ in range(200_000))
+    both = " ".join(x for _ in range(20_000) for x in (token(), "%032x" % rng.getrandbits(128), f"token={token()}"))
+    ratios = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame([(1, hexes), (2, both)], DOC), ratios=ratios).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[1]["n_hex"] == 200_000 and got[1]["spans"] == ",".join(brute_secrets(hexes))
+    base, added = brute_secrets(both), brute_markov_fast(both, ratios)
+    assert [x for x in got[2]["spans"].split(",") if not x.startswith("markov")] == base
+    assert [x for x in got[2]["spans"].split(",") if x.startswith("markov")] == added and len(added) > 15_000
+
+
+def brute_markov_fast(text, ratios):
+    """``brute_markov`` with the base spans marked in the text."""
+    covered = bytearray(len(text))
+    for x in brute_secrets(text):
+        s, e = map(int, x.split(":")[1:])
+        covered[s:e] = b"1" * (e - s)
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        at = [secrets.ALPHABET.index(c) for c in m.group()]
+        if sum(ratios[x * len(secrets.ALPHABET) + y] for x, y in zip(at, at[1:])) >= max(20.0, 0.8 * (len(at) - 1)) and not any(covered[m.start() : m.end()]):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
 def words(k, n=60):
     return [f"w{k}x{i}" for i in range(n)]
 
 
 def brute_join(rows):
+    """(doc_id, n_links, component_id, kept) of every row, each a document of its own."""
     sets = {}
-    for i, t in rows:
+    for k, (i, t) in enumerate(rows):
         w = (t or "").lower().split()
         if w and i is not None:
-            sets[i] = {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    return {a: {b for b in sets if b != a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8} for a in sets}
+            sets[k] = {tuple(w)} if len(w) < 5 else {tuple(w[x : x + 5]) for x in range(len(w) - 4)}
+    links = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8} for a in sets}
+    out = []
+    for k, (i, _) in enumerate(rows):
+        group, stack = set(), [k]
+        while stack:
+            j = stack.pop()
+            if j not in group:
+                group.add(j)
+                stack += links.get(j, ())
+        name = None if i is None else min(rows[j][0] for j in group)
+        out.append((i, len(links.get(k, ())), name, name == i))
+    return sorted(out, key=repr)
 
 
 def test_ngram_join(spark, monkeypatch):
     rows = [(100 * k + v, " ".join([*words(k)[: 60 - v], *(f"t{k}.{v}.{x}" for x in range(v))])) for k in range(6) for v in range(4)]
     rows += [(900 + i, " ".join(words(0))) for i in range(20)] + [(950, "  ".join(words(1)).upper()), (960, "a b"), (961, "A  b"), (962, "a b c"), (970, None), (971, " \n"), (None, " ".join(words(0)))]
     rows += [(980, "x" * 5000 + " y z"), (981, "x" * 5000 + " y  z"), (982, "big " * 40_000)]
+    rows += [(900, " ".join(words(2))), (900, " ".join(words(0))), (990, "one of a kind"), (990, "one of a kind")]  # ids and rows that repeat
+    long = words(9, 200)  # many distinct near copies, each a little further along, so that not all of them link
+    rows += [(2000 + v, " ".join([*long[v : 150 + v], f"end{v}"])) for v in range(40)]
     monkeypatch.setattr(ngram_join, "BLOCK", 4)  # so that bundles need several tiles
-    got = {r["doc_id"]: r for r in ngram_join.near_duplicate_texts(spark.createDataFrame(rows, DOC)).collect()}
-    links = brute_join(rows)
-    assert set(got) == {i for i, _ in rows}
-    for i, r in got.items():
-        group, stack = set(), [i]
-        while stack:
-            j = stack.pop()
-            if j not in group:
-                group.add(j)
-                stack += links.get(j, ())
-        assert (r["n_links"], r["component_id"]) == (len(links.get(i, ())), None if i is None else min(group)), i
-        assert r["kept"] == (r["component_id"] == i)
+    found = ngram_join.near_duplicate_texts(spark.createDataFrame(rows, DOC)).select("doc_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_join(rows)
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
@@ -178,7 +282,10 @@ def test_forest_recall(similarity):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    shift = ngram_join.BITS * (ngram_join.DEPTH - ngram_join.prefix_length(0.8, 0.999))
+    lengths = ngram_join.prefix_lengths(0.8, 0.9997)
+    shift = np.array([ngram_join.BITS * (ngram_join.DEPTH - x) for x in lengths])
+    assert min(lengths) < ngram_join.DEPTH and math.prod(1 - 0.8**x for x in lengths) <= 0.0003
+    assert ngram_join.prefix_lengths(0.95, 0.9997) == [ngram_join.DEPTH] * ngram_join.TREES  # nothing to shorten
     met = wrong = 0
     for _ in range(300):
         both = rng.integers(0, 2**63, 400, dtype=np.uint64)
