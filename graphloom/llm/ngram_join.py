@@ -1,30 +1,35 @@
-"""Near-duplicate texts by an n-gram Jaccard join over banded MinHash.
-
-Texts with the same words are one class. Each class gets a signature of min-hashes, cut into one label for each tree: a label
-packs its hashes most significant first, so a shorter prefix is a right shift. One fixed prefix length is used for all texts,
-the longest at which a pair at the threshold meets in some tree with the target probability: this is banded MinHash, and not a
-forest that shortens each text's prefixes by what it has matched. All pairs above the threshold are wanted here, not the
-nearest few, so the recall must hold for every pair and no text may stop at a longer prefix. Classes that meet are bundled (connected components over star edges, never pairs), and every pair of a
-bundle is then verified exactly on shingle sets. Large bundles are dealt out as tiles of two blocks, so no task holds one
-whole. A task returns sums of links and a spanning forest, never the pairs.
+"""Near-duplicate texts by an n-gram Jaccard join over a MinHash LSH forest.
+
+Texts with the same words are one class. Each class gets a signature of min-hashes, cut into one label for each tree of the
+forest: a label packs its hashes most significant first, so a shorter prefix is a right shift, and texts that share a prefix are
+a node of the tree's prefix trie. Every tree starts at its longest prefix; prefixes are shortened, one tree and one hash at a
+time, until a pair at the threshold meets in some tree with the target recall (``prefix_lengths``). The order of shortening is
+fixed and not led by what a text has matched: a text that has met many others has no less need to meet the rest, since all
+pairs are wanted, and stopping where prefixes match would lose the very pairs that match in few trees.
+
+Classes that meet are bundled (connected components over star edges, never pairs). The members of a large bundle are sorted by
+label and cut into blocks; two blocks are a tile if members of both share a node, and only tiles are compared, exactly, on
+shingle sets. A task returns sums of links and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components, min_labels, shuffle_width, sorted_groups
+from .shared import Workspace, components, min_labels, shuffle_width, sorted_groups, sums_before
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, BITS = 16, 6, 10
-#: Texts of a block of a tile.
-BLOCK = 256
+#: A label of 5 hashes of 12 bits; the prefixes in use, of 4 or more, are long enough to keep 10**11 texts apart.
+TREES, DEPTH, BITS = 16, 5, 12
+#: A block of a tile has so many texts at most, fewer where texts have many shingles: BLOCK texts of SHINGLES each fill it.
+BLOCK, SHINGLES = 256, 1000
 #: Longer words are hashed before the text is; texts are hashed in pieces of so many bytes.
 LONG_WORD, PIECE = 1024, 1 << 20
 
@@ -97,12 +102,12 @@ def forest_labels(shingles: np.ndarray) -> np.ndarray:
     return digits @ (1 << (BITS * np.arange(DEPTH, dtype=np.int64)[::-1]))
 
 
-def prefix_length(threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in one of the trees with probability ``recall``."""
-    for length in range(DEPTH, 1, -1):
-        if 1 - (1 - threshold**length) ** TREES >= recall:
-            return length
-    return 1
+def prefix_lengths(threshold: float, recall: float) -> list[int]:
+    """A prefix length for each tree: from DEPTH down, one tree at a time, until pairs at the threshold meet with ``recall``."""
+    lengths = [DEPTH] * TREES
+    while math.prod(1 - threshold**x for x in lengths) > 1 - recall and max(lengths) > 1:
+        lengths[lengths.index(max(lengths))] -= 1
+    return lengths
 
 
 def _signatures(batches):
@@ -116,8 +121,8 @@ def _signatures(batches):
             sizes.append(len(shingles))
             labels.append(forest_labels(shingles) if words else np.zeros(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(classes, pa.binary()), pa.array(labels, pa.list_(pa.int64()))],
-            names=["doc_id", "text_key", "class", "labels"],
+            [batch.column(0), batch.column(1), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "class", "size", "labels"],
         )
 
 
@@ -149,11 +154,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float):
     def run(batches):
         for (_, left, right), table in sorted_groups(batches, ["bundle", "left", "right"]):
-            _, first = np.unique(table.column("rep").to_numpy(), return_index=True)  # repeated rows count once
+            _, first = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows count once
             table = table.take(pa.array(first))
             if table.num_rows < 2:
                 continue
-            rep, copies, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
+            node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
             sets = [shingle_hashes(words_of(x)) for x in table.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets])
             both = shared_counts(sets)
@@ -162,85 +167,87 @@ def _verify(threshold: float):
                 linked &= block[:, None] != block[None, :]
             i, j = np.nonzero(linked)
             if len(i):
-                links = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
+                links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
                 seen = np.flatnonzero(links)
-                root = min_labels(len(rep), i, j)
+                root = min_labels(len(node), i, j)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[seen]), pa.array(rep[root[seen]]), pa.array(links[seen].astype(np.int64))], names=["a", "b", "links"]
+                    [pa.array(node[seen]), pa.array(node[root[seen]]), pa.array(links[seen].astype(np.int64))], names=["a", "b", "links"]
                 )
 
     return run
 
 
-def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tiles(work: Workspace, members: DataFrame, shared: DataFrame) -> DataFrame:
+    """The members (node, doc_id, text_key, copies, bundle), once for each tile (left, right) that their block is in.
+
+    A bundle that fits one block is one tile. A larger one is sorted by label and cut into blocks; its tiles are the pairs
+    of blocks with a common node of a trie in ``shared``.
+    """
+    full = BLOCK * SHINGLES
+    weights = members.groupBy("bundle").agg(F.sum("weight").alias("total"))
+    large = work.save(weights.where(F.col("total") > full).select("bundle", F.lit(True).alias("large")), "large")
+    members = work.save(members.join(large, "bundle", "left"), "weighed")
+    columns = ("node", "doc_id", "text_key", "copies", "bundle")
+    small = members.where("large is null").select(*columns, *(F.lit(0).cast("long").alias(c) for c in ("block", "left", "right")))
+    order = [F.col("bundle"), F.col("place"), F.col("node")]
+    sorted_members = sums_before(work, members.where("large"), order, {"before": "weight"}, "sorted")
+    blocks = work.save(sorted_members.select(*columns, F.floor(F.col("before") / full).alias("block")), "blocks")
+    touched = shared.join(blocks.select("node", "bundle", "block"), "node").select("tree", "prefix", "bundle", "block").distinct()
+    touched = work.save(touched, "touched")
+    other = touched.select("tree", "prefix", F.col("block").alias("right"))
+    pairs = touched.join(other, ["tree", "prefix"]).where("block <= right").select("bundle", F.col("block").alias("left"), "right").distinct()
+    sides = work.save(pairs.withColumn("block", F.explode(F.array_distinct(F.array("left", "right")))), "sides")
+    tiled = blocks.join(sides, ["bundle", "block"]).select(*columns, "block", "left", "right")
+    return work.save(small.unionByName(tiled), "tiles")
+
+
+def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9997, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links between texts whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``.
 
-    Words are lower-case and stand between white space. Returns a row for each id: doc_id, n_links long (other documents
+    Words are lower-case and stand between white space. Returns a row for each row: doc_id, n_links long (other documents
     linked directly), component_id long (smallest id reachable, itself included), kept boolean (doc_id = component_id),
     n_copies long (documents with the same words, itself included).
 
     Nulls and odd rows: texts without words (null or blank) link with nothing and are kept; texts of one to four words are
-    one shingle. Rows with one id count once, by the text whose hash is smallest; a null id is one row, kept, without links.
-    Whole texts are read, however long. An empty table gives an empty result. Other columns are ignored.
+    one shingle. Every row is a document of its own, also where rows share an id; a row with a null id has no links and is
+    kept. Whole texts are read, however long. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     width = shuffle_width(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    signed = own.select("doc_id", "text_key", "text").mapInArrow(_signatures, "doc_id long, text_key long, class binary, labels array<long>")
+    signed = own.select("doc_id", "text_key", "text").mapInArrow(_signatures, "doc_id long, text_key long, class binary, size long, labels array<long>")
     signed = work.save(signed, "signed")
-    ids = signed.groupBy("doc_id").agg(F.min(F.struct("class", "text_key")).alias("x")).select("doc_id", "x.*")
-    ids = work.save(ids, "ids")
-    real = ids.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
-    classes = work.save(
-        real.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("x"), F.count("*").alias("copies")).select(
-            "class", F.col("x.doc_id").alias("rep"), "x.text_key", "copies"
-        ),
-        "classes",
-    )
-    labels = signed.join(classes.select(F.col("rep").alias("doc_id"), "text_key", F.col("class").alias("_c")).hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi")
-    shift = BITS * (DEPTH - prefix_length(threshold, recall))
-    nodes = work.save(
-        labels.select(F.col("doc_id").alias("rep"), F.posexplode("labels").alias("tree", "label")).select("rep", "tree", F.shiftright("label", shift).alias("prefix")),
-        "nodes",
-    )
-    stars = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("most > b").drop("most")
-    met = nodes.join(stars.hint("merge"), ["tree", "prefix"]).select(F.col("rep").alias("a"), "b")
-    bundles = work.save(components(work, met, "bundles"), "bundles").withColumnRenamed("node", "rep").withColumnRenamed("component", "bundle")
-    work.drop("signed", "nodes")
-    blocks = bundles.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = (
-        classes.select("rep", "text_key", "copies")
-        .join(bundles, "rep")
-        .join(blocks, "bundle")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    )
-    members = work.save(members, "members")
-    texts = own.join(members.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "text_key"]).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    tiles = texts.select(
-        "bundle",
-        F.least("block", "other").alias("left"),
-        F.greatest("block", "other").alias("right"),
-        F.col("doc_id").alias("rep"),
-        "block",
-        "copies",
-        "text",
-    )
+    real_class = F.when(F.col("doc_id").isNotNull(), F.col("class"))
+    first = F.min(F.struct("doc_id", "text_key", "size", "labels"))  # size and labels are the class's own
+    classes = signed.where(real_class.isNotNull()).groupBy("class").agg(first.alias("x"), F.count("*").alias("copies"))
+    classes = work.save(classes.select("class", "x.*", "copies").withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a prefix is the label without its last hashes
+    cut = F.lit([1 << BITS * (DEPTH - x) for x in prefix_lengths(threshold, recall)])
+    prefixes = F.zip_with("labels", cut, lambda label, c: label - F.pmod(label, c))
+    nodes = work.save(classes.select("node", F.posexplode(prefixes).alias("tree", "prefix")), "nodes")
+    stars = nodes.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("most > least").drop("most")
+    shared = work.save(nodes.join(work.save(stars, "stars").hint("merge"), ["tree", "prefix"]), "shared")
+    bundles = components(work, shared.select(F.col("node").alias("a"), F.col("least").alias("b")), "bundles")
+    bundles = work.save(bundles.withColumnRenamed("component", "bundle"), "bundles")
+    work.drop("nodes", "stars")
+    members = classes.select("node", "doc_id", "text_key", "copies", (F.col("size") + SHINGLES).alias("weight"), F.col("labels")[0].alias("place"))
+    members = _tiles(work, members.join(bundles, "node"), shared)
+    texts = own.join(members.hint("shuffle_hash"), ["doc_id", "text_key"]).select("bundle", "left", "right", "node", "block", "copies", "text")
     found = work.save(
-        tiles.repartition(width, "bundle", "left", "right").sortWithinPartitions("bundle", "left", "right").mapInArrow(_verify(threshold), "a long, b long, links long"),
+        texts.repartition(width, "bundle", "left", "right").sortWithinPartitions("bundle", "left", "right").mapInArrow(_verify(threshold), "a long, b long, links long"),
         "found",
     )
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = components(work, found.select("a", "b"), "parts").withColumnRenamed("node", "rep")
-    of_class = work.save(
-        classes.select("class", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left").where("copies > 1 or component is not null"), "of_class"
-    )
-    real_class = F.when(F.col("doc_id").isNotNull(), F.col("class"))
-    root = F.coalesce("component", "rep", "doc_id")
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    parts = work.save(components(work, found.select("a", "b"), "parts"), "parts")
+    names = parts.join(classes.select("node", F.col("doc_id").alias("least")), "node").groupBy("component").agg(F.min("least").alias("name"))
+    parts = parts.join(work.save(names, "names"), "component")
+    of_class = classes.select("class", "node", F.col("doc_id").alias("least"), "copies").join(links, "node", "left").join(parts, "node", "left")
+    of_class = work.save(of_class.where("copies > 1 or component is not null").drop("node", "component"), "of_class")
+    work.drop("classes", "shared", "bundles", "large", "weighed", "sorted", "blocks", "touched", "sides", "tiles", "found", "parts", "names")
+    root = F.coalesce("name", "least", "doc_id")
     return (
-        ids.select("doc_id", real_class.alias("class"))
+        signed.select("doc_id", real_class.alias("class"))
         .join(of_class, "class", "left")
         .select(
             "doc_id",
