@@ -1,15 +1,17 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pieces (matches of the pre-tokenising pattern) of many documents are laid out as one array of byte tokens. An
-inverted index leads from the rank of each neighbouring token pair to its positions in the pieces. Ranks are taken in order;
-each applies to all its positions at once, and only the pairs left and right of a merge are looked up again and filed under
-their ranks. A piece in which a merge uncovers a smaller rank than the current one would need steps out of order; such pieces,
-which are few, are replayed one by one. Every piece is replayed once for each worker, whatever its number of occurrences.
+Texts are cut into pieces (matches of the pre-tokenising pattern), and a chunk of documents holds each of its pieces once, with
+the places where it stands as numbers. The distinct pieces of the whole corpus are then replayed once each: they are laid out as
+arrays of byte tokens, and an inverted index leads from the rank of each neighbouring token pair to its positions in the pieces.
+Ranks are taken in order; each applies to all its positions at once, and only the pairs left and right of a merge are looked up
+again and filed under their ranks. A piece in which a merge uncovers a smaller rank than the current one would need steps out of
+order; such pieces, which are few, are replayed one by one. Last, every chunk gets the ids of its own pieces back.
 """
 
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import heapq
 
@@ -17,11 +19,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Pieces that a worker keeps, new pieces of one replay, and occurrences that wait for it.
-KEPT_PIECES, NEW_PIECES, WAITING = 400_000, 150_000, 3_000_000
+from .shared import Workspace
+
+#: A chunk ends with the document that gives it so many pieces, or so many distinct ones; a replay takes so many pieces at once.
+CHUNK_PIECES, CHUNK_DISTINCT, REPLAYED = 2_000_000, 60_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,56 +161,68 @@ class Merges:
         return ids, counts
 
 
-class Encoder:
-    """Encodes texts as they come; keeps the ids of the pieces it has met in flat arrays."""
-
-    def __init__(self, merges: Merges, pattern: str):
-        # White space as the property names it, which leaves out the information separators
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.merges = merges
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.new: list[str] = []
+_loaded: dict[str, Merges] = {}
 
-    def pieces(self, text: str) -> np.ndarray:
-        number, new, known = self.number, self.new, len(self.start)
-        found = self.find(text)
-        out = np.empty(len(found), dtype=np.int32)
-        for k, piece in enumerate(found):
-            v = number.get(piece)
-            if v is None:
-                v = number[piece] = known + len(new)
-                new.append(piece)
-            out[k] = v
-        return out
 
-    def learn(self) -> None:
-        if self.new:
-            ids, counts = self.merges.replay([p.encode() for p in self.new])
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-            self.size = np.concatenate([self.size, counts])
-            self.ids = np.concatenate([self.ids, ids])
-            self.new = []
+def _merges(path: str) -> Merges:
+    if path not in _loaded:
+        _loaded[path] = Merges(read_ranks(path))
+    return _loaded[path]
 
-    def encoded(self, pieces: np.ndarray) -> np.ndarray:
-        """Ids of a text from the numbers of its pieces, as little-endian unsigned 32-bit integers."""
-        sizes = self.size[pieces]
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[pieces] - (ends - sizes), sizes)
-        return self.ids[places].astype("<u4")
 
+def _chunks(pattern: str, id_type: pa.DataType):
+    """Chunks of (id, text): ids, pieces of each text, and for all texts one after the other the numbers of their pieces."""
+    # White space as the property names it, which leaves out the information separators
+    find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
+    def run(batches):
+        first, made = TaskContext.get().partitionId() << 33, 0
+
+        def fresh():
+            number = collections.defaultdict()
+            number.default_factory = number.__len__  # a new piece gets the next number
+            return number, [], [], 0
+
+        def chunk(number, ids, held):
+            numbers = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            wide = len(number) > 1 << 16
+            columns = [
+                pa.array([first + made], pa.int64()),
+                pa.array([ids], pa.list_(id_type)),
+                pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
+                pa.array([wide]),
+                pa.array([numbers.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                pa.array([list(number)], pa.list_(pa.string())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "wide", "numbers", "pieces"])
+
+        number, ids, held, total = fresh()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = find(text.as_py() or "")
+                ids.append(doc_id)
+                held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                total += len(found)
+                if total >= CHUNK_PIECES or len(number) >= CHUNK_DISTINCT or len(held) >= CHUNK_DISTINCT:
+                    yield chunk(number, ids, held)
+                    made += 1
+                    number, ids, held, total = fresh()
+        if held:
+            yield chunk(number, ids, held)
+
+    return run
+
+
+def _replayed(path: str):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, REPLAYED):
+                pieces = batch.column(0).slice(at, REPLAYED)
+                ids, counts = _merges(path).replay([p.encode() for p in pieces.to_pylist()])
+                codes = [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([pieces, pa.array(codes, pa.binary())], names=["piece", "codes"])
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    key = (path, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(Merges(read_ranks(path)), pattern)
-    return _encoders[key]
+    return run
 
 
 def decode(ids: np.ndarray, bytes_of: dict[int, bytes]) -> bytes:
@@ -228,52 +246,48 @@ def encode_texts(
     table gives an empty result. Other columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
-    schema += "".join(f", {name} {kinds[name][0]}" for name in keep)
-
-    def answer(encoder: Encoder, ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
-        columns: dict[str, list] = {"n": [], "of_ids": [], "of_bytes": [], "ids": [], "decoded": []}
-        for pieces in held:
-            own = encoder.encoded(pieces)
-            back = decode(own, encoder.merges.bytes_of)
-            columns["n"].append(len(own))
-            columns["of_ids"].append(hashlib.sha256(own.tobytes()).hexdigest())
-            columns["of_bytes"].append(hashlib.sha256(back).hexdigest())
+    work = Workspace(docs.sparkSession, "bpe")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = own.schema["doc_id"].dataType
+    schema = f"chunk long, ids array<{kind.simpleString()}>, sizes array<long>, wide boolean, numbers binary, pieces array<string>"
+    chunks = work.save(own.mapInArrow(_chunks(pattern, to_arrow_type(kind)), schema), "chunks")
+    # a piece stands once in a chunk, so that no piece is more than a small part of the rows, however common it is
+    places = chunks.select("chunk", F.posexplode("pieces").alias("number", "piece"))
+    distinct = places.select("piece").distinct()
+    codes = work.save(distinct.mapInArrow(_replayed(path), "piece string, codes binary"), "codes")
+    found = places.join(codes.hint("shuffle_hash"), "piece").select(F.col("chunk").alias("of_chunk"), "number", "codes")
+
+    types = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
+    out_types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), *(types[name] for name in keep)]
+    out_names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
+
+    def finish(chunk: pa.Table, pieces: pa.Table) -> pa.Table:
+        """The documents of one chunk, from the codes of its pieces."""
+        bytes_of = _merges(path).bytes_of
+        codes = [np.frombuffer(x, "<u4") for x in pieces.sort_by("number").column("codes").to_pylist()]
+        back = [decode(x, bytes_of) for x in codes]
+        size = np.array([len(x) for x in codes], dtype=np.int64)
+        flat, start = np.concatenate(codes) if codes else np.zeros(0, "<u4"), np.cumsum(size) - size
+        row = chunk.to_pylist()[0]
+        numbers = np.frombuffer(row["numbers"], "<u4" if row["wide"] else "<u2").astype(np.int64)
+        columns: dict[str, list] = {name: [] for name in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
+        for end, n in zip(np.cumsum(row["sizes"]).tolist(), row["sizes"]):
+            mine = numbers[end - n : end]
+            ends = np.cumsum(size[mine])
+            total = int(ends[-1]) if n else 0
+            ids = flat[np.arange(total) + np.repeat(start[mine] - ends + size[mine], size[mine])].astype("<u4")
+            text = b"".join([back[k] for k in mine.tolist()])
+            columns["n_tokens"].append(total)
+            columns["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
+            columns["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
             if "ids" in keep:
-                columns["ids"].append(own.astype(np.int32))
+                columns["ids"].append(ids.astype(np.int32))
             if "decoded" in keep:
-                columns["decoded"].append(back.decode())
-        arrays = [ids, pa.array(columns["n"], pa.int64()), pa.array(columns["of_ids"], pa.string()), pa.array(columns["of_bytes"], pa.string())]
-        arrays += [pa.array(columns[name], kinds[name][1]) for name in keep]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def run(batches):
-        encoder = _encoder(path, pattern)
-        waiting: list[tuple[pa.Array, list[np.ndarray]]] = []
-        total = 0
-
-        def flush():
-            encoder.learn()
-            for ids, held in waiting:
-                yield answer(encoder, ids, held)
-            waiting.clear()
-            if len(encoder.start) > KEPT_PIECES:
-                encoder.forget()
-
-        for batch in batches:
-            at, held = 0, []
-            for i in range(batch.num_rows):
-                held.append(encoder.pieces(batch.column(1)[i].as_py() or ""))
-                total += len(held[-1])
-                if len(held) == 512 or i == batch.num_rows - 1 or total >= WAITING:
-                    waiting.append((batch.column(0).slice(at, i + 1 - at), held))
-                    at, held = i + 1, []
-                if total >= WAITING or len(encoder.new) >= NEW_PIECES and not held:
-                    yield from flush()
-                    total = 0
-        yield from flush()
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+                columns["decoded"].append(text.decode())
+        values = [row["ids"], *(columns[name] for name in out_names[1:])]
+        return pa.table([pa.array(v, t) for v, t in zip(values, out_types)], names=out_names)
+
+    extra = "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[name] for name in keep)
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
+    chunks = chunks.select("chunk", "ids", "sizes", "wide", "numbers")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(finish, schema)
