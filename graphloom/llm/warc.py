@@ -1,10 +1,14 @@
 """WARC archives with a two-level capture index.
 
-Archives are plain ``.warc.gz`` files with one gzip member for each record, written by Spark's own text writer, so they go to
-any file system that Spark knows. The index has a line for each record under its reversed-host URL key. Lines are sorted by
-range, packed into compressed blocks, and each block's first key goes into a sparse directory. A look-up searches the
-partition bounds and the directory in binary, decompresses only the blocks that can hold the key, and reads the record's byte
-range.
+Archives are gzip files with one member for each record, written by Spark's own text writer, so they go to any file system that
+Spark knows; its file names end in ``.txt``, but any WARC reader opens them. An archive ends with the record that fills
+ARCHIVE_BYTES, whatever the records' sizes. The index has a line for each record under its reversed-host URL key. Lines are
+sorted by range and packed into compressed blocks of BLOCK_LINES; the sparse directory, a table of its own, has each block's
+first and last key. A look-up searches the bounds of the directory's parts in binary, runs the keys of a part and its directory
+past each other in order, decompresses only the blocks that can hold a key, and searches those in binary.
+
+Spark has no reader of byte ranges: an archive with a wanted record is read whole and cut to the ranges there. That is why
+archives are small.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -26,9 +31,9 @@ from .shared import Workspace, shuffle_width
 
 #: Smallest payload that a revisit record stands for.
 REVISIT_BYTES = 100
-#: Records of an archive file, at most, and index lines of a block.
-ARCHIVE_RECORDS, BLOCK_LINES = 20_000, 2048
-#: So many revisits are joined by broadcast; more by shuffle.
+#: Compressed bytes after which an archive ends, and index lines of a block.
+ARCHIVE_BYTES, BLOCK_LINES = 8 << 20, 2048
+#: So many revisits, of about 100 bytes each, are joined by broadcast, so that payloads stay where they are; more by shuffle.
 BROADCAST_REVISITS = 200_000
 CAPTURE_DATE = "1970-01-01T00:00:00Z"
 #: gzip level; archives are written once and read seldom.
@@ -136,29 +141,37 @@ def write_archives(pages: DataFrame, path: str, work: Workspace, id_col: str = "
         revisits = F.broadcast(revisits)
 
     def run(batches):
+        records, size = [], 0
         for batch in batches:
-            records, size = [], 0
             for i in range(batch.num_rows):
                 row = {n: batch.column(c)[i].as_py() for c, n in enumerate(batch.schema.names)}
-                records.append(_member(make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))[:-1])
+                records.append(_member(make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])))
                 size += len(records[-1])
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
+                if size >= ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-1]], pa.binary())], names=["archive"])
                     records, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
+        if records:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-1]], pa.binary())], names=["archive"])
 
-    records = page.join(revisits, ["page_id", "digest"], "left").mapInArrow(run, "record binary")
-    # The writer ends each line with a zero byte, which is the last byte of each member.
-    writer = records.select(F.col("record").cast("string").alias("value")).write
-    writer.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    archives = page.join(revisits, ["page_id", "digest"], "left").mapInArrow(run, "archive binary")
+    # One row is one file. The writer ends it with a zero byte, which is the last byte of the last member.
+    writer = archives.select(F.col("archive").cast("string").alias("value")).write
+    writer.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def build_index(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
-    """Reads the archives of ``path`` and returns the index: part, block, first_key, last_key, lines, data (compressed)."""
+class Index(NamedTuple):
+    """``blocks``: block, data (compressed lines). ``directory``: part, block, first_key, last_key, lines."""
+
+    blocks: DataFrame
+    directory: DataFrame
+
+
+def build_index(spark: SparkSession, path: str, work: Workspace) -> Index:
+    """Reads the archives of ``path`` and writes their index."""
 
     def scan(batches):
         for batch in batches:
@@ -172,33 +185,35 @@ def build_index(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
 
     lines = work.save(_archives(spark, path).mapInArrow(scan, "key string, path string, offset long, length long, line string"), "lines")
 
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())])
+
     def pack(batches):
         held: list[tuple] = []
+        made = 0
 
         def block(rows):
             data = zlib.compress(json.dumps([r[1:] for r in rows]).encode())
-            return pa.RecordBatch.from_pydict(
-                {"part": [rows[0][0]], "first_key": [rows[0][1]], "last_key": [rows[-1][1]], "lines": [len(rows)], "data": [data]},
-                schema=pa.schema([("part", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())]),
-            )
+            values = {"part": rows[0][0], "block": rows[0][0] << 32 | made, "first_key": rows[0][1], "last_key": rows[-1][1], "lines": len(rows), "data": data}
+            return pa.RecordBatch.from_pylist([values], schema=schema)
 
         for batch in batches:
             held += zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             while len(held) >= BLOCK_LINES:
                 yield block(held[:BLOCK_LINES])
-                held = held[BLOCK_LINES:]
+                held, made = held[BLOCK_LINES:], made + 1
         if held:
             yield block(held)
 
     ranges = lines.repartitionByRange(shuffle_width(spark), "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
     ranges = ranges.select(F.spark_partition_id().alias("part"), "key", "path", "offset", "length", "line")
-    return work.save(ranges.mapInArrow(pack, "part int, first_key string, last_key string, lines int, data binary"), "index")
+    packed = work.save(ranges.mapInArrow(pack, "part int, block long, first_key string, last_key string, lines int, data binary"), "blocks")
+    return Index(packed.select("block", "data"), work.save(packed.drop("data"), "directory"))
 
 
-def look_up(index: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+def look_up(index: Index, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """Captures (key, path, offset, length, line) of each distinct URL key of ``urls``; null is the key of records without URL."""
-    # first level: a row for each partition of the index, as few as there are shuffle partitions
-    bounds = [tuple(x) for x in index.groupBy("part").agg(F.min("first_key"), F.max("last_key")).collect()]
+    # a row for each part of the directory, as few as there are shuffle partitions
+    bounds = [tuple(x) for x in index.directory.groupBy("part").agg(F.min("first_key"), F.max("last_key")).collect()]
     bounds.sort(key=lambda x: (x[1], x[2]))
     firsts, lasts = [b[1] for b in bounds], [b[2] for b in bounds]
 
@@ -209,20 +224,43 @@ def look_up(index: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())], names=["part", "key"])
 
     wanted = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(locate, "part int, key string").distinct()
+    entries = index.directory.select("part", F.col("first_key").alias("key"), "block", "last_key").unionByName(wanted, allowMissingColumns=True)
+    # entries of a block (block not null) come before the keys that are equal to its first key
+    entries = entries.repartition(shuffle_width(urls.sparkSession), "part").sortWithinPartitions("part", "key", F.col("block").asc_nulls_last())
 
-    def search(keys: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values(["first_key", "last_key"])
-        directory, ends, rows = blocks["first_key"].tolist(), blocks["last_key"].tolist(), []
-        opened: tuple[int, list, list] | None = None
-        for key in sorted(keys["key"]):
-            for b in range(bisect_left(ends, key), bisect_right(directory, key)):
-                if opened is None or opened[0] != b:
-                    lines = json.loads(zlib.decompress(blocks["data"].iloc[b]))
-                    opened = (b, [x[0] for x in lines], lines)
-                rows += opened[2][bisect_left(opened[1], key) : bisect_right(opened[1], key)]
-        return pd.DataFrame(rows, columns=["key", "path", "offset", "length", "line"])
-
-    return wanted.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(search, "key string, path string, offset long, length long, line string")
+    def passing(batches):
+        """(block, key) for every key, from one walk; only blocks that can still hold a key are kept."""
+        current, opened = None, []
+        for batch in batches:
+            found = []
+            for part, key, block, last_key in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if part != current:
+                    current, opened = part, []
+                if block is not None:
+                    if opened and opened[-1][1] < key:
+                        opened = []
+                    opened.append((block, last_key))
+                else:
+                    if opened and opened[0][1] < key:
+                        opened = [x for x in opened if x[1] >= key]
+                    found += [(b, key) for b, _ in opened]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["block", "key"])
+
+    keys = entries.mapInArrow(passing, "block long, key string").groupBy("block").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # of one block: bounded
+
+    def search(batches):
+        names = ["key", "path", "offset", "length", "line"]
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        for batch in batches:
+            for data, wanted_keys in zip(batch.column(0), batch.column(1).to_pylist()):
+                lines = json.loads(zlib.decompress(data.as_buffer()))
+                sorted_keys, rows = [x[0] for x in lines], []
+                for key in wanted_keys:
+                    rows += lines[bisect_left(sorted_keys, key) : bisect_right(sorted_keys, key)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=names)
+
+    held = index.blocks.join(keys, "block").select("data", "keys")
+    return held.mapInArrow(search, "key string, path string, offset long, length long, line string")
 
 
 def read_captures(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:

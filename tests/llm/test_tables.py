@@ -19,7 +19,11 @@ from .test_texts import base_tokenizer
 PAGES = [(5, "http://a.example.com/x?y=1", "<p>" + "é" * 200), (3, "http://b.example.com/", "<p>" + "é" * 200), (7, None, "<p>" + "é" * 200), (8, "http://a.example.com/x?y=1", "short"), (9, "no url at all", "short"), (1, "http://a.example.com/z", None), (2, "http://ü.example.com/ä b", ""), (None, "http://n.example.com/", "<p>" + "é" * 200), (11, "http://[bad", "x" * 300_000), (11, "http://[bad", "x" * 300_000), (12, "http://q.example.org:8080/", "\0\r\n\r\nWARC/1.1\r\n" * 20)]
 
 
-def test_archive_round_trip(spark):
+@pytest.mark.parametrize(("broadcast", "archive_bytes"), [(200_000, 8 << 20), (0, 300)])
+def test_archive_round_trip(spark, monkeypatch, broadcast, archive_bytes):
+    """Revisits by either join, archives of many records or of few."""
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", broadcast)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", archive_bytes)
     got = warc.archive_pages(spark.createDataFrame(PAGES, "page_id long, url string, html string")).collect()
     expected = []
     for i, _, html in PAGES:
@@ -40,9 +44,26 @@ def test_index_and_files(spark, tmp_path, monkeypatch):
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "archives").glob("part-*"))
     assert whole.count(b"WARC/1.1\r\n") == 100
     index = warc.build_index(spark, path, work)
-    assert index.agg(F.max("lines")).first()[0] <= 3
+    assert index.directory.agg(F.max("lines")).first()[0] <= 3 and "data" not in index.directory.columns
     wanted = spark.createDataFrame([("http://h3.example.com/p10",), ("http://nowhere/",)], "url string")
     assert [r["page_id"] for r in warc.read_captures(spark, path, warc.look_up(index, wanted)).collect()] == [10]
+
+
+def test_look_up_of_a_url_in_very_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, "http://same.example.com/" if i % 3 else f"http://h{i}.example.com/", f"<p>{i}") for i in range(300)], "page_id long, url string, html string")
+    work = Workspace(spark, "test")
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path, work)
+    assert all(p.stat().st_size < 3000 for p in (tmp_path / "archives").glob("part-*"))  # bytes bound an archive
+    index = warc.build_index(spark, path, work)
+    wanted = spark.createDataFrame([("http://same.example.com/",), ("http://h3.example.com/",), (None,)], "url string")
+    found = sorted(r["page_id"] for r in warc.read_captures(spark, path, warc.look_up(index, wanted)).collect())
+    assert found == sorted([i for i in range(300) if i % 3] + [3])
+
+
+def test_url_key():
     assert warc.url_key("http://a.example.com/x?y") == "com,example,a)/x?y"
 
 
