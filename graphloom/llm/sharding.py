@@ -10,12 +10,16 @@ only, never on rows: the table that says which ranks of a segment go where has a
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, shuffle_width, sums_before
+
+#: Equal rows of which one task makes slots.
+EQUAL_ROWS = 100_000
 
 
 def ring_preferences(shards: int, virtual_nodes: int, segments: int) -> list[list[int]]:
@@ -92,29 +96,32 @@ def shard_rows(
     bits = segments.bit_length() - 1
     if 1 << bits != segments:
         raise ValueError("segments must be a power of two")
-    rows = work.save(rows.withColumn("segment", F.shiftrightunsigned("place", 64 - bits).cast("int")), "rows")
+    rows = rows.withColumn("segment", F.shiftrightunsigned("place", 64 - bits).cast("int"))
+    order = [F.col(c) for c in ("segment", "place", "doc_id", "text_crc32", "size")]
+    rows = sums_before(work, work.save(rows, "rows"), order, {"before": "rows"}, "ranked")
     counts = [0] * segments
-    for x in rows.groupBy("segment").agg(F.sum("rows").alias("n")).collect():  # at most one row for each segment
+    for x in work.spark.read.parquet(work.path("rows")).groupBy("segment").agg(F.sum("rows").alias("n")).collect():  # a row for each segment
         counts[x["segment"]] = x["n"]
     n = sum(counts)
     bounds = [max(n // shards + (s < n % shards), math.ceil(load * n / shards) if load > 1 else 0) for s in range(shards)]
+    starts = [0, *itertools.accumulate(counts)]
     flows = bounded_flows(counts, ring_preferences(shards, virtual_nodes, segments), bounds)
+    flows = [(segment, starts[segment] + first, starts[segment] + end, shard, slot) for segment, first, end, shard, slot in flows]
     dealt = spark.createDataFrame(flows, "segment int, first long, end long, shard int, slot long")
-    before = F.sum("rows").over(
-        Window.partitionBy("segment").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("rows")
-    ranked = rows.withColumn("before", before)
-    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("rows") - 1)))
-    return (
-        ranked.join(F.broadcast(dealt), "segment")  # bounded by the ring: its segments and the shards' bounds
-        .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("rows").alias("law"),
-            "shard",
-            (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    ranges = rows.join(F.broadcast(dealt), "segment")  # bounded by the ring: its segments and the shards' bounds
+    ranges = ranges.withColumns({"from": F.greatest("before", "first"), "to": F.least(F.col("before") + F.col("rows"), "end")})
+    ranges = ranges.where("from < to").select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - F.col("first")).alias("shift"), "from", "to")
+    # very many equal rows are cut into pieces that other tasks take over
+    steps = F.sequence(F.col("from"), F.col("to") - 1, F.lit(EQUAL_ROWS))
+    many = ranges.where(F.col("to") - F.col("from") > EQUAL_ROWS).withColumn("from", F.explode(steps))
+    many = many.withColumn("to", F.least("to", F.col("from") + EQUAL_ROWS)).repartition(shuffle_width(spark), "from")
+    pieces = ranges.where(F.col("to") - F.col("from") <= EQUAL_ROWS).unionByName(many)
+    return pieces.withColumn("rank", F.explode(F.sequence(F.col("from"), F.col("to") - 1))).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        (F.col("rank") + F.col("shift")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
