@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, sums_before
 
 #: What words are: runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the key; 15 fit a long.
 KEY_DIGITS = 15
-#: Equal ranges of keys: sums are kept for each source and range.
-BUCKETS = 4096
+#: Bits that name equal ranges of keys: sums are kept for each source and range, then for as many parts of the range with the cut.
+BUCKET_BITS = 12
 
 
 def mix_key(id_col: F.Column, seed: str) -> F.Column:
@@ -35,57 +35,66 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     )
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+def source_targets(work: Workspace, sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """(source, source_size, target double): the total shared by weight, no source above ``max_epochs`` times its size.
 
     Sources are in code-point order, null last, and get ``weights`` in turn. Sources that reach their limit are those whose
     limit for each unit of weight is smallest; the rest share what remains. ``sizes`` has a row for each source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turns = F.element_at(F.lit(list(weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double")
-    s = sizes.withColumn("weight", turns).withColumn("limit", F.col("source_size").cast("double") * max_epochs)
-    everything = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(everything).cast("double")).withColumn("all_weights", F.sum("weight").over(everything))
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (
-        F.col("all_weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    s = s.withColumn("level", level).withColumn("turn", F.row_number().over(by_limit))
-    fits = F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct("turn", "level"))
-    s = s.withColumn("level", F.min(fits).over(everything)["level"])
-    return s.select("source", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), "limit").alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    s = sums_before(work, sizes.withColumn("one", F.lit(1)), [by_name], {"turn": "one"}, "sources")
+    weight = F.element_at(F.lit(list(weights)), (F.col("turn") % len(weights) + 1).cast("int")).cast("double")
+    s = s.withColumn("weight", weight).withColumn("limit", F.col("source_size").cast("double") * max_epochs)
+    s = work.save(s.withColumn("unit", F.col("limit") / F.col("weight")).drop("turn", "one"), "weighed")
+    total, all_weights = s.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    s = sums_before(work, s, [F.col("unit"), by_name], {"full": "limit", "heavy": "weight"}, "by_limit")
+    level = (F.lit(total) - F.col("full")) / (F.lit(all_weights) - F.col("heavy"))
+    fits = F.struct("unit", F.col("source").isNull().alias("last"), "source", level.alias("level"))
+    found = s.where(level <= F.col("unit")).agg(F.min(fits).alias("x")).first()["x"]
+    target = F.col("limit") if found is None else F.least("limit", F.lit(found["level"]) * F.col("weight"))
+    return s.select("source", "source_size", target.alias("target"))
+
+
+def _edge(sums: DataFrame, rests: DataFrame, number: str) -> DataFrame:
+    """(_s, number, rest): the range of keys in which each source's budget ends, and what is left of the budget there.
+
+    ``sums`` has the words (size) of ranges by source and number, ``rests`` (_s, rest) the budgets.
+    """
+    along = Window.partitionBy("source").orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn("end", F.sum("size").over(along)).join(rests, F.col("source").eqNullSafe(F.col("_s")))
+    ends = ends.where((F.col("end") - F.col("size") <= F.col("rest")) & (F.col("rest") < F.col("end")))
+    return ends.select("_s", F.col(number).alias("_number"), (F.col("rest") - F.col("end") + F.col("size")).alias("rest"))
 
 
 def _cuts(work: Workspace, sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """A row for each source: source_size, target, epochs, and the cut (cut_key, cut_id, cut_size, cut_words)."""
-    bucket = F.floor(F.col("key") / (16**KEY_DIGITS // BUCKETS)).cast("int")
+    bits = 4 * KEY_DIGITS - BUCKET_BITS
+    bucket = F.shiftright("key", bits).cast("int")
+    part = F.pmod(F.shiftright("key", bits - BUCKET_BITS), F.lit(1 << BUCKET_BITS)).cast("int")
     sums = work.save(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "sums")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    targets = source_targets(work, sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     budget = F.round("target").cast("long")
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     targets = work.save(targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "targets")
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("end", F.sum("size").over(along))
-    edge = (
-        ends.join(targets.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s")))
-        .where((F.col("end") - F.col("size") <= F.col("rest")) & (F.col("rest") < F.col("end")))
-        .select("_s", F.col("bucket").alias("_b"), (F.col("rest") - F.col("end") + F.col("size")).alias("rest_in"))
-    )
-    rows = sized.withColumn("bucket", bucket).join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    # the range in which the budget ends, then the part of that range, and only there row by row
+    edge = _edge(sums, targets.select(F.col("source").alias("_s"), "rest"), "bucket")
+    rows = sized.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (bucket == F.col("_number"))).select("source", "doc_id", "key", "size", "rest")
+    rows = work.save(rows.withColumn("part", part), "edge")
+    edge = _edge(rows.groupBy("source", "part").agg(F.sum("size").alias("size")), rows.select(F.col("source").alias("_s"), "rest").distinct(), "part")
+    rows = rows.drop("rest").join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_number")))
     # equal rows are one step, so that a cut falls on all of them alike
-    rows = rows.groupBy("_s", "rest_in", "key", "doc_id", "size").agg(F.count("*").alias("rows"))
+    rows = rows.groupBy("_s", "rest", "key", "doc_id", "size").agg(F.count("*").alias("rows"))
     inside = Window.partitionBy("_s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     weight = F.col("size") * F.col("rows")
     cut = (
         rows.withColumn("end", F.sum(weight).over(inside))
-        .where((F.col("end") - weight <= F.col("rest_in")) & (F.col("rest_in") < F.col("end")))
+        .where((F.col("end") - weight <= F.col("rest")) & (F.col("rest") < F.col("end")))
         .select(
             "_s",
             F.col("key").alias("cut_key"),
             F.col("doc_id").alias("cut_id"),
             F.col("size").alias("cut_size"),
-            F.floor((F.col("rest_in") - F.col("end") + weight) / F.col("rows")).cast("long").alias("cut_words"),
+            F.floor((F.col("rest") - F.col("end") + weight) / F.col("rows")).cast("long").alias("cut_words"),
         )
     )
     return work.save(
@@ -135,7 +144,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
 
     A document that the cut splits comes last with its first words only, and ``n_chars`` (where there is one) to match.
-    Documents without words are not taken.
+
+    Nulls and odd rows: null and blank texts have no words and are not taken. A null source is a source of its own, a null id
+    an id like any other. Repeated rows are taken alike; those on the cut share what is left. An empty table gives an empty
+    result. All other columns pass through under any name.
     """
     work = Workspace(docs.sparkSession, "mixing")
     sized = work.save(_sized(docs, "doc_id", "text", "source", seed), "sized")
