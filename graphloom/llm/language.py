@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 #: Trigrams are hashed into so many buckets.
 BUCKETS = 1 << 16
-#: Most languages of one document.
-MOST_LANGUAGES = 4
+#: Most languages that can be learned: every worker holds BUCKETS numbers for each. More are an error, none is left out.
+LANGUAGES = 1000
 #: Words whose likelihoods a worker keeps, and words of the documents that it solves at once.
 KEPT_WORDS, WORDS_AT_ONCE = 300_000, 400_000
 UNKNOWN = "und"
@@ -59,7 +59,9 @@ def train(docs: DataFrame, usable: F.Column, docs_per_language: int = 3000, smoo
     documents of each language are used, chosen by a hash of the text.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    rows = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
     languages = sorted(rows)
     if not languages:
         return [], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(BUCKETS, dtype=np.float32)
@@ -108,7 +110,7 @@ def solve(likelihood: np.ndarray, sizes: np.ndarray, rounds: int = 8, penalty: f
     full, _ = improve(np.full((n, languages), 1 / languages, dtype=np.float32), rounds)
     order = np.argsort(-full, axis=1, kind="stable")
     best, best_value = full, np.full(n, -np.inf)
-    for m in range(1, min(languages, MOST_LANGUAGES) + 1):
+    for m in range(1, languages + 1):
         keep = np.zeros_like(full, dtype=bool)
         np.put_along_axis(keep, order[:, :m], True, axis=1)
         p = np.where(keep, full + 1e-6, 0)
@@ -207,6 +209,10 @@ def known_languages(docs: DataFrame, min_share: float = 0.25, docs_per_language:
 
     Rejected are texts without letters, texts of which no language has at least ``min_share`` of the words, and texts of which
     the background has more words than any language: random letters, encoded data, code, languages that were not learned.
+
+    Nulls and odd rows: null texts and texts without letters go; where nothing is labelled, everything does. A null id is not
+    learned from, but kept like any other row if its language can be told. Repeated rows are kept or go together. An empty
+    table gives an empty result. All columns pass through under any name.
     """
     languages, table, letters = train(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), docs_per_language)
     told = identify(docs, languages, table, letters=letters)
