@@ -1,11 +1,13 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Texts are cut into pieces (matches of the pre-tokenising pattern), and a chunk of documents holds each of its pieces once, with
-the places where it stands as numbers. The distinct pieces of the whole corpus are then replayed once each: they are laid out as
-arrays of byte tokens, and an inverted index leads from the rank of each neighbouring token pair to its positions in the pieces.
-Ranks are taken in order; each applies to all its positions at once, and only the pairs left and right of a merge are looked up
-again and filed under their ranks. A piece in which a merge uncovers a smaller rank than the current one would need steps out of
-order; such pieces, which are few, are replayed one by one. Last, every chunk gets the ids of its own pieces back.
+Texts are cut into pieces (matches of the pre-tokenising pattern), which are counted over the whole corpus. The distinct pieces
+are then replayed together: they are laid out as arrays of byte tokens, and an inverted index leads from the rank of each
+neighbouring token pair to its positions in the pieces. Ranks are taken in order; each applies to all its positions at once, and
+only the pairs left and right of a merge are looked up again and filed under their ranks. A piece in which a merge uncovers a
+smaller rank than the current one would need steps out of order; such pieces, which are few, are replayed one by one.
+
+The most frequent pieces, at most COMMON, are replayed once for the corpus, and all workers get their ids. A worker replays the
+rare pieces of its documents, which hardly any other worker meets, by the same index.
 """
 
 from __future__ import annotations
@@ -14,20 +16,21 @@ import base64
 import collections
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import Workspace
 
-#: A chunk ends with the document that gives it so many pieces, or so many distinct ones; a replay takes so many pieces at once.
-CHUNK_PIECES, CHUNK_DISTINCT, REPLAYED = 2_000_000, 60_000, 150_000
+#: Pieces whose ids all workers get, pieces of one replay, pieces that a worker keeps, and occurrences that wait for a replay.
+COMMON, REPLAYED, KEPT_PIECES, WAITING = 200_000, 150_000, 600_000, 3_000_000
+#: Distinct pieces that a counting task holds.
+COUNTED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,45 +173,27 @@ def _merges(path: str) -> Merges:
     return _loaded[path]
 
 
-def _chunks(pattern: str, id_type: pa.DataType):
-    """Chunks of (id, text): ids, pieces of each text, and for all texts one after the other the numbers of their pieces."""
+def piece_finder(pattern: str):
     # White space as the property names it, which leaves out the information separators
-    find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+
+
+def _counted(pattern: str):
+    """(piece, n) of texts, summed up in the task."""
 
     def run(batches):
-        first, made = TaskContext.get().partitionId() << 33, 0
-
-        def fresh():
-            number = collections.defaultdict()
-            number.default_factory = number.__len__  # a new piece gets the next number
-            return number, [], [], 0
-
-        def chunk(number, ids, held):
-            numbers = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            wide = len(number) > 1 << 16
-            columns = [
-                pa.array([first + made], pa.int64()),
-                pa.array([ids], pa.list_(id_type)),
-                pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
-                pa.array([wide]),
-                pa.array([numbers.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
-                pa.array([list(number)], pa.list_(pa.string())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "wide", "numbers", "pieces"])
-
-        number, ids, held, total = fresh()
+        find, counts = piece_finder(pattern), collections.Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = find(text.as_py() or "")
-                ids.append(doc_id)
-                held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                total += len(found)
-                if total >= CHUNK_PIECES or len(number) >= CHUNK_DISTINCT or len(held) >= CHUNK_DISTINCT:
-                    yield chunk(number, ids, held)
-                    made += 1
-                    number, ids, held, total = fresh()
-        if held:
-            yield chunk(number, ids, held)
+            for text in batch.column(0):
+                counts.update(find(text.as_py() or ""))
+                if len(counts) >= COUNTED:
+                    yield out()
+                    counts.clear()
+        yield out()
 
     return run
 
@@ -225,6 +210,65 @@ def _replayed(path: str):
     return run
 
 
+def common_pieces(work: Workspace, texts: DataFrame, path: str, pattern: str) -> pa.Table:
+    """(piece, codes) of the pieces that occur most often in (text): all that occur at least so often, the least such number
+    of occurrences that is a power of two and leaves at most COMMON pieces."""
+    counts = texts.mapInArrow(_counted(pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = work.save(counts.where("n > 1"), "counts")
+    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("pieces")).collect()  # 63 rows at most
+    least, left = 64, COMMON
+    for power, pieces in sorted(sizes, reverse=True):
+        if pieces > left:
+            break
+        least, left = power, left - pieces
+    often = counts.where(F.col("n") >= F.lit(1 << least if least < 63 else 2**63 - 1)).select("piece")
+    found = work.save(often.mapInArrow(_replayed(path), "piece string, codes binary"), "codes").toArrow()  # at most COMMON rows
+    work.drop("counts", "codes")
+    return found
+
+
+class Encoder:
+    """Encodes texts as they come; keeps the ids of the pieces it has met in flat arrays, the common ones from the start."""
+
+    def __init__(self, merges: Merges, pattern: str, common: pa.Table):
+        self.merges, self.common, self.find = merges, common, piece_finder(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the common pieces."""
+        self.number = collections.defaultdict(None, zip(self.common.column("piece").to_pylist(), range(self.common.num_rows)))
+        self.number.default_factory = self.number.__len__  # a new piece gets the next number
+        codes = self.common.column("codes").to_pylist()
+        self.size = np.array([len(x) // 4 for x in codes], dtype=np.int64)
+        self.ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.back = [decode(x, self.merges.bytes_of) for x in np.split(self.ids, self.start[1:])] if codes else []
+
+    def pieces(self, text: str) -> np.ndarray:
+        """Numbers of a text's pieces."""
+        found = self.find(text)
+        return np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+
+    def unlearned(self) -> int:
+        return len(self.number) - len(self.start)
+
+    def learn(self) -> None:
+        """Replays the pieces that are new."""
+        if new := list(itertools.islice(self.number, len(self.start), None)):
+            ids, counts = self.merges.replay([p.encode() for p in new])
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+            self.size = np.concatenate([self.size, counts])
+            self.ids = np.concatenate([self.ids, ids])
+            self.back += [decode(x, self.merges.bytes_of) for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def encoded(self, pieces: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """(ids of a text as little-endian unsigned 32-bit integers, the bytes that they decode to) from the numbers of its pieces."""
+        sizes = self.size[pieces]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[pieces] - (ends - sizes), sizes)
+        return self.ids[places].astype("<u4"), b"".join([self.back[k] for k in pieces.tolist()])
+
+
 def decode(ids: np.ndarray, bytes_of: dict[int, bytes]) -> bytes:
     return b"".join([bytes_of[i] for i in ids.tolist()])
 
@@ -246,48 +290,52 @@ def encode_texts(
     table gives an empty result. Other columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    work = Workspace(docs.sparkSession, "bpe")
+    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = own.schema["doc_id"].dataType
-    schema = f"chunk long, ids array<{kind.simpleString()}>, sizes array<long>, wide boolean, numbers binary, pieces array<string>"
-    chunks = work.save(own.mapInArrow(_chunks(pattern, to_arrow_type(kind)), schema), "chunks")
-    # a piece stands once in a chunk, so that no piece is more than a small part of the rows, however common it is
-    places = chunks.select("chunk", F.posexplode("pieces").alias("number", "piece"))
-    distinct = places.select("piece").distinct()
-    codes = work.save(distinct.mapInArrow(_replayed(path), "piece string, codes binary"), "codes")
-    found = places.join(codes.hint("shuffle_hash"), "piece").select(F.col("chunk").alias("of_chunk"), "number", "codes")
-
-    types = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
-    out_types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), *(types[name] for name in keep)]
-    out_names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
-
-    def finish(chunk: pa.Table, pieces: pa.Table) -> pa.Table:
-        """The documents of one chunk, from the codes of its pieces."""
-        bytes_of = _merges(path).bytes_of
-        codes = [np.frombuffer(x, "<u4") for x in pieces.sort_by("number").column("codes").to_pylist()]
-        back = [decode(x, bytes_of) for x in codes]
-        size = np.array([len(x) for x in codes], dtype=np.int64)
-        flat, start = np.concatenate(codes) if codes else np.zeros(0, "<u4"), np.cumsum(size) - size
-        row = chunk.to_pylist()[0]
-        numbers = np.frombuffer(row["numbers"], "<u4" if row["wide"] else "<u2").astype(np.int64)
+    common = spark.sparkContext.broadcast(common_pieces(Workspace(spark, "bpe"), own.select("text"), path, pattern))  # COMMON pieces at most
+    kind = own.schema["doc_id"].dataType.simpleString()
+    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
+
+    def answer(encoder: Encoder, ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
         columns: dict[str, list] = {name: [] for name in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-        for end, n in zip(np.cumsum(row["sizes"]).tolist(), row["sizes"]):
-            mine = numbers[end - n : end]
-            ends = np.cumsum(size[mine])
-            total = int(ends[-1]) if n else 0
-            ids = flat[np.arange(total) + np.repeat(start[mine] - ends + size[mine], size[mine])].astype("<u4")
-            text = b"".join([back[k] for k in mine.tolist()])
-            columns["n_tokens"].append(total)
-            columns["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-            columns["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
+        for pieces in held:
+            own, back = encoder.encoded(pieces)
+            columns["n_tokens"].append(len(own))
+            columns["ids_sha256"].append(hashlib.sha256(own.tobytes()).hexdigest())
+            columns["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
             if "ids" in keep:
-                columns["ids"].append(ids.astype(np.int32))
+                columns["ids"].append(own.astype(np.int32))
             if "decoded" in keep:
-                columns["decoded"].append(text.decode())
-        values = [row["ids"], *(columns[name] for name in out_names[1:])]
-        return pa.table([pa.array(v, t) for v, t in zip(values, out_types)], names=out_names)
-
-    extra = "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[name] for name in keep)
-    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
-    chunks = chunks.select("chunk", "ids", "sizes", "wide", "numbers")
-    return chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(finish, schema)
+                columns["decoded"].append(back.decode())
+        types = [pa.int64(), pa.string(), pa.string(), *(kinds[name][1] for name in keep)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(columns[n], t) for n, t in zip(names[1:], types))], names=names)
+
+    def run(batches):
+        encoder = Encoder(_merges(path), pattern, common.value)
+        waiting: list[tuple[pa.Array, list[np.ndarray]]] = []
+        total = 0
+
+        def flush():
+            encoder.learn()
+            for ids, held in waiting:
+                yield answer(encoder, ids, held)
+            waiting.clear()
+            if len(encoder.start) > KEPT_PIECES:
+                encoder.forget()
+
+        for batch in batches:
+            at, held = 0, []
+            for i in range(batch.num_rows):
+                held.append(encoder.pieces(batch.column(1)[i].as_py() or ""))
+                total += len(held[-1])
+                if len(held) == 512 or i == batch.num_rows - 1 or total >= WAITING:
+                    waiting.append((batch.column(0).slice(at, i + 1 - at), held))
+                    at, held = i + 1, []
+                if total >= WAITING or encoder.unlearned() >= REPLAYED and not held:
+                    yield from flush()
+                    total = 0
+        yield from flush()
+
+    extra = "".join(f", {name} {kinds[name][0]}" for name in keep)
+    return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
