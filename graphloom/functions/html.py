@@ -2,27 +2,79 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
+from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _SKIP = {"script", "style", "nav", "head", "noscript", "template"}
-_BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "figure", "figcaption", "dl", "dt", "dd", "details", "summary", "blockquote", "aside"}
+_BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "figure", "figcaption", "dl", "dt", "dd", "details", "summary", "blockquote", "aside", "caption"}
 _WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+# What stands over the blocks of a class, in this order.
+_ADVICE = {"note": "说明", "warning": "警告", "caution": "注意", "tip": "提示"}
+_ADDRESS = re.compile(r"""(?i)\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_TITLES = ("notetitle", "warningtitle", "cautiontitle", "tiptitle")
+
+
+def list_label(number: int, kind: str) -> str:
+    """The label of an item of a numbered list: ``a``, ``A``, ``i``, ``I`` or a plain number."""
+    if kind in ("a", "A") and 1 <= number <= 26:
+        return chr(ord(kind) + number - 1) + "."
+    if kind in ("i", "I") and number > 0:
+        text = ""
+        for value, letters in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            text += letters * (number // value)
+            number %= value
+        return (text.upper() if kind == "I" else text) + "."
+    return f"{number}."
+
+
+def url_kind(url: str) -> str:
+    """``empty``, ``anchor``, ``remote`` or ``local``."""
+    url = url.strip()
+    if not url:
+        return "empty"
+    if url.startswith("#"):
+        return "anchor"
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", url)
+    return "remote" if url.startswith("//") or scheme and scheme[1].lower() != "file" else "local"
+
+
+def local_target(url: str, page: str) -> tuple[str, str] | None:
+    """(path, anchor) of a local address on a page, both below the same root; None for other addresses."""
+    if url_kind(url) != "local":
+        return None
+    path, _, anchor = url.strip().partition("#")
+    path = unquote(path.partition("?")[0].removeprefix("file:"))
+    return (posixpath.normpath(posixpath.join(posixpath.dirname(page), path)), anchor) if path else None
+
+
+def rewritten(url: str, page: str, targets: dict[str, str]) -> str:
+    """An address with a local page replaced by the path of its document, relative to the document of ``page``."""
+    found = local_target(url, page)
+    if found is None or found[0] not in targets:
+        return url
+    own = posixpath.dirname(targets.get(page, page)) or "."
+    return posixpath.relpath(targets[found[0]], own) + (f"#{found[1]}" if found[1] else "")
 
 
 class _Page(HTMLParser):
     """Collects blocks; a stack of text buffers holds cells, list items and quotes that are still open."""
 
-    def __init__(self, links: dict[str, str]):
+    def __init__(self, links: dict[str, str], page: str):
         super().__init__(convert_charrefs=True)
-        self.links, self.blocks, self.text = links, [], []
+        self.links, self.page, self.blocks, self.text = links, page, [], []
+        self.quotes: list[tuple[str, int, str]] = []  # open advisory blocks: tag, first block, title
+        self.boxes: list[str] = []  # all open block tags
+        self.title = ""  # the tag of an advisory block's open title
         self.skip = self.pre = 0
-        self.lists: list[list] = []  # [ordered, number]
+        self.lists: list[list] = []  # [ordered, number, kind]
         self.tables: list[dict] = []
         self.anchors: list[str | None] = []
         self.prefix = ""
@@ -35,6 +87,7 @@ class _Page(HTMLParser):
             return
         if self.tables and self.tables[-1]["cell"] is not None:
             self.tables[-1]["cell"]["text"].append(line)
+            self.prefix = ""
         else:
             self.blocks.append((prefix or self.prefix) + line)
             self.prefix = ""
@@ -45,35 +98,39 @@ class _Page(HTMLParser):
             self.skip += 1
         if self.skip:
             return
+        if tag in ("td", "th", "tr") and self.tables and self.tables[-1]["cell"] is not None:
+            self.handle_endtag("td")  # a cell that is not closed ends with the next one
+        if self.quotes and not self.title and any(c in _TITLES for c in a.get("class", "").lower().split()):
+            self.flush()
+            self.title = tag
         if tag in _WRAP and not self.pre:
             self.text.append(_WRAP[tag])
         elif tag == "br":
             self.text.append("\0")
         elif tag == "a":
-            self.anchors.append(self.links.get(a.get("href", ""), a.get("href")))
+            self.anchors.append(rewritten(a["href"], self.page, self.links) if a.get("href") else None)
             if self.anchors[-1]:
                 self.text.append("[")
         elif tag == "img" and a.get("src"):
-            self.text.append(f"![{a.get('alt', '')}]({self.links.get(a['src'], a['src'])})")
+            self.text.append(f"![{a.get('alt', '')}]({rewritten(a['src'], self.page, self.links)})")
         elif tag == "sup" or tag == "sub":
             self.text.append(f"<{tag}>")
         elif tag in _BLOCK or re.fullmatch(r"h[1-6]", tag):
             self.flush()
-            if "note" in a.get("class", "").split():
-                self.prefix = "> "
+            self.open_box(tag, a.get("class", "").lower().split())
         elif tag == "pre":
             self.flush()
             self.pre += 1
-            language = re.search(r"language-(\w+)", a.get("class", ""))
+            language = re.search(r"\blang(?:uage)?-(\w+)", a.get("class", ""))
             self.text.append("```" + (language[1] if language else "") + "\n")
         elif tag in ("ul", "ol"):
             self.flush()
-            self.lists.append([tag == "ol", int(a["start"]) if a.get("start", "").isdigit() else 1])
+            self.lists.append([tag == "ol", int(a["start"]) if a.get("start", "").isdigit() else 1, a.get("type", "").strip()])
         elif tag == "li":
             self.flush()
             if self.lists:
-                ordered, n = self.lists[-1]
-                self.prefix = "  " * (len(self.lists) - 1) + (f"{n}. " if ordered else "- ")
+                ordered, n, kind = self.lists[-1]
+                self.prefix = "  " * (len(self.lists) - 1) + (list_label(n, kind) + " " if ordered else "- ")
                 self.lists[-1][1] += 1
         elif tag == "table":
             self.flush()
@@ -85,12 +142,40 @@ class _Page(HTMLParser):
             span = lambda k: min(int(a[k]), 1000) if a.get(k, "").isdigit() and int(a[k]) else 1
             self.tables[-1]["cell"] = {"text": [], "rows": span("rowspan"), "cols": span("colspan")}
 
+    def open_box(self, tag: str, classes: list[str]) -> None:
+        if tag in _BLOCK:
+            self.boxes.append(tag)
+            advice = next((label for word, label in _ADVICE.items() if any(word in c for c in classes)), None)
+            inside = any(t for t, _, _ in self.quotes)
+            if advice and not inside:
+                self.quotes.append((f"{tag} {len(self.boxes)}", len(self.blocks), advice))
+        if tag == "dt":
+            self.prefix = "- **"
+        elif tag == "dd":
+            self.prefix = "  "
+
+    def close_box(self, tag: str) -> None:
+        if tag not in _BLOCK or tag not in self.boxes:
+            return
+        depth = len(self.boxes) - self.boxes[::-1].index(tag)
+        del self.boxes[depth - 1 :]
+        if self.quotes and self.quotes[-1][0] == f"{tag} {depth}":
+            _, first, title = self.quotes.pop()
+            inner, self.blocks[first:] = self.blocks[first:], []
+            if inner:
+                lines = [f"**{title}**", *"\n\n".join(inner).split("\n")]
+                self.blocks.append("\n".join(f"> {x}" if x.strip() else ">" for x in lines))
+
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
             return
         if self.skip:
             return
+        if tag == self.title and self.quotes:
+            own, self.text, self.title = " ".join("".join(self.text).split()), [], ""
+            if own:
+                self.quotes[-1] = (*self.quotes[-1][:2], own)
         if tag in _WRAP and not self.pre:
             self.text.append(_WRAP[tag])
         elif tag == "a" and self.anchors:
@@ -105,7 +190,14 @@ class _Page(HTMLParser):
             self.blocks.append("".join(self.text).rstrip() + "\n```")
             self.text = []
         elif tag in _BLOCK or tag == "li":
+            if tag in ("summary", "dt", "caption", "figcaption") and "".join(self.text).strip():
+                mark = "*" if tag in ("caption", "figcaption") else "**"
+                before, self.text = "".join(self.text).strip(), []
+                self.text.append((mark if tag != "dt" else "") + before + mark)
+                if tag == "caption" and self.tables:
+                    self.tables[-1]["caption"], self.text = self.text[0], []
             self.flush()
+            self.close_box(tag)
         elif tag in ("ul", "ol") and self.lists:
             self.flush()
             self.lists.pop()
@@ -118,7 +210,10 @@ class _Page(HTMLParser):
             table["cell"] = None
         elif tag == "table" and self.tables:
             self.flush()
-            if text := table_text(self.tables.pop()["rows"]):
+            table = self.tables.pop()
+            if text := table_text(table["rows"]):
+                if table.get("caption") and not self.tables:
+                    self.blocks.append(re.sub(r"\s+", " ", table["caption"]))
                 if self.tables and self.tables[-1]["cell"] is not None:
                     self.tables[-1]["cell"]["text"].append(text)
                 else:
@@ -151,26 +246,59 @@ def table_text(rows: list[list[dict]]) -> str:
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) if lines and width else ""
 
 
-def to_markdown(html: str | None, links: dict[str, str] | None = None) -> str | None:
-    """Markdown of a page; ``links`` maps page addresses to the documents that they became."""
+def to_markdown(html: str | None, links: dict[str, str] | None = None, page: str = "") -> str | None:
+    """Markdown of a page; ``links`` maps the paths of pages to those of the documents that they become, ``page`` is its own path."""
     if html is None:
         return None
-    page = _Page(links or {})
-    page.feed(html)
-    page.close()
-    page.flush()
+    parser = _Page(links or {}, page)
+    parser.feed(html)
+    parser.close()
+    parser.flush()
     out: list[str] = []
-    for block in page.blocks:
-        item = re.match(r"\s*(?:-|\d+\.) ", block)
-        out.append(("\n" if item and out and re.match(r"\s*(?:-|\d+\.) ", out[-1].lstrip("\n")) else "\n\n") + block if out else block)
+    label = re.compile(r"\s*(?:-|\d+\.|[A-Za-z]\.|[ivxIVX]+\.) ")
+    for block in parser.blocks:
+        item = label.match(block)
+        tight = item and out and label.match(out[-1].lstrip("\n")) or block.startswith("  ") and out and out[-1].lstrip("\n").startswith("- **")
+        out.append(("\n" if tight else "\n\n") + block if out else block)
     return "".join(out)
 
 
 @F.pandas_udf(StringType())
 def html_to_markdown(pages: pd.Series) -> pd.Series:
+    """One page after the other in Python, in Arrow batches: the parser is a state machine that no built-in function has."""
     return pages.map(to_markdown)
 
 
+@F.pandas_udf(StringType())
+def linked_markdown(pages: pd.Series, paths: pd.Series, links: pd.Series) -> pd.Series:
+    return pd.Series([to_markdown(h, dict(m if m is not None else {}), p or "") for h, p, m in zip(pages, paths, links)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def local_links(pages: pd.Series, paths: pd.Series) -> pd.Series:
+    """The local pages and files that a page names, as paths below the root of its own path."""
+
+    def one(html, page):
+        urls = [a or b for a, b in _ADDRESS.findall(html or "")]
+        return sorted({found[0] for url in urls if (found := local_target(unescape(url), page or "")) is not None})
+
+    return pd.Series([one(h, p) for h, p in zip(pages, paths)], dtype=object)
+
+
+def convert_pages(pages: DataFrame, suffix: str = ".md") -> DataFrame:
+    """(path, md_path, md) of pages (path, html): Markdown whose links to other pages lead to their documents.
+
+    Links are exploded and joined with the pages; a page gets the targets of its own links only.
+    """
+    target = F.concat(F.regexp_replace("path", r"(?i)\.html?$", ""), F.lit(suffix))
+    pages = pages.select("path", "html", target.alias("md_path"))
+    named = pages.select("path", F.explode(F.array_union(local_links("html", "path"), F.array("path"))).alias("link"))
+    known = named.join(pages.select(F.col("path").alias("link"), F.col("md_path").alias("to")), "link")
+    links = known.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("link", "to"))).alias("links"))
+    both = pages.join(links, "path", "left")
+    return both.select("path", "md_path", linked_markdown("html", "path", "links").alias("md"))
+
+
 def is_meaningful(html: Column) -> Column:
     """Whether a page holds structure (tables, lists, images, code) or 20 characters besides titles and copyright lines."""
     body = F.regexp_replace(html, r"(?is)<(script|style|title|head|nav|h[1-6])\b.*?</\1\s*>", " ")

@@ -209,20 +209,14 @@ def slug(filename: Column) -> Column:
 def license_sections(md: Column) -> Column:
     """array<struct<control_id, code, name, body>>: a licence page cut at its licence headings."""
     head = r"(?m)^[^\S\n]*####\s*\[\s*([A-Z0-9]+)\s+(LKV[A-Z0-9]{6,})\s+(.+?)\s*\][^\n]*$"
-    bodies = F.split(md, head, -1)
     part = lambda g: F.regexp_extract_all(md, F.lit(head), g)
-    numbers = F.sequence(F.lit(1), F.size(part(1)))
     trimmed = lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    # the arrays are arguments, not parts of the function, so that each is computed once
     rows = F.transform(
-        numbers,
-        lambda i: F.struct(
-            F.element_at(part(1), i).alias("control_id"),
-            F.element_at(part(2), i).alias("code"),
-            F.trim(F.element_at(part(3), i)).alias("name"),
-            trimmed(F.element_at(bodies, i + 1)).alias("body"),
-        ),
+        F.arrays_zip(part(1).alias("control_id"), part(2).alias("code"), part(3).alias("name"), F.slice(F.split(md, head, -1), F.lit(2), F.lit(1_000_000_000)).alias("body")),
+        lambda r: F.struct(r["control_id"].alias("control_id"), r["code"].alias("code"), F.trim(r["name"]).alias("name"), trimmed(r["body"]).alias("body")),
     )
-    return F.when(F.size(part(1)) > 0, rows).otherwise(F.array().cast("array<struct<control_id:string,code:string,name:string,body:string>>"))
+    return F.when(md.rlike(head), rows).otherwise(F.array().cast("array<struct<control_id:string,code:string,name:string,body:string>>"))
 
 
 def license_nf(body: Column) -> Column:
@@ -249,6 +243,12 @@ def version_in(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+\.\d+(?:\.\d+)*)", 1)
 
 
+def version_matches(text: Column, stated: Column) -> Column:
+    """Whether a name's version is the stated one; a name without a version agrees with any."""
+    found = version_in(text)
+    return (found == "") | (found == stated)
+
+
 def valid_bundle_name(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^[A-Za-z0-9_][A-Za-z0-9_.-]{0,31}\z"), F.lit(False))
 
@@ -258,6 +258,39 @@ def unsafe_member(name: Column) -> Column:
     return name.rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)")
 
 
+def file_type(path: Column) -> Column:
+    """``folder``, ``md``, ``image`` or ``other`` by a name's suffix; a name without one is a folder."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when(suffix == "", "folder").when(suffix == "md", "md").when(suffix.isin("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"), "image").otherwise("other")
+
+
+def safe_relative(path: Column) -> Column:
+    """A path whose every part is a safe file name; empty and dot parts go."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1), lambda x: ~F.trim(x).isin("", ".", ".."))
+    return F.array_join(F.transform(parts, lambda x: safe_filename(x)), "/")
+
+
+def type_in_filename(path: Column) -> Column:
+    """The object type in a file name that is an id (``nf@Type@local.md`` or ``Type@slug.md``)."""
+    parts = F.split(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?i)\.md$", ""), "@", -1)
+    return F.when(F.size(parts) == 3, parts[1]).when(F.size(parts) == 2, parts[0]).otherwise("")
+
+
+def encoded_links(md: Column) -> Column:
+    """Blanks in the targets of links become %20, so that a reader sees whole links."""
+    return F.regexp_replace(md, r"(?<=\]\([^()\n]{0,500}) (?=[^()\n]{0,500}\))", "%20")
+
+
+def with_image_root(md: Column, root: str) -> Column:
+    """Image sources that are relative get ``root`` in front."""
+    return F.regexp_replace(md, r"(!\[[^\]]*\]\()(?!https?://|/|data:)", f"$1{root.rstrip('/')}/")
+
+
+def wikilinks(md: Column) -> Column:
+    """Distinct targets of ``[[target]]`` in a text, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(md, F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda x: F.trim(x)))
+
+
 def short_label(id_: Column) -> Column:
     return F.element_at(F.split(id_, "@", -1), -1)
 

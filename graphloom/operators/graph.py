@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import wikilinks
 from ..functions.versions import ver_key
 from ..model import types_in_ui_layer
 
@@ -66,10 +67,20 @@ def versions_per_nf(objects: DataFrame) -> DataFrame:
     return objects.where("nf is not null and version is not null").groupBy("nf").agg(F.array_sort(F.collect_set("version")).alias("versions"))
 
 
+#: Columns that lists leave out.
+WIDE = ("raw_md", "body_md", "frontmatter_json")
+
+
 def list_objects(objects: DataFrame, **filters) -> DataFrame:
-    """Newest matching version of each id, with all versions of the id. Filters apply before the newest is chosen."""
-    chosen = newest_per_id(objects.where(conditions(**filters)))
-    return chosen.join(versions_per_id(objects), "id")
+    """Newest matching version of each id, with all versions of the id. Filters apply before the newest is chosen.
+
+    One aggregation by id does both; texts are left out.
+    """
+    found = conditions(**filters)
+    columns = [c for c in objects.columns if c != "id" and c not in WIDE]
+    newest = F.max_by(F.struct(*columns), F.when(found, F.struct(F.col("version").isNotNull(), ver_key("version"))))
+    rows = objects.groupBy("id").agg(newest.alias("_row"), F.array_sort(F.collect_set("version")).alias("versions"), F.bool_or(found).alias("_found"))
+    return rows.where("_found").select("id", "_row.*", "versions")
 
 
 def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
@@ -181,12 +192,32 @@ def subgraph(
             .join(known, (F.col("id") == F.col("_id")) & F.col("version").eqNullSafe(F.col("_v")), "left_anti")
             .withColumn("depth", F.lit(depth))
         )
+        frontier = frontier.persist()  # read by the next round, the union and the edges; rebuilt from its parents if lost
         seen = seen.unionByName(frontier)
     node = seen.select(F.col("id").alias("_id"), F.col("version").alias("_v"))
     links = edges.join(node, (F.col("from_id") == F.col("_id")) & F.col("from_version").eqNullSafe(F.col("_v")), "left_semi")
     return seen, links
 
 
+def link_edges(objects: DataFrame) -> DataFrame:
+    """(from_id, from_version, relation, to_id) of the ``[[id]]`` links in the documents' texts, wherever they stand."""
+    rows = objects.select(F.col("id").alias("from_id"), F.col("version").alias("from_version"), F.explode(wikilinks(F.col("raw_md"))).alias("to_id"))
+    return rows.select("from_id", "from_version", F.lit("link").alias("relation"), "to_id")
+
+
+def drawing(edges: DataFrame, id_: str, version: str | None) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, is_center), links (from_id, relation, to_id)) of a node and its neighbours, each once."""
+    links = neighbors(edges, id_, version).select("from_id", "relation", "to_id").dropDuplicates()
+    nodes = links.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return nodes.select("id", (F.col("id") == id_).alias("is_center")), links
+
+
+def pages_so_far(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """The first ``number`` pages together, in the order of ``page``; an id that repeats is listed once, at its first place."""
+    first = rows.dropDuplicates(["id"])
+    return first.orderBy(F.coalesce("type", F.lit("")), "id").limit(max(0, number) * size)
+
+
 def navigation_version(targets: DataFrame) -> DataFrame:
     """Which version a link opens: the forced one, else that of the page it is on, else the last listed, where they exist.
 

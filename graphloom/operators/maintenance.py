@@ -7,6 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -71,6 +72,41 @@ def merge_jobs(memory: DataFrame, stored: DataFrame, limit: int = 100) -> DataFr
     return merged.orderBy(F.desc("started_at"), "id").limit(limit)
 
 
+def put_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """Jobs with those of ``new``, which replace jobs of their ids."""
+    return upsert(jobs, new, ["id"])
+
+
+def drop_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    return jobs.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def may_start(jobs: DataFrame, kind: str) -> bool:
+    """Whether no job of a kind is waiting or running: there is one at a time."""
+    return jobs.where((F.col("kind") == kind) & F.col("status").isin("pending", "running")).isEmpty()
+
+
+def step_done(jobs: DataFrame, id_: Column | str, step: str, status: str, detail: str = "") -> DataFrame:
+    """Jobs where ``steps array<struct<name,status,detail>>`` of one job has the step with a new status, added if it is new."""
+    entry = F.struct(F.lit(step).alias("name"), F.lit(status).alias("status"), F.lit(detail).alias("detail"))
+    known = F.exists("steps", lambda s: s["name"] == step)
+    changed = F.when(known, F.transform("steps", lambda s: F.when(s["name"] == step, entry).otherwise(s))).otherwise(F.concat("steps", F.array(entry)))
+    return jobs.withColumn("steps", F.when(F.col("id") == (id_ if isinstance(id_, Column) else F.lit(id_)), changed).otherwise(F.col("steps")))
+
+
+def sweep_crashed(jobs: DataFrame, now: float, alive: DataFrame) -> DataFrame:
+    """Jobs after a restart: those that were waiting or running and are not in ``alive`` (id) have failed."""
+    marked = jobs.join(F.broadcast(alive.select("id", F.lit(True).alias("_alive")).distinct()), "id", "left")  # jobs that run now: few
+    crashed = F.col("status").isin("pending", "running") & F.col("_alive").isNull()
+    return marked.withColumns({"status": F.when(crashed, "failed").otherwise(F.col("status")), "finished_at": F.when(crashed, F.lit(now)).otherwise(F.col("finished_at"))}).drop("_alive")
+
+
+def with_columns_of(rows: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of an older table with the columns of ``schema``: missing ones are null, and types follow the schema."""
+    found = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    return rows.select(*found, *(c for c in rows.columns if c not in schema.names))
+
+
 def import_counts(valid: DataFrame, existing: DataFrame) -> DataFrame:
     """(added, updated, warnings) of a bundle: rows (path, warning); a path that repeats counts as updated."""
     targets = valid.where("warning is null").groupBy("path").agg(F.count("*").alias("n"))
@@ -104,6 +140,47 @@ def restore(rows: DataFrame, trash: DataFrame, ids: DataFrame) -> tuple[DataFram
     return free, trash.join(free.select("id"), "id", "left_anti")
 
 
+def purge(trash: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trash that stays, entries that are gone for good): those of ``ids`` (id), or all."""
+    if ids is None:
+        return trash.where("false"), trash
+    ids = ids.select("id").distinct()
+    return trash.join(ids, "id", "left_anti"), trash.join(ids, "id", "left_semi")
+
+
+def move_documents(rows: DataFrame, old: str, new: str, overrides: dict[str, str | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all rows after the move, moved rows that were refused because their place is taken): paths below ``old`` go below ``new``.
+
+    ``overrides`` sets front-matter fields of the documents that move, or removes them (None).
+    """
+    from ..functions.markdown import rewrite_front_matter
+
+    old, new = old.strip("/") + "/", new.strip("/") + "/"
+    going = F.col("source_path").startswith(old)
+    target = F.concat(F.lit(new), F.substring("source_path", F.lit(len(old) + 1), F.length("source_path")))
+    stay = rows.where(~going)
+    moved = rows.where(going).withColumns({"_from": F.col("source_path"), "source_path": target})
+    taken = stay.select("source_path").distinct()
+    refused = moved.join(taken, "source_path", "left_semi").withColumn("source_path", F.col("_from")).drop("_from")
+    done = moved.join(taken, "source_path", "left_anti").drop("_from")
+    if overrides:
+        done = done.withColumn("raw_md", rewrite_front_matter(F.col("raw_md"), overrides))
+    return stay.unionByName(refused).unionByName(done), refused
+
+
+def edit_document(rows: DataFrame, path: str, raw_md: str) -> DataFrame:
+    """Rows with a new text at ``path``; a text with another id than the one there is an error when the result is read."""
+    from ..functions.markdown import parse_documents
+
+    new = F.lit(raw_md)
+    own = parse_documents(rows.where(F.col("source_path") == path).select("source_path", F.col("id").alias("_id"), new.alias("raw_md")))
+    same = F.try_element_at("fields", F.lit("id")).eqNullSafe(F.col("_id"))
+    checked = F.when(same, F.col("raw_md")).otherwise(F.raise_error(F.lit(f"the id of {path} cannot change")).cast("string"))
+    edited = own.select("source_path", checked.alias("_new"))
+    joined = rows.join(edited, "source_path", "left")
+    return joined.withColumn("raw_md", F.coalesce("_new", "raw_md")).select(*rows.columns)
+
+
 def list_trash(trash: DataFrame) -> DataFrame:
     return trash.orderBy(F.desc("deleted_at"), "id")
 

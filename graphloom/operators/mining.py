@@ -6,7 +6,11 @@ layer is one pass. Pages are rows (path, md).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -26,20 +30,24 @@ def scan_names(docs: DataFrame, names: DataFrame) -> DataFrame:
     words, runs of as many words as some name has are joined with the names by equality, and each line's matches are then taken from the left.
     """
     lengths = sorted(n for (n,) in names.where("name is not null").select(F.size(F.split("name", " "))).distinct().collect())  # a few numbers
+    longest = max(lengths, default=1)
     words = F.regexp_extract_all("line", F.lit(r"[A-Z0-9_]+|[^A-Z0-9_]+"), 0)
     lines = docs.select("key", F.posexplode(F.split(X.prose(F.col("md")), "\n")).alias("line_no", "line")).where(F.col("line").rlike("[A-Z0-9_]"))
-    parts = lines.select("key", "line_no", words.alias("w"))
-
-    def runs(i):
-        length = F.array(*map(F.lit, lengths)).cast("array<int>")
-        ends = F.filter(length, lambda n: (i + 2 * n - 2 <= F.size("w")) & F.forall(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.element_at("w", i + 2 * k - 1) == " ")))
-        return F.transform(ends, lambda n: F.struct(i.alias("at"), (i + 2 * n - 2).alias("last"), F.array_join(F.slice("w", i, 2 * n - 1), "").alias("name")))
-
+    parts = lines.select("key", "line_no", F.xxhash64("line").alias("line"), words.alias("w"))  # documents may share a key
     starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).rlike("^[A-Z0-9_]"))
-    candidates = parts.select("key", "line_no", F.explode(F.flatten(F.transform(starts, runs))).alias("c")).select("key", "line_no", "c.*")
-    found = candidates.join(names.select("name").distinct(), "name")
-    ordered = found.groupBy("key", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("at", (-F.col("last")).alias("minus_last"), "name"))).alias("m")
+    own = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("w", i, F.lit(2 * longest - 1)).alias("run")))
+    known = names.select("name").where("name is not null").distinct()
+    # a start counts only if some name begins with its word; runs of all lengths are made of what is left
+    first = known.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("first")).distinct()
+    begun = parts.select("key", "line_no", "line", F.explode(own).alias("s")).select("key", "line_no", "line", "s.at", "s.run", F.col("s.run")[0].alias("first"))
+    begun = begun.join(first, "first", "left_semi")
+    length = F.array(*map(F.lit, lengths)).cast("array<int>")
+    whole = lambda n: (2 * n - 1 <= F.size("run")) & F.forall(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.element_at("run", 2 * k) == " "))
+    runs = F.transform(F.filter(length, whole), lambda n: F.struct((F.col("at") + 2 * n - 2).alias("last"), F.array_join(F.slice("run", F.lit(1), 2 * n - 1), "").alias("name")))
+    candidates = begun.select("key", "line_no", "line", "at", F.explode(runs).alias("c")).select("key", "line_no", "line", "at", "c.last", "c.name")
+    found = candidates.join(known, "name")
+    ordered = found.groupBy("key", "line_no", "line").agg(
+        F.array_sort(F.collect_set(F.struct("at", (-F.col("last")).alias("minus_last"), "name"))).alias("m")
     )
     nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
 
@@ -148,6 +156,21 @@ def overview_counts(docs: DataFrame) -> DataFrame:
     return counts.where("n_overviews > 1 or not _has").select("code", "n_overviews")
 
 
+def known_codes(found: DataFrame, valid: DataFrame, code: str = "code") -> DataFrame:
+    """Rows of ``found`` whose code is valid (code)."""
+    return found.join(valid.select(F.col("code").alias(code)).distinct(), code, "left_semi")
+
+
+def unknown_codes(found: DataFrame, valid: DataFrame, code: str = "code") -> DataFrame:
+    """Rows of ``found`` whose code is not valid (code)."""
+    return found.join(valid.select(F.col("code").alias(code)).distinct(), code, "left_anti")
+
+
+def all_codes(found: DataFrame, built: DataFrame) -> DataFrame:
+    """Codes of either table, once."""
+    return found.select("code").unionByName(built.select("code")).distinct()
+
+
 def feature_edges(docs: DataFrame, nf: str, license_codes: DataFrame, feature_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, dropped (kind, n)): dependencies, licences and parts of the overview; parts point back at it.
 
@@ -155,16 +178,15 @@ def feature_edges(docs: DataFrame, nf: str, license_codes: DataFrame, feature_co
     """
     docs = feature_ids(docs, nf)
     own = F.concat(F.lit(f"{nf}@Feature@"), "code")
-    known = docs.select("code").distinct() if feature_codes is None else feature_codes.select("code").unionByName(docs.select("code")).distinct()
+    known = docs.select("code").distinct() if feature_codes is None else all_codes(feature_codes, docs)
 
     def candidates(pattern, exclude):
         return docs.select("code", F.explode(X.codes_in(F.col("md"), pattern, exclude)).alias("target")).distinct()
 
     deps, lics = candidates(X.FEATURE_CODE, F.col("code")), candidates(X.LICENSE_CODE, None)
-    kept = lambda c, valid: c.join(valid.select(F.col("code").alias("target")).distinct(), "target", "left_semi")
-    gone = lambda c, valid, kind: c.join(valid.select(F.col("code").alias("target")).distinct(), "target", "left_anti").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    gone = lambda c, valid, kind: unknown_codes(c, valid, "target").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     with_overview = docs.where("is_overview").select("code")
-    deps_in, lics_in = (x.join(with_overview, "code", "left_semi") for x in (kept(deps, known), kept(lics, license_codes)))
+    deps_in, lics_in = (x.join(with_overview, "code", "left_semi") for x in (known_codes(deps, known, "target"), known_codes(lics, license_codes, "target")))
     parts = docs.where("not is_overview")
     edges = (
         deps_in.select(own.alias("from_id"), F.lit("依赖特性").alias("relation"), F.concat(F.lit(f"{nf}@Feature@"), "target").alias("to_id"))
@@ -273,27 +295,134 @@ def locate_folders(folders: DataFrame, keywords: DataFrame, nf: str, most: int =
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("role", "path", "strict", "rank")
 
 
-# What each layer is built from, in building order.
-BUILD_ORDER = ("Command", "ConfigObject", "License", "Feature")
-BUILD_NEEDS = {"Command": (), "ConfigObject": ("Command",), "License": (), "Feature": ("Command", "License")}
+class Builder(NamedTuple):
+    """What builds a layer: the layers that it needs, and the roles of the folders that it reads."""
+
+    layer: str
+    needs: tuple[str, ...] = ()
+    roles: tuple[str, ...] = ()
+
+
+class Mode(NamedTuple):
+    """A kind of product documentation: key words of its folders by role, its builders in order."""
+
+    name: str
+    keywords: dict[str, tuple[str, ...]]
+    builders: tuple[Builder, ...]
+    two_pass: bool = False
+
+
+# The folder names and building order of the one kind of documentation that comes with the library.
+MODES: dict[str, Mode] = {
+    "5gc": Mode(
+        "5GC产品文档",
+        {"mml": ("MML命令", "MML 命令", "命令参考"), "feature": ("特性指南",), "license": ("License描述", "License 控制", "License控制")},
+        (
+            Builder("Command", (), ("mml",)),
+            Builder("ConfigObject", ("Command",)),
+            Builder("License", (), ("license", "feature")),
+            Builder("Feature", ("Command", "License"), ("feature",)),
+        ),
+        two_pass=True,
+    )
+}
+
+
+def register_mode(key: str, mode: Mode) -> None:
+    """Adds a kind of documentation. Every builder's needs must come before it."""
+    seen: set[str] = set()
+    for builder in mode.builders:
+        if missing := [x for x in builder.needs if x not in seen]:
+            raise ValueError(f"{builder.layer} is built before {missing}")
+        seen.add(builder.layer)
+    MODES[key] = mode
+
+
+def list_modes(spark: SparkSession) -> DataFrame:
+    """(id, name, layers array<string> in building order, two_pass) of the kinds that are registered."""
+    rows = [(key, m.name, [b.layer for b in m.builders], m.two_pass) for key, m in MODES.items()]
+    return spark.createDataFrame(rows, "id string, name string, layers array<string>, two_pass boolean")
 
 
-def scope_closure(scope: list[str], existing: set[str]) -> tuple[list[str], list[str]]:
+def mode_keywords(spark: SparkSession, mode: str) -> DataFrame:
+    """(role, keyword) of a kind of documentation, for ``locate_folders``."""
+    rows = [(role, word) for role, words in MODES[mode].keywords.items() for word in words]
+    return spark.createDataFrame(rows, "role string, keyword string")
+
+
+def scope_closure(scope: list[str], existing: set[str], mode: str = "5gc") -> tuple[list[str], list[str]]:
     """(layers to build in order, notes): what a scope needs and does not find is added. Unknown layers are refused."""
-    unknown = [x for x in scope if x not in BUILD_ORDER]
-    if unknown:
+    builders = MODES[mode].builders
+    if unknown := [x for x in scope if x not in {b.layer for b in builders}]:
         raise ValueError(f"unknown layers: {unknown}")
     chosen, notes = set(scope), []
-    for layer in BUILD_ORDER:
-        if layer in scope:
-            for need in BUILD_NEEDS[layer]:
+    for builder in builders:
+        if builder.layer in scope:
+            for need in builder.needs:
                 if need not in chosen and need not in existing:
                     chosen.add(need)
-                    notes.append(f"{layer} needs {need}")
-    return [x for x in BUILD_ORDER if x in chosen], notes
+                    notes.append(f"{builder.layer} needs {need}")
+    return [b.layer for b in builders if b.layer in chosen], notes
+
+
+def building_steps(scope: list[str], mode: str = "5gc") -> list[str]:
+    """The layers in the order of their runs: where features are built along with commands, the commands' layers run again,
+    since their references to features can only be kept once there are features."""
+    steps = [b.layer for b in MODES[mode].builders if b.layer in scope]
+    again = [x for x in steps if x in ("Command", "ConfigObject")] if MODES[mode].two_pass and {"Command", "Feature"} <= set(scope) else []
+    return steps + again
 
 
 def manifest(assets: DataFrame) -> DataFrame:
-    """One JSON row of the number of assets and edges of each type: (manifest)."""
+    """One JSON row of the number of assets of each type: (manifest)."""
     counts = assets.groupBy("type").agg(F.count("*").alias("count"))
     return counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "count"))))).alias("manifest"))
+
+
+def _counted(layer: str, rows: DataFrame, **counts: Column) -> DataFrame:
+    found = rows.agg(*(c.alias(name) for name, c in counts.items()))
+    return found.select(F.lit(layer).alias("layer"), F.to_json(F.struct(*counts)).alias("manifest"))
+
+
+def command_manifest(commands: DataFrame) -> DataFrame:
+    """(layer, manifest): commands, dangerous ones, configuration objects that they name."""
+    objects = F.count_distinct(F.when(F.col("object") != "", F.col("object")))
+    return _counted("Command", commands, commands=F.count("*"), dangerous=F.count_if(X.is_dangerous(F.col("md"))), objects=objects)
+
+
+def object_manifest(found: DataFrame) -> DataFrame:
+    """(layer, manifest) of ``families``: objects, and those of each kind."""
+    kinds = {k: F.count_if(F.col("object_kind") == k) for k in ("entity", "global_setting", "query_target")}
+    return _counted("ConfigObject", found, objects=F.count("*"), **kinds)
+
+
+def license_manifest(found: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(layer, manifest) of ``licenses``: licences, and references to features that do not exist (rows of ``dropped``)."""
+    both = found.select(F.lit(1).alias("mine"), F.lit(0).alias("gone")).unionByName(dropped.select(F.lit(0).alias("mine"), F.lit(1).alias("gone")))
+    return _counted("License", both, licenses=F.coalesce(F.sum("mine"), F.lit(0)), dangling=F.coalesce(F.sum("gone"), F.lit(0)))
+
+
+def feature_manifest(docs: DataFrame) -> DataFrame:
+    """(layer, manifest) of ``feature_documents``: features, documents, overviews."""
+    return _counted("Feature", docs, features=F.count_distinct("code"), documents=F.count("*"), overviews=F.count_if("is_overview"))
+
+
+def extracted_edges(commands: DataFrame, nf: str, extractors: list[Callable[[str, str], Iterable[tuple[str, str]]]]) -> DataFrame:
+    """Edges (from_id, relation, to_id) of plug-ins that give (relation, ``Type@local``) for a command's page (md, name).
+
+    The plug-ins run in Arrow batches on the executors. One that fails costs its own edges of that page only.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, md in zip(pdf["name"], pdf["md"]):
+                for extract in extractors:
+                    try:
+                        rows += [(name, relation, target) for relation, target in extract(md or "", name)]
+                    except Exception:  # noqa: BLE001  a plug-in may fail in any way
+                        continue
+            yield pd.DataFrame(rows, columns=["name", "relation", "target"])
+
+    found = commands.select("name", "md").mapInPandas(run, "name string, relation string, target string").distinct()
+    return found.select(_command_id(nf, "name").alias("from_id"), "relation", F.concat(F.lit(f"{nf}@"), "target").alias("to_id"))

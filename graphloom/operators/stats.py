@@ -45,3 +45,17 @@ def existing_layers(objects: DataFrame) -> DataFrame:
         .groupBy("nf", "version")
         .agg(has("Command").alias("has_command"), has("ConfigObject").alias("has_config"), has("Feature").alias("has_feature"), has("License").alias("has_license"))
     )
+
+
+def distinct_values(objects: DataFrame, column: str) -> DataFrame:
+    """The values that a column has, each once; null and empty ones are none."""
+    return objects.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct()
+
+
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """(name, n, is_empty) of tables, one row each."""
+    found = None
+    for name, table in tables.items():
+        one = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", (F.col("n") == 0).alias("is_empty"))
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding, html, ids, markdown, text
 from ..functions.versions import ver_key
 from ..operators import access, graph, maintenance, mining, reviews, stats, telemetry
 from . import fixtures as X
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
-    """Registers a query under its name; ``sql`` may use the fixtures' tables and goes behind them."""
-
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            more = "" if not body.startswith(",") else body
-            _sql[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{X.SQL.strip()}{more or chr(10) + body}"
-        return f
-
-    return register
-
+from . import mining_queries, source_queries  # noqa: F401  they register themselves
+from .registry import Query, found_queries, found_sql, query
 
 def _joined(column: str) -> F.Column:
     return F.array_join(column, ",").alias(column)
@@ -133,11 +114,6 @@ def versions_per_nf(spark, sf):
     return graph.versions_per_nf(X.objects(spark, sf)).withColumn("versions", _joined("versions"))
 
 
-@query("SELECT DISTINCT nf FROM objects WHERE nf IS NOT NULL")
-def distinct_nfs(spark, sf):
-    return X.objects(spark, sf).where("nf is not null").select("nf").distinct()
-
-
 @query("SELECT version, row_number() OVER (ORDER BY vk)::INT AS place FROM (SELECT DISTINCT version, vk FROM objects WHERE version IS NOT NULL)")
 def version_order(spark, sf):
     from pyspark.sql import Window
@@ -282,11 +258,6 @@ def orphan_objects(spark, sf):
     return X.objects(spark, sf).join(ends, "id", "left_anti").select("id", "version")
 
 
-@query("SELECT DISTINCT from_id, relation, to_id FROM edges")
-def edge_dedup(spark, sf):
-    return X.edges(spark, sf).select("from_id", "relation", "to_id").distinct()
-
-
 @query(f"SELECT id, CASE WHEN list_contains(versions, {FIRST_VERSION}) THEN {FIRST_VERSION} WHEN list_contains(versions, '20.2.2') THEN '20.2.2' ELSE versions[-1] END AS opens FROM vers")
 def navigation_version(spark, sf):
     own = graph.versions_per_id(X.objects(spark, sf)).withColumns({"forced": F.lit(_first_version(spark, sf)), "current": F.lit("20.2.2")})
@@ -339,10 +310,6 @@ def asset_existence(spark, sf):
     return stats.existing_layers(X.objects(spark, sf))
 
 
-@query("SELECT DISTINCT scenario FROM objects WHERE scenario IS NOT NULL")
-def scenario_union(spark, sf):
-    return X.objects(spark, sf).where("scenario is not null").select("scenario").distinct()
-
 
 # telemetry
 
@@ -350,7 +317,6 @@ def scenario_union(spark, sf):
 def _used(spark, sf):
     return telemetry.qualifying(X.telemetry(spark, sf))
 
-
 @query("SELECT count(*) AS total FROM used")
 def telemetry_total(spark, sf):
     return telemetry.total(_used(spark, sf))
@@ -456,21 +422,8 @@ def orphan_runs(spark, sf):
 # mining
 
 
-def _command_rows(spark, sf):
-    c = X.commands(spark, sf)
-    return c.select(F.concat_ws("/", "nf", "version", "local").alias("path"), F.col("local").alias("name"), F.concat(F.lit("增加"), "local").alias("name_zh"), text.verb_of(F.col("local")).alias("verb"), text.object_of(F.col("local")).alias("object"), "nf")
-
-
-@query("SELECT object, array_to_string(list_sort(list(DISTINCT verb)), ',') AS verbs, count(*) AS n_commands FROM (SELECT split_part(local, ' ', 1) AS verb, split_part(local, ' ', 2) AS object FROM cmd) WHERE object <> '' GROUP BY object")
-def configobject_families(spark, sf):
-    c = _command_rows(spark, sf)
-    every = c.withColumn("verb", F.col("verb"))
-    return every.where("object <> ''").groupBy("object").agg(F.array_join(F.array_sort(F.collect_set("verb")), ",").alias("verbs"), F.count("*").alias("n_commands"))
-
-
 _VERBS = "CASE src % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'LST' WHEN 2 THEN 'SET' ELSE 'DSP' END"
 
-
 @query(f"""SELECT object, CASE WHEN bool_or(verb = 'ADD') THEN 'entity' WHEN bool_or(verb = 'SET') THEN 'global_setting' ELSE 'query_target' END AS object_kind, count(*) AS n_commands
     FROM (SELECT {_VERBS} AS verb, local AS object FROM p) GROUP BY object HAVING bool_or(verb IN ('ADD', 'SET'))""")
 def object_kind(spark, sf):
@@ -488,44 +441,12 @@ def feature_groups(spark, sf):
     return paths.groupBy(text.deepest_code(F.col("path")).alias("code")).agg(F.count("*").alias("n"))
 
 
-_CODES = "SELECT DISTINCT 'LKV' || lpad((l_partkey % 97)::VARCHAR, 6, '0') AS code FROM lineitem"
-
-
-def _codes(spark, sf):
-    line = X.read(spark, sf, "lineitem").select(F.concat(F.lit("licence "), F.lit("LKV"), F.lpad((F.col("l_partkey") % 97).cast("string"), 6, "0"), F.lit(" of")).alias("md"))
-    found = line.select(F.explode(text.codes_in(F.col("md"), text.LICENSE_CODE)).alias("code")).distinct()
-    valid = X.read(spark, sf, "supplier").select(F.concat(F.lit("LKV"), F.lpad((F.col("s_suppkey") % 60).cast("string"), 6, "0")).alias("code")).distinct()
-    return found, valid
-
-
-_VALID = "SELECT 'LKV' || lpad((s_suppkey % 60)::VARCHAR, 6, '0') AS code FROM supplier"
-
-
-@query(f"{_CODES} INTERSECT {_VALID}")
-def code_intersection(spark, sf):
-    found, valid = _codes(spark, sf)
-    return found.join(valid, "code", "left_semi")
-
-
-@query(f"{_CODES} EXCEPT {_VALID}")
-def code_difference(spark, sf):
-    found, valid = _codes(spark, sf)
-    return found.join(valid, "code", "left_anti")
-
-
-@query(f"{_CODES} UNION {_VALID}")
-def code_union(spark, sf):
-    found, valid = _codes(spark, sf)
-    return found.union(valid).distinct()
-
-
 # maintenance, registry, access
 
 
 def _disk(spark, sf):
     return X.objects(spark, sf).where("mtime % 10 <> 3").select("source_path", (F.col("mtime") + F.when(F.col("mtime") % 7 == 0, 1.0).otherwise(0.0005)).alias("mtime"))
 
-
 @query("""SELECT source_path, change FROM (SELECT coalesce(d.source_path, o.source_path) AS source_path, CASE WHEN d.source_path IS NULL THEN 'deleted' WHEN abs(d.mtime - o.mtime) > 0.001 THEN 'changed' END AS change
     FROM (SELECT source_path, mtime + CASE WHEN mtime % 7 = 0 THEN 1.0 ELSE 0.0005 END AS mtime FROM objects WHERE mtime % 10 <> 3) d FULL JOIN (SELECT source_path, max(mtime) AS mtime FROM objects GROUP BY 1) o ON d.source_path = o.source_path) WHERE change IS NOT NULL""")
 def mtime_diff(spark, sf):
@@ -584,14 +505,6 @@ def html_to_md(spark, sf):
     return X.read(spark, sf, "pages").select("page_id", html.html_to_markdown("html").alias("md"), html.is_meaningful(F.col("html")).alias("meaningful"))
 
 
-@query()
-def parse_md(spark, sf):
-    c = X.objects(spark, sf)
-    raw = F.concat(F.lit("---\nid: "), "id", F.lit("\ntype: "), "type", F.lit("\nname: "), "name", F.lit("\n---\n# "), "name", F.lit("\n\n## 边\n- 参见: [["), "id", F.lit("]], [[X]]\n"))
-    parsed = markdown.parse_documents(c.select("id", "version", raw.alias("raw_md")))
-    return parsed.select("id", "version", "frontmatter_json", "body_md", F.to_json(text.edge_links(F.col("edge_section"))).alias("edges"))
-
-
 @query()
 def dictionary_scan(spark, sf):
     docs = X.read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.upper("text").alias("md"))
@@ -600,19 +513,6 @@ def dictionary_scan(spark, sf):
     return mining.scan_names(docs, names)
 
 
-@query()
-def doc_ref_rewrite(spark, sf):
-    c = X.commands(spark, sf)
-    code = F.concat(F.lit("GWFD-"), F.lpad((F.col("src") % 1_000_000).cast("string"), 6, "0"))
-    links = F.concat(F.lit(" and [gone](b/x.md) and [web](http://e.org) and [page](c/page_"), "src", F.lit(".md) and [feature](d/"), code, F.lit(" x.md)"))
-    docs = c.select(F.concat_ws("@", "id", "version").alias("key"), F.concat(F.lit("See [增加（"), "local", F.lit("）](a/增加（"), "local", F.lit("）_1.md)"), links).alias("md"))
-    # every third page has no source file, every second feature does not exist
-    sources = c.where("src % 3 <> 0").select(F.concat(F.lit("page_"), "src", F.lit(".md")).alias("filename"), "id")
-    features = c.where("src % 2 = 0").select(code.alias("code")).distinct()
-    out = mining.rewrite_references(docs, "NF0", c.select(F.col("local").alias("name")).distinct(), sources, features)
-    return out.select("key", "md", "n_resolved", "n_stripped", F.array_join("commands", ",").alias("commands"))
-
-
 @query()
 def extract_problems(spark, sf):
     c = X.read(spark, sf, "conversations")
@@ -627,8 +527,8 @@ def mojibake_scan(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(found_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(found_sql)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ElementTree
 import zipfile
+from typing import NamedTuple
 
 import pandas as pd
 import yaml
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.ids import classify
-from ..functions.markdown import parse_documents
+from ..functions.markdown import parse_documents, rewrite_front_matter
 from ..functions.text import unsafe_member
 from ..model import REGISTRY
+from ..operators.maintenance import import_counts, last_wins, merge_registry
 
 
 @udtf(returnType="idx int, name string, content binary")
@@ -54,34 +56,106 @@ def markdown_members(rows: DataFrame) -> DataFrame:
 
 
 def extension_types(rows: DataFrame) -> DataFrame:
-    """Object types that a bundle brings in ``types/*.yaml``, in the registry's columns."""
+    """Object types that a bundle brings, in the registry's columns: ``types/<type>.yaml`` holds the type's description.
+
+    A file that is no YAML mapping brings nothing.
+    """
 
     def parse(batches):
         for pdf in batches:
             found = []
-            for content in pdf["content"]:
-                for name, spec in ((yaml.safe_load(bytes(content).decode()) or {}).get("object_types") or {}).items():
-                    found.append((name, spec.get("layer"), spec.get("scope"), spec.get("id_segments"), list(spec.get("path_fields") or []), list(spec.get("frontmatter_required") or [])))
+            for name, content in zip(pdf["name"], pdf["content"]):
+                try:
+                    spec = yaml.safe_load(bytes(content).decode()) or {}
+                except (yaml.YAMLError, UnicodeDecodeError):
+                    continue
+                if isinstance(spec, dict):
+                    type_ = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                    found.append((type_, spec.get("layer"), spec.get("scope"), spec.get("id_segments"), list(spec.get("path_fields") or []), list(spec.get("frontmatter_required") or [])))
             yield pd.DataFrame(found, columns=["type", "layer", "scope", "id_segments", "path_fields", "frontmatter_required"])
 
-    return rows.where(F.col("name").rlike(r"(^|/)types/[^/]+\.ya?ml$")).select("content").mapInPandas(parse, REGISTRY)
+    return rows.where(F.col("name").rlike(r"^types/[^/]+\.yaml$")).select("name", "content").mapInPandas(parse, REGISTRY)
 
 
-def admit(documents: DataFrame, registry: DataFrame) -> DataFrame:
+def admit(documents: DataFrame, registry: DataFrame, infer_type: bool = True) -> DataFrame:
     """Parsed documents with their place: adds id, type, path and warning (null where the document is admitted).
 
-    A type that the front matter does not name is taken from the id.
+    A type that the front matter does not name is taken from the id, unless ``infer_type`` is false.
     """
     parsed = parse_documents(documents)
     id_ = F.try_element_at("fields", F.lit("id"))
     parts = F.split(id_, "@", -1)
-    type_ = F.coalesce(F.try_element_at("fields", F.lit("type")), F.when(F.size(parts) == 3, parts[1]).when(F.size(parts) == 2, parts[0]))
+    type_ = F.try_element_at("fields", F.lit("type"))
+    if infer_type:
+        type_ = F.coalesce(type_, F.when(F.size(parts) == 3, parts[1]).when(F.size(parts) == 2, parts[0]))
     typed = parsed.withColumns({"id": id_, "type": type_}).join(F.broadcast(registry), "type", "left")  # one row for each type
     placed = classify(F.col("id"), F.col("scope"), F.col("layer"), F.col("path_fields"), F.col("fields"))
-    bad = F.when(F.col("frontmatter_json").isNull(), F.lit("bad front matter")).when(F.col("id").isNull(), F.lit("no id")).otherwise(placed["warning"])
+    bad = F.when(F.col("frontmatter_json").isNull(), F.lit("bad front matter")).when(F.col("id").isNull(), F.lit("no id")).when(F.col("type").isNull(), F.lit("no type")).otherwise(placed["warning"])
     return typed.withColumn("warning", bad).withColumn("path", F.when(F.col("warning").isNull(), placed["path"])).drop("id_segments", "path_fields", "frontmatter_required")
 
 
+class Import(NamedTuple):
+    """What an import changes: ``documents`` to write (admitted ones, of each path the last), ``counts`` (added, updated,
+    skipped), ``warnings`` (name, warning), and the ``registry`` with the bundle's types."""
+
+    documents: DataFrame
+    counts: DataFrame
+    warnings: DataFrame
+    registry: DataFrame
+
+
+def import_bundle(rows: DataFrame, registry: DataFrame, existing: DataFrame) -> Import:
+    """Imports the members (idx, name, content) of a bundle into a store that holds the paths ``existing`` (path).
+
+    The bundle's types come first, so that its documents may have them. Members that are not UTF-8, not admitted or without id
+    or type are skipped with a warning; a path that repeats in the bundle counts as updated, and its last document stays.
+    """
+    merged, overridden = merge_registry(registry, extension_types(rows))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    documents = rows.where(F.col("name").endswith(".md")).select("idx", F.col("name").alias("source_path"), text.alias("raw_md"))
+    admitted = admit(documents, merged, infer_type=False)
+    warning = F.when(F.col("raw_md").isNull(), F.lit("not UTF-8")).otherwise(F.col("warning"))
+    admitted = admitted.withColumn("warning", warning).withColumn("path", F.when(F.col("warning").isNull(), F.col("path")))
+    last = last_wins(admitted.where("warning is null"), ["path"], "idx")
+    warned = admitted.where("warning is not null").select(F.col("source_path").alias("name"), "warning")
+    return Import(last, import_counts(admitted, existing), overridden.select(F.col("type").alias("name"), "warning").unionByName(warned), merged)
+
+
+# The folders of the asset tree and the types that may be uploaded to them.
+FOLDER_TYPES = {
+    "Command": ("MMLCommand",),
+    "ConfigObject": ("ConfigObject",),
+    "Feature": ("Feature",),
+    "License": ("License",),
+    "AtomTask": ("AtomTask",),
+    "CompoundTask": ("CompoundTask",),
+    "FeatureTask": ("FeatureTask",),
+    "Business": ("BusinessDomain", "NetworkScenario", "ConfigurationSolution"),
+}
+
+
+def upload(documents: DataFrame, folder: str, registry: DataFrame, existing: DataFrame, overrides: dict[str, str] | None = None) -> Import:
+    """Uploads documents (idx, source_path, raw_md) to a folder of the asset tree, each as ``<id>.md``.
+
+    A document whose type belongs to another top folder is skipped with a warning; a top folder without rules takes all types.
+    ``overrides`` sets front-matter fields, so that documents agree with their folder.
+    """
+    allowed = FOLDER_TYPES.get(folder.strip("/").split("/")[0])
+    admitted = admit(documents, registry).drop("path")
+    unknown = F.when(F.col("layer").isNull() & F.col("type").isNotNull(), F.concat(F.lit("unknown type "), "type"))
+    wrong = F.lit(None).cast("string") if allowed is None else F.when(~F.col("type").isin(*allowed), F.concat(F.lit("not the folder of "), "type"))
+    # where a document would be filed by its fields does not matter here, only whether it has an id and a known type
+    warning = F.when(F.col("warning").isin("bad front matter", "no id", "no type"), F.col("warning")).otherwise(F.coalesce(unknown, wrong))
+    admitted = admitted.withColumn("warning", warning)
+    top = F.lit(folder.strip("/") + "/" if folder.strip("/") else "")
+    admitted = admitted.withColumn("path", F.when(F.col("warning").isNull(), F.concat(top, "id", F.lit(".md"))))
+    if overrides:
+        admitted = admitted.withColumn("raw_md", rewrite_front_matter(F.col("raw_md"), overrides))
+    last = last_wins(admitted.where("warning is null"), ["path"], "idx")
+    warned = admitted.where("warning is not null").select(F.col("source_path").alias("name"), "warning")
+    return Import(last, import_counts(admitted, existing), warned, registry)
+
+
 def to_objects(admitted: DataFrame) -> DataFrame:
     """Admitted documents as rows of the object table."""
     field = lambda n: F.try_element_at("fields", F.lit(n))

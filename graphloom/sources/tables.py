@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import problems
 from ..model import EDGES, OBJECTS
+from . import storage
 from .files import relative_path
 
+#: Where edges lie whose node is not there.
+NO_LAYER = "none"
+
 
 def read_telemetry_log(spark: SparkSession, path: str, level: str) -> DataFrame:
     """A JSON-lines log: blank and bad lines are dropped, ``id`` and ``type`` are the object's, the file's level is the default."""
@@ -19,9 +28,19 @@ def read_telemetry_log(spark: SparkSession, path: str, level: str) -> DataFrame:
     )
 
 
-def with_sequence(log: DataFrame, after: int = 0) -> DataFrame:
-    """Adds seq, unique and growing with the time inside a partition."""
-    return log.sortWithinPartitions("ts").withColumn("seq", F.monotonically_increasing_id() + after + 1)
+def with_sequence(log: DataFrame, folder: str, after: int = 0) -> DataFrame:
+    """Adds seq: consecutive numbers from ``after`` + 1 in the order of time, over all partitions.
+
+    The sorted log is written to ``folder`` first, so that numbers stay the same however often they are read.
+    """
+    spark = log.sparkSession
+    log.repartitionByRange("ts", *(F.xxhash64(c) for c in log.columns if c != "ts")).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("ts", *(c for c in log.columns if c != "ts")))
+    numbered = rows.join(F.broadcast(starts), "_part").withColumn("seq", (F.col("_start") + within + after).cast("long"))  # a row for each partition
+    return numbered.drop("_part", "_start")
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -84,48 +103,150 @@ def read_review_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 class Store:
-    """The object and edge tables as Parquet, objects by layer; every write goes to a new version that then becomes current.
+    """The object and edge tables as Parquet in slices, by layer and by a hash of the id.
 
-    Readers of an earlier version are not disturbed, and a failed write leaves the current one as it was.
+    A write puts only the slices that it changes into a new folder, then appends a version that says where every slice lies.
+    Readers of an earlier version are not disturbed, and a failed write leaves the current one as it was. Edges lie in the
+    slice of the node that they start from. ``clean`` deletes folders that no recent version needs.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _pointer(self) -> str:
-        return f"{self.root}/current"
+    def _versions(self) -> DataFrame:
+        schema = "version int, layer string, bucket int, folder string"
+        path = f"{self.root}/versions"
+        return self.spark.read.schema(schema).parquet(path) if storage.exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def current(self) -> int:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer())
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return 0
-        return self.spark.read.parquet(self._pointer()).agg(F.max("version")).first()[0] or 0
+        return self._versions().agg(F.max("version")).first()[0] or 0
 
-    def objects(self) -> DataFrame:
+    def _slices(self) -> dict[tuple[str, int], str]:
+        """Folder of every slice of the current version: at most layers times buckets."""
         n = self.current()
-        return self.spark.read.schema(OBJECTS).parquet(f"{self.root}/v{n}/objects") if n else self.spark.createDataFrame([], OBJECTS)
+        return {(x["layer"], x["bucket"]): x["folder"] for x in self._versions().where(F.col("version") == n).collect() if x["folder"]}
+
+    def _read(self, table: str, schema: StructType, slices: dict[tuple[str, int], str]) -> DataFrame:
+        found = self.spark.createDataFrame([], schema)
+        own = StructType([*(f for f in schema if f.name != "layer"), StructField("layer", StringType()), StructField("bucket", IntegerType())])
+        for folder in sorted(set(slices.values())):
+            layers: dict[str, list[int]] = {}
+            for (layer, bucket), place in slices.items():
+                if place == folder:
+                    layers.setdefault(layer, []).append(bucket)
+            live = reduce(or_, ((F.col("layer") == layer) & F.col("bucket").isin(*some) for layer, some in layers.items()))
+            path = f"{self.root}/{folder}/{table}"
+            if storage.exists(self.spark, path):
+                found = found.unionByName(self.spark.read.schema(own).parquet(path).where(live).select(*schema.names))
+        return found
+
+    def objects(self) -> DataFrame:
+        return self._read("objects", OBJECTS, self._slices())
 
     def edges(self) -> DataFrame:
-        n = self.current()
-        return self.spark.read.schema(EDGES).parquet(f"{self.root}/v{n}/edges") if n else self.spark.createDataFrame([], EDGES)
+        return self._read("edges", EDGES, self._slices())
 
-    def replace(self, objects: DataFrame, edges: DataFrame) -> int:
+    def _bucket(self, id_: str) -> F.Column:
+        return F.pmod(F.xxhash64(id_), F.lit(self.buckets)).cast("int")
+
+    def _write(self, objects: DataFrame, edges: DataFrame, kept: dict[tuple[str, int], str]) -> int:
         n = self.current() + 1
-        objects.select(*OBJECTS.names).write.partitionBy("layer").mode("overwrite").parquet(f"{self.root}/v{n}/objects")
-        edges.select(*EDGES.names).write.mode("overwrite").parquet(f"{self.root}/v{n}/edges")
-        self.spark.createDataFrame([(n,)], "version int").write.mode("append").parquet(self._pointer())
+        folder = f"v{n}-{uuid.uuid4().hex[:8]}"
+        rows = objects.select(*OBJECTS.names).withColumn("bucket", self._bucket("id"))
+        rows.repartition("layer", "bucket").write.partitionBy("layer", "bucket").parquet(f"{self.root}/{folder}/objects")
+        written = self.spark.read.schema("id string, layer string, bucket int").parquet(f"{self.root}/{folder}/objects")
+        layers = written.groupBy(F.col("id").alias("from_id")).agg(F.min("layer").alias("layer"))
+        placed = edges.select(*EDGES.names).join(layers, "from_id", "left").withColumns({"layer": F.coalesce("layer", F.lit(NO_LAYER)), "bucket": self._bucket("from_id")})
+        placed.repartition("layer", "bucket").write.partitionBy("layer", "bucket").parquet(f"{self.root}/{folder}/edges")
+        ends = self.spark.read.schema("from_id string, layer string, bucket int").parquet(f"{self.root}/{folder}/edges")
+        new = written.select("layer", "bucket").union(ends.select("layer", "bucket")).distinct().collect()  # the slices of this version
+        slices = kept | {(x["layer"], x["bucket"]): folder for x in new}
+        rows = [(n, layer, bucket, place) for (layer, bucket), place in slices.items()] or [(n, None, None, None)]
+        self.spark.createDataFrame(rows, "version int, layer string, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
         return n
 
+    def replace(self, objects: DataFrame, edges: DataFrame) -> int:
+        """Writes all slices anew."""
+        return self._write(objects, edges, {})
+
+    def _touched(self, ids: DataFrame) -> tuple[dict[tuple[str, int], str], dict[tuple[str, int], str]]:
+        """(slices that the ids' buckets lie in, the others)."""
+        buckets = {x[0] for x in ids.select(self._bucket("id")).distinct().collect()}  # at most ``buckets`` rows
+        slices = self._slices()
+        mine = {k: v for k, v in slices.items() if k[1] in buckets}
+        return mine, {k: v for k, v in slices.items() if k not in mine}
+
+    def _holding(self, slices: dict[tuple[str, int], str], keys: DataFrame, layers: DataFrame) -> dict[tuple[str, int], str]:
+        """Those of ``slices`` whose layer is in ``layers`` (layer), or that hold rows of ``keys`` (id)."""
+        own = self._read("objects", OBJECTS, slices).select("id", "layer").join(keys.select("id").distinct(), "id", "left_semi")
+        names = {x[0] for x in own.select("layer").distinct().union(layers.select("layer").distinct()).collect()} | {NO_LAYER}  # a few layers
+        return {k: v for k, v in slices.items() if k[0] in names}
+
     def merge(self, objects: DataFrame, edges: DataFrame) -> int:
-        """Upserts the objects and replaces the edges of their nodes."""
+        """Upserts the objects and replaces the edges of their nodes; other layers and buckets stay as they are."""
         from ..operators.maintenance import replace_edges, upsert
 
-        return self.replace(upsert(self.objects(), objects), replace_edges(self.edges(), objects.select("id", "version"), edges))
+        near, far = self._touched(objects.select("id").union(edges.select("from_id")))
+        mine = self._holding(near, objects, objects)
+        far |= {k: v for k, v in near.items() if k not in mine}
+        old, old_edges = self._read("objects", OBJECTS, mine), self._read("edges", EDGES, mine)
+        return self._write(upsert(old, objects), replace_edges(old_edges, objects.select("id", "version"), edges), far)
 
     def remove(self, paths: DataFrame) -> int:
         """Removes the objects of source paths with their edges."""
         from ..operators.maintenance import delete_by_path, replace_edges
 
-        kept, gone = delete_by_path(self.objects(), paths)
-        return self.replace(kept, replace_edges(self.edges(), gone, self.spark.createDataFrame([], EDGES)))
+        gone = self.objects().join(paths.select("source_path").distinct(), "source_path", "left_semi").select("id", "layer")
+        near, far = self._touched(gone)
+        mine = self._holding(near, gone, gone)
+        far |= {k: v for k, v in near.items() if k not in mine}
+        kept, keys = delete_by_path(self._read("objects", OBJECTS, mine), paths)
+        return self._write(kept, replace_edges(self._read("edges", EDGES, mine), keys, self.spark.createDataFrame([], EDGES)), far)
+
+    def rebuild(self, admitted: DataFrame) -> DataFrame:
+        """Replaces everything by the admitted documents (see ``bundles.admit``); returns (objects, edges, skipped), one row.
+
+        Of documents with one id and version the last by path stays.
+        """
+        from ..operators.maintenance import last_wins
+        from .bundles import to_edges, to_objects
+
+        good = admitted.where("warning is null").withColumn("_v", F.try_element_at("fields", F.lit("version")))
+        good = last_wins(good, ["id", "_v"], "source_path").drop("_v")
+        self.replace(to_objects(good), to_edges(good).distinct())
+        skipped = admitted.where("warning is not null").agg(F.count("*").alias("skipped"))
+        counts = self.objects().agg(F.count("*").alias("objects")).crossJoin(self.edges().agg(F.count("*").alias("edges")))
+        return counts.crossJoin(skipped)  # one row each
+
+    def clean(self, keep: int = 2) -> list[str]:
+        """Deletes the folders that none of the last ``keep`` versions uses; returns their names."""
+        n = self.current()
+        used = {x[0] for x in self._versions().where(F.col("version") > n - keep).select("folder").distinct().collect()}
+        gone = [x for x in storage.entries(self.spark, self.root) if x.startswith("v") and x != "versions" and x not in used]
+        for name in gone:
+            storage.delete(self.spark, f"{self.root}/{name}")
+        return gone
+
+
+class ReviewStore:
+    """Cases, runs, reviews with their problems, and artifacts as Parquet; every write replaces all of them at once."""
+
+    NAMES = ("cases", "runs", "reviews", "artifacts")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def replace(self, tables: dict[str, DataFrame]) -> DataFrame:
+        """Writes the tables to a new folder, which then is the current one; returns the runs whose case is not there, which stay."""
+        from ..operators.reviews import orphan_runs
+
+        folder = f"{self.root}/v-{uuid.uuid4().hex}"
+        for name in self.NAMES:
+            tables[name].write.parquet(f"{folder}/{name}")
+        storage.write_text(self.spark, f"{self.root}/current", folder)
+        found = self.load()
+        return orphan_runs(found["cases"], found["runs"])
+
+    def load(self) -> dict[str, DataFrame]:
+        folder = self.spark.read.text(f"{self.root}/current", wholetext=True).first()[0]
+        return {name: self.spark.read.parquet(f"{folder}/{name}") for name in self.NAMES}

@@ -35,3 +35,12 @@ def append_feed(log: DataFrame, path: str, checkpoint: str):
     """Writes qualifying uses on to ``path``, all that is there now, then stops; the checkpoint is the cursor."""
     feed = qualifying(log).select("seq", "ts", "obj_id", "obj_type", "user", "operator")
     return feed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Adds rows to a log, and says whether it could: what is being logged goes on where it cannot."""
+    try:
+        rows.write.mode("append").parquet(path)
+    except Exception:  # noqa: BLE001  a log that fails must not stop what it tells of
+        return False
+    return True

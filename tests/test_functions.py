@@ -201,6 +201,23 @@ def test_html_to_markdown():
     assert html.to_markdown(None) is None and html.to_markdown("") == ""
 
 
+def test_html_blocks():
+    page = """<div class="warning"><span class="warningtitle">Mind</span><p>one</p><ul><li>two</li></ul></div><table><caption>Cap <b>x</b></caption><tr><th>a<th>b</tr>
+    <tr><td><ul><li>p</li><li>q</li></ul></td><td><table><tr><td>in</td></tr></table></td></tr></table><figure><img src="../i.png" alt="z"><figcaption>fig</figcaption></figure>
+    <details><summary>More</summary><p>hidden</p></details><dl><dt>t</dt><dd>d</dd></dl><ol type="I" start="9"><li>nine</li><li>ten</li></ol>"""
+    got = html.to_markdown(page, {"d/e.html": "d/e.md"}, "d/p.html").split("\n\n")
+    assert got[0] == "> **Mind**\n> one\n>\n> - two" and got[1] == "*Cap **x***"
+    assert got[2].startswith("| a | b |\n| --- | --- |\n| ") and got[3:] == ["![z](../i.png)", "*fig*", "**More**", "hidden", "- **t**\n  d", "IX. nine\nX. ten"]
+
+
+def test_addresses():
+    assert [html.url_kind(x) for x in ("", " ", "#a", "//h/x", "mailto:x", "HTTPS://x", "file:/a", "a/b.html", "a:b")] == ["empty", "empty", "anchor", "remote", "remote", "remote", "local", "local", "remote"]
+    targets = {"a/b.html": "a/b.md", "c.html": "x/c.md"}
+    assert html.rewritten("../c.html#s", "a/b.html", targets) == "../x/c.md#s" and html.rewritten("nope.html", "a/b.html", targets) == "nope.html"
+    assert html.rewritten("b%2Ehtml?q=1", "a/x.html", targets) == "b.md"
+    assert [html.list_label(n, k) for n, k in ((1, "a"), (26, "A"), (27, "a"), (4, "i"), (19, "I"), (3, ""))] == ["a.", "Z.", "27.", "iv.", "XIX.", "3."]
+
+
 def test_meaningful_pages(spark):
     got = [value(spark, html.is_meaningful(F.lit(x))) for x in ("<h1>T</h1>", "<h1>T</h1><table></table>", "<p>twenty characters of text here</p>", "<p>Copyright of a very long company name</p>")]
     assert got == [False, True, True, False]

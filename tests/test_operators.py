@@ -122,8 +122,8 @@ def test_reviews(spark):
 
 
 def test_permissions(spark):
-    got = {p: spark.sql(f"select '{p}' p").select(access.required_permission(F.col("p"))).first()[0] for p in ("/api/v1/login", "/api/v1/users/x", "/api/v1/md", "/api/v1/objects", "/api/v1/fs/file", "/api/v1/mdx")}
-    assert list(got.values()) == [None, "admin", "skill", "frontend", "assets", "frontend"]
+    got = {p: spark.sql(f"select '{p}' p").select(access.required_permission(F.col("p"))).first()[0] for p in ("/api/v1/users/login", "/api/v1/users/x", "/api/v1/md", "/api/v1/objects", "/api/v1/fs/file", "/api/v1/mdx", "/md/x", "/api/v1/login")}
+    assert list(got.values()) == [None, "admin", "skill", "frontend", "assets", "frontend", None, "frontend"]
 
 
 def test_upsert_and_replace(bundle, spark):
@@ -216,6 +216,23 @@ def test_scope_and_folders(spark):
     assert mining.scope_closure(["Feature"], {"Command", "License"})[0] == ["Feature"]
     with pytest.raises(ValueError):
         mining.scope_closure(["Nope"], set())
+    assert mining.building_steps(["Command", "Feature"]) == ["Command", "Feature", "Command"] and mining.building_steps(["License"]) == ["License"]
+    with pytest.raises(ValueError):
+        mining.register_mode("bad", mining.Mode("x", {}, (mining.Builder("A", ("B",)), mining.Builder("B"))))
     folders = spark.createDataFrame([("udg/命令参考",), ("unc/命令参考",), ("x/y",)], "path string")
     got = mining.locate_folders(folders, spark.createDataFrame([("Command", "命令参考")], "role string, keyword string"), "UDG").collect()
     assert [(r["path"], r["strict"]) for r in got] == [("udg/命令参考", True)]
+
+
+def test_edits_keep_the_id(spark):
+    rows = spark.createDataFrame([("a.md", "T@x", "---\nid: T@x\n---\nold"), ("b.md", "T@y", "---\nid: T@y\n---\n")], "source_path string, id string, raw_md string")
+    done = {r["source_path"]: r["raw_md"] for r in maintenance.edit_document(rows, "a.md", "---\nid: T@x\n---\nnew").collect()}
+    assert done["a.md"].endswith("new") and done["b.md"].endswith("---\n")
+    with pytest.raises(Exception, match="cannot change"):
+        maintenance.edit_document(rows, "a.md", "---\nid: T@z\n---\n").collect()
+
+
+def test_one_job_of_a_kind(spark):
+    jobs = spark.createDataFrame([("1", "mine", "running"), ("2", "import", "done")], "id string, kind string, status string")
+    assert not maintenance.may_start(jobs, "mine") and maintenance.may_start(jobs, "import")
+    assert maintenance.may_start(maintenance.drop_jobs(jobs, jobs.where("id = '1'")), "mine")

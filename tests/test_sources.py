@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.model import TELEMETRY, default_registry
-from graphloom.sources import bundles, files, tables
+from graphloom.sources import bundles, files, storage, tables
 from graphloom.streaming import reindex, telemetry
 
 CMD = "---\nid: UDG@MMLCommand@ADD URR\ntype: MMLCommand\nname: ADD URR\nnf: UDG\nversion: 20.1.0\n---\n# 增加URR（ADD URR）\n\n## 边\n- 操作配置对象: [[UDG@ConfigObject@URR]]\n"
@@ -23,8 +23,8 @@ def zipped(entries):
 
 
 def test_bundle_import_and_export(spark, tmp_path):
-    own = "object_types:\n  Extra: {layer: X, scope: cross, id_segments: 2, path_fields: [domain]}\n"
-    data = zipped([("a/cmd.md", CMD), ("dom.md", DOM), ("types/x.yaml", own), ("no-type.md", "---\nname: x\n---\n"), ("bad.md", b"\xff\xfe\xff"), ("pic.png", b"1"), ("unknown.md", "---\nid: Nope@x\n---\n")])
+    own = "{layer: X, scope: cross, id_segments: 2, path_fields: [domain]}\n"
+    data = zipped([("a/cmd.md", CMD), ("dom.md", DOM), ("types/Extra.yaml", own), ("no-type.md", "---\nname: x\n---\n"), ("bad.md", b"\xff\xfe\xff"), ("pic.png", b"1"), ("unknown.md", "---\nid: Nope@x\n---\n")])
     rows = bundles.members(spark.createDataFrame([("b.zip", bytearray(data))], "path string, content binary"))
     assert rows.count() == 7
     assert [r["type"] for r in bundles.extension_types(rows).collect()] == ["Extra"]
@@ -72,8 +72,8 @@ def test_pages_with_charsets(spark, tmp_path):
 
 def test_logs_and_users(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"ts":"2026","id":"A","type":"T","user":"u"}\n\nnot json\n{"ts":"2027","level":"request"}\n')
-    rows = tables.with_sequence(tables.read_telemetry_log(spark, str(tmp_path / "log.jsonl"), "object")).orderBy("ts").collect()
-    assert [(r["level"], r["obj_id"]) for r in rows] == [("object", "A"), ("request", None)]
+    rows = tables.with_sequence(tables.read_telemetry_log(spark, str(tmp_path / "log.jsonl"), "object"), str(tmp_path / "sorted"), 5).orderBy("ts").collect()
+    assert [(r["seq"], r["level"], r["obj_id"]) for r in rows] == [(6, "object", "A"), (7, "request", None)]
     (tmp_path / "users.json").write_text(json.dumps({"users": [{"username": "a", "is_admin": True}, {"username": "b", "can_assets": False}]}))
     assert {r["username"]: (r["can_assets"], r["can_test"]) for r in tables.read_users(spark, str(tmp_path / "users.json")).collect()} == {"a": (True, False), "b": (False, False)}
 
@@ -131,3 +131,46 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     telemetry.append_feed(stream, str(tmp_path / "feed"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "feed")).count() == 201
     assert telemetry.without_repeats(stream).isStreaming and telemetry.sessions(log).count() >= 3
+
+
+def test_store_writes_only_the_slices_that_change(spark, tmp_path):
+    """A merge of one file leaves the other layers where they are; old folders go when no version needs them."""
+    store, registry = tables.Store(spark, str(tmp_path / "store"), 4), default_registry(spark)
+    rows = spark.createDataFrame([("cmd.md", CMD), ("dom.md", DOM)], "source_path string, raw_md string")
+    admitted = bundles.admit(rows, registry)
+    store.replace(bundles.to_objects(admitted), bundles.to_edges(admitted))
+    before = store._slices()
+    changed = bundles.admit(spark.createDataFrame([("cmd.md", CMD.replace("ADD URR", "ADD URR"))], "source_path string, raw_md string"), registry)
+    store.merge(bundles.to_objects(changed), bundles.to_edges(changed))
+    after = store._slices()
+    assert {k[0] for k in before if before[k] != after[k]} == {"Command"}
+    assert store.objects().count() == 2 and store.edges().count() == 1
+    store.merge(bundles.to_objects(changed), bundles.to_edges(changed).where("false"))
+    assert store.edges().count() == 0 and store.clean(1) and store.objects().count() == 2
+    assert store.clean(1) == []
+
+
+def test_upload_checks_the_folder(spark):
+    registry, none = default_registry(spark), spark.createDataFrame([], "path string")
+    rows = spark.createDataFrame([(0, "c.md", CMD), (1, "d.md", DOM), (2, "n.md", "no id")], "idx int, source_path string, raw_md string")
+    found = bundles.upload(rows, "Command/UDG/9", registry, none, {"version": "9"})
+    assert [r["path"] for r in found.documents.collect()] == ["Command/UDG/9/UDG@MMLCommand@ADD URR.md"]
+    assert tuple(found.counts.first()) == (1, 0, 2) and "version: '9'" in found.documents.first()["raw_md"]
+    assert {r["name"]: r["warning"] for r in found.warnings.collect()} == {"d.md": "not the folder of BusinessDomain", "n.md": "no id"}
+
+
+def test_storage(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    storage.write_text(spark, f"{root}/a/b/x.md", "one")
+    storage.write_text(spark, f"{root}/a/b/x.md", "two")
+    assert (tmp_path / "a/b/x.md").read_text() == "two"
+    storage.move(spark, f"{root}/a/b", f"{root}/c/d")
+    with pytest.raises(FileExistsError):
+        storage.move(spark, f"{root}/a", f"{root}/c")
+    storage.write_text(spark, f"{root}/new/y.md", "new")
+    storage.replace_folder(spark, f"{root}/new", f"{root}/c/d", f"{root}/trash/1")
+    assert storage.entries(spark, f"{root}/c/d") == ["y.md"] and storage.entries(spark, f"{root}/trash/1") == ["x.md"]
+    with pytest.raises(FileNotFoundError):
+        storage.replace_folder(spark, f"{root}/none", f"{root}/c/d", f"{root}/trash/2")
+    assert storage.entries(spark, f"{root}/c/d") == ["y.md"]  # what was there came back
+    assert storage.delete(spark, f"{root}/c/d/y.md", root) and not storage.exists(spark, f"{root}/c")
