@@ -463,6 +463,36 @@ def review_store(spark, sf):
     return found.select("id", F.size(runs).cast("long").alias("n_runs"), total("reviews").cast("long").alias("n_reviews"), total("files").cast("long").alias("n_files"))
 
 
+def _review_folder(spark, sf) -> dict[str, DataFrame]:
+    """A folder of a case for each nation, every second with a run, every fourth with a review of it."""
+    root = scratch(spark, "review-tree")
+    for n in _nations(spark, sf):
+        k, case = n["n_nationkey"], f"TestCase@{n['n_nationkey']}"
+        storage.write_text(spark, f"{root}/cases/{n['r_name']}/{n['n_name']}/{case}/inputs/a.txt", "a")
+        if k % 3:
+            storage.write_text(spark, f"{root}/cases/{n['r_name']}/{n['n_name']}/{case}/{case}.md", "# heading\n" if k % 3 == 1 else f"---\nname: case {k}\n---\n# heading\n")
+        if k % 2 == 0:
+            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/log.txt", "log" * (k + 1))
+        if k % 4 == 0:
+            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/Run@{k}.md", f"---\nrun_at: '2026-{k}'\nrunner: ann\n---\n")
+            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/reviews/R{k}.md", f"---\nverdict: 通过\nreviewer: bob\n---\n### 问题 1\n- 描述: slow {k}\n")
+    return tables.read_review_tree(spark, root)
+
+
+@query(f"SELECT 'TestCase@' || n_nationkey AS id, r_name AS domain, n_name AS scenario, CASE n_nationkey % 3 WHEN 0 THEN 'TestCase@' || n_nationkey WHEN 1 THEN 'heading' ELSE 'case ' || n_nationkey END AS name, 'inputs/a.txt' AS files FROM ({NAT})")
+def case_folders(spark, sf):
+    return _review_folder(spark, sf)["cases"].select("id", "domain", "scenario", "name", F.array_join("files", ",").alias("files"))
+
+
+@query("""SELECT 'Run@' || n_nationkey AS id, 'TestCase@' || n_nationkey AS case_id, CASE WHEN n_nationkey % 4 = 0 THEN 'Run 2026-' || n_nationkey ELSE 'Run' END AS name, 3 * n_nationkey + 3 AS size,
+    CASE WHEN n_nationkey % 4 = 0 THEN 'slow ' || n_nationkey END AS problem FROM nation WHERE n_nationkey % 2 = 0""")
+def run_folders(spark, sf):
+    found = _review_folder(spark, sf)
+    reviews_ = found["reviews"].select(F.col("run_id").alias("id"), F.col("problems")[0]["description"].alias("problem"))
+    runs = found["runs"].join(found["artifacts"].withColumnRenamed("run_id", "id"), "id").join(reviews_, "id", "left")
+    return runs.select("id", "case_id", "name", "size", "problem")
+
+
 @query("""SELECT 'cases' AS kind, count(*) AS n FROM cases WHERE domain <> 'd1' UNION ALL SELECT 'runs', count(*) FROM runs WHERE case_id NOT IN (SELECT id FROM cases WHERE domain = 'd1') AND id NOT LIKE '%7'
     UNION ALL SELECT 'reviews', count(*) FROM reviews WHERE run_id IN (SELECT id FROM runs WHERE case_id NOT IN (SELECT id FROM cases WHERE domain = 'd1')) AND run_id NOT LIKE '%7'
     UNION ALL SELECT 'artifacts', count(*) FROM runs WHERE case_id NOT IN (SELECT id FROM cases WHERE domain = 'd1') AND id NOT LIKE '%7'""")

@@ -43,6 +43,11 @@ def read_one(spark: SparkSession, root: str, path: str) -> DataFrame:
     return spark.read.text(f"{root.rstrip('/')}/{path}", wholetext=True).select(F.lit(path).alias("source_path"), F.col("value").alias("raw_md"))
 
 
+def read_images(spark: SparkSession, root: str, product_documents: bool = False) -> DataFrame:
+    """(path, content) of images. Drawings (svg) may hold code, and are read from product documents only."""
+    return read_binary(spark, root, (*IMAGE_SUFFIXES, "svg") if product_documents else IMAGE_SUFFIXES)
+
+
 def read_binary(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """(path, content) of files with the given suffixes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

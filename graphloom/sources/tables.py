@@ -75,30 +75,43 @@ def read_external_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_review_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Cases, runs, reviews and artifacts of ``case/run/reviews/id.md`` folders.
+    """Cases, runs, reviews and artifacts of a folder; names of folders and files tell what they are.
 
-    ``<case>/case.md``, ``<case>/runs/<run>/run.md`` and ``<case>/runs/<run>/reviews/<id>.md`` are the documents; all other files
-    below a run are its artifacts.
+    ``cases/<domain>/<scenario>/TestCase@<x>/`` is a case, ``runs/<case>/Run@<y>/`` a run, ``reviews/*.md`` in it a review. The
+    documents of a case and a run have their folder's name and may be missing; all other files of a case are its ``files``,
+    those of a run its artifacts. A case straight below ``cases`` has the domain 未分类. Spark passes over files without a byte.
     """
     from ..functions.markdown import parse_documents
 
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root)
-    rows = files.select(relative_path(root, F.col("path")).alias("path"), F.col("content").cast("string").alias("raw_md"), F.col("length").alias("size"))
-    part = F.split("path", "/", -1)
-    field = lambda n: F.try_element_at("fields", F.lit(n))
-    case = parse_documents(rows.where(F.col("path").rlike("^[^/]+/case\\.md$")))
-    run = parse_documents(rows.where(F.col("path").rlike("^[^/]+/runs/[^/]+/run\\.md$")))
-    review = parse_documents(rows.where(F.col("path").rlike("^[^/]+/runs/[^/]+/reviews/[^/]+\\.md$")))
-    title = F.regexp_extract("body_md", r"(?m)^\s*#\s+(.+?)\s*$", 1)
-    names = F.coalesce(F.nullif(F.coalesce(field("name"), F.lit("")), F.lit("")), F.nullif(title, F.lit("")), part[0])
-    artifact = rows.where(F.col("path").rlike("^[^/]+/runs/[^/]+/") & ~F.col("path").rlike("/(run|reviews/[^/]+)\\.md$"))
+    scan = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root)
+    rows = scan.select(relative_path(root, F.col("path")).alias("path"), F.col("content").cast("string").alias("raw_md"), F.col("length").alias("size"))
+    pick = lambda pattern, *names: [F.regexp_extract("path", pattern, n + 1).alias(name) for n, name in enumerate(names)]
+    in_case, in_run = r"^cases/(.*?)(TestCase@[^/]+)/(.+)$", r"^runs/([^/]+)/(Run@[^/]+)/(.+)$"
+    of_cases = rows.where(F.col("path").rlike(in_case)).select("raw_md", *pick(in_case, "above", "id", "rest"))
+    of_runs = rows.where(F.col("path").rlike(in_run)).select("raw_md", "size", *pick(in_run, "case_id", "id", "rest"))
+    own = F.col("rest") == F.concat("id", F.lit(".md"))
+    is_review = F.col("rest").rlike(r"^reviews/[^/]+\.md$")
+    field = lambda n: F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit(""))
+
+    cases = of_cases.groupBy("id", "above").agg(F.array_sort(F.collect_list(F.when(~own, F.col("rest")))).alias("files"))
+    told = parse_documents(of_cases.where(own).select("id", "above", "raw_md"))
+    heading = F.trim(F.regexp_extract("body_md", r"(?m)^\s*#\s+(.+?)\s*$", 1))
+    told = told.select("id", "above", F.coalesce(F.nullif(field("name"), F.lit("")), F.nullif(heading, F.lit(""))).alias("name"))
+    folders = F.filter(F.split("above", "/", -1), lambda x: x != "")
+    part = lambda n, missing: F.coalesce(F.try_element_at(folders, F.lit(n)), F.lit(missing))
+    cases = cases.join(told, ["id", "above"], "left").select(
+        "id", part(1, "未分类").alias("domain"), part(2, "").alias("scenario"), F.coalesce("name", "id").alias("name"), "files", F.concat(F.lit("cases/"), "above", "id").alias("source_path")
+    )
+    runs = of_runs.select("id", "case_id").distinct()
+    told = parse_documents(of_runs.where(own).select("id", "case_id", "raw_md")).select("id", "case_id", *(field(n).alias(n) for n in ("name", "runner", "run_at", "status")))
+    runs = runs.join(told, ["id", "case_id"], "left").na.fill("", ["name", "runner", "run_at", "status"])
+    title = F.when(F.col("name") != "", F.col("name")).otherwise(F.trim(F.concat(F.lit("Run "), "run_at")))
+    reviews = parse_documents(of_runs.where(is_review).select(F.regexp_extract("rest", r"([^/]+)\.md$", 1).alias("id"), F.col("id").alias("run_id"), "raw_md"))
     return {
-        "cases": case.select(part[0].alias("id"), field("domain").alias("domain"), field("scenario").alias("scenario"), names.alias("name"), field("status").alias("status")),
-        "runs": run.select(part[2].alias("id"), part[0].alias("case_id"), field("name").alias("name"), field("runner").alias("runner"), field("run_at").alias("run_at")),
-        "reviews": review.select(
-            F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("id"), part[2].alias("run_id"), field("reviewer").alias("reviewer"), field("reviewed_at").alias("reviewed_at"), field("verdict").alias("verdict"), problems(F.col("body_md")).alias("problems")
-        ),
-        "artifacts": artifact.select(part[2].alias("run_id"), "path", "size"),
+        "cases": cases,
+        "runs": runs.select("id", "case_id", title.alias("name"), "runner", "run_at", "status", F.concat_ws("/", F.lit("runs"), "case_id", "id").alias("source_path")),
+        "reviews": reviews.select("id", "run_id", field("reviewer").alias("reviewer"), field("reviewed_at").alias("reviewed_at"), field("verdict").alias("verdict"), problems(F.col("body_md")).alias("problems")),
+        "artifacts": of_runs.where(~own & ~F.col("rest").startswith("reviews/")).select(F.col("id").alias("run_id"), F.col("rest").alias("path"), "size"),
     }
 
 

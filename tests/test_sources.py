@@ -89,15 +89,22 @@ def test_bundle_list_and_manifests(spark, tmp_path):
 
 
 def test_review_tree(spark, tmp_path):
-    run = tmp_path / "case1" / "runs" / "run1"
+    case, run = tmp_path / "cases/d/s/TestCase@one", tmp_path / "runs/TestCase@one/Run@1"
+    (case / "inputs").mkdir(parents=True)
     (run / "reviews").mkdir(parents=True)
-    (tmp_path / "case1" / "case.md").write_text("---\ndomain: d\n---\n# Title\n", encoding="utf-8")
-    (run / "run.md").write_text("---\nrunner: me\n---\n")
+    (tmp_path / "cases/TestCase@bare").mkdir()
+    (tmp_path / "cases/TestCase@bare/x.txt").write_text("x")
+    (tmp_path / "runs/TestCase@one/notes/Run@deep").mkdir(parents=True)
+    (tmp_path / "runs/TestCase@one/notes/Run@deep/y.txt").write_text("not a run: too deep")
+    (case / "TestCase@one.md").write_text("---\nstatus: open\n---\n# Title\n", encoding="utf-8")
+    (case / "inputs/a.txt").write_text("a")
+    (run / "Run@1.md").write_text("---\nrunner: me\nrun_at: '2026'\n---\n")
     (run / "log.txt").write_text("log")
-    (run / "reviews" / "R001.md").write_text("---\nverdict: 通过\n---\n### 问题 1\n- 描述: 慢\n", encoding="utf-8")
+    (run / "reviews/R001.md").write_text("---\nverdict: 通过\n---\n### 问题 1\n- 描述: 慢\n", encoding="utf-8")
     found = tables.read_review_tree(spark, str(tmp_path))
-    assert found["cases"].first()["name"] == "Title" and found["runs"].first()["case_id"] == "case1"
-    assert found["reviews"].first()["problems"][0]["description"] == "慢" and found["artifacts"].first()["path"].endswith("log.txt")
+    assert sorted((r["id"], r["domain"], r["scenario"], r["name"], r["files"]) for r in found["cases"].collect()) == [("TestCase@bare", "未分类", "", "TestCase@bare", ["x.txt"]), ("TestCase@one", "d", "s", "Title", ["inputs/a.txt"])]
+    assert [tuple(r)[:5] for r in found["runs"].collect()] == [("Run@1", "TestCase@one", "Run 2026", "me", "2026")]
+    assert found["reviews"].first()["problems"][0]["description"] == "慢" and [tuple(r) for r in found["artifacts"].collect()] == [("Run@1", "log.txt", 3)]
 
 
 def test_stream_reindex_and_deletion(spark, tmp_path):
