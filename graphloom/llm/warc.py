@@ -35,6 +35,8 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES, BLOCK_LINES = 8 << 20, 2048
 #: So many revisits, of about 100 bytes each, are joined by broadcast, so that payloads stay where they are; more by shuffle.
 BROADCAST_REVISITS = 200_000
+#: Tasks that archives are dealt out to, at most; beyond that a task reads several.
+MOST_TASKS = 20_000
 CAPTURE_DATE = "1970-01-01T00:00:00Z"
 #: gzip level; archives are written once and read seldom.
 LEVEL = 6
@@ -294,7 +296,10 @@ def read_captures(spark: SparkSession, path: str, captures: DataFrame) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
 
-    return _archives(spark, path).join(ranges, "path").select("content", "ranges").mapInArrow(run, schema)
+    # archives are few and large rows: so many partitions that hardly two of them meet in one task
+    archives = _archives(spark, path)
+    spread = max(shuffle_width(spark), min(4 * archives.select("path").count(), MOST_TASKS))
+    return archives.repartition(spread, "path").join(ranges.repartition(spread, "path"), "path").select("content", "ranges").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

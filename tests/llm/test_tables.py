@@ -196,3 +196,78 @@ def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
     docs = spark.createDataFrame([(None, lines), (None, lines), (3, lines), (4, "\n".join("abcd")), (4, "\n".join("abcd"))], "doc_id long, text string")
     left = sorted((r["text"] for r in stages["line_dedup"](spark, docs, SF).collect()), key=repr)
     assert left == sorted([lines, "\n".join("abcd")], key=repr)
+
+
+def test_very_long_texts(spark):
+    """A text of 600,000 words beside short ones: mixed, put into shards and told its language like any other."""
+    from graphloom.llm import language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang in ('en', 'de')").select("doc_id", "text", "lang", "source")
+    english = next(r["text"] for r in docs.collect() if r["lang"] == "en" and len(r["text"]) > 100).split()
+    words = (english * (600_000 // len(english) + 1))[:600_000]
+    rows = [(10**7, " ".join(words), None, "long"), (10**7 + 1, "x" * 1_000_000, None, "long")]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).persist()
+    plan = {r["doc_id"]: r for r in mixing.mix_plan(docs).collect()}
+    assert plan[10**7]["size"] == 600_000 and plan[10**7 + 1]["size"] == 1
+    taken = sum(r["taken"] for r in plan.values() if r["doc_id"] >= 10**7)
+    assert abs(taken - plan[10**7]["target"]) <= 2
+    mixed = [len(mixing_words(r["text"])) for r in mixing.mixed_documents(docs).where("doc_id = 10000000").collect()]
+    assert sum(mixed) == plan[10**7]["taken"]
+    shards = {r["doc_id"]: r["size"] for r in sharding.shard_rows(docs).collect()}
+    assert shards[10**7] == len(rows[0][1]) + 1 and shards[10**7 + 1] == 1_000_001 and len(shards) == docs.count()
+    told = {r["doc_id"]: r["lang_pred"] for r in language.predict_languages(docs).collect()}
+    assert told[10**7] == "en" and len(told) == docs.count()
+    docs.unpersist()
+
+
+def test_equal_rows_are_cut_into_pieces(spark, monkeypatch):
+    """Very many equal rows, and rows without id, get slots from several tasks, each slot once."""
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 7)
+    rows = [(5, "same")] * 300 + [(None, f"text {k % 40}") for k in range(200)] + [(k, "x") for k in range(50)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t) + 1) for i, t in rows)
+
+
+def test_components_without_hot_nodes(spark, monkeypatch):
+    """Stars, chains and cliques, with hubs joined by broadcast and without."""
+    import random
+
+    from graphloom.llm import shared
+
+    rng = random.Random(5)
+    pairs = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(200)] + [(5000, k) for k in range(2000, 2300)] + [(2299, 5001), (7, 7)]
+    pairs += [tuple(rng.sample(range(9000, 9300), 2)) for _ in range(400)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    for most in (3, 256):
+        monkeypatch.setattr(shared, "MOST_EDGES", most)
+        work = Workspace(spark, "test")
+        got = {r["node"]: r["component"] for r in shared.components(work, spark.createDataFrame(pairs, "a long, b long"), "c").collect()}
+        assert got == {x: root(x) for x in linked}
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch, spark):
+    from types import SimpleNamespace
+
+    from graphloom.llm import shared
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master, good in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)):
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+        if good:
+            assert shared.shared_dir(fake).startswith("file://")
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared.shared_dir(fake)
