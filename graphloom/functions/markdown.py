@@ -8,7 +8,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import MapType, StringType, StructType
 
 from .text import normal_newlines, split_document
 
@@ -23,28 +23,29 @@ def _load(block: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-@F.pandas_udf(StringType())
-def yaml_to_json(blocks: pd.Series) -> pd.Series:
-    """A YAML mapping as JSON (dates and the like as text); null where it is no mapping."""
-    return blocks.map(lambda b: None if (v := _load(b)) is None else json.dumps(v, ensure_ascii=False, default=str))
+def _text(value) -> str:
+    return ",".join(map(str, value)) if isinstance(value, list) else str(value)
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def yaml_to_map(blocks: pd.Series) -> pd.Series:
-    """The scalar fields of a YAML mapping as text, lists joined by commas; null values are left out."""
-
-    def text(v):
-        return ",".join(map(str, v)) if isinstance(v, list) else str(v)
-
-    return blocks.map(lambda b: {str(k): text(v) for k, v in (_load(b) or {}).items() if v is not None})
+@F.pandas_udf(StructType().add("json", StringType()).add("fields", MapType(StringType(), StringType())))
+def yaml_fields(blocks: pd.Series) -> pd.DataFrame:
+    """A YAML mapping, read once: as JSON (dates and the like as text; null where it is no mapping), and its fields as text,
+    lists joined by commas, null values left out."""
+    found = [_load(b) for b in blocks]
+    return pd.DataFrame(
+        {
+            "json": [None if v is None else json.dumps(v, ensure_ascii=False, default=str) for v in found],
+            "fields": [{str(k): _text(x) for k, x in (v or {}).items() if x is not None} for v in found],
+        }
+    )
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
     """Adds frontmatter_json, fields map<string,string>, body_md and edge_section to rows with raw_md."""
-    parts = df.withColumn("_d", split_document(F.col("raw_md")))
+    parts = df.withColumn("_d", split_document(F.col("raw_md"))).withColumn("_y", yaml_fields("_d.front"))
     return parts.withColumns(
-        {"frontmatter_json": yaml_to_json("_d.front"), "fields": yaml_to_map("_d.front"), "body_md": F.col("_d.body"), "edge_section": F.col("_d.edges")}
-    ).drop("_d")
+        {"frontmatter_json": F.col("_y.json"), "fields": F.col("_y.fields"), "body_md": F.col("_d.body"), "edge_section": F.col("_d.edges")}
+    ).drop("_d", "_y")
 
 
 def rewrite_front_matter(raw_md: Column, overrides: dict[str, str | None]) -> Column:
