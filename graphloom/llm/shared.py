@@ -37,12 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Tables of one operator run, written as Parquet in the shared folder.
 
-    A written table cuts the lineage: it survives lost executors, and is computed once.
+    A written table cuts the lineage: it survives lost executors, and is computed once. Results read the tables as long as the
+    application lives; when the driver ends, its folder goes.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
