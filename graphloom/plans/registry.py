@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import storage
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return f"{named.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{named.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    storage.make_temporary(spark, path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written and read again: what follows starts from files, however often it reads them."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name) + "/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

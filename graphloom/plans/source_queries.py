@@ -209,7 +209,7 @@ def telemetry_log(spark, sf):
 
 @query("SELECT count(*) AS n, count(DISTINCT seq) AS n_seq FROM telemetry")
 def telemetry_append(spark, sf):
-    folder = scratch(spark, "appended")
+    folder = scratch(spark, "appended") + "/log"
     rows = X.telemetry(spark, sf)
     telemetry_stream.append_log(rows.where("seq % 2 = 0"), folder)
     telemetry_stream.append_log(rows.where("seq % 2 = 1"), folder)
@@ -272,14 +272,14 @@ def required_permissions(spark, sf):
 
 @query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'done' ELSE 'mined' END AS status, 'b' || n_nationkey AS name, CASE WHEN n_nationkey % 3 <> 0 THEN '20.' || n_nationkey END AS version FROM nation")
 def bundle_list(spark, sf):
-    root = scratch(spark, "bundles")
+    root, trash = scratch(spark, "bundles"), scratch(spark, "trash")
     for n in _nations(spark, sf):
         folder = f"{root}/b{n['n_nationkey']}"
         storage.write_text(spark, f"{folder}/x.md", "x")
         if n["n_nationkey"] % 3:
             storage.write_text(spark, f"{folder}.new/bundle.json", json.dumps({"nf": "UPF", "version": f"20.{n['n_nationkey']}", "status": "mined"}))
             storage.write_text(spark, f"{folder}.new/y.md", "y")
-            storage.replace_folder(spark, f"{folder}.new", folder, f"{root}/../trash-{n['n_nationkey']}")
+            storage.replace_folder(spark, f"{folder}.new", folder, f"{trash}/{n['n_nationkey']}")
     return tables.read_bundles(spark, root).select("status", "name", "version")
 
 

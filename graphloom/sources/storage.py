@@ -42,6 +42,13 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(place)
 
 
+def make_temporary(spark: SparkSession, path: str) -> None:
+    """Makes a folder that goes when the driver ends."""
+    fs, place = _open(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+
+
 def delete(spark: SparkSession, path: str, top: str | None = None) -> bool:
     """Deletes a file or folder, then the folders above it that are left empty, up to ``top``."""
     fs, place = _open(spark, path)
