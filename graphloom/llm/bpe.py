@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 #: Pieces whose ids all workers get, pieces of one replay, pieces that a worker keeps, and occurrences that wait for a replay.
-COMMON, REPLAYED, KEPT_PIECES, WAITING = 200_000, 100_000, 400_000, 2_000_000
+COMMON, REPLAYED, KEPT_PIECES, WAITING = 200_000, 150_000, 600_000, 3_000_000
 #: Distinct pieces that a counting task holds.
-COUNTED = 200_000
+COUNTED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
