@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language, line_dedup, mixing, ngram_join, secrets, sharding, vector_search, warc
+from . import bpe, chat_format, collocations, embedding_dedup, language, line_dedup, mixing, ngram_join, secrets, sharding, vector_codes, vector_search, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,10 +55,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_texts(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    log = chat_format.conversation_log(rows.unionByName(added))
+    return chat_format.read_back(chat_format.format_conversations(log))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_vector_search, op3_warc, op4_line_dedup, op5_mix_sources, op6_language, op7_bpe, op8_shard, op9_secrets, op10_ngram_join)
+    found = (
+        op1_embedding_dedup, op2_vector_search, op3_warc, op4_line_dedup, op5_mix_sources, op6_language, op7_bpe, op8_shard, op9_secrets, op10_ngram_join,
+        op11_vector_codes, op12_chat_format, op13_collocations,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ARCHIVE_SQL, "op4_line_dedup": line_dedup.DEDUP_SQL, "op5_mix_sources": mixing.MIX_SQL, "op10_ngram_join": ngram_join.JOIN_SQL}
+    return {
+        "op3_warc": warc.ARCHIVE_SQL,
+        "op4_line_dedup": line_dedup.DEDUP_SQL,
+        "op5_mix_sources": mixing.MIX_SQL,
+        "op10_ngram_join": ngram_join.JOIN_SQL,
+        "op11_vector_codes": vector_codes.CODES_SQL,
+        "op12_chat_format": chat_format.FORMAT_SQL,
+        "op13_collocations": collocations.COLLOCATIONS_SQL,
+    }

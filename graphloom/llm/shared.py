@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +125,38 @@ def sums_before(work: Workspace, df: DataFrame, order: list[F.Column], sums: dic
     )
 
 
+def most_before(work: Workspace, df: DataFrame, order: list[F.Column], value: F.Column, new: str, name: str) -> DataFrame:
+    """``df`` with ``new``, the greatest ``value`` of all rows that come earlier in ``order``, by ranges as in ``sums_before``."""
+    ranges = df.withColumn("_value", value).repartitionByRange(shuffle_width(work.spark), *order).withColumn("_range", F.spark_partition_id())
+    ranges = work.save(ranges, name)
+    tops = ranges.groupBy("_range").agg(F.max("_value").alias("_top"))
+    tops = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.join(F.broadcast(tops), "_range")  # bounded: a row for each shuffle partition
+    return out.withColumn(new, F.greatest("_start", F.max("_value").over(inside))).drop("_range", "_start", "_value")
+
+
 #: A node with more edges than MOST_EDGES, and than its share of all edges if there were HUBS such nodes, is a hub.
 MOST_EDGES, HUBS = 256, 10_000
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``rows``, ``n`` of them, with the columns of ``table``, which has one row for each of their keys; nulls are equal.
+
+    The table's column ``n`` is the number of rows with that key, and goes. No key is a hot one: the keys of very many rows,
+    fewer than HUBS, are joined by broadcast, the others by a shuffle.
+    """
+    most = max(MOST_EDGES, n // HUBS)
+    values = [c for c in table.columns if c not in (*keys, "n")]
+    same = lambda a, b: reduce(and_, (F.col(a + k).eqNullSafe(F.col(b + k)) for k in keys))
+    renamed = table.select(*(F.col(k).alias("_hub_" + k) for k in keys), *(F.col(v).alias("_hub_" + v) for v in values), F.lit(True).alias("_hub"), F.col("n").alias("_hub_n"))
+    marked = rows.join(F.broadcast(renamed.where(F.col("_hub_n") > most).drop("_hub_n")), same("", "_hub_"), "left")
+    kept = rows.columns
+    hubs = marked.where("_hub").select(*kept, *(F.col("_hub_" + v).alias(v) for v in values))
+    others = marked.where("_hub is null").select(*kept).join(renamed.where(F.col("_hub_n") <= most), same("", "_hub_"))
+    return hubs.unionByName(others.select(*kept, *(F.col("_hub_" + v).alias(v) for v in values)))
+
+
 def _with_lowest(edges: DataFrame, n: int) -> DataFrame:
     """(a, b, low): each of the ``n`` edges with the smallest b of its a.
 
