@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, let
 
 WINDOW = 3
 #: What is cut from both ends of a line before it is hashed.
@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text_lines = F.split(text, "\n", -1)
     everything = F.sequence(F.lit(0), F.size(text_lines) - 1)
     merged = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    left = F.transform(F.array_except(everything, merged), lambda i: F.element_at(text_lines, i + 1))
+    left = let(text_lines, lambda lines: F.transform(F.array_except(everything, merged), lambda i: F.element_at(lines, i + 1)))
     # the document travels as one struct, so that its other columns can have any names
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own_id"), F.xxhash64(text_col).alias("_own_key"))
     joined = whole.join(covered.hint("shuffle_hash"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")

@@ -66,6 +66,11 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: F.Column, use) -> F.Column:
+    """``use(value)`` with the value computed once. Inside a lambda, a plain expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

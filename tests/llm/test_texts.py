@@ -48,6 +48,15 @@ def test_merges_out_of_order():
         at += n
 
 
+def test_line_dedup_of_texts_with_very_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(500_000))
+    again = "\nfoot one\nfoot two\nfoot three"
+    rows = [(1, text + again), (2, text + again), (3, "start" + again + again)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert {i: (r.n_lines, r.n_removed) for i, r in got.items()} == {1: (500_003, 0), 2: (500_003, 500_003), 3: (7, 6)}
+    assert (got[1].text, got[2].text, got[3].text) == (text + again, "", "start")
+
+
 def brute_line_dedup(rows):
     order = sorted(((i is not None, i or 0), i, t) for i, t in rows)
     lines = [t.split("\n") if t is not None else [] for _, _, t in order]
