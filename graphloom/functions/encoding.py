@@ -2,38 +2,119 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
-# Byte order marks, and what is tried in turn.
+# Byte order marks, names that stand for a wider set, and what is tried in turn.
 _MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
-_FALLBACKS = ("gb18030", "gbk", "big5")
-_META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_-]+)""", re.I)
+_WIDER = {"gb2312": "gb18030", "gbk": "gb18030"}
+_FALLBACKS = ("gb18030", "gbk", "big5", "windows-1252", "iso-8859-1")
+_STATED = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_-]+)""", re.I)
+#: What statistics tell apart, and how sure they must be.
+CHARSETS = ("gb18030", "big5", "shift_jis", "euc-kr", "windows-1252")
+CONFIDENCE = 0.9
+_PAIRS = 1 << 16
 
 
-def decode_page(data: bytes | None) -> tuple[str, str] | None:
-    """(text, charset): by byte order mark, strict UTF-8, the page's own statement, then the fall-backs."""
+def byte_pairs(data: bytes) -> np.ndarray:
+    """The numbers of all neighbouring bytes of which one is not ASCII; a line feed stands before and after the data."""
+    b = np.frombuffer(b"\n" + data + b"\n", dtype=np.uint8).astype(np.int32)
+    pairs = b[:-1] << 8 | b[1:]
+    return pairs[(b[:-1] >= 128) | (b[1:] >= 128)]
+
+
+class CharsetModel:
+    """For each character set, the logarithm of how likely a byte follows another one in its texts."""
+
+    def __init__(self, counts: dict[str, np.ndarray], smoothing: float = 0.02):
+        self.logs = {}
+        for charset, n in counts.items():
+            table = n.reshape(256, 256) + smoothing
+            self.logs[charset] = np.log(table / table.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
+
+    def detect(self, data: bytes) -> tuple[str, float] | None:
+        """The likeliest set that can decode the data, and its share of the likelihood; None if there is none, or no byte above ASCII."""
+        pairs = byte_pairs(data)
+        scores = {c: float(logs[pairs].sum(dtype=np.float64)) for c, logs in self.logs.items() if decodes(data, c)}
+        if not len(pairs) or not scores:
+            return None
+        best = max(scores, key=scores.get)
+        return best, 1 / sum(math.exp(max(-700.0, s - scores[best])) for s in scores.values())
+
+
+def decodes(data: bytes, charset: str) -> bool:
+    try:
+        data.decode(charset)
+        return True
+    except (UnicodeDecodeError, LookupError):
+        return False
+
+
+def train_charsets(texts: DataFrame, column: str = "text", charsets: tuple[str, ...] = CHARSETS) -> CharsetModel:
+    """A model from sample texts: each is written in every character set that can hold it, and its byte pairs are counted.
+
+    Tasks count; the driver gets 65,536 counts for each set at most. Texts that are null or plain ASCII teach nothing.
+    """
+
+    def count(batches):
+        totals = {c: np.zeros(_PAIRS, dtype=np.int64) for c in charsets}
+        for pdf in batches:
+            for text in pdf[column]:
+                if text is None or text.isascii():
+                    continue
+                for charset in charsets:
+                    try:
+                        totals[charset] += np.bincount(byte_pairs(text.encode(charset)), minlength=_PAIRS)
+                    except UnicodeEncodeError:
+                        continue
+        for charset, n in totals.items():
+            found = np.flatnonzero(n)
+            yield pd.DataFrame({"charset": charset, "pair": found, "n": n[found]})
+
+    rows = texts.select(column).mapInPandas(count, "charset string, pair int, n long").groupBy("charset", "pair").agg(F.sum("n").alias("n")).collect()
+    counts: dict[str, np.ndarray] = {}
+    for charset, pair, n in rows:
+        counts.setdefault(charset, np.zeros(_PAIRS))[pair] = n
+    return CharsetModel(counts)
+
+
+def decode_page(data: bytes | None, model: CharsetModel | None = None) -> tuple[str, str] | None:
+    """(text, charset): by byte order mark, strict UTF-8, the page's own statement wherever it stands, the model, then the fall-backs."""
     if data is None:
         return None
     for mark, charset in _MARKS:
         if data.startswith(mark):
             return data.decode(charset, "replace"), charset
-    stated = _META.search(data[:4096])
-    for charset in ("utf-8", *([stated[1].decode("ascii").lower()] if stated else []), *_FALLBACKS):
+    tried = [("utf-8", "utf-8")]
+    if not decodes(data, "utf-8"):
+        if stated := _STATED.search(data):
+            name = stated[1].decode("ascii").lower()
+            tried.append((_WIDER.get(name, name), name))
+        if model is not None and not (stated and decodes(data, tried[-1][0])) and (found := model.detect(data)) and found[1] >= CONFIDENCE:
+            tried.append((found[0], found[0]))
+    for charset, name in (*tried, *((c, c) for c in _FALLBACKS)):
         try:
-            return data.decode(charset), charset
+            return data.decode(charset), name
         except (UnicodeDecodeError, LookupError):
             continue
-    return data.decode("utf-8", "replace"), "utf-8"
+    return data.decode("utf-8", "replace"), "utf-8"  # not reached: iso-8859-1 takes all bytes
+
+
+def decoder(model: CharsetModel | None = None):
+    """A function from bytes to (text, charset), in Arrow batches."""
 
+    @F.pandas_udf(StructType().add("text", StringType()).add("charset", StringType()))
+    def decoded(pages: pd.Series) -> pd.DataFrame:
+        found = [decode_page(None if p is None else bytes(p), model) or (None, None) for p in pages]
+        return pd.DataFrame(found, columns=["text", "charset"])
 
-@F.pandas_udf(StructType().add("text", StringType()).add("charset", StringType()))
-def decoded(pages: pd.Series) -> pd.DataFrame:
-    found = [decode_page(None if p is None else bytes(p)) or (None, None) for p in pages]
-    return pd.DataFrame(found, columns=["text", "charset"])
+    return decoded
 
 
 @F.pandas_udf(StructType().add("score", DoubleType()).add("segments", IntegerType()))

@@ -1,9 +1,10 @@
-"""HTML pages to Markdown: a small event parser inside an Arrow batch function."""
+"""HTML pages to Markdown: a document tree, rendered block by block, inside an Arrow batch function."""
 
 from __future__ import annotations
 
 import posixpath
 import re
+from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -15,11 +16,23 @@ from pyspark.sql.types import ArrayType, StringType
 
 _SKIP = {"script", "style", "nav", "head", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "figure", "figcaption", "dl", "dt", "dd", "details", "summary", "blockquote", "aside", "caption"}
+_OTHER_BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "table", "pre", "hr"}
+#: Blocks whose text may stand behind the label of a list item, or as a line of a table cell.
+_TEXT_BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "aside", "li"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot", "table"}
+#: Elements that a start tag ends, and between what they stay open.
+_ENDED_BY = {"li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "p": {"p"}, "head": {"body"}}
+_HOLDS = {"li": ("ul", "ol", "table"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl", "table"), "dd": ("dl", "table"), "p": ("li", "td", "th", "div", "section", "blockquote", "dd", "figure"), "head": ()}
+#: Elements that lie deeper are read as if they stood in the last one that does not.
+MOST_DEPTH = 150
 _WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 # What stands over the blocks of a class, in this order.
 _ADVICE = {"note": "说明", "warning": "警告", "caution": "注意", "tip": "提示"}
-_ADDRESS = re.compile(r"""(?i)\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+# Classes of a block's title, and the steps of Roman numerals.
 _TITLES = ("notetitle", "warningtitle", "cautiontitle", "tiptitle")
+_ROMAN = ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+_ADDRESS = re.compile(r"""(?i)\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
 
 def list_label(number: int, kind: str) -> str:
@@ -28,7 +41,7 @@ def list_label(number: int, kind: str) -> str:
         return chr(ord(kind) + number - 1) + "."
     if kind in ("i", "I") and number > 0:
         text = ""
-        for value, letters in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        for value, letters in _ROMAN:
             text += letters * (number // value)
             number %= value
         return (text.upper() if kind == "I" else text) + "."
@@ -64,168 +77,296 @@ def rewritten(url: str, page: str, targets: dict[str, str]) -> str:
     return posixpath.relpath(targets[found[0]], own) + (f"#{found[1]}" if found[1] else "")
 
 
-class _Page(HTMLParser):
-    """Collects blocks; a stack of text buffers holds cells, list items and quotes that are still open."""
+@dataclass
+class Node:
+    """An element with its attributes and what it holds: elements and texts."""
 
-    def __init__(self, links: dict[str, str], page: str):
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    children: list = field(default_factory=list)
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").lower().split()
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else c.text() for c in self.children)
+
+    def first(self, fits) -> Node | None:
+        """The first element below, in reading order, that fits; advisory blocks within are left out."""
+        for child in self.children:
+            if isinstance(child, Node):
+                found = child if fits(child) else None if advice_of(child) else child.first(fits)
+                if found:
+                    return found
+        return None
+
+
+class _Tree(HTMLParser):
+    """Builds the document's tree. End tags that are left out are filled in; an end tag closes nothing outside its table cell."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.links, self.page, self.blocks, self.text = links, page, [], []
-        self.quotes: list[tuple[str, int, str]] = []  # open advisory blocks: tag, first block, title
-        self.boxes: list[str] = []  # all open block tags
-        self.title = ""  # the tag of an advisory block's open title
-        self.skip = self.pre = 0
-        self.lists: list[list] = []  # [ordered, number, kind]
-        self.tables: list[dict] = []
-        self.anchors: list[str | None] = []
-        self.prefix = ""
-
-    def flush(self, prefix: str = "") -> None:
-        raw = "".join(self.text)
-        self.text = []
-        line = re.sub(r"[ \t\r\f\v]*\n[ \t\r\f\v]*", "\n", re.sub(r"[^\S\n]+", " ", raw.replace("\n", " ").replace("\0", "\n"))).strip()
-        if not line:
-            return
-        if self.tables and self.tables[-1]["cell"] is not None:
-            self.tables[-1]["cell"]["text"].append(line)
-            self.prefix = ""
-        else:
-            self.blocks.append((prefix or self.prefix) + line)
-            self.prefix = ""
+        self.root = Node("")
+        self.open: list[tuple[str, Node]] = [("", self.root)]  # the tags that are open, and where their children go
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag in _SKIP:
-            self.skip += 1
-        if self.skip:
-            return
-        if tag in ("td", "th", "tr") and self.tables and self.tables[-1]["cell"] is not None:
-            self.handle_endtag("td")  # a cell that is not closed ends with the next one
-        if self.quotes and not self.title and any(c in _TITLES for c in a.get("class", "").lower().split()):
-            self.flush()
-            self.title = tag
-        if tag in _WRAP and not self.pre:
-            self.text.append(_WRAP[tag])
-        elif tag == "br":
-            self.text.append("\0")
-        elif tag == "a":
-            self.anchors.append(rewritten(a["href"], self.page, self.links) if a.get("href") else None)
-            if self.anchors[-1]:
-                self.text.append("[")
-        elif tag == "img" and a.get("src"):
-            self.text.append(f"![{a.get('alt', '')}]({rewritten(a['src'], self.page, self.links)})")
-        elif tag == "sup" or tag == "sub":
-            self.text.append(f"<{tag}>")
-        elif tag in _BLOCK or re.fullmatch(r"h[1-6]", tag):
-            self.flush()
-            self.open_box(tag, a.get("class", "").lower().split())
-        elif tag == "pre":
-            self.flush()
-            self.pre += 1
-            language = re.search(r"\blang(?:uage)?-(\w+)", a.get("class", ""))
-            self.text.append("```" + (language[1] if language else "") + "\n")
-        elif tag in ("ul", "ol"):
-            self.flush()
-            self.lists.append([tag == "ol", int(a["start"]) if a.get("start", "").isdigit() else 1, a.get("type", "").strip()])
-        elif tag == "li":
-            self.flush()
-            if self.lists:
-                ordered, n, kind = self.lists[-1]
-                self.prefix = "  " * (len(self.lists) - 1) + (list_label(n, kind) + " " if ordered else "- ")
-                self.lists[-1][1] += 1
-        elif tag == "table":
-            self.flush()
-            self.tables.append({"rows": [], "cell": None})
-        elif tag == "tr" and self.tables:
-            self.tables[-1]["rows"].append([])
-        elif tag in ("td", "th") and self.tables:
-            self.flush()
-            span = lambda k: min(int(a[k]), 1000) if a.get(k, "").isdigit() and int(a[k]) else 1
-            self.tables[-1]["cell"] = {"text": [], "rows": span("rowspan"), "cols": span("colspan")}
-
-    def open_box(self, tag: str, classes: list[str]) -> None:
-        if tag in _BLOCK:
-            self.boxes.append(tag)
-            advice = next((label for word, label in _ADVICE.items() if any(word in c for c in classes)), None)
-            inside = any(t for t, _, _ in self.quotes)
-            if advice and not inside:
-                self.quotes.append((f"{tag} {len(self.boxes)}", len(self.blocks), advice))
-        if tag == "dt":
-            self.prefix = "- **"
-        elif tag == "dd":
-            self.prefix = "  "
-
-    def close_box(self, tag: str) -> None:
-        if tag not in _BLOCK or tag not in self.boxes:
-            return
-        depth = len(self.boxes) - self.boxes[::-1].index(tag)
-        del self.boxes[depth - 1 :]
-        if self.quotes and self.quotes[-1][0] == f"{tag} {depth}":
-            _, first, title = self.quotes.pop()
-            inner, self.blocks[first:] = self.blocks[first:], []
-            if inner:
-                lines = [f"**{title}**", *"\n\n".join(inner).split("\n")]
-                self.blocks.append("\n".join(f"> {x}" if x.strip() else ">" for x in lines))
+        for closed, ends in _ENDED_BY.items():
+            if tag in ends:
+                self.end(closed, _HOLDS[closed])
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        top = self.open[-1][1]
+        if len(self.open) < MOST_DEPTH or tag in _VOID:
+            top.children.append(node)
+        else:
+            node = top  # what lies deeper is read as if it stood here
+        if tag not in _VOID:
+            self.open.append((tag, node))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.end(tag, ())
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-            return
-        if self.skip:
-            return
-        if tag == self.title and self.quotes:
-            own, self.text, self.title = " ".join("".join(self.text).split()), [], ""
-            if own:
-                self.quotes[-1] = (*self.quotes[-1][:2], own)
-        if tag in _WRAP and not self.pre:
-            self.text.append(_WRAP[tag])
-        elif tag == "a" and self.anchors:
-            if href := self.anchors.pop():
-                self.text.append(f"]({href})")
-        elif tag in ("sup", "sub"):
-            self.text.append(f"</{tag}>")
-        elif re.fullmatch(r"h[1-6]", tag):
-            self.flush("#" * int(tag[1]) + " ")
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            self.blocks.append("".join(self.text).rstrip() + "\n```")
-            self.text = []
-        elif tag in _BLOCK or tag == "li":
-            if tag in ("summary", "dt", "caption", "figcaption") and "".join(self.text).strip():
-                mark = "*" if tag in ("caption", "figcaption") else "**"
-                before, self.text = "".join(self.text).strip(), []
-                self.text.append((mark if tag != "dt" else "") + before + mark)
-                if tag == "caption" and self.tables:
-                    self.tables[-1]["caption"], self.text = self.text[0], []
-            self.flush()
-            self.close_box(tag)
-        elif tag in ("ul", "ol") and self.lists:
-            self.flush()
-            self.lists.pop()
-        elif tag in ("td", "th") and self.tables and self.tables[-1]["cell"] is not None:
-            self.flush()
-            table = self.tables[-1]
-            if not table["rows"]:
-                table["rows"].append([])
-            table["rows"][-1].append(table["cell"])
-            table["cell"] = None
-        elif tag == "table" and self.tables:
-            self.flush()
-            table = self.tables.pop()
-            if text := table_text(table["rows"]):
-                if table.get("caption") and not self.tables:
-                    self.blocks.append(re.sub(r"\s+", " ", table["caption"]))
-                if self.tables and self.tables[-1]["cell"] is not None:
-                    self.tables[-1]["cell"]["text"].append(text)
-                else:
-                    self.blocks.append(text)
+        self.end(tag, () if tag in _CELLS else ("td", "th"))
+
+    def end(self, tag: str, within: tuple[str, ...]) -> None:
+        """Closes the innermost open ``tag`` and all in it, unless one of ``within`` stands between."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] == tag:
+                del self.open[at:]
+                return
+            if self.open[at][0] in within:
+                return
 
     def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
+        self.open[-1][1].children.append(data)
+
+
+def advice_of(node: Node) -> str | None:
+    """The label of an advisory block."""
+    classes = node.classes()
+    if node.tag not in _BLOCK or any(c.startswith("mml") or c in _TITLES for c in classes):
+        return None
+    return next((label for word, label in _ADVICE.items() if any(word in c and not c.endswith("body") for c in classes)), None)
+
+
+class _Renderer:
+    """Renders a tree: ``blocks`` gives the blocks of an element, which hold those of the elements in it."""
+
+    def __init__(self, links: dict[str, str], page: str):
+        self.links, self.page = links, page
+
+    def is_block(self, node) -> bool:
+        """Whether an element is a block, or has one in it."""
+        if isinstance(node, str) or node.tag in _SKIP:
+            return False
+        return node.tag in _BLOCK or node.tag in _OTHER_BLOCKS or any(map(self.is_block, node.children))
+
+    def inline(self, node) -> str:
+        """Text with marks, its white space as it is; a line break is a zero character until ``clean``."""
+        if isinstance(node, str):
+            return node.replace("\0", "")
+        if node.tag in _SKIP:
+            return ""
+        if node.tag == "br":
+            return "\0"
+        if node.tag == "img":
+            return f"![{node.attrs.get('alt', '')}]({rewritten(node.attrs['src'], self.page, self.links)})" if node.attrs.get("src") else node.attrs.get("alt", "")
+        inner = "".join(map(self.inline, node.children))
+        if node.tag in _WRAP:
+            mark = _WRAP[node.tag]
+            return mark + inner + mark if inner.strip() else inner
+        if node.tag == "a" and node.attrs.get("href"):
+            href = rewritten(node.attrs["href"], self.page, self.links)
+            return f"[{inner if inner.strip() else node.attrs['href']}]({href})"
+        if node.tag in ("sup", "sub"):
+            return f"<{node.tag}>{inner}</{node.tag}>" if inner.strip() else inner
+        return inner
+
+    def blocks(self, node: Node, title: Node | None = None) -> list[str]:
+        """The blocks that an element holds, its own texts among them; ``title`` is told elsewhere."""
+        out, run = [], []
+        for child in node.children:
+            if child is title:
+                continue
+            if self.is_block(child):
+                out += self.paragraph(run)
+                run = []
+                out += self.block(child)
+            else:
+                run.append(self.inline(child))
+        return out + self.paragraph(run)
+
+    @staticmethod
+    def paragraph(run: list[str]) -> list[str]:
+        text = clean("".join(run))
+        return [text] if text else []
+
+    def block(self, node: Node) -> list[str]:
+        """An element that is a block, as blocks."""
+        tag = node.tag
+        if label := advice_of(node):
+            return self.advice(node, label)
+        if re.fullmatch(r"h[1-6]", tag):
+            text = clean(self.inline(node)).replace("\n", " ")
+            return ["#" * int(tag[1]) + " " + text] if text else []
+        if tag in ("ul", "ol"):
+            return self.list_of(node)
+        if tag == "table":
+            return self.table(node)
+        if tag == "pre":
+            return self.code(node)
+        if tag == "hr":
+            return ["---"]
+        if tag == "blockquote":
+            return quoted("\n\n".join(self.blocks(node)).split("\n"))
+        if tag == "dl":
+            return self.definitions(node)
+        if tag in ("figcaption", "summary", "caption"):
+            mark, text = "**" if tag == "summary" else "*", clean(self.inline(node))
+            return [mark + text + mark] if text else []
+        if tag == "div" and any("fignone" in c for c in node.classes()):
+            return self.vendor_figure(node)
+        return self.blocks(node)
+
+    def advice(self, node: Node, label: str) -> list[str]:
+        title = node.first(lambda n: any(c in _TITLES for c in n.classes()))
+        named = " ".join(title.text().split()) if title else ""
+        inner = self.blocks(self.without(node, title) if title else node)
+        return quoted([f"**{named or label}**", *"\n\n".join(inner).split("\n")]) if inner else []
+
+    def without(self, node: Node, gone: Node) -> Node:
+        """A copy of the tree without one element."""
+        return Node(node.tag, node.attrs, [c if isinstance(c, str) else self.without(c, gone) for c in node.children if c is not gone])
+
+    def vendor_figure(self, node: Node) -> list[str]:
+        """A figure whose caption is an element of class ``figcap``: the caption comes first."""
+        caption = next((c for c in node.children if isinstance(c, Node) and any("figcap" in x for x in c.classes())), None)
+        return (self.paragraph([self.inline(caption)]) if caption else []) + self.blocks(node, caption)
+
+    def list_of(self, node: Node) -> list[str]:
+        """A list as one block: an item's first text behind its label, its other blocks below, moved in."""
+        items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
+        if not items:
+            return self.blocks(node)
+        ordered, kind = node.tag == "ol", node.attrs.get("type", "").strip()
+        number = int(node.attrs["start"]) if re.fullmatch(r"\d{1,18}", node.attrs.get("start", "")) else 1
+        lines: list[str] = []
+        for child in node.children:
+            if isinstance(child, Node) and child.tag == "li":
+                label = list_label(number, kind) if ordered else "-"
+                number += 1
+                first, below = self.item(child)
+                lines.append(f"{label} {first}".rstrip())
+            else:  # a list or a text between the items belongs to the one before
+                below = self.block(child) if self.is_block(child) else self.paragraph([self.inline(child)])
+            lines += [moved_in(b) for b in below]
+        return ["\n".join(lines)]
+
+    def item(self, node: Node) -> tuple[str, list[str]]:
+        """The first text of a list item, and the blocks below it."""
+        inside = self.blocks(node)
+        starts_with_text = True
+        for child in node.children:
+            if isinstance(child, str) and not child.strip() or isinstance(child, Node) and not self.is_block(child) and not clean(self.inline(child)):
+                continue
+            starts_with_text = not self.is_block(child) or child.tag in _TEXT_BLOCKS and not advice_of(child)
+            while starts_with_text and self.is_block(child):  # what a paragraph or a section begins with
+                child = next((c for c in child.children if not isinstance(c, str) or c.strip()), "")
+                starts_with_text = not self.is_block(child) or child.tag in _TEXT_BLOCKS and not advice_of(child)
+            break
+        return (inside[0], inside[1:]) if inside and starts_with_text else ("", inside)
+
+    def definitions(self, node: Node) -> list[str]:
+        lines: list[str] = []
+        for child in node.children:
+            if isinstance(child, Node) and child.tag == "dt":
+                if text := clean(self.inline(child)):
+                    lines.append(f"- **{text}**")
+            elif isinstance(child, Node) and child.tag == "dd":
+                lines += [moved_in(b) for b in self.blocks(child)]
+            else:
+                lines += self.block(child) if self.is_block(child) else self.paragraph([self.inline(child)])
+        return ["\n".join(lines)] if lines else []
+
+    @staticmethod
+    def code(node: Node) -> list[str]:
+        own = next((c for c in node.children if isinstance(c, Node) and c.tag == "code"), None)
+        text = re.sub(r"\n{3,}", "\n\n", node.text().removeprefix("\n").rstrip())
+        language = next((m[1] for n in (own, node) if n for c in n.classes() if (m := re.fullmatch(r"lang(?:uage)?-(\S+)", c))), "")
+        fence = "`" * max(3, 1 + max(map(len, re.findall("`+", text)), default=0))
+        return [f"{fence}{language}\n{text}\n{fence}"]
+
+    def table(self, node: Node) -> list[str]:
+        rows, captions = [], []
+
+        def collect(inside: Node) -> None:
+            for child in inside.children:
+                if not isinstance(child, Node):
+                    continue
+                if child.tag == "tr":
+                    cells = [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th")]
+                    rows.append([{"text": self.cell(c), "rows": span(c, "rowspan"), "cols": span(c, "colspan")} for c in cells])
+                elif child.tag in ("td", "th"):  # a cell outside a row
+                    if not rows:
+                        rows.append([])
+                    rows[-1].append({"text": self.cell(child), "rows": span(child, "rowspan"), "cols": span(child, "colspan")})
+                elif child.tag == "caption":
+                    captions.extend(self.block(child))
+                elif child.tag != "table":
+                    collect(child)
+
+        collect(node)
+        text = table_text(rows)
+        return [re.sub(r"\s+", " ", c) for c in captions] + [text] if text else []
+
+    def cell(self, node: Node) -> list[str]:
+        """The lines of a table cell."""
+        if any(isinstance(c, Node) and advice_of(c) for c in node.children) or any(map(self.is_block, node.children)):
+            out, run = [], []
+            for child in node.children:
+                if not self.is_block(child):
+                    run.append(self.inline(child))
+                    continue
+                out += self.paragraph(run)
+                run = []
+                if advice_of(child):
+                    title = child.first(lambda n: any(c in _TITLES for c in n.classes()))
+                    inner = self.cell(self.without(child, title) if title else child)
+                    out.append(" ".join([*([" ".join(title.text().split())] if title else []), "<br>".join(inner)]).strip())
+                elif child.tag == "pre":
+                    text = " ".join(child.text().split())
+                    out += [f"``{text}``" if "`" in text else f"`{text}`"] if text else []
+                elif child.tag in _TEXT_BLOCKS or child.tag not in _OTHER_BLOCKS:
+                    out += self.cell(child)
+                else:
+                    out += self.block(child)
+            return out + self.paragraph(run)
+        return self.paragraph([self.inline(node)])
+
+
+def span(cell: Node, name: str) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return int(value) if value.isdigit() and int(value) else 1
+
+
+def clean(raw: str) -> str:
+    """White space as single blanks, a line break as a line feed without blanks around it."""
+    text = re.sub(r"\s+", " ", raw.replace("\xa0", " "))
+    return re.sub(r" *\0 *", "\n", text).strip()
+
+
+def quoted(lines: list[str]) -> list[str]:
+    return ["\n".join(f"> {x}" if x.strip() else ">" for x in lines)] if any(x.strip() for x in lines) else []
+
+
+def moved_in(block: str) -> str:
+    return "\n".join("  " + x if x.strip() else x for x in block.split("\n"))
 
 
 def table_text(rows: list[list[dict]]) -> str:
-    """A pipe table; cells that span rows or columns are repeated in all their places."""
+    """A pipe table; cells that span rows or columns are repeated in all their places, as many as the page says."""
     grid: list[dict[int, str]] = []
     for y, row in enumerate(rows):
         while len(grid) <= y:
@@ -250,17 +391,10 @@ def to_markdown(html: str | None, links: dict[str, str] | None = None, page: str
     """Markdown of a page; ``links`` maps the paths of pages to those of the documents that they become, ``page`` is its own path."""
     if html is None:
         return None
-    parser = _Page(links or {}, page)
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    out: list[str] = []
-    label = re.compile(r"\s*(?:-|\d+\.|[A-Za-z]\.|[ivxIVX]+\.) ")
-    for block in parser.blocks:
-        item = label.match(block)
-        tight = item and out and label.match(out[-1].lstrip("\n")) or block.startswith("  ") and out and out[-1].lstrip("\n").startswith("- **")
-        out.append(("\n" if tight else "\n\n") + block if out else block)
-    return "".join(out)
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    return "\n\n".join(_Renderer(links or {}, page).blocks(tree.root))
 
 
 @F.pandas_udf(StringType())

@@ -18,6 +18,7 @@ from ..functions.markdown import parse_documents, rewrite_front_matter
 from ..functions.text import unsafe_member
 from ..model import REGISTRY
 from ..operators.maintenance import import_counts, last_wins, merge_registry
+from .archives import read_archives
 
 
 @udtf(returnType="idx int, name string, content binary")
@@ -41,12 +42,18 @@ class unzip:
 def members(archives: DataFrame, content: str = "content") -> DataFrame:
     """(archive, idx, name, content) for archives (path, content); an unsafe member stops the job."""
     rows = archives.select(F.col("path").alias("archive"), F.col(content).alias("_zip")).lateralJoin(unzip(F.col("_zip").outer()))
-    safe = F.when(unsafe_member(F.col("name")), F.raise_error(F.concat(F.lit("unsafe archive member: "), F.col("name")))).otherwise(F.lit(True))
-    return rows.where(safe.cast("boolean")).select("archive", "idx", "name", "content")
+    return safe(rows).select("archive", "idx", "name", "content")
 
 
-def read_members(spark: SparkSession, path: str) -> DataFrame:
-    return members(spark.read.format("binaryFile").load(path).select("path", "content"))
+def safe(rows: DataFrame) -> DataFrame:
+    """The members (name, ...); one that would leave its folder stops the job."""
+    good = F.when(unsafe_member(F.col("name")), F.raise_error(F.concat(F.lit("unsafe archive member: "), F.col("name")))).otherwise(F.lit(True))
+    return rows.where(good.cast("boolean"))
+
+
+def read_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(archive, idx, name, content) of archives of any size: tasks take ranges of an archive, see ``sources.archives``."""
+    return safe(read_archives(spark, path, suffixes)).select("archive", "idx", "name", "content")
 
 
 def markdown_members(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoding import decoded
+from ..functions.encoding import CharsetModel, decoder
 
 # Suffixes that may be shown.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "webp", "bmp")
@@ -48,25 +48,35 @@ def read_images(spark: SparkSession, root: str, product_documents: bool = False)
     return read_binary(spark, root, (*IMAGE_SUFFIXES, "svg") if product_documents else IMAGE_SUFFIXES)
 
 
+def named(suffixes: tuple[str, ...]) -> str:
+    """A pattern of file names with one of the suffixes in any case, for the listing: other files are not opened."""
+    either = lambda c: f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() else c
+    return "*.{" + ",".join("".join(map(either, s)) for s in suffixes) + "}"
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, size, mtime) of all files; no contents are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select(relative_path(root, F.col("path")).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+
+
 def read_binary(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """(path, content) of files with the given suffixes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(relative_path(root, F.col("path")).alias("path"), "content")
-    return rows.where(suffix(F.col("path")).isin(*suffixes))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", named(suffixes)).load(root)
+    return files.select(relative_path(root, F.col("path")).alias("path"), "content")
 
 
 def read_preview(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of files that can be shown as text."""
-    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    return files.select(relative_path(root).alias("path"), F.col("value").alias("text")).where(suffix(F.col("path")).isin(*TEXT_SUFFIXES))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", named(TEXT_SUFFIXES)).text(root, wholetext=True)
+    return files.select(relative_path(root).alias("path"), F.col("value").alias("text"))
 
 
-def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, charset) of all HTML files, decoded by their own character sets."""
-    return read_binary(spark, root, ("html", "htm")).withColumn("_d", decoded("content")).select("path", "_d.text", "_d.charset")
+def read_pages(spark: SparkSession, root: str, model: CharsetModel | None = None) -> DataFrame:
+    """(path, text, charset) of all HTML files, decoded by their own character sets; ``model`` judges pages that do not state theirs."""
+    return read_binary(spark, root, ("html", "htm")).withColumn("_d", decoder(model)("content")).select("path", "_d.text", "_d.charset")
 
 
 def file_times(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(source_path, mtime): no contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select(relative_path(root, F.col("path")).alias("source_path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+    return listing(spark, root, pattern).select(F.col("path").alias("source_path"), "mtime")

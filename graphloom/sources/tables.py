@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..functions.text import problems
 from ..model import EDGES, OBJECTS
 from . import storage
-from .files import relative_path
+from .files import listing, relative_path
 
 #: Where edges lie whose node is not there.
 NO_LAYER = "none"
@@ -53,11 +53,10 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
     """(name, nf, version, status) of bundle folders by their ``bundle.json``; folders without one count as done."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative_path(root, F.col("path")).alias("path"), "content")
-    names = files.where(F.contains("path", F.lit("/"))).select(F.substring_index("path", "/", 1).alias("name")).distinct()
-    meta = files.where(F.col("path").rlike("^[^/]+/bundle\\.json$")).select(
-        F.substring_index("path", "/", 1).alias("name"), F.from_json(F.col("content").cast("string"), "nf string, version string, status string").alias("m")
-    )
+    names = listing(spark, root).where(F.contains("path", F.lit("/"))).select(F.substring_index("path", "/", 1).alias("name")).distinct()
+    described = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "bundle.json").text(root, wholetext=True)
+    described = described.select(relative_path(root).alias("path"), F.from_json("value", "nf string, version string, status string").alias("m"))
+    meta = described.where(F.col("path").rlike("^[^/]+/bundle\\.json$")).select(F.substring_index("path", "/", 1).alias("name"), "m")
     return names.join(meta, "name", "left").select("name", "m.nf", "m.version", F.coalesce("m.status", F.lit("done")).alias("status"))
 
 
@@ -79,22 +78,25 @@ def read_review_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     ``cases/<domain>/<scenario>/TestCase@<x>/`` is a case, ``runs/<case>/Run@<y>/`` a run, ``reviews/*.md`` in it a review. The
     documents of a case and a run have their folder's name and may be missing; all other files of a case are its ``files``,
-    those of a run its artifacts. A case straight below ``cases`` has the domain 未分类. Spark passes over files without a byte.
+    those of a run its artifacts. Only Markdown files are opened; of the others the listing tells path and size. A case straight below ``cases`` has the domain 未分类. Spark passes over files without a byte.
     """
     from ..functions.markdown import parse_documents
 
-    scan = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root)
-    rows = scan.select(relative_path(root, F.col("path")).alias("path"), F.col("content").cast("string").alias("raw_md"), F.col("length").alias("size"))
+    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    texts = scan.select(relative_path(root).alias("path"), F.col("value").alias("raw_md"))
+    rows = listing(spark, root)
     pick = lambda pattern, *names: [F.regexp_extract("path", pattern, n + 1).alias(name) for n, name in enumerate(names)]
     in_case, in_run = r"^cases/(.*?)(TestCase@[^/]+)/(.+)$", r"^runs/([^/]+)/(Run@[^/]+)/(.+)$"
-    of_cases = rows.where(F.col("path").rlike(in_case)).select("raw_md", *pick(in_case, "above", "id", "rest"))
-    of_runs = rows.where(F.col("path").rlike(in_run)).select("raw_md", "size", *pick(in_run, "case_id", "id", "rest"))
+    of_cases = rows.where(F.col("path").rlike(in_case)).select(*pick(in_case, "above", "id", "rest"))
+    of_runs = rows.where(F.col("path").rlike(in_run)).select("size", *pick(in_run, "case_id", "id", "rest"))
+    case_texts = texts.where(F.col("path").rlike(in_case)).select("raw_md", *pick(in_case, "above", "id", "rest"))
+    run_texts = texts.where(F.col("path").rlike(in_run)).select("raw_md", *pick(in_run, "case_id", "id", "rest"))
     own = F.col("rest") == F.concat("id", F.lit(".md"))
     is_review = F.col("rest").rlike(r"^reviews/[^/]+\.md$")
     field = lambda n: F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit(""))
 
     cases = of_cases.groupBy("id", "above").agg(F.array_sort(F.collect_list(F.when(~own, F.col("rest")))).alias("files"))
-    told = parse_documents(of_cases.where(own).select("id", "above", "raw_md"))
+    told = parse_documents(case_texts.where(own).select("id", "above", "raw_md"))
     heading = F.trim(F.regexp_extract("body_md", r"(?m)^\s*#\s+(.+?)\s*$", 1))
     told = told.select("id", "above", F.coalesce(F.nullif(field("name"), F.lit("")), F.nullif(heading, F.lit(""))).alias("name"))
     folders = F.filter(F.split("above", "/", -1), lambda x: x != "")
@@ -103,10 +105,10 @@ def read_review_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "id", part(1, "未分类").alias("domain"), part(2, "").alias("scenario"), F.coalesce("name", "id").alias("name"), "files", F.concat(F.lit("cases/"), "above", "id").alias("source_path")
     )
     runs = of_runs.select("id", "case_id").distinct()
-    told = parse_documents(of_runs.where(own).select("id", "case_id", "raw_md")).select("id", "case_id", *(field(n).alias(n) for n in ("name", "runner", "run_at", "status")))
+    told = parse_documents(run_texts.where(own).select("id", "case_id", "raw_md")).select("id", "case_id", *(field(n).alias(n) for n in ("name", "runner", "run_at", "status")))
     runs = runs.join(told, ["id", "case_id"], "left").na.fill("", ["name", "runner", "run_at", "status"])
     title = F.when(F.col("name") != "", F.col("name")).otherwise(F.trim(F.concat(F.lit("Run "), "run_at")))
-    reviews = parse_documents(of_runs.where(is_review).select(F.regexp_extract("rest", r"([^/]+)\.md$", 1).alias("id"), F.col("id").alias("run_id"), "raw_md"))
+    reviews = parse_documents(run_texts.where(is_review).select(F.regexp_extract("rest", r"([^/]+)\.md$", 1).alias("id"), F.col("id").alias("run_id"), "raw_md"))
     return {
         "cases": cases,
         "runs": runs.select("id", "case_id", title.alias("name"), "runner", "run_at", "status", F.concat_ws("/", F.lit("runs"), "case_id", "id").alias("source_path")),

@@ -221,3 +221,44 @@ def test_addresses():
 def test_meaningful_pages(spark):
     got = [value(spark, html.is_meaningful(F.lit(x))) for x in ("<h1>T</h1>", "<h1>T</h1><table></table>", "<p>twenty characters of text here</p>", "<p>Copyright of a very long company name</p>")]
     assert got == [False, True, True, False]
+
+
+def test_html_trees():
+    show = html.to_markdown
+    assert show("<ul><li>a<p>b</p></li></ul>") == "- a\n  b"
+    assert show("<ul><li><p>a</p><p>b</p><table><tr><td>x</table><pre>c\n d</pre></li><li>z</ul>after") == "- a\n  b\n  | x |\n  | --- |\n  ```\n  c\n   d\n  ```\n- z\n\nafter"
+    assert show("<ul><li><ul><li>deep</li></ul></li><li><div><p>text</p><ul><li>q</ul></div></ul>") == "-\n  - deep\n- text\n  - q"
+    assert show("<ul><li>a</li><ul><li>b</li></ul></ul>") == "- a\n  - b" and show("<ul>no items<p>x</ul>") == "no items\n\nx"
+    assert show("<div class='fignone'><span class='figcap'>Fig <b>1</b></span><img src='a.png' alt='x'><p>legend</p></div>") == "Fig **1**\n\n![x](a.png)\n\nlegend"
+    assert show("<blockquote>q<p>r</p></blockquote><hr><pre>a```b</pre>") == "> q\n>\n> r\n\n---\n\n````\na```b\n````"
+    assert show("<div class='mml note'>plain</div>") == "plain" and show("<p class='tip'>x</p>") == "> **提示**\n> x"
+    assert show("<table><tr><td colspan=1500>a</td></tr></table>").count("---") == 1500
+    assert show("<table><tr><td rowspan='2000'>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == "| a | b |\n| --- | --- |\n| a | c |"
+    assert show("<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y</p>") == "x\n\ny"
+    assert show("<td>a</td>") == "a" and show("<table></table>") == "" and show("</p></div>x") == "x" and show("<p>a<p>b<ul><li>c</ul>d") == "a\n\nb\n\n- c\n\nd"
+    assert show("<table><tr><td><p>a</div></p></td><td>b</td></tr></table>") == "| a | b |\n| --- | --- |"
+
+
+def test_charsets_wherever_they_are_stated():
+    assert encoding.decode_page(b"caf\xe9 ok") == ("café ok", "windows-1252")
+    late = b"<p>" + b" " * 5000 + b"<meta charset=big5>" + "設定".encode("big5")
+    assert encoding.decode_page(late)[1] == "big5" and encoding.decode_page(late)[0].endswith("設定")
+    assert encoding.decode_page(b"<?xml charset='gb2312'?>" + "镕".encode("gbk")) == ("<?xml charset='gb2312'?>镕", "gb2312")
+    assert encoding.decode_page(b"\x81") == ("\x81", "iso-8859-1") and encoding.decode_page(b"") == ("", "utf-8") and encoding.decode_page(None) is None
+
+
+def test_charsets_by_statistics(spark):
+    """Trained on some texts, held against others: short pages (about ten letters) and long ones."""
+    import random
+
+    rng = random.Random(5)
+    zh = "配置参数说明增加对象删除查询显示设置激活清除刷新加载用户会话策略规则网络接口地址端口服务质量计费"
+    tw = "設定參數說明增加物件刪除查詢顯示設置啟動清除重新載入用戶會話策略規則網路介面位址埠服務品質計費"
+    fr = ["élève", "où", "ça", "être", "déjà", "le", "la", "forêt", "garçon", "très", "été", "Noël", "sur", "naïve"]
+    make = {"gb18030": lambda n: "".join(rng.choices(zh, k=n)), "big5": lambda n: "".join(rng.choices(tw, k=n)), "windows-1252": lambda n: " ".join(rng.choices(fr, k=n))}
+    model = encoding.train_charsets(spark.createDataFrame([(f(200),) for f in make.values() for _ in range(20)] + [(None,), ("plain",)], "text string"))
+    for size, least in ((8, 0.97), (200, 1.0)):
+        pages = [(charset, t) for charset, f in make.items() for t in (f(size) for _ in range(200)) if not t.isascii()]
+        right = sum(encoding.decode_page(t.encode(charset), model)[0] == t for charset, t in pages)
+        assert right / len(pages) >= least
+    assert model.detect(b"plain") is None
