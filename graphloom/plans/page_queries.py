@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import encoding, html
+from ..operators import images
 from ..sources import archives, files
 from . import fixtures as X
 from .registry import query, scratch
@@ -57,3 +58,35 @@ def charset_pages(spark, sf):
     archives.write_files(texts.mapInPandas(written, "path string, content binary"), root)
     found = files.read_pages(spark, root, model)
     return found.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("id"), "charset", F.md5("text").alias("digest"))
+
+
+_SHOWN = """, shown AS (SELECT src, 'd' || src % 7 || '/p' || lpad(src::VARCHAR, 8, '0') || '.md' AS path, 's' || src % 3 AS slug, 'pic ' || src % 5 || '.png' AS base, src % 401 AS content FROM p),
+firsts AS (SELECT content, min(path) AS path, arg_min(base, path) AS base, arg_min(slug, path) AS slug FROM shown WHERE src % 10 <> 0 GROUP BY content),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS n FROM firsts),
+clashes AS (SELECT *, row_number() OVER (PARTITION BY base, slug ORDER BY path) AS m FROM ranked WHERE n > 1),
+named AS (SELECT content, base AS asset FROM ranked WHERE n = 1 UNION ALL SELECT content, slug || '_' || CASE WHEN m > 1 THEN m || '_' ELSE '' END || base FROM clashes)
+"""
+
+
+def _shown(spark, sf):
+    """Pages that show an image each, and the images: equal names with other contents, equal contents under several paths."""
+    src = F.col("src")
+    base = F.concat(F.lit("pic "), src % 5, F.lit(".png"))
+    pages = X.parts(spark, sf).select(
+        F.concat(F.lit("d"), src % 7, F.lit("/p"), F.lpad(src.cast("string"), 8, "0"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("s"), src % 3).alias("slug"),
+        F.concat(F.lit("a ![x](../img/./"), src, F.lit("/no/../"), F.replace(base, F.lit(" "), F.lit("%20")), F.lit(' "title") b ![](http://e.org/x.png) c ![gone](no.png)')).alias("md"),
+    )
+    images = X.parts(spark, sf).where(src % 10 != 0).select(F.concat(F.lit("img/"), src, F.lit("/"), base).alias("path"), F.md5((src % 401).cast("string").cast("binary")).alias("hash"))
+    return pages, images
+
+
+@query(_SHOWN + """SELECT s.path, 'a ' || CASE WHEN src % 10 <> 0 THEN '![x](assets/' || asset || ')' ELSE '![x](../img/./' || src || '/no/../' || replace(base, ' ', '%20') || ' "title")' END || ' b ![](http://e.org/x.png) c ![gone](no.png)' AS md,
+  CASE WHEN src % 10 <> 0 THEN 1 ELSE 0 END AS n_images FROM shown s LEFT JOIN named n ON n.content = s.content""")
+def image_pages(spark, sf):
+    return images.register_images(*_shown(spark, sf), scratch(spark, "images"))[0]
+
+
+@query(_SHOWN + "SELECT md5(n.content::VARCHAR) AS hash, asset FROM named n")
+def image_names(spark, sf):
+    return images.register_images(*_shown(spark, sf), scratch(spark, "images"))[1].select("hash", "asset")
