@@ -9,7 +9,7 @@ from ..functions import encoding, html, ids, markdown, text
 from ..functions.versions import ver_key
 from ..operators import access, graph, maintenance, mining, reviews, stats, telemetry
 from . import fixtures as X
-from . import archive_queries, mining_queries, page_queries, source_queries  # noqa: F401  they register themselves
+from . import archive_queries, mining_queries, page_queries, source_queries, stream_queries  # noqa: F401  they register themselves
 from .registry import Query, found_queries, found_sql, query
 
 def _joined(column: str) -> F.Column:

@@ -66,6 +66,31 @@ def read_binary(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAG
     return files.select(relative_path(root, F.col("path")).alias("path"), "content")
 
 
+def read_chosen(chosen: DataFrame, root: str) -> DataFrame:
+    """(path, content, ...) of the files below ``root`` that ``chosen`` (path, ...) names, opened by the tasks that hold the rows.
+
+    The content of a file that is not there is null. Other columns pass through.
+    """
+    from .archives import opened
+
+    def read(batches):
+        system, place = opened(root)
+        for pdf in batches:
+            contents = []
+            for path in pdf["path"]:
+                try:
+                    with system.open_input_stream(f"{place.rstrip('/')}/{path}") as file:
+                        contents.append(file.read())
+                except FileNotFoundError:
+                    contents.append(None)
+            yield pdf.assign(content=contents)[names]
+
+    rest = [f for f in chosen.schema if f.name not in ("path", "content")]
+    names = ["path", "content", *(f.name for f in rest)]
+    schema = ", ".join(["path string", "content binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)])
+    return chosen.mapInPandas(read, schema)
+
+
 def read_preview(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of files that can be shown as text."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", named(TEXT_SUFFIXES)).text(root, wholetext=True)

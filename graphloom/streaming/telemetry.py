@@ -31,6 +31,18 @@ def without_repeats(log: DataFrame, late: str = "1 hour") -> DataFrame:
     return log.withColumn("at", F.to_timestamp("ts")).withWatermark("at", late).dropDuplicatesWithinWatermark(["seq"])
 
 
+def reads_of_requests(requests: DataFrame, reads: DataFrame, within: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """(request, user, requested_at, read, obj_id, read_at): the objects that a user read in the time ``within`` after a request.
+
+    Both are logs (seq, ts, user, ...); as streams their rows may come ``late``, later ones are dropped. Requests are held until
+    no read that fits can come any more, reads until no request can. Over tables it is the plain join.
+    """
+    left = requests.select(F.col("seq").alias("request"), "user", F.to_timestamp("ts").alias("requested_at")).withWatermark("requested_at", late)
+    right = reads.select(F.col("seq").alias("read"), F.col("user").alias("_user"), "obj_id", F.to_timestamp("ts").alias("read_at")).withWatermark("read_at", late)
+    near = (F.col("read_at") >= F.col("requested_at")) & (F.col("read_at") <= F.col("requested_at") + F.expr(f"interval {within}"))
+    return left.join(right, (F.col("user") == F.col("_user")) & near).select("request", "user", "requested_at", "read", "obj_id", "read_at")
+
+
 def append_feed(log: DataFrame, path: str, checkpoint: str):
     """Writes qualifying uses on to ``path``, all that is there now, then stops; the checkpoint is the cursor."""
     feed = qualifying(log).select("seq", "ts", "obj_id", "obj_type", "user", "operator")
