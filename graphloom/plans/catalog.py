@@ -472,23 +472,25 @@ def replace_edges(spark, sf):
     return maintenance.replace_edges(edges, own.select(F.col("from_id").alias("id"), F.col("from_version").alias("version")), own.withColumn("relation", F.lit("new"))).select("from_id", "from_version", "relation", "to_id")
 
 
-@query("SELECT type, layer FROM (VALUES ('MMLCommand', 'X'), ('Extra', 'Y'), ('ConfigObject', 'ConfigObject'), ('Feature', 'Feature'), ('License', 'License'), ('Task', 'Task'), ('AtomTask', 'Task'), ('CompoundTask', 'Task'), ('FeatureTask', 'Task'), ('BusinessDomain', 'Business'), ('NetworkScenario', 'Business'), ('ConfigurationSolution', 'Business')) t(type, layer)")
+@query("SELECT id, version, type, CASE type WHEN 'MMLCommand' THEN 'X' ELSE layer END AS layer FROM objects")
 def registry_override(spark, sf):
+    """Every object's layer by a registry in which a bundle has put one type elsewhere."""
     from ..model import REGISTRY, default_registry
 
     more = spark.createDataFrame([("MMLCommand", "X", "nf", 3, [], []), ("Extra", "Y", "nf", 3, [], [])], REGISTRY)
-    return maintenance.merge_registry(default_registry(spark), more)[0].select("type", "layer")
+    merged = maintenance.merge_registry(default_registry(spark), more)[0].select("type", "layer")
+    return X.objects(spark, sf).drop("layer").join(F.broadcast(merged), "type").select("id", "version", "type", "layer")  # a row for each type
 
 
-_USERS = "SELECT 'u' || i::VARCHAR AS \"user\", i & 1 = 1 AS f, i & 2 = 2 AS s, i & 4 = 4 AS u, i & 8 = 8 AS a, i & 16 = 16 AS t, i & 32 = 32 AS adm FROM range(64) x(i)"
+_USERS = "SELECT 'u' || i::VARCHAR AS \"user\", i & 1 = 1 AS f, i & 2 = 2 AS s, i & 4 = 4 AS u, i & 8 = 8 AS a, i & 16 = 16 AS t, i & 32 = 32 AS adm FROM (SELECT c_custkey AS i FROM customer)"
 
 
 @query(f""", w AS ({_USERS}) SELECT "user", 'admin' AS permission, adm AS allowed FROM w UNION ALL SELECT "user", 'frontend', adm OR f FROM w UNION ALL SELECT "user", 'skill', adm OR f OR s FROM w
     UNION ALL SELECT "user", 'upload', adm OR (f AND u) FROM w UNION ALL SELECT "user", 'assets', adm OR a FROM w UNION ALL SELECT "user", 'test', adm OR (f AND t) FROM w""")
 def permission_matrix(spark, sf):
-    i = F.col("id")
+    i = F.col("c_custkey")
     bits = {"can_frontend": 1, "can_skill": 2, "can_upload": 4, "can_assets": 8, "can_test": 16, "is_admin": 32}
-    users = spark.range(64).select(F.concat(F.lit("u"), i.cast("string")).alias("user"), *((i.bitwiseAND(b) == b).alias(n) for n, b in bits.items()))
+    users = X.read(spark, sf, "customer").select(F.concat(F.lit("u"), i.cast("string")).alias("user"), *((i.bitwiseAND(b) == b).alias(n) for n, b in bits.items()))
     return access.permission_matrix(users)
 
 

@@ -100,16 +100,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases 0 to 29; the runs below use 25 of them."""
-    n = F.col("id")
-    return spark.range(30).select(
-        F.concat(F.lit("c"), F.lpad(n.cast("string"), 3, "0")).alias("id"), F.concat(F.lit("d"), (n % 5).cast("string")).alias("domain"), F.concat(F.lit("s"), (n % 7).cast("string")).alias("scenario"), F.concat(F.lit("Case "), n.cast("string")).alias("name")
+    """A case for each supplier; the runs below use the first 25."""
+    n = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("c"), F.lpad(n.cast("string"), 9, "0")).alias("id"), F.concat(F.lit("d"), (n % 5).cast("string")).alias("domain"), F.concat(F.lit("s"), (n % 7).cast("string")).alias("scenario"), F.concat(F.lit("Case "), n.cast("string")).alias("name")
     )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return c.select(F.concat(F.lit("r"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("c"), F.lpad((F.col("conv_id") % 25).cast("string"), 3, "0")).alias("case_id"), F.lpad((F.col("conv_id") * 37 % 1000).cast("string"), 4, "0").alias("run_at"))
+    return c.select(F.concat(F.lit("r"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("c"), F.lpad((F.col("conv_id") % 25).cast("string"), 9, "0")).alias("case_id"), F.lpad((F.col("conv_id") * 37 % 1000).cast("string"), 4, "0").alias("run_at"))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +153,8 @@ telemetry AS (
          regexp_extract(props, '([0-9]+)', 1) AS obj_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'T' || (event_id % 4)::VARCHAR END AS obj_type,
          'u' || user_id::VARCHAR AS user, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'EMP' || (user_id % 11)::VARCHAR END AS operator FROM events),
 used AS (SELECT * FROM telemetry WHERE level = 'object' AND caller = 'skill' AND endpoint IN ('/md', '/domains')),
-cases AS (SELECT 'c' || lpad(i::VARCHAR, 3, '0') AS id, 'd' || (i % 5)::VARCHAR AS domain, 's' || (i % 7)::VARCHAR AS scenario, 'Case ' || i::VARCHAR AS name FROM range(30) t(i)),
-runs AS (SELECT DISTINCT 'r' || lpad(conv_id::VARCHAR, 9, '0') AS id, 'c' || lpad((conv_id % 25)::VARCHAR, 3, '0') AS case_id, lpad((conv_id * 37 % 1000)::VARCHAR, 4, '0') AS run_at FROM conversations),
+cases AS (SELECT 'c' || lpad(i::VARCHAR, 9, '0') AS id, 'd' || (i % 5)::VARCHAR AS domain, 's' || (i % 7)::VARCHAR AS scenario, 'Case ' || i::VARCHAR AS name FROM (SELECT s_suppkey AS i FROM supplier)),
+runs AS (SELECT DISTINCT 'r' || lpad(conv_id::VARCHAR, 9, '0') AS id, 'c' || lpad((conv_id % 25)::VARCHAR, 9, '0') AS case_id, lpad((conv_id * 37 % 1000)::VARCHAR, 4, '0') AS run_at FROM conversations),
 reviews AS (SELECT 'r' || lpad(conv_id::VARCHAR, 9, '0') || '-' || lpad(turn::VARCHAR, 4, '0') AS id, 'r' || lpad(conv_id::VARCHAR, 9, '0') AS run_id,
             CASE max(length(text)) % 4 WHEN 0 THEN '通过' WHEN 1 THEN '不通过' WHEN 2 THEN '未判定' ELSE '部分通过' END AS verdict
             FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),

@@ -2,47 +2,59 @@
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
+import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from ..functions import encoding, html, markdown, text
 from ..model import default_registry
 from ..operators import access, graph, maintenance, mining, reviews, stats, telemetry
-from ..sources import bundles, files, storage, tables
+from ..sources import archives, bundles, files, storage, tables
 from ..streaming import reindex as documents_stream
 from ..streaming import telemetry as telemetry_stream
 from . import fixtures as X
 from .registry import query, scratch, stored
 
 
-def _nations(spark, sf) -> list:
-    """The nations with their regions: a table of fixed size."""
-    region = X.read(spark, sf, "region")
-    nation = X.read(spark, sf, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return nation.orderBy("n_nationkey").collect()
+def _places(spark, sf) -> DataFrame:
+    """(n_nationkey, n_name, r_name): suppliers with their regions, as rows of which the queries below make a file or a few each."""
+    region, nation = X.read(spark, sf, "region"), X.read(spark, sf, "nation")
+    rows = X.read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("s_suppkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "r_name")
 
 
-def _document(n) -> str:
-    return f"---\nid: NetworkScenario@{n['n_name']}\ntype: NetworkScenario\ndomain: {n['r_name']}\nscenario: {n['n_name']}\nname: {n['n_name']}\n---\n# {n['n_name']}\n\nsee [[inline]]\n\n## 边\n- 上游: [[BusinessDomain@{n['r_name']}]] [[X{n['n_nationkey']}]]\n"
+def _joined(*parts) -> Column:
+    """Column names in braces and texts, as one text."""
+    found = [piece for part in parts for piece in re.split(r"\{(\w+)\}", part)]
+    return F.concat(*(F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(found)))
+
+
+def _file(path: str, content) -> Column:
+    content = _joined(content) if isinstance(content, str) else content
+    return F.struct(_joined(path).alias("path"), content.cast("binary").alias("content"))
+
+
+def _written(rows: DataFrame, root: str, *found) -> str:
+    """Writes (path, content) structs of every row, where they are not null; the tasks write."""
+    archives.write_files(rows.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.path", "f.content"), root)
+    return root
+
+
+DOCUMENT = "---\nid: NetworkScenario@{n_name}\ntype: NetworkScenario\ndomain: {r_name}\nscenario: {n_name}\nname: {n_name}\n---\n# {n_name}\n\nsee [[inline]]\n\n## 边\n- 上游: [[BusinessDomain@{r_name}]] [[X{n_nationkey}]]\n"
 
 
 def _tree(spark, sf) -> str:
-    """A folder with a document for each nation, a hidden one and one that is no Markdown."""
-    root = scratch(spark, "tree")
-    for n in _nations(spark, sf):
-        storage.write_text(spark, f"{root}/{n['r_name']}/{n['n_name']} x.md", _document(n))
+    """A folder with a document for each place, a hidden one and one that is no Markdown."""
+    root = _written(_places(spark, sf), scratch(spark, "tree"), _file("{r_name}/{n_name} x.md", DOCUMENT))
     storage.write_text(spark, f"{root}/.hidden/no.md", "no")
     storage.write_text(spark, f"{root}/readme.txt", "no")
     return root
 
 
-NAT = "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey"
+NAT = "SELECT s_suppkey AS n_nationkey, s_name AS n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
 @query(f"SELECT r_name || '/' || n_name || ' x.md' AS source_path, 'NetworkScenario@' || n_name AS id, n_name AS name, r_name AS domain, n_name AS scenario, 'Business' AS layer FROM ({NAT})")
@@ -63,43 +75,41 @@ def file_times(spark, sf):
     return times.select("source_path", (F.col("mtime") > 1.7e9).alias("recent"))
 
 
-@query(f"SELECT name, is_dir FROM (SELECT DISTINCT r_name AS name, true AS is_dir FROM region UNION ALL SELECT 'readme.txt', false)")
+@query(f"SELECT name, is_dir FROM (SELECT DISTINCT r_name AS name, true AS is_dir FROM ({NAT}) UNION ALL SELECT 'readme.txt', false)")
 def folder_listing(spark, sf):
     root = _tree(spark, sf)
     return maintenance.list_directory(files.file_times(spark, root, "*").select("source_path"))
 
 
-@query("SELECT 'readme.txt' AS path, 'no' AS text")
+@query(f"SELECT r_name || '/' || n_nationkey || '.' || ['txt', 'JSON', 'csv'][n_nationkey % 3 + 1] AS path, n_name || chr(10) || 'end' AS text FROM ({NAT})")
 def text_previews(spark, sf):
-    return files.read_preview(spark, _tree(spark, sf)).where(~F.col("path").endswith(".md"))
+    own = [F.when(F.col("n_nationkey") % 3 == n, _file(f"{{r_name}}/{{n_nationkey}}.{end}", "{n_name}\nend")) for n, end in enumerate(("txt", "JSON", "csv"))]
+    return files.read_preview(spark, _written(_places(spark, sf), scratch(spark, "previews"), *own, _file("{r_name}/{n_nationkey}.bin", "no")))
 
 
 def _bundle(spark, sf) -> DataFrame:
-    """(path, content): a zip of the nations' documents, with a type of its own, documents that repeat and such that are refused."""
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("types/Extra.yaml", "layer: Extra\nscope: cross\nid_segments: 2\npath_fields: [domain]\n")
-        z.writestr("types/Feature.yaml", "layer: Feature\nscope: nf\nid_segments: 3\n")
-        z.writestr("folder/", "")
-        for n in _nations(spark, sf):
-            z.writestr(f"a/{n['n_name']}.md", _document(n))
-            if n["n_nationkey"] % 5 == 0:
-                z.writestr(f"b/{n['n_name']}.md", _document(n).replace("name: ", "name: last "))
-        z.writestr("extra.md", "---\nid: Extra@one\ntype: Extra\ndomain: ASIA\n---\ntext")
-        z.writestr("no_type.md", "---\nid: Extra@two\n---\n")
-        z.writestr("unknown.md", "---\nid: Q@two\ntype: Q\n---\n")
-        z.writestr("bad.md", b"\xff\xfe\x00bad")
-        z.writestr("image.png", b"\x89PNG")
-    return spark.createDataFrame([("bundle.zip", bytearray(data.getvalue()))], "path string, content binary")
+    """The members of archives of the places' documents, with a type of its own, documents that repeat and such that are refused."""
+    root = scratch(spark, "bundle")
+    later = F.concat(F.lit("b/"), "n_name", F.lit(".md"))
+    own = _places(spark, sf).select("n_nationkey", F.explode(F.array(_file("a/{n_name}.md", DOCUMENT), F.struct(later.alias("path"), F.replace(_joined(DOCUMENT), F.lit("name: "), F.lit("name: last ")).cast("binary").alias("content")))).alias("f"))
+    own = own.where(F.col("f.path").startswith("a/") | (F.col("n_nationkey") % 5 == 0)).select("f.path", "f.content")
+    more = [
+        ("types/Extra.yaml", b"layer: Extra\nscope: cross\nid_segments: 2\npath_fields: [domain]\n"), ("types/Feature.yaml", b"layer: Feature\nscope: nf\nid_segments: 3\n"),
+        ("extra.md", b"---\nid: Extra@one\ntype: Extra\ndomain: ASIA\n---\ntext"), ("no_type.md", b"---\nid: Extra@two\n---\n"), ("unknown.md", b"---\nid: Q@two\ntype: Q\n---\n"),
+        ("bad.md", b"\xff\xfe\x00bad"), ("image.png", b"\x89PNG"),
+    ]
+    rows = own.unionByName(spark.createDataFrame([(n, bytearray(c)) for n, c in more], "path string, content binary")).select(F.col("path").alias("name"), "content")
+    archives.write_archives(rows.repartitionByRange(3, "name").sortWithinPartitions("name"), root, 5000)
+    found = bundles.read_members(spark, root)
+    return found.withColumn("idx", F.rank().over(Window.partitionBy(F.substring_index("name", "/", -1)).orderBy("name")))  # of one file name the last path wins
 
 
 def _import(spark, sf) -> bundles.Import:
-    there = X.read(spark, sf, "nation").where("n_nationkey % 2 = 0").join(X.read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    there = there.select(F.concat(F.lit("Business/"), "r_name", F.lit("/"), "n_name", F.lit("/NetworkScenario@"), "n_name", F.lit(".md")).alias("path"))
-    return bundles.import_bundle(bundles.members(_bundle(spark, sf)), default_registry(spark), there)
+    there = _places(spark, sf).where("n_nationkey % 2 = 0").select(_joined("Business/{r_name}/{n_name}/NetworkScenario@{n_name}.md").alias("path"))
+    return bundles.import_bundle(_bundle(spark, sf), default_registry(spark), there)
 
 
-@query("SELECT 1 + count(*) FILTER (WHERE n_nationkey % 2 = 1) AS added, count(*) FILTER (WHERE n_nationkey % 2 = 0) + count(*) FILTER (WHERE n_nationkey % 5 = 0) AS updated, 3 AS skipped FROM nation")
+@query("SELECT 1 + count(*) FILTER (WHERE n_nationkey % 2 = 1) AS added, count(*) FILTER (WHERE n_nationkey % 2 = 0) + count(*) FILTER (WHERE n_nationkey % 5 = 0) AS updated, 3 AS skipped FROM (" + NAT + ")")
 def bundle_counts(spark, sf):
     return _import(spark, sf).counts
 
@@ -117,7 +127,7 @@ def bundle_warnings(spark, sf):
 
 @query(f"SELECT 'Business/x/NetworkScenario@' || n_name || '.md' AS path, 'x' AS domain, n_nationkey % 5 = 0 AS twice FROM ({NAT})")
 def upload_documents(spark, sf):
-    rows = bundles.markdown_members(bundles.members(_bundle(spark, sf)))
+    rows = bundles.markdown_members(_bundle(spark, sf))
     found = bundles.upload(rows, "Business/x", default_registry(spark), spark.createDataFrame([], "path string"), {"domain": "x"})
     fields = markdown.parse_documents(found.documents.select("path", F.col("source_path"), "raw_md"))
     return fields.select("path", F.try_element_at("fields", F.lit("domain")).alias("domain"), F.col("source_path").startswith("b/").alias("twice"))
@@ -137,7 +147,7 @@ def archive_check(spark, sf):
     return p.select("src", text.unsafe_member(member).alias("unsafe"))
 
 
-@query(f"""SELECT 'n' || n_nationkey AS topic_id, 'r' || r_regionkey AS parent_id, n_name AS title, 2 AS depth, r_name || '/' || n_name AS topic_path, 0::BIGINT AS child_count FROM ({NAT})
+@query(f"""SELECT 'n' || n_nationkey AS topic_id, 'r' || r_regionkey AS parent_id, n_name AS title, 2 AS depth, r_name || '/' || n_name AS topic_path, 0::BIGINT AS child_count FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION ALL SELECT 'r' || r_regionkey, NULL, r_name, 1, r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) FROM region""")
 def navigation_topics(spark, sf):
     n = X.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<topic id="n'), "n_nationkey", F.lit('" txt="'), "n_name", F.lit('" url="x.html"/>')))), "").alias("inner"))
@@ -155,10 +165,15 @@ def navigation_topics(spark, sf):
 @query(f"""SELECT r_name || '/' || n_nationkey || '.html' AS path, r_name || '/' || n_nationkey || '.md' AS md_path, CASE WHEN n_nationkey % 2 = 0 THEN 'utf-8' ELSE 'gb18030' END AS charset,
     '# 页面说明 ' || n_name || chr(10) || chr(10) || '[next](../' || r_name || '/x.html) [own](' || n_nationkey || '.md#a) [web](http://e.org)' AS md FROM ({NAT})""")
 def html_folder(spark, sf):
+    page = "<html><h1>页面说明 {n_name}</h1><p><a href='../{r_name}/x.html'>next</a> <a href='{n_nationkey}.html#a'>own</a> <a href='http://e.org'>web</a></p></html>"
+
+    def coded(batches):
+        for pdf in batches:
+            yield pdf.assign(content=[t.encode("utf-8" if k % 2 == 0 else "gb18030") for k, t in zip(pdf["k"], pdf["text"])])[["path", "content"]]
+
+    rows = _places(spark, sf).select(_joined("{r_name}/{n_nationkey}.html").alias("path"), F.col("n_nationkey").alias("k"), _joined(page).alias("text"))
     root = scratch(spark, "pages")
-    for n in _nations(spark, sf):
-        page = f"<html><h1>页面说明 {n['n_name']}</h1><p><a href='../{n['r_name']}/x.html'>next</a> <a href='{n['n_nationkey']}.html#a'>own</a> <a href='http://e.org'>web</a></p></html>"
-        storage.write_bytes(spark, f"{root}/{n['r_name']}/{n['n_nationkey']}.html", page.encode("utf-8" if n["n_nationkey"] % 2 == 0 else "gb18030"))
+    archives.write_files(rows.mapInPandas(coded, "path string, content binary"), root)
     pages = files.read_pages(spark, root)
     return html.convert_pages(pages.withColumnRenamed("text", "html")).join(pages.select("path", "charset"), "path").select("path", "md_path", "charset", "md")
 
@@ -238,12 +253,24 @@ def user_sessions(spark, sf):
     return telemetry_stream.sessions(X.telemetry(spark, sf))
 
 
-@query("""SELECT username, is_admin, can_assets, permission, allowed FROM (VALUES ('root', true, true, 'assets', true), ('root', true, true, 'admin', true), ('ann', false, false, 'assets', false), ('ann', false, false, 'admin', false), ('bob', false, true, 'assets', true), ('bob', false, true, 'admin', false)) t(username, is_admin, can_assets, permission, allowed)""")
+_CUSTOMERS = """SELECT c_custkey AS i, c_custkey % 10 = 0 AS adm, c_custkey & 1 = 1 AS f, c_custkey & 2 = 2 AS s, c_custkey & 4 = 4 AS u, c_custkey & 16 = 16 AS t,
+  CASE WHEN c_custkey % 3 = 0 THEN c_custkey & 8 = 8 ELSE c_custkey % 10 = 0 END AS a FROM customer"""
+_MAY = "CASE permission WHEN 'frontend' THEN adm OR f WHEN 'skill' THEN adm OR f OR s WHEN 'upload' THEN adm OR (f AND u) WHEN 'assets' THEN adm OR a WHEN 'test' THEN adm OR (f AND t) ELSE adm END"
+
+
+def _users(spark, sf) -> DataFrame:
+    """The customers as users, from files of a hundred each; two thirds of them have no assets flag."""
+    i = F.col("c_custkey")
+    bit = lambda b: i.bitwiseAND(b) == b
+    flags = [bit(b).alias(n) for n, b in (("can_frontend", 1), ("can_skill", 2), ("can_upload", 4), ("can_test", 16))]
+    user = F.struct(F.concat(F.lit("u"), i).alias("username"), F.concat(F.lit("k"), i).alias("key"), (i % 10 == 0).alias("is_admin"), *flags, F.when(i % 3 == 0, bit(8)).alias("can_assets"))
+    one = X.read(spark, sf, "customer").groupBy(F.floor(i / 100).alias("n")).agg(F.to_json(F.struct(F.collect_list(user).alias("users"))).alias("text"))
+    return tables.read_users(spark, _written(one, scratch(spark, "users"), _file("{n}.json", F.col("text"))))
+
+
+@query(f"""SELECT 'u' || i AS username, adm AS is_admin, a AS can_assets, permission, {_MAY} AS allowed FROM ({_CUSTOMERS}), (VALUES ('assets'), ('admin')) p(permission)""")
 def users_file(spark, sf):
-    path = scratch(spark, "users") + "/users.json"
-    users = [{"username": "root", "key": "k0", "is_admin": True}, {"username": "ann", "key": "k1", "can_frontend": True}, {"username": "bob", "key": "k2", "can_assets": True}]
-    storage.write_text(spark, path, json.dumps({"users": users}, indent=1))
-    found = access.user_rows(tables.read_users(spark, path))
+    found = access.user_rows(_users(spark, sf))
     allowed = access.permission_matrix(found.withColumn("user", F.col("username")), ("assets", "admin")).withColumnRenamed("user", "username")
     return found.join(allowed, "username").select("username", "is_admin", "can_assets", "permission", "allowed")
 
@@ -261,43 +288,41 @@ _PATHS = ("/api/v1/users/login", "/api/v1/users", "/api/v1/users/x", "/api/v1/fs
 _NEEDS = (None, "admin", "admin", "assets", "assets", "upload", "upload", "test", "skill", "skill", "frontend", "frontend", None, None, "frontend", "frontend")
 
 
-@query("SELECT path, permission, CASE WHEN permission IS NULL THEN 'public' WHEN permission IN ('frontend', 'skill') THEN 'ok' ELSE 'forbidden' END AS status, 'web' AS caller FROM (VALUES " + ", ".join(f"('{p}', {'NULL' if n is None else repr(n)})" for p, n in zip(_PATHS, _NEEDS)) + ") t(path, permission)")
+_NEEDED = ", ".join(f"({n}, '{p}', {'NULL' if need is None else repr(need)})" for n, (p, need) in enumerate(zip(_PATHS, _NEEDS)))
+
+
+@query(f"""SELECT page_id, CASE WHEN permission IS NULL THEN 'public' WHEN i IS NULL THEN 'unknown key' WHEN {_MAY} THEN 'ok' ELSE 'forbidden' END AS status, permission, CASE WHEN i IS NOT NULL THEN CASE WHEN f THEN 'web' ELSE 'skill' END END AS caller
+    FROM pages JOIN (VALUES {_NEEDED}) n(place, path, permission) ON place = page_id % {len(_PATHS)} LEFT JOIN ({_CUSTOMERS}) ON i = page_id * 7 % 2000""")
 def required_permissions(spark, sf):
-    requests = spark.createDataFrame([(p, "k") for p in _PATHS], "path string, key string")
-    users = spark.createDataFrame([("ann", "k", False, True)], "username string, key string, is_admin boolean, can_frontend boolean")
-    for flag in access.FLAGS:
-        users = users if flag in users.columns else users.withColumn(flag, F.lit(False))
-    return access.authenticate(requests, users).select("path", "permission", "status", "caller")
+    """A request for each page, by the customers as users; some keys are nobody's."""
+    paths = F.array(*(F.lit(p) for p in _PATHS))
+    requests = X.read(spark, sf, "pages").select("page_id", F.get(paths, (F.col("page_id") % len(_PATHS)).cast("int")).alias("path"), F.concat(F.lit("k"), F.col("page_id") * 7 % 2000).alias("key"))
+    return access.authenticate(requests, access.user_rows(_users(spark, sf))).select("page_id", "status", "permission", "caller")
 
 
-@query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'done' ELSE 'mined' END AS status, 'b' || n_nationkey AS name, CASE WHEN n_nationkey % 3 <> 0 THEN '20.' || n_nationkey END AS version FROM nation")
+@query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'done' ELSE 'mined' END AS status, 'b' || n_nationkey AS name, CASE WHEN n_nationkey % 3 <> 0 THEN '20.' || n_nationkey END AS version FROM (" + NAT + ")")
 def bundle_list(spark, sf):
     root, trash = scratch(spark, "bundles"), scratch(spark, "trash")
-    for n in _nations(spark, sf):
-        folder = f"{root}/b{n['n_nationkey']}"
-        storage.write_text(spark, f"{folder}/x.md", "x")
-        if n["n_nationkey"] % 3:
-            storage.write_text(spark, f"{folder}.new/bundle.json", json.dumps({"nf": "UPF", "version": f"20.{n['n_nationkey']}", "status": "mined"}))
-            storage.write_text(spark, f"{folder}.new/y.md", "y")
-            storage.replace_folder(spark, f"{folder}.new", folder, f"{trash}/{n['n_nationkey']}")
+    places, mined = _places(spark, sf), F.col("n_nationkey") % 3 != 0
+    _written(places, root, _file("b{n_nationkey}/x.md", "x"))
+    _written(places.where(mined), f"{root}.new", _file("b{n_nationkey}/y.md", "y"), _file("b{n_nationkey}/bundle.json", '{"nf": "UPF", "version": "20.' + "{n_nationkey}" + '", "status": "mined"}'))
+    for row in places.where(mined).select("n_nationkey").collect():  # folders are put in their places one by one
+        name = f"b{row[0]}"
+        storage.replace_folder(spark, f"{root}.new/{name}", f"{root}/{name}", f"{trash}/{name}")
     return tables.read_bundles(spark, root).select("status", "name", "version")
 
 
-@query("SELECT 'm' || n_nationkey || '.json' AS source_path, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_nationkey::VARCHAR END AS n FROM nation")
+@query("SELECT 'm' || n_nationkey || '.json' AS source_path, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_nationkey::VARCHAR END AS n FROM (" + NAT + ")")
 def manifest_files(spark, sf):
-    root = scratch(spark, "manifests")
-    for n in _nations(spark, sf):
-        storage.write_text(spark, f"{root}/m{n['n_nationkey']}.json", "{bad" if n["n_nationkey"] % 4 == 0 else json.dumps({"n": n["n_nationkey"]}))
+    text = F.when(F.col("n_nationkey") % 4 == 0, "{bad").otherwise(F.to_json(F.struct(F.col("n_nationkey").alias("n"))))
+    root = _written(_places(spark, sf), scratch(spark, "manifests"), _file("m{n_nationkey}.json", text))
     return tables.read_manifests(spark, root).select("source_path", F.coalesce(F.try_element_at("manifest", F.lit("n")), F.lit("")).alias("n"))
 
 
 @query(f"SELECT r_name AS name, n_name AS ref FROM ({NAT})")
 def external_links(spark, sf):
-    path = scratch(spark, "links") + "/links.json"
-    found: dict[str, list[str]] = {}
-    for n in _nations(spark, sf):
-        found.setdefault(n["r_name"], []).append(n["n_name"])
-    storage.write_text(spark, path, json.dumps(found, indent=1))
+    refs = _places(spark, sf).groupBy("r_name").agg(F.to_json(F.map_from_arrays(F.array("r_name"), F.array(F.collect_list("n_name")))).alias("text"))
+    path = _written(refs, scratch(spark, "links"), _file("{r_name}.json", F.col("text")))
     return tables.read_external_links(spark, path).select("name", F.explode("refs").alias("ref"))
 
 
@@ -335,13 +360,11 @@ def document_stream(spark, sf):
     root, kept = _tree(spark, sf), scratch(spark, "stream")
     store, registry = tables.Store(spark, f"{kept}/store", 2), default_registry(spark)
     documents_stream.reindex(spark, root, store, registry, f"{kept}/check").awaitTermination()
-    for n in _nations(spark, sf):
-        path = f"{root}/{n['r_name']}/{n['n_name']}"
-        if n["n_nationkey"] % 6 == 0:
-            storage.write_text(spark, f"{path} y.md", _document(n).replace("name: ", "name: new "))
-            storage.delete(spark, f"{path} x.md")
-        if n["n_nationkey"] % 6 == 1:
-            storage.delete(spark, f"{path} x.md", root)
+    places = _places(spark, sf)
+    newer = F.replace(_joined(DOCUMENT), F.lit("name: "), F.lit("name: new "))
+    _written(places.where("n_nationkey % 6 = 0"), root, _file("{r_name}/{n_name} y.md", newer))
+    for n in places.where("n_nationkey % 6 < 2").collect():  # files are deleted one by one
+        storage.delete(spark, f"{root}/{n['r_name']}/{n['n_name']} x.md", root)
     documents_stream.reindex(spark, root, store, registry, f"{kept}/check").awaitTermination()
     documents_stream.remove_deleted(spark, root, store)
     return store.objects().select("id", "name")
@@ -464,18 +487,17 @@ def review_store(spark, sf):
 
 
 def _review_folder(spark, sf) -> dict[str, DataFrame]:
-    """A folder of a case for each nation, every second with a run, every fourth with a review of it."""
-    root = scratch(spark, "review-tree")
-    for n in _nations(spark, sf):
-        k, case = n["n_nationkey"], f"TestCase@{n['n_nationkey']}"
-        storage.write_text(spark, f"{root}/cases/{n['r_name']}/{n['n_name']}/{case}/inputs/a.txt", "a")
-        if k % 3:
-            storage.write_text(spark, f"{root}/cases/{n['r_name']}/{n['n_name']}/{case}/{case}.md", "# heading\n" if k % 3 == 1 else f"---\nname: case {k}\n---\n# heading\n")
-        if k % 2 == 0:
-            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/log.txt", "log" * (k + 1))
-        if k % 4 == 0:
-            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/Run@{k}.md", f"---\nrun_at: '2026-{k}'\nrunner: ann\n---\n")
-            storage.write_text(spark, f"{root}/runs/{case}/Run@{k}/reviews/R{k}.md", f"---\nverdict: 通过\nreviewer: bob\n---\n### 问题 1\n- 描述: slow {k}\n")
+    """A folder of a case for each place, every second with a run, every fourth with a review of it."""
+    k, case, run = F.col("n_nationkey"), "cases/{r_name}/{n_name}/TestCase@{n_nationkey}", "runs/TestCase@{n_nationkey}/Run@{n_nationkey}"
+    root = _written(
+        _places(spark, sf), scratch(spark, "review-tree"),
+        _file(f"{case}/inputs/a.txt", "a"),
+        F.when(k % 3 == 1, _file(case + "/TestCase@{n_nationkey}.md", "# heading\n")),
+        F.when(k % 3 == 2, _file(case + "/TestCase@{n_nationkey}.md", "---\nname: case {n_nationkey}\n---\n# heading\n")),
+        F.when(k % 2 == 0, _file(f"{run}/log.txt", F.repeat(F.lit("log"), (k + 1).cast("int")))),
+        F.when(k % 4 == 0, _file(run + "/Run@{n_nationkey}.md", "---\nrun_at: '2026-{n_nationkey}'\nrunner: ann\n---\n")),
+        F.when(k % 4 == 0, _file(run + "/reviews/R{n_nationkey}.md", "---\nverdict: 通过\nreviewer: bob\n---\n### 问题 1\n- 描述: slow {n_nationkey}\n")),
+    )
     return tables.read_review_tree(spark, root)
 
 
@@ -485,7 +507,7 @@ def case_folders(spark, sf):
 
 
 @query("""SELECT 'Run@' || n_nationkey AS id, 'TestCase@' || n_nationkey AS case_id, CASE WHEN n_nationkey % 4 = 0 THEN 'Run 2026-' || n_nationkey ELSE 'Run' END AS name, 3 * n_nationkey + 3 AS size,
-    CASE WHEN n_nationkey % 4 = 0 THEN 'slow ' || n_nationkey END AS problem FROM nation WHERE n_nationkey % 2 = 0""")
+    CASE WHEN n_nationkey % 4 = 0 THEN 'slow ' || n_nationkey END AS problem FROM (""" + NAT + ") WHERE n_nationkey % 2 = 0")
 def run_folders(spark, sf):
     found = _review_folder(spark, sf)
     reviews_ = found["reviews"].select(F.col("run_id").alias("id"), F.col("problems")[0]["description"].alias("problem"))
@@ -529,9 +551,9 @@ def problem_texts(spark, sf):
     return rows.select("src", one["description"].alias("first"), F.array_join(one["attribution"], ",").alias("attribution"), F.array_join(one["objects"], ",").alias("objects"), F.size("p").alias("n"))
 
 
-@query("SELECT id, run_at FROM runs WHERE case_id = 'c007'")
+@query("SELECT id, run_at FROM runs WHERE case_id = 'c000000007'")
 def runs_of_case(spark, sf):
-    return reviews.runs_of_case(X.runs(spark, sf), X.reviews(spark, sf), "c007").select("id", "run_at")
+    return reviews.runs_of_case(X.runs(spark, sf), X.reviews(spark, sf), "c000000007").select("id", "run_at")
 
 
 @query("SELECT id, verdict FROM reviews")
@@ -643,6 +665,8 @@ def look_back(spark, sf):
     return telemetry.qualifying(X.telemetry(spark, sf), telemetry.cutoff(datetime(2024, 1, 31), 20)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT '5gc' AS id, '5GC产品文档' AS name, 'Command,ConfigObject,License,Feature' AS layers, true AS two_pass")
+@query("""SELECT layer, count(*) AS n, CASE layer WHEN 'Command' THEN 1 WHEN 'ConfigObject' THEN 2 WHEN 'License' THEN 3 WHEN 'Feature' THEN 4 END AS turn, CASE WHEN layer IN ('Command', 'ConfigObject', 'License', 'Feature') THEN '5gc' END AS mode FROM objects GROUP BY layer""")
 def mining_modes(spark, sf):
-    return mining.list_modes(spark).select("id", "name", F.array_join("layers", ",").alias("layers"), "two_pass")
+    """The objects of each layer, with the kind of documentation that the layer is built from and its turn there."""
+    built = mining.list_modes(spark).select(F.col("id").alias("mode"), F.posexplode("layers").alias("turn", "layer")).withColumn("turn", F.col("turn") + 1)
+    return X.objects(spark, sf).groupBy("layer").agg(F.count("*").alias("n")).join(F.broadcast(built), "layer", "left").select("layer", "n", "turn", "mode")  # a few layers

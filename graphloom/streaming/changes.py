@@ -42,38 +42,41 @@ def read_scans(spark: SparkSession, scans: str) -> DataFrame:
     return spark.readStream.schema(SCANS).option("maxFilesPerTrigger", 1).parquet(scans)
 
 
-class PathChanges(StatefulProcessor):
-    """The state of one path: the time of its file and of the last scan that listed it, with a timer from there."""
-
-    def __init__(self, grace_ms: int):
-        self.grace_ms = grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.known = handle.getValueState("known", "mtime double, at long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
-        newest = max(rows, key=lambda r: (r.at, r.mtime))
-        mtime, at = self.known.get() if self.known.exists() else (None, None)
-        if at is not None and newest.at <= at:
-            return
-        if at is not None and newest.at > at + self.grace_ms:  # it was gone, and came back before its timer was due
+def path_changes(grace_ms: int) -> StatefulProcessor:
+    """A processor of one path's rows. Its class is made here, so that it travels whole: the worker that sets up state on the
+    driver does not get the library's code."""
+
+    class PathChanges(StatefulProcessor):
+        """The state of one path: the time of its file and of the last scan that listed it, with a timer from there."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.known = handle.getValueState("known", "mtime double, at long")
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
+            newest = max(rows, key=lambda r: (r.at, r.mtime))
+            mtime, at = self.known.get() if self.known.exists() else (None, None)
+            if at is not None and newest.at <= at:
+                return
+            if at is not None and newest.at > at + grace_ms:  # it was gone, and came back before its timer was due
+                yield Row(path=key[0], change="deleted", mtime=mtime, at=at)
+                mtime = None
+            if mtime is None or newest.mtime != mtime:
+                yield Row(path=key[0], change="added" if mtime is None else "changed", mtime=newest.mtime, at=newest.at)
+            self.known.update((newest.mtime, newest.at))
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest.at + grace_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+            mtime, at = self.known.get()
+            self.known.clear()
             yield Row(path=key[0], change="deleted", mtime=mtime, at=at)
-            mtime = None
-        if mtime is None or newest.mtime != mtime:
-            yield Row(path=key[0], change="added" if mtime is None else "changed", mtime=newest.mtime, at=newest.at)
-        self.known.update((newest.mtime, newest.at))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest.at + self.grace_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        mtime, at = self.known.get()
-        self.known.clear()
-        yield Row(path=key[0], change="deleted", mtime=mtime, at=at)
-
-    def close(self) -> None:
-        pass
+
+        def close(self) -> None:
+            pass
+
+    return PathChanges()
 
 
 def changes(scans: DataFrame, grace: str = "90 minutes") -> DataFrame:
@@ -85,7 +88,7 @@ def changes(scans: DataFrame, grace: str = "90 minutes") -> DataFrame:
     spark = scans.sparkSession
     ms = spark.range(1).select((F.expr(f"unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {grace})")).alias("ms")).first()[0]
     timed = scans.withWatermark("scan", "0 seconds").withColumn("at", F.unix_millis("scan"))
-    found = timed.groupBy("path").transformWithState(PathChanges(ms), CHANGES, "append", "eventTime")
+    found = timed.groupBy("path").transformWithState(path_changes(ms), CHANGES, "append", "eventTime")
     return found.select("path", "change", "mtime", F.timestamp_millis("at").alias("scan"))
 
 
