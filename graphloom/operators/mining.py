@@ -6,10 +6,13 @@ layer is one pass. Pages are rows (path, md).
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,34 +25,94 @@ def command_pages(pages: DataFrame) -> DataFrame:
     return titled.select(*pages.columns, "_t.name_zh", "_t.name", X.verb_of(F.col("_t.name")).alias("verb"), X.object_of(F.col("_t.name")).alias("object"))
 
 
-def scan_names(docs: DataFrame, names: DataFrame) -> DataFrame:
+_WORD = re.compile("[A-Z0-9_]+")
+MATCHES = "key string, line_no int, line long, at int, last int, name string"
+
+
+def word_trie(names) -> dict:
+    """Names as a trie of words: a dictionary for each word that can follow, and under None the name that ends there."""
+    trie: dict = {}
+    for name in names:
+        node = trie
+        for word in name.split(" "):
+            node = node.setdefault(word, {})
+        node[None] = name
+    return trie
+
+
+def longest_names(line: str, trie: dict):
+    """(first word's place, last word's place, name) of the longest name that begins at each word of the line, words counted from 0."""
+    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(line)]
+    for at, (word, _, end) in enumerate(words):
+        node, last, found = trie.get(word), at, None
+        while node is not None:
+            if None in node:
+                found = last, node[None]
+            last += 1
+            if last == len(words) or words[last][1] != end + 1 or line[end] != " ":
+                break
+            node, end = node.get(words[last][0]), words[last][2]
+        if found:
+            yield at, *found
+
+
+def scan_names(docs: DataFrame, names: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
     """(key, name): the known names that the lines of each document hold, as distinct rows.
 
     ``docs`` is (key, md), ``names`` (name): upper-case words with single blanks, any number of them. Names stand on
-    word borders, the longest wins, matches do not overlap; fenced code and contents lines do not count. Lines are cut into
-    words, runs of as many words as some name has are joined with the names by equality, and each line's matches are then taken from the left.
+    word borders, the longest wins, matches do not overlap; fenced code and contents lines do not count. The names go to the
+    tasks as a trie of words, along which each line is walked once from the left. Names of more than ``part_bytes`` are cut into
+    parts by a hash; each part has its own walk, and a line's matches of all parts meet and are taken from the left there.
     """
-    lengths = sorted(n for (n,) in names.where("name is not null").select(F.size(F.split("name", " "))).distinct().collect())  # a few numbers
-    longest = max(lengths, default=1)
-    words = F.regexp_extract_all("line", F.lit(r"[A-Z0-9_]+|[^A-Z0-9_]+"), 0)
-    lines = docs.select("key", F.posexplode(F.split(X.prose(F.col("md")), "\n")).alias("line_no", "line")).where(F.col("line").rlike("[A-Z0-9_]"))
-    parts = lines.select("key", "line_no", F.xxhash64("line").alias("line"), words.alias("w"))  # documents may share a key
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).rlike("^[A-Z0-9_]"))
-    own = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("w", i, F.lit(2 * longest - 1)).alias("run")))
-    known = names.select("name").where("name is not null").distinct()
-    # a start counts only if some name begins with its word; runs of all lengths are made of what is left
-    first = known.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("first")).distinct()
-    begun = parts.select("key", "line_no", "line", F.explode(own).alias("s")).select("key", "line_no", "line", "s.at", "s.run", F.col("s.run")[0].alias("first"))
-    begun = begun.join(first, "first", "left_semi")
-    length = F.array(*map(F.lit, lengths)).cast("array<int>")
-    whole = lambda n: (2 * n - 1 <= F.size("run")) & F.forall(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.element_at("run", 2 * k) == " "))
-    runs = F.transform(F.filter(length, whole), lambda n: F.struct((F.col("at") + 2 * n - 2).alias("last"), F.array_join(F.slice("run", F.lit(1), 2 * n - 1), "").alias("name")))
-    candidates = begun.select("key", "line_no", "line", "at", F.explode(runs).alias("c")).select("key", "line_no", "line", "at", "c.last", "c.name")
-    found = candidates.join(known, "name")
-    ordered = found.groupBy("key", "line_no", "line").agg(
-        F.array_sort(F.collect_set(F.struct("at", (-F.col("last")).alias("minus_last"), "name"))).alias("m")
-    )
-    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
+    spark = docs.sparkSession
+    known = names.select("name").where("name is not null and name <> ''").distinct()
+    size = known.agg(F.sum(F.length(F.col("name").cast("binary")) + 16)).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    texts = docs.select("key", X.prose(F.col("md")).alias("md"))
+    kind = texts.schema["key"].dataType.simpleString()
+
+    def table(rows, batch, names):
+        kinds = {"key": batch.column(0).type, "line_no": pa.int32(), "line": pa.int64(), "at": pa.int32(), "last": pa.int32(), "name": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)], names=list(names))
+
+    def alone(trie):
+        def walk(batches):
+            for batch in batches:
+                rows = []
+                for key, md in zip(*(c.to_pylist() for c in batch.columns)):
+                    found: dict[str, None] = {}
+                    for line in (md or "").split("\n"):
+                        end = -1
+                        for at, last, name in longest_names(line, trie.value):
+                            if at > end:
+                                end, found[name] = last, None
+                    rows += [(key, name) for name in found]
+                yield table(rows, batch, ("key", "name"))
+
+        return walk
+
+    def one_of(trie):
+        def walk(batches):
+            for batch in batches:
+                texts = zip(*(c.to_pylist() for c in batch.columns))
+                rows = [(key, n, zlib.crc32(line.encode()), *match) for key, md in texts for n, line in enumerate((md or "").split("\n")) for match in longest_names(line, trie.value)]
+                yield table(rows, batch, ("key", "line_no", "line", "at", "last", "name"))
+
+        return walk
+
+    def trie_of(rows: DataFrame):
+        return spark.sparkContext.broadcast(word_trie(r[0] for r in rows.collect()))  # about part_bytes of names
+
+    if parts == 1:
+        return texts.mapInArrow(alone(trie_of(known)), f"key {kind}, name string").distinct()
+    found = None
+    for part in range(parts):
+        own = known.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        rows = texts.mapInArrow(one_of(trie_of(own)), MATCHES.replace("key string", f"key {kind}"))
+        found = rows if found is None else found.unionByName(rows)
+    # documents may share a key, so that a line is told by its text too
+    ordered = found.groupBy("key", "line_no", "line").agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("last")).alias("minus_last"), "name"))).alias("m"))
+    nothing = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("names"))
 
     def take(acc, m):
         return F.when(m["at"] > acc["end"], F.struct((-m["minus_last"]).alias("end"), F.concat(acc["names"], F.array(m["name"])).alias("names"))).otherwise(acc)

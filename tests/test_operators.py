@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,34 @@ def test_one_job_of_a_kind(spark):
     jobs = spark.createDataFrame([("1", "mine", "running"), ("2", "import", "done")], "id string, kind string, status string")
     assert not maintenance.may_start(jobs, "mine") and maintenance.may_start(jobs, "import")
     assert maintenance.may_start(maintenance.drop_jobs(jobs, jobs.where("id = '1'")), "mine")
+
+
+def test_names_in_parts_equal_names_at_once(spark):
+    """However many parts the names are cut into, the longest name wins and matches do not overlap."""
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"W{i}" for i in range(12)]
+    names = {" ".join(rng.choices(vocabulary, k=rng.randint(1, 4))) for _ in range(60)}
+    text = lambda: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "  ", "-", "\n", ", "]) for _ in range(80))
+    docs = [(k % 20 if k else None, text()) for k in range(40)] + [(99, None), (98, "")]
+
+    def brute(md):
+        found = set()
+        for line in (md or "").split("\n"):
+            words = [(m.group(), m.start(), m.end()) for m in re.finditer("[A-Z0-9_]+", line)]
+            i = 0
+            while i < len(words):
+                for j in range(len(words) - 1, i - 1, -1):
+                    if line[words[i][1] : words[j][2]] in names and all(line[words[k][2] : words[k + 1][1]] == " " for k in range(i, j)):
+                        found.add(line[words[i][1] : words[j][2]])
+                        i = j
+                        break
+                i += 1
+        return found
+
+    expected = sorted({(k, n) for k, md in docs for n in brute(md)}, key=repr)
+    df, known = spark.createDataFrame(docs, "key long, md string"), spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    for size in (1 << 20, 300):
+        assert sorted(map(tuple, mining.scan_names(df, known, size).collect()), key=repr) == expected
+    assert mining.scan_names(df, known.where("false")).collect() == []
