@@ -48,26 +48,35 @@ def parse_documents(df: DataFrame) -> DataFrame:
     ).drop("_d", "_y")
 
 
-def rewrite_front_matter(raw_md: Column, overrides: dict[str, str | None]) -> Column:
-    """The document with fields set, or removed where the value is None; the text below stays as it is."""
+@F.pandas_udf(StringType())
+def _with_fields(fronts: pd.Series, fields: pd.Series) -> pd.Series:
+    """Blocks with fields set, or removed where the value is null."""
+
+    def one(block, changes):
+        found = _load(block) or {}
+        for k, v in dict(changes if changes is not None else {}).items():
+            if v is None:
+                found.pop(k, None)
+            else:
+                found[k] = v
+        return "---\n" + yaml.dump(found, allow_unicode=True, sort_keys=False).strip() + "\n---\n"
 
-    @F.pandas_udf(StringType())
-    def rewrite(fronts: pd.Series) -> pd.Series:
-        def one(block):
-            fields = _load(block) or {}
-            for k, v in overrides.items():
-                if v is None:
-                    fields.pop(k, None)
-                else:
-                    fields[k] = v
-            return "---\n" + yaml.dump(fields, allow_unicode=True, sort_keys=False).strip() + "\n---\n"
+    return pd.Series([one(b, c) for b, c in zip(fronts, fields)], dtype=object)
 
-        return fronts.map(one)
 
+def set_fields(raw_md: Column, fields: Column) -> Column:
+    """The document with the fields of a map<string,string> set, or removed where the value is null; the text below stays as it is."""
     text = normal_newlines(raw_md)
     pattern = r"(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z"
     has = text.rlike(pattern)
-    return F.concat(rewrite(F.when(has, F.regexp_extract(text, pattern, 1)).otherwise("")), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text))
+    front = _with_fields(F.when(has, F.regexp_extract(text, pattern, 1)).otherwise(""), fields)
+    return F.concat(front, F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text))
+
+
+def rewrite_front_matter(raw_md: Column, overrides: dict[str, str | None]) -> Column:
+    """``set_fields`` with the same fields for all documents."""
+    pairs = [x for k, v in overrides.items() for x in (F.lit(k), F.lit(v).cast("string"))]
+    return set_fields(raw_md, F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
 
 
 def front_matter(fields: list[tuple[str, Column]]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import archives, bundles, files
+from ..sources import archives, bundles, files, runs
 from . import fixtures as X
 from .registry import query, scratch
 
@@ -52,3 +52,29 @@ def chosen_files(spark, sf):
     texts = files.read_preview(spark, root).select("path", F.lit("text").alias("opened"), "text")
     chosen = images.unionByName(texts)
     return files.listing(spark, root).select("path", "size").join(chosen, "path", "left").na.fill("none", ["opened"]).select("path", "size", "opened", "text")
+
+
+@query("""SELECT 'Run@' || conv_id AS archive, 't' || turn || '.txt' AS name, md5(coalesce(text, '')) AS digest FROM conversations WHERE conv_id % 10 <> 3
+  UNION ALL SELECT DISTINCT 'Run@' || conv_id, 'Run@' || conv_id || '.md', md5(CASE WHEN conv_id % 4 = 0 THEN 'own card' ELSE '---' || chr(10) || 'id: Run@' || conv_id || chr(10) || 'type: Run' || chr(10) || 'case: TestCase@' || conv_id % 10 || chr(10) ||
+    'run_at: 2026-01-01T00:00' || chr(10) || 'runner: ' || CASE WHEN conv_id % 3 = 0 THEN 'ann' ELSE 'upload' END || chr(10) || 'status: ' || CASE WHEN conv_id % 5 = 2 THEN 'failed' ELSE 'completed' END || chr(10) ||
+    CASE WHEN conv_id % 2 = 1 THEN 'name: run ' || conv_id || chr(10) ELSE '' END || '---' || chr(10) || '# ' || CASE WHEN conv_id % 2 = 1 THEN 'run ' || conv_id ELSE 'Run@' || conv_id END || chr(10) END) FROM conversations WHERE conv_id % 10 <> 3""")
+def run_archives(spark, sf):
+    """Every conversation is a run: packed, uploaded (some cases are unknown, some members unsafe), some cards edited, packed again."""
+    turns, conv = X.read(spark, sf, "conversations"), F.col("conv_id")
+    run = F.concat(F.lit("Run@"), conv)
+    text = turns.select(conv, F.concat(F.lit("t"), "turn", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    once = turns.select(conv).distinct()
+    cards = once.where(conv % 4 == 0).select(conv, F.concat(run, F.lit(".md")).alias("name"), F.lit("own card").cast("binary").alias("content"))
+    unsafe = once.where(conv % 6 == 0).select(conv, F.lit("../out.txt").alias("name"), F.lit("x").cast("binary").alias("content"))
+    packed = text.unionByName(cards).unionByName(unsafe).select(F.concat(F.lit("up"), conv).alias("archive"), "name", "content")
+    uploaded, root, target = (scratch(spark, name) for name in ("uploaded", "runs", "packed"))
+    archives.write_named_archives(packed.repartition(3, "archive").sortWithinPartitions("archive", "name"), uploaded)
+    uploads = once.select(F.concat(F.lit("up"), conv, F.lit(".zip")).alias("archive"), F.concat(F.lit("TestCase@"), conv % 10).alias("case"), run.alias("id"), F.when(conv % 2 == 1, F.concat(F.lit("run "), conv)).alias("name"), F.when(conv % 3 == 0, "ann").otherwise("").alias("runner"))
+    cases = spark.range(10).where("id <> 3").select(F.concat(F.lit("TestCase@"), "id").alias("id"))
+    runs.upload_runs(spark, uploaded, uploads, cases, root, "2026-01-01T00:00")
+    nothing = F.lit(None).cast("string")
+    edited = uploads.where((conv_of := F.regexp_extract("id", r"(\d+)", 1).cast("long")) % 5 == 2).where(conv_of % 4 != 0).join(cases.withColumnRenamed("id", "case"), "case", "left_semi")
+    runs.update_runs(spark, root, edited.select("case", "id", *(nothing.alias(c) for c in ("name", "runner", "run_at", "notes")), F.lit("failed").alias("status")))
+    runs.download_runs(spark, root, target)
+    found = archives.read_archives(spark, target)
+    return found.select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive"), "name", F.md5("content").alias("digest"))

@@ -168,13 +168,14 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    part: str
-    name: str
+    """The hidden and the final names of a task's archives."""
+
+    names: list[tuple[str, str]]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+    def __init__(self, options: dict, overwrite: bool, named: bool):
+        self.path, self.overwrite, self.named = options["path"].rstrip("/"), overwrite, named
         self.most = int(options.get("membersPerArchive", 65_000))
         self.run = uuid.uuid4().hex[:12]
 
@@ -182,32 +183,38 @@ class _Writer(DataSourceWriter):
         """Streams the rows of a task into archives under hidden names."""
         system, place = opened(self.path)
         system.create_dir(place, recursive=True)
-        own, names, z, out, n = uuid.uuid4().hex[:12], [], None, None, 0
+        own, names, z, out, n, archive = uuid.uuid4().hex[:12], [], None, None, 0, None
         for row in rows:
-            if z is None or n == self.most:
+            if z is None or (row["archive"] != archive if self.named else n == self.most):
                 if z is not None:
                     z.close()
                     out.close()
-                names.append(f"part-{self.run}-{own}-{len(names):05d}.zip")
-                out = system.open_output_stream(f"{place}/.{names[-1]}")
+                archive = row["archive"] if self.named else None
+                hidden = f".part-{self.run}-{own}-{len(names):05d}.zip"
+                names.append((hidden, f"{archive}.zip" if self.named else hidden[1:]))
+                out = system.open_output_stream(f"{place}/{hidden}")
                 z, n = zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_DEFLATED), 0
             z.writestr(zipfile.ZipInfo(row["name"]), bytes(row["content"] or b""), zipfile.ZIP_DEFLATED)
             n += 1
         if z is not None:
             z.close()
             out.close()
-        return _Written(",".join(names), own)
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
         """Gives the archives of the tasks that count their names; those of an earlier write go if it is to be replaced."""
         system, place = opened(self.path)
         system.create_dir(place, recursive=True)
-        old = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.is_file and f.path.endswith(".zip")] if self.overwrite else []
+        old = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.is_file and f.path.endswith(".zip") and not posixpath.basename(f.path).startswith(".")] if self.overwrite else []
+        new = set()
         for message in messages:
-            for name in filter(None, message.part.split(",") if message else []):
-                system.move(f"{place}/.{name}", f"{place}/{name}")
+            for hidden, name in message.names if message else ():
+                if "/" in name or name.startswith("."):
+                    raise ValueError(f"no name of an archive: {name}")
+                system.move(f"{place}/{hidden}", f"{place}/{name}")
+                new.add(f"{place}/{name}")
         for path in old:
-            if f"part-{self.run}-" not in path:
+            if path not in new:
                 system.delete_file(path)
 
     def abort(self, messages: list) -> None:
@@ -243,7 +250,8 @@ class ArchiveSource(DataSource):
 
     Options: ``path`` (a file, a folder or a pattern); ``contents`` = false lists members without inflating any; ``suffixes``, comma-joined,
     inflates only members that end so; ``rangeBytes``, compressed bytes of a task. A member beyond 2 GB has a null content.
-    Writing takes (name, content); ``membersPerArchive`` bounds an archive.
+    Writing takes (name, content), and ``membersPerArchive`` bounds an archive; or (archive, name, content), where the rows of an
+    archive must stand together in one task, and give ``<archive>.zip``.
     """
 
     @classmethod
@@ -257,9 +265,10 @@ class ArchiveSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        if [f.name for f in schema] != ["name", "content"]:
-            raise ValueError("an archive is written from (name, content)")
-        return _Writer(self.options, overwrite)
+        columns = [f.name for f in schema]
+        if columns not in (["name", "content"], ["archive", "name", "content"]):
+            raise ValueError("an archive is written from (name, content) or (archive, name, content)")
+        return _Writer(self.options, overwrite, len(columns) == 3)
 
 
 def read_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), contents: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -275,6 +284,12 @@ def write_archives(rows: DataFrame, path: str, members: int = 65_000) -> None:
     rows.select("name", "content").write.format("archive").option("membersPerArchive", members).mode("overwrite").save(path)
 
 
+def write_named_archives(rows: DataFrame, path: str) -> None:
+    """Writes (archive, name, content), whose rows of one archive stand together in one partition, as ``<archive>.zip`` each."""
+    rows.sparkSession.dataSource.register(ArchiveSource)
+    rows.select("archive", "name", "content").write.format("archive").mode("overwrite").save(path)
+
+
 class _FileWriter(DataSourceWriter):
     """Writes every row as a file of its own, beside its place and then moved there: a task that runs again writes the same."""
 

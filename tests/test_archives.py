@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.sources import archives, bundles, files
+from graphloom.sources import archives, bundles, files, runs
 
 
 def members_of(rows):
@@ -102,3 +102,31 @@ def test_files_that_are_not_chosen_stay_closed(spark, tmp_path):
     listed = files.listing(spark, str(tmp_path))
     assert {(r.path, r.size) for r in listed.collect()} == {(n, 10) for n in ("a.PNG", "b.txt", "c.bin", "d.md")}
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_runs_go_in_and_out(spark, tmp_path):
+    def packed(name, members):
+        with zipfile.ZipFile(tmp_path / f"in/{name}", "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+
+    (tmp_path / "in").mkdir()
+    packed("a.zip", {"log.txt": "1", "sub\\x.txt": "2", "../no.txt": "3", "/no.txt": "4", "reviews/R1.md": "r"})
+    packed("b.zip", {"Run@b.md": "---\nid: Run@b\nstatus: open\nmine: x\n---\nbody\n", "out.bin": b"\xff"})
+    packed("c.zip", {"x": "x"})
+    uploads = [("a.zip", "TestCase@1", "Run@a", "A run", None), ("b.zip", "TestCase@1", "Run@b", None, "ann"), ("c.zip", "TestCase@9", "Run@c", None, None)]
+    root = str(tmp_path / "root")
+    (tmp_path / "root").mkdir()
+    refused = runs.upload_runs(spark, str(tmp_path / "in"), spark.createDataFrame(uploads, "archive string, case string, id string, name string, runner string"), spark.createDataFrame([("TestCase@1",)], "id string"), root, "2026-01-01")
+    assert [r.id for r in refused.collect()] == ["Run@c"]
+    top = tmp_path / "root/runs/TestCase@1"
+    assert {str(p.relative_to(top)) for p in top.rglob("*") if p.is_file() and not p.name.startswith(".")} == {"Run@a/log.txt", "Run@a/sub/x.txt", "Run@a/reviews/R1.md", "Run@a/Run@a.md", "Run@b/Run@b.md", "Run@b/out.bin"}
+    assert (top / "Run@a/Run@a.md").read_text() == "---\nid: Run@a\ntype: Run\ncase: TestCase@1\nrun_at: '2026-01-01'\nrunner: upload\nstatus: completed\nname: A run\n---\n# A run\n"
+    change = "case string, id string, name string, runner string, run_at string, status string, notes string"
+    runs.update_runs(spark, root, spark.createDataFrame([("TestCase@1", "Run@b", None, None, None, "done", "n: 1"), ("TestCase@1", "Run@new", None, "bob", None, None, None)], change))
+    assert (top / "Run@b/Run@b.md").read_text() == "---\nid: Run@b\nstatus: done\nmine: x\ntype: Run\ncase: TestCase@1\nnotes: 'n: 1'\n---\nbody\n"
+    assert (top / "Run@new/Run@new.md").read_text() == "---\nid: Run@new\ntype: Run\ncase: TestCase@1\nrunner: bob\n---\n# Run@new\n"
+    runs.download_runs(spark, root, str(tmp_path / "out"), spark.createDataFrame([("Run@a",), ("Run@b",)], "id string"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("*")) == ["Run@a.zip", "Run@b.zip"]
+    assert sorted(zipfile.ZipFile(tmp_path / "out/Run@a.zip").namelist()) == ["Run@a.md", "log.txt", "reviews/R1.md", "sub/x.txt"]
+    assert zipfile.ZipFile(tmp_path / "out/Run@b.zip").read("out.bin") == b"\xff"
