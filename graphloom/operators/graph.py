@@ -199,6 +199,50 @@ def subgraph(
     return seen, links
 
 
+#: Edges of one node that a task joins; nodes with more, and more than their share if there were HUBS such nodes, are split.
+NODE_EDGES, HUBS = 1000, 10_000
+
+
+def subgraphs(objects: DataFrame, edges: DataFrame, centres: DataFrame, folder: str, hops: int = 1, expand_unversioned: bool = False) -> DataFrame:
+    """(centre, id, version, depth): the nodes of ``subgraph`` around every id of ``centres`` (id) at its latest version, in one run.
+
+    The frontier is keyed by centre and node. Every round joins it with the edges, drops what its centre has seen, and is written
+    to ``folder``. The edges of a node with very many are dealt out to parts, and the node goes to all of them; such nodes are
+    fewer than HUBS, so they are told by broadcast.
+    """
+    spark = objects.sparkSession
+    latest = latest_versions(objects)
+    targets = latest if expand_unversioned else latest.where("version is not null")
+    degrees = edges.groupBy(F.col("from_id").alias("_h"), F.col("from_version").alias("_hv")).agg(F.count("*").alias("n"))
+    most = max(NODE_EDGES, edges.count() // HUBS)
+    hubs = degrees.where(F.col("n") > most).select("_h", "_hv", F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    hubs.write.parquet(f"{folder}/hubs")
+    hubs = spark.read.schema(hubs.schema).parquet(f"{folder}/hubs")
+
+    def in_parts(rows: DataFrame, id_: str, version: str, part: Column) -> DataFrame:
+        marked = rows.join(F.broadcast(hubs), (F.col(id_) == F.col("_h")) & F.col(version).eqNullSafe(F.col("_hv")), "left")
+        return marked.withColumn("_part", part).drop("_h", "_hv", "_parts")
+
+    parts = F.coalesce("_parts", F.lit(1))
+    own_edges = in_parts(edges.select("from_id", "from_version", "to_id"), "from_id", "from_version", F.pmod(F.xxhash64("to_id"), parts).cast("int"))
+
+    def kept(rows: DataFrame, depth: int) -> DataFrame:
+        rows.write.parquet(f"{folder}/depth={depth}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/depth={depth}").withColumn("depth", F.lit(depth))
+
+    start = centres.select("id").distinct().join(latest, "id").select(F.col("id").alias("centre"), "id", "version")
+    seen = frontier = kept(start, 0)
+    for depth in range(1, max(0, hops) + 1):
+        near = in_parts(frontier.select("centre", "id", "version"), "id", "version", F.explode(F.sequence(F.lit(0), parts - 1)))
+        joined = near.join(own_edges, (F.col("id") == F.col("from_id")) & F.col("version").eqNullSafe(F.col("from_version")) & (near["_part"] == own_edges["_part"]))
+        step = joined.select("centre", F.col("to_id").alias("id")).distinct().join(targets, "id")
+        known = seen.select(F.col("centre").alias("_c"), F.col("id").alias("_id"), F.col("version").alias("_v"))
+        new = step.join(known, (F.col("centre") == F.col("_c")) & (F.col("id") == F.col("_id")) & F.col("version").eqNullSafe(F.col("_v")), "left_anti")
+        frontier = kept(new.select("centre", "id", "version"), depth)
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def link_edges(objects: DataFrame) -> DataFrame:
     """(from_id, from_version, relation, to_id) of the ``[[id]]`` links in the documents' texts, wherever they stand."""
     rows = objects.select(F.col("id").alias("from_id"), F.col("version").alias("from_version"), F.explode(wikilinks(F.col("raw_md"))).alias("to_id"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding, html, ids, markdown, text
 from ..functions.versions import ver_key
-from ..operators import access, graph, maintenance, mining, reviews, stats, telemetry
+from ..operators import access, graph, maintenance, mining, reviews, search, stats, telemetry
 from . import fixtures as X
 from . import archive_queries, mining_queries, page_queries, source_queries, stream_queries  # noqa: F401  they register themselves
-from .registry import Query, found_queries, found_sql, query
+from .registry import Query, found_queries, found_sql, query, scratch
 
 def _joined(column: str) -> F.Column:
     return F.array_join(column, ",").alias(column)
@@ -499,6 +501,24 @@ def list_directory(spark, sf):
     return maintenance.list_directory(X.objects(spark, sf))
 
 
+@query(""", c0 AS (SELECT id AS centre, id, version, 0 AS depth FROM latest WHERE id IN (SELECT id FROM cmd)),
+    c1 AS (SELECT DISTINCT centre, l.id, l.version, 1 AS depth FROM c0 JOIN edges e ON e.from_id = c0.id AND e.from_version IS NOT DISTINCT FROM c0.version JOIN latest l ON l.id = e.to_id WHERE l.version IS NOT NULL),
+    c2 AS (SELECT DISTINCT centre, l.id, l.version, 2 AS depth FROM c1 JOIN edges e ON e.from_id = c1.id AND e.from_version IS NOT DISTINCT FROM c1.version JOIN latest l ON l.id = e.to_id WHERE l.version IS NOT NULL)
+    SELECT centre, id, version, min(depth) AS depth FROM (FROM c0 UNION ALL FROM c1 UNION ALL FROM c2) GROUP BY ALL""")
+def subgraphs_all(spark, sf):
+    """The neighbourhoods of all commands, two hops wide, in one run."""
+    return graph.subgraphs(X.objects(spark, sf), X.edges(spark, sf), X.commands(spark, sf).select("id"), scratch(spark, "subgraphs"), 2)
+
+
+@query("""SELECT q, id, version FROM objects, (VALUES ('gold'), (' LAV'), ('增加s'), ('e'), ('nf1@'), ('no such text')) s(q) WHERE contains(lower(id), trim(lower(q))) OR contains(lower(name), trim(lower(q))) OR contains(lower(name_zh), trim(lower(q)))""")
+def indexed_search(spark, sf):
+    """Searches of several lengths through the index of letter runs."""
+    objects, path = X.objects(spark, sf), scratch(spark, "letters")
+    search.build_index(objects, path)
+    found = [search.search(objects, path, q).select(F.lit(q).alias("q"), "id", "version") for q in ("gold", " LAV", "增加s", "e", "nf1@", "no such text")]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 # texts: no SQL can say these
 
 

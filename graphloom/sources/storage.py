@@ -5,6 +5,8 @@ These are for single files and folders (a bundle's description, a moved folder);
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,18 +21,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes a file beside its place, then moves it there, so that readers see the old one or the new one."""
+    """Writes a file beside its place, then moves it there in one step: readers see the old one or the new one, also after a crash."""
     fs, place = _open(spark, path)
+    place = fs.makeQualified(place)
     fs.mkdirs(place.getParent())
-    _, part = _open(spark, f"{path}.part")
+    _, part = _open(spark, f"{path}.{uuid.uuid4().hex[:8]}.part")
+    part = fs.makeQualified(part)
     out = fs.create(part, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    if fs.exists(place):
-        fs.delete(place, False)
-    fs.rename(part, place)
+    jvm = spark.sparkContext._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, place, how)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

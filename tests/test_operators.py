@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.model import EDGES
-from graphloom.operators import access, graph, maintenance, mining, reviews, telemetry
+from graphloom.operators import access, graph, maintenance, mining, reviews, search, telemetry
 
 OBJ = "id string, version string, type string, layer string, nf string, domain string, scenario string, name string, name_zh string, source_path string, mtime double, raw_md string"
 
@@ -269,3 +269,24 @@ def test_names_in_parts_equal_names_at_once(spark):
     for size in (1 << 20, 300):
         assert sorted(map(tuple, mining.scan_names(df, known, size).collect()), key=repr) == expected
     assert mining.scan_names(df, known.where("false")).collect() == []
+
+
+def test_many_subgraphs_equal_single_ones(spark, bundle, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "NODE_EDGES", 1)  # so that nodes with two edges are split
+    objects, edges = bundle
+    ids = [r.id for r in objects.select("id").distinct().collect()]
+    for hops, wide in ((1, False), (3, True)):
+        many = graph.subgraphs(objects, edges, spark.createDataFrame([(i,) for i in [*ids, ids[0], "gone"]], "id string"), str(tmp_path / f"{hops}"), hops, wide)
+        got = sorted(((r.centre, r.id, r.version, r.depth) for r in many.collect()), key=repr)
+        single = [(i, r.id, r.version, r.depth) for i in ids for r in graph.subgraph(objects, edges, i, hops=hops, expand_unversioned=wide)[0].collect()]
+        assert got == sorted(single, key=repr)
+
+
+def test_search_by_index_equals_the_scan(spark, tmp_path):
+    rows = [(f"NF@T@{a}{b}", f"Name {b}{a}", None if a == "x" else "增加" + a) for a in ("x", "ab", "É b") for b in ("aba", "", "zz")] + [("only", None, None)]
+    objects = spark.createDataFrame(rows, "id string, name string, name_zh string")
+    search.build_index(objects, str(tmp_path), 8)
+    for q in ("ab", " ABA ", "aba", "é b", "增加", "加", "n", "", "name zz", "nf@t@", "none of it"):
+        assert sorted(map(tuple, search.search(objects, str(tmp_path), q, 8).collect()), key=repr) == sorted(map(tuple, objects.where(graph.matches(q)).collect()), key=repr)
+    plan = search.candidates(spark, str(tmp_path), "aba", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("#", " #").replace("bucket #", "bucket#") or "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:60]
