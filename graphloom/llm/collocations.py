@@ -2,9 +2,10 @@
 
 Every place in a text gives one suffix, cut off after ``longest`` words. The suffixes are counted where they arise, shuffled by
 language and first word, and sorted in reverse order, so that a phrase's suffixes stand together; one walk with a stack of the
-open phrases counts all prefixes at once. Suffixes end before a word that is too rare to be in a result: such words are told by
-a bit filter of fixed size, which may pass a rare word but never stops a frequent one. The suffixes of a very frequent first
-word are dealt out to many tasks, whose counts are then added up. Last, every phrase is joined to the counts of its two parts.
+open phrases counts all prefixes at once. Suffixes end before a word, or a pair of words, that is too rare to be in a result:
+such are told by bit filters of fixed size, which may pass rare ones but never stop frequent ones. The suffixes of a very frequent
+first word, or first two, are dealt out to many tasks, whose counts are then added up. Last, phrases are joined to the counts
+of their parts.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ _TRANSLATE = bytes.maketrans(UPPER + ENDS + BLANKS, LOWER + b"\n" * len(ENDS) +
 GAP = b"\x00"
 #: Words that a task counts before it hands the counts on; distinct words that it holds; bytes that are split at once.
 CHUNK, HELD_WORDS, SLICE = 1 << 20, 1 << 19, 1 << 22
-#: Bits of the filter of frequent words. A first word is very frequent beyond this share of all words: there are fewer than 1 / it.
-FILTER_BITS, HOT_SHARE = 1 << 26, 1 / 2000
+#: Bits of the filters of frequent words and of frequent pairs of them.
+FILTER_BITS, PAIR_BITS = 1 << 26, 1 << 28
+#: Pairs are added up in so many buckets at least.
+BUCKETS = 256
 
 
 def plain(text: bytes) -> bytes:
@@ -100,81 +103,161 @@ def _numbers(text: bytes, numbers: dict[bytes, int]) -> Iterator[np.ndarray]:
     yield np.ones(1, dtype=np.int32)
 
 
-def _suffixes(longest: int, bits, hot):
-    """Counts the suffixes of a task in chunks: (lang, head, hot, suffix, n), where head is a hash of the first word."""
+class Chunk:
+    """Numbered words of one language, with the hashes of the words; -1 stands for rare words and ends of pieces.
 
-    def counted(lang: str, numbers: dict[bytes, int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate(parts)
-        vocabulary = list(numbers)
+    ``filters`` hold the words, and the pairs of words, that may be frequent, as far as they are known.
+    """
+
+    def __init__(self, lang: str, numbers: dict[bytes, int], parts: list[np.ndarray], filters: list[np.ndarray]):
+        self.lang, self.words, self.vocabulary, self.filters = lang, np.concatenate(parts), list(numbers), filters
         seed = zlib.crc32(lang.encode() + GAP)
-        heads = np.fromiter((zlib.crc32(w, seed) for w in vocabulary), np.int64, len(vocabulary))
-        at = heads % FILTER_BITS
-        frequent = (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        self.heads = np.fromiter((zlib.crc32(w, seed) for w in self.vocabulary), np.int64, len(self.vocabulary))
+        frequent = _has(filters[0], self.heads % FILTER_BITS)
         frequent[:2] = False
-        column = np.where(frequent[words], words, -1)
-        columns = [column]
-        for k in range(1, longest):
-            later = np.full(len(column), -1, dtype=column.dtype)
-            later[:-k] = column[k:] if k < len(column) else later[:-k]
-            columns.append(np.where(columns[-1] >= 0, later, -1))
-        starts = columns[0] >= 0
-        names = [f"w{k}" for k in range(longest)]
-        table = pa.table({n: pa.array(c[starts], mask=c[starts] < 0) for n, c in zip(names, columns)})
-        table = table.group_by(names, use_threads=False).aggregate([([], "count_all")])
-        spelled = pa.array(vocabulary, pa.large_binary())
-        for batch in table.to_batches(max_chunksize=1 << 16):
-            first = batch.column(0).to_numpy()
-            suffix = pc.binary_join_element_wise(*(spelled.take(batch.column(k)) for k in range(longest)), pa.scalar(GAP, pa.large_binary()), null_handling="skip")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(first), pa.string()),
-                    pa.array(heads[first]),
-                    pa.array(np.isin(heads[first], hot)),
-                    suffix.cast(pa.binary()),
-                    batch.column(longest).cast(pa.int64()),
-                ],
-                names=["lang", "head", "hot", "suffix", "n"],
-            )
+        self.words = np.where(frequent[self.words], self.words, -1)
+
+    def pairs(self) -> np.ndarray:
+        """For each place the number of the two words from there; -1 where one of them is rare."""
+        after = np.append(self.words[1:], -1)
+        return np.where((self.words >= 0) & (after >= 0), joint(self.heads[self.words], self.heads[after]), -1)
+
+    def goes_on(self) -> np.ndarray:
+        """For each place whether the two words from there may be a frequent pair."""
+        pairs = self.pairs()
+        return (pairs >= 0) & _has(self.filters[1], np.maximum(pairs, 0))
+
+
+def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of a pair of words from those of the two."""
+    mixed = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) % PAIR_BITS
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _chunks(batches, filters: list) -> Iterator[Chunk]:
+    """A task's texts in chunks of one language, whole texts together; ``filters`` are broadcast."""
+    filters = [f.value for f in filters]
+    held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+    waiting: Counter = Counter()
+    for batch in batches:
+        for lang, texts in _texts(batch):
+            for text in texts:
+                if lang not in held:
+                    numbers: dict[bytes, int] = defaultdict()
+                    numbers.default_factory = numbers.__len__
+                    numbers[b""], numbers[b"\n"] = 0, 1
+                    held[lang] = numbers, []
+                numbers, parts = held[lang]
+                parts.extend(own := list(_numbers(text, numbers)))
+                waiting[lang] += sum(map(len, own))
+                if waiting[lang] >= CHUNK:
+                    del waiting[lang]
+                    yield Chunk(lang, *held.pop(lang), filters)
+        if sum(len(numbers) for numbers, _ in held.values()) >= HELD_WORDS:
+            for lang in list(held):
+                yield Chunk(lang, *held.pop(lang), filters)
+            waiting.clear()
+    for lang, (numbers, parts) in held.items():
+        yield Chunk(lang, numbers, parts, filters)
+
+
+def _pair_counts(filters: list, bucket_size: int):
+    """Counts the pairs of frequent words of a task: (bucket, steps, counts), the pairs of a bucket as steps from one to the next."""
+
+    def run(batches):
+        for chunk in _chunks(batches, filters):
+            pairs = chunk.pairs()
+            pairs, counts = np.unique(pairs[pairs >= 0], return_counts=True)
+            if not len(pairs):
+                continue
+            buckets = pairs // bucket_size
+            starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+            steps = np.diff(pairs, prepend=0)
+            steps[starts] = pairs[starts] % bucket_size
+            rows = [(int(buckets[a]), steps[a:b].astype(np.uint32).tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(starts, [*starts[1:], len(pairs)])]
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "steps", "counts"])
+
+    return run
+
+
+def _frequent_pairs(bucket_size: int, least: int):
+    """Adds up the pairs of each bucket: (at, n) of those that occur ``least`` times."""
+
+    def out(bucket: int, totals: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(totals >= least)
+        return pa.RecordBatch.from_arrays([pa.array(at + bucket * bucket_size), pa.array(totals[at])], names=["at", "n"])
 
     def run(batches):
-        held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
-        waiting: Counter = Counter()
+        held, totals = None, None
         for batch in batches:
-            for lang, texts in _texts(batch):
-                for text in texts:
-                    if lang not in held:
-                        numbers: dict[bytes, int] = defaultdict()
-                        numbers.default_factory = numbers.__len__
-                        numbers[b""], numbers[b"\n"] = 0, 1
-                        held[lang] = numbers, []
-                    numbers, parts = held[lang]
-                    parts.extend(own := list(_numbers(text, numbers)))
-                    waiting[lang] += sum(map(len, own))
-                    if waiting[lang] >= CHUNK:
-                        del waiting[lang]
-                        yield from counted(lang, *held.pop(lang))
-            if sum(len(numbers) for numbers, _ in held.values()) >= HELD_WORDS:
-                for lang in list(held):
-                    yield from counted(lang, *held.pop(lang))
-                waiting.clear()
-        for lang, (numbers, parts) in held.items():
-            yield from counted(lang, numbers, parts)
+            for bucket, steps, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != held:
+                    if held is not None:
+                        yield out(held, totals)
+                    held, totals = bucket, np.zeros(bucket_size, dtype=np.int64)
+                totals[np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)] += np.frombuffer(counts, np.uint32)
+        if held is not None:
+            yield out(held, totals)
+
+    return run
+
+
+def _suffixes(longest: int, filters: list, hot: np.ndarray, hot_pairs: np.ndarray):
+    """Counts the suffixes of a task in chunks: (lang, place, shared, suffix, n).
+
+    Suffixes of one ``place`` go to one task. It is a hash of the first word; of the first two where that word is very frequent;
+    of the whole suffix where the two are. ``shared`` is the number of first words whose counts are thus dealt out.
+    """
+
+    def run(batches):
+        for chunk in _chunks(batches, filters):
+            words, columns = chunk.words, [chunk.words]
+            on = chunk.goes_on()
+            for k in range(1, longest):
+                before, later = np.full(len(words), False), np.full(len(words), -1, dtype=words.dtype)
+                before[: max(0, len(words) - k + 1)], later[: max(0, len(words) - k)] = on[k - 1 :], words[k:]
+                columns.append(np.where((columns[-1] >= 0) & before, later, -1))
+            starts = words >= 0
+            names = [f"w{k}" for k in range(longest)]
+            table = pa.table({n: pa.array(c[starts], mask=c[starts] < 0) for n, c in zip(names, columns)})
+            table = table.group_by(names, use_threads=False).aggregate([([], "count_all")])
+            table = table.sort_by([(n, "ascending") for n in names])  # neighbours are alike, which packs well
+            spelled = pa.array(chunk.vocabulary, pa.large_binary())
+            for batch in table.to_batches(max_chunksize=1 << 16):
+                suffix = pc.binary_join_element_wise(*(spelled.take(batch.column(k)) for k in range(longest)), pa.scalar(GAP, pa.large_binary()), null_handling="skip")
+                first, second = (batch.column(k).fill_null(-1).to_numpy() for k in (0, 1))
+                pair = np.where(second >= 0, joint(chunk.heads[first], chunk.heads[second]), -1)
+                place, shared = chunk.heads[first], np.isin(chunk.heads[first], hot).astype(np.int32)
+                place = np.where((shared > 0) & (pair >= 0), pair, place)
+                several = (shared > 0) & np.isin(pair, hot_pairs)
+                shared[several] = longest
+                own = np.fromiter((zlib.crc32(x) for x in suffix.filter(pa.array(several)).to_pylist()), np.int64, several.sum())
+                place[several] = own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk.lang] * len(first), pa.string()), pa.array(place), pa.array(shared), suffix.cast(pa.binary()), batch.column(longest).cast(pa.int64())],
+                    names=["lang", "place", "shared", "suffix", "n"],
+                )
 
     return run
 
 
 def _count_prefixes(longest: int, least: int):
-    """Counts all prefixes of sorted suffixes: (lang, phrase, words, f), those below ``least`` only of hot first words.
+    """Counts all prefixes of sorted suffixes: (lang, phrase, words, f), those below ``least`` only where the count is shared.
 
     The stack of open phrases is one phrase of each length, with the counts so far. A batch is walked as a whole: a phrase
     closes where its words change, and what its last row leaves open is carried to the next batch.
     """
 
-    def walk(lang: str, carried, suffixes, hot: np.ndarray, n: np.ndarray):
+    def walk(lang: str, carried, suffixes, shared: np.ndarray, n: np.ndarray):
         counts = np.repeat(n[:, None], longest, axis=1)
         if carried:
             suffixes = pa.concat_arrays([pa.array([carried[0]], pa.binary()), suffixes])
-            hot, counts = np.concatenate([[carried[1]], hot]), np.concatenate([carried[2][None, :], counts])
+            shared, counts = np.concatenate([[carried[1]], shared]), np.concatenate([carried[2][None, :], counts])
         lists = pc.split_pattern(suffixes, pattern=GAP)
         offsets = lists.offsets.to_numpy()
         lengths = np.diff(offsets)
@@ -195,7 +278,7 @@ def _count_prefixes(longest: int, least: int):
             if matrix[-1, k] >= 0:
                 still[k] = sums[-1]
                 starts, sums = starts[:-1], sums[:-1]
-            closed = (matrix[starts, k] >= 0) & ((sums >= least) | hot[starts])
+            closed = (matrix[starts, k] >= 0) & ((sums >= least) | (shared[starts] > k))
             starts, sums = starts[closed], sums[closed]
             phrases = [s[:e] for s, e in zip(suffixes.take(pa.array(starts)).to_pylist(), ends[starts, k].tolist())]
             found.append((phrases, k + 1, sums))
@@ -208,12 +291,12 @@ def _count_prefixes(longest: int, least: int):
             ],
             names=["lang", "phrase", "words", "f"],
         )
-        return batch, (suffixes[-1].as_py(), bool(hot[-1]), still)
+        return batch, (suffixes[-1].as_py(), int(shared[-1]), still)
 
     def closing(lang: str, carried) -> pa.RecordBatch:
-        suffix, hot, counts = carried
+        suffix, shared, counts = carried
         words = suffix.split(GAP)
-        rows = [(lang, GAP.join(words[: k + 1]), k + 1, int(counts[k])) for k in range(len(words)) if hot or counts[k] >= least]
+        rows = [(lang, GAP.join(words[: k + 1]), k + 1, int(counts[k])) for k in range(len(words)) if shared > k or counts[k] >= least]
         kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["lang", "phrase", "words", "f"])
 
@@ -228,7 +311,7 @@ def _count_prefixes(longest: int, least: int):
                     carried = None
                 lang = langs[a]
                 part = batch.slice(a, b - a)
-                found, carried = walk(lang, carried, part.column(2), part.column(1).to_numpy(zero_copy_only=False), part.column(3).to_numpy())
+                found, carried = walk(lang, carried, part.column(2), part.column(1).to_numpy(), part.column(3).to_numpy())
                 yield found
         if carried:
             yield closing(lang, carried)
@@ -245,25 +328,35 @@ def frequent_phrases(work: Workspace, texts: DataFrame, longest: int, least: int
     totals = counts.where("word is null").select("lang", F.col("f").alias("n"))
     hashed = counts.where((F.col("f") >= least) & F.col("word").isNotNull())
     hashed = hashed.select("f", F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(GAP), "word")).alias("head"))
-    at = F.pmod("head", F.lit(FILTER_BITS))
-    blocks = hashed.groupBy(F.shiftright(at, 6).alias("block")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(head, {FILTER_BITS}) % 64 as int)))").alias("bits"))
-    blocks = blocks.toArrow()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[blocks.column("block").to_numpy()] = blocks.column("bits").to_numpy().view(np.uint64)
-    everything = totals.agg(F.sum("n")).first()[0] or 0
-    hot = np.array(sorted({r.head for r in hashed.where(F.col("f") > everything * HOT_SHARE).select("head").collect()}), dtype=np.int64)  # fewer than 1 / HOT_SHARE
-    sent = spark.sparkContext.broadcast(bits)
-    suffixes = texts.mapInArrow(_suffixes(longest, sent, hot), "lang string, head long, hot boolean, suffix binary, n long")
-    suffixes = suffixes.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("suffix"), F.lit(width))).otherwise(0))
-    placed = suffixes.repartition(width, "lang", "head", "salt").sortWithinPartitions(F.col("lang"), F.col("suffix").desc())
-    found = placed.select("lang", "hot", "suffix", "n").mapInArrow(_count_prefixes(longest, least), "lang string, phrase binary, words int, f long")
-    # of hot first words every task has counted a share
+    filters = [spark.sparkContext.broadcast(_filter(hashed.select(F.pmod("head", F.lit(FILTER_BITS)).alias("at")), FILTER_BITS))]
+    size = -(-PAIR_BITS // max(width, BUCKETS))
+    pairs = texts.mapInArrow(_pair_counts(filters, size), "bucket long, steps binary, counts binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+    pairs = work.save(pairs.mapInArrow(_frequent_pairs(size, least), "at long, n long"), "pairs")
+    filters = [*filters, spark.sparkContext.broadcast(_filter(pairs.select("at"), PAIR_BITS))]
+    # very frequent words and pairs have more than a partition's share of all: of each there are fewer than partitions
+    share = (totals.agg(F.sum("n")).first()[0] or 0) / width
+    hot, hot_pairs = (
+        np.array(sorted({r[0] for r in df.where(F.col(n) > share).select(c).collect()}), dtype=np.int64) for df, c, n in ((hashed, "head", "f"), (pairs, "at", "n"))
+    )
+    suffixes = texts.mapInArrow(_suffixes(longest, filters, hot, hot_pairs), "lang string, place long, shared int, suffix binary, n long")
+    placed = suffixes.repartition(width, "lang", "place").sortWithinPartitions(F.col("lang"), F.col("suffix").desc())
+    found = placed.select("lang", "shared", "suffix", "n").mapInArrow(_count_prefixes(longest, least), "lang string, phrase binary, words int, f long")
+    # shared counts are added up
     phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     phrases = work.save(phrases.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
-    sent.unpersist()
+    for sent in filters:
+        sent.unpersist()
     return phrases, totals
 
 
+def _filter(indexes: DataFrame, size: int) -> np.ndarray:
+    """A bit set of ``size`` bits, with those of ``indexes`` (at); it reaches the driver in blocks of 64, size / 64 rows at most."""
+    blocks = indexes.groupBy(F.shiftright("at", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(max(size // 64, 1), dtype=np.uint64)
+    bits[blocks.column("block").to_numpy()] = blocks.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
 def mine_collocations(
     docs: DataFrame,
     text_col: str = "text",

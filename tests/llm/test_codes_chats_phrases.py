@@ -203,6 +203,16 @@ def phrase_rows(seed=2, n=160):
     return rows + [(None, "en"), ("", "en"), (" . ,", "xx"), ("NEW york City", "en"), ("e" * 100_000, "en"), ("the " * 60_000, "big"), ("a b. " * 30_000, "big")] + [("just this one phrase", "de")] * 120
 
 
+def test_collocations_of_very_frequent_words_and_pairs(spark):
+    """With many partitions most words, and some pairs, are dealt out to several tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        check_phrases(spark, [(t and t[:20_000], lang) for t, lang in phrase_rows(6)], least=20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("options", [{"least": 30}, {"least": 8, "top": 25, "subsumed_percent": 70}, {"least": 100, "longest": 3}])
 def test_collocations_equal_brute_force(spark, options):
     check_phrases(spark, phrase_rows(), **options)
@@ -214,6 +224,7 @@ def test_collocations_over_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(collocations, "HELD_WORDS", 50)
     monkeypatch.setattr(collocations, "SLICE", 40)
     monkeypatch.setattr(collocations, "FILTER_BITS", 256)
+    monkeypatch.setattr(collocations, "PAIR_BITS", 256)
     rows = phrase_rows(4, 40)
     rows = [(t and t[:30_000], lang) for t, lang in rows]
     texts = [(lang or "und", t or "") for t, lang in rows]
@@ -229,14 +240,14 @@ def test_collocations_over_many_chunks(spark, monkeypatch):
         value = np.full(256 // 64, 2**64 - 1, dtype=np.uint64)  # lets every word pass
 
     suffixes = Counter()
-    for out in collocations._suffixes(5, Bits, np.zeros(0, dtype=np.int64))(iter([batch])):
+    for out in collocations._suffixes(5, [Bits] * 2, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))(iter([batch])):
         for lang, _, _, suffix, n in zip(*(c.to_pylist() for c in out.columns)):
             suffixes[lang, suffix] += n
     rows_sorted = sorted(suffixes.items(), key=lambda kv: (kv[0][0], [-b for b in kv[0][1]] + [1]))
     sorted_batches = []
     for at in range(0, len(rows_sorted), 7):
         part = rows_sorted[at : at + 7]
-        sorted_batches.append(pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([False] * len(part)), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["lang", "hot", "suffix", "n"]))
+        sorted_batches.append(pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([0] * len(part)), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["lang", "shared", "suffix", "n"]))
     phrases = Counter()
     for out in collocations._count_prefixes(5, 1)(iter(sorted_batches)):
         for lang, phrase, words, n in zip(*(c.to_pylist() for c in out.columns)):
