@@ -338,3 +338,34 @@ def text_rules(spark, sf):
         "src", F.concat(F.lit("增加"), "local").alias("front"), text.strip_zh_verb(F.concat(_one_of(("增加", "查询", "去激活"), src), "local")).alias("bare"), text.clean_markdown(md).alias("clean"),
         F.array_join(text.codes_in(codes, text.FEATURE_CODE, F.lit("GWFD-000007")), ",").alias("codes"), text.link_target(F.lit('http://e.org/a b#frag "title"')).alias("target"), (src % 5 == 0).alias("listed"),
     )
+
+
+@query(f"""{_FAMILIES} SELECT 'ConfigObject' AS layer, '{{"objects":' || count(*) || ',"entity":' || count(*) FILTER (object_kind = 'entity') || ',"global_setting":' || count(*) FILTER (object_kind = 'global_setting') ||
+    ',"query_target":' || count(*) FILTER (object_kind = 'query_target') || '}}' AS manifest FROM f""")
+def object_manifest(spark, sf):
+    return mining.object_manifest(mining.families(_commands(spark, sf)))
+
+
+@query(f"""{LICENSES} SELECT 'License' AS layer, '{{"licenses":' || count(*) || ',"dangling":' || count(*) FILTER (NOT (place = 0 AND s % 50 IN (SELECT c_custkey % 40 FROM customer))) || '}}' AS manifest FROM lc""")
+def license_manifest(spark, sf):
+    """Licences, and those of them that name no feature that exists."""
+    found = mining.licenses(license_pages(spark, sf))
+    edges = mining.license_edges(found, mining.feature_documents(feature_pages(spark, sf)).select("code"), "NF0")
+    return mining.license_manifest(found, found.select(F.concat(F.lit("NF0@License@"), "code").alias("from_id")).join(edges, "from_id", "left_anti"))
+
+
+@query(f"""{FEATURES} SELECT 'Feature' AS layer, '{{"features":' || count(DISTINCT code) || ',"documents":' || count(*) || ',"overviews":' || count(*) FILTER (is_overview) || '}}' AS manifest FROM fd""")
+def feature_manifest(spark, sf):
+    return mining.feature_manifest(mining.feature_documents(feature_pages(spark, sf)))
+
+
+@query("""SELECT layer, CASE layer WHEN 'Command' THEN 'Command' WHEN 'ConfigObject' THEN 'Command,ConfigObject' ELSE 'Command,License,Feature,Command' END AS steps,
+    CASE layer WHEN 'ConfigObject' THEN 'ConfigObject needs Command' WHEN 'Feature' THEN 'Feature needs Command,Feature needs License' ELSE '' END AS notes, count(*) AS n
+    FROM objects WHERE layer IN ('Command', 'ConfigObject', 'Feature') GROUP BY layer""")
+def mining_scopes(spark, sf):
+    """For the objects of each layer, what must be built if only that layer is asked for, in which order."""
+    layers = [r.layer for r in X.objects(spark, sf).select("layer").distinct().collect()]  # a few names
+    own = [x for x in layers if x in {b.layer for b in mining.MODES["5gc"].builders}]
+    plans = [(x, ",".join(mining.building_steps(mining.scope_closure([x], set())[0])), ",".join(mining.scope_closure([x], set())[1])) for x in own]
+    counts = X.objects(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
+    return counts.join(spark.createDataFrame(plans, "layer string, steps string, notes string"), "layer").select("layer", "steps", "notes", "n")

@@ -670,3 +670,22 @@ def mining_modes(spark, sf):
     """The objects of each layer, with the kind of documentation that the layer is built from and its turn there."""
     built = mining.list_modes(spark).select(F.col("id").alias("mode"), F.posexplode("layers").alias("turn", "layer")).withColumn("turn", F.col("turn") + 1)
     return X.objects(spark, sf).groupBy("layer").agg(F.count("*").alias("n")).join(F.broadcast(built), "layer", "left").select("layer", "n", "turn", "mode")  # a few layers
+
+
+@query(f"SELECT path AS source_path, md5('---' || chr(10) || 'id: NetworkScenario@' || n_name || chr(10) || 'type: NetworkScenario' || chr(10) || 'domain: ' || r_name || chr(10) || 'scenario: ' || n_name || chr(10) || 'name: ' || n_name || chr(10) || '---' || chr(10) || '# ' || n_name || chr(10) || chr(10) || 'see [[inline]]' || chr(10) || chr(10) || '## 边' || chr(10) || '- 上游: [[BusinessDomain@' || r_name || ']] [[X' || n_nationkey || ']]' || chr(10)) AS digest FROM (SELECT *, r_name || '/' || n_name || ' x.md' AS path FROM ({NAT})) ORDER BY path LIMIT 1")
+def one_document(spark, sf):
+    """The first document of a folder, read alone."""
+    root = _tree(spark, sf)
+    path = _places(spark, sf).select(F.min(_joined("{r_name}/{n_name} x.md"))).first()[0]
+    return files.read_one(spark, root, path).select("source_path", F.md5(F.col("raw_md").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT r_name || '/' || n_name || ' x.md' AS source_path, CASE WHEN row_number() OVER (ORDER BY r_name || '/' || n_name || ' x.md') = 1 THEN 'edited' ELSE n_name END AS name FROM ({NAT})")
+def edited_document(spark, sf):
+    """One document of a folder gets another text, the others stay."""
+    registry = default_registry(spark)
+    rows = bundles.to_objects(bundles.admit(files.read_markdown(spark, _tree(spark, sf)), registry))
+    first = rows.orderBy("source_path").select("source_path", "raw_md", "name").first()
+    edited = maintenance.edit_document(rows, first["source_path"], first["raw_md"].replace(f"\nname: {first['name']}\n", "\nname: edited\n"))
+    again = bundles.to_objects(bundles.admit(edited.select("source_path", "raw_md"), registry))
+    return again.select("source_path", "name")
