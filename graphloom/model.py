@@ -18,19 +18,18 @@ TELEMETRY = T.StructType(
 REGISTRY = "type string, layer string, scope string, id_segments int, path_fields array<string>, frontmatter_required array<string>"
 
 # The object types with their layers, scopes and required fields.
-_NF, _TASK, _CROSS = ("nf", 3), ("task", 3), ("cross", 2)
 DEFAULT_TYPES = {
-    "MMLCommand": ("Command", *_NF, [], ["id", "type", "name", "nf", "version", "source", "status"]),
-    "ConfigObject": ("ConfigObject", *_NF, [], ["id", "type", "name", "nf", "version", "object_kind", "source", "status"]),
-    "Feature": ("Feature", *_NF, [], ["id", "type", "nf", "version"]),
-    "License": ("License", *_NF, [], ["id", "type", "nf", "version"]),
-    "Task": ("Task", *_TASK, [], ["id", "type", "nf"]),
-    "AtomTask": ("Task", *_TASK, [], ["id", "type", "nf"]),
-    "CompoundTask": ("Task", *_TASK, [], ["id", "type", "nf"]),
-    "FeatureTask": ("Task", *_TASK, [], ["id", "type", "nf"]),
-    "BusinessDomain": ("Business", *_CROSS, ["domain"], ["id", "type", "domain"]),
-    "NetworkScenario": ("Business", *_CROSS, ["domain", "scenario"], ["id", "type", "domain", "scenario"]),
-    "ConfigurationSolution": ("Business", *_CROSS, ["domain", "scenario"], ["id", "type", "domain", "scenario"]),
+    "MMLCommand": ("Command", "nf", 3, [], ["id", "type", "name", "nf", "version", "source", "status"]),
+    "ConfigObject": ("ConfigObject", "nf", 3, [], ["id", "type", "name", "nf", "version", "object_kind", "source", "status"]),
+    "Feature": ("Feature", "nf", 3, [], ["id", "type", "nf", "version"]),
+    "License": ("License", "nf", 3, [], ["id", "type", "nf", "version"]),
+    "Task": ("Task", "task", 3, [], ["id", "type", "nf"]),
+    "AtomTask": ("Task", "task", 3, [], ["id", "type", "nf"]),
+    "CompoundTask": ("Task", "task", 3, [], ["id", "type", "nf"]),
+    "FeatureTask": ("Task", "task", 3, [], ["id", "type", "nf"]),
+    "BusinessDomain": ("Business", "cross", 2, ["domain"], ["id", "type", "domain"]),
+    "NetworkScenario": ("Business", "cross", 2, ["domain", "scenario"], ["id", "type", "domain", "scenario"]),
+    "ConfigurationSolution": ("Business", "cross", 2, ["domain", "scenario"], ["id", "type", "domain", "scenario"]),
 }
 # The layers that users see, and what they hold.
 UI_LAYERS = {
