@@ -1,11 +1,15 @@
 """Near-duplicate texts by an n-gram Jaccard join over a MinHash LSH forest.
 
 Texts with the same words are one class. Each class gets a signature of min-hashes, cut into one label for each tree of the
-forest: a label packs its hashes most significant first, so a shorter prefix is a right shift, and texts that share a prefix are
-a node of the tree's prefix trie. Every tree starts at its longest prefix; prefixes are shortened, one tree and one hash at a
-time, until a pair at the threshold meets in some tree with the target recall (``prefix_lengths``). The order of shortening is
-fixed and not led by what a text has matched: a text that has met many others has no less need to meet the rest, since all
-pairs are wanted, and stopping where prefixes match would lose the very pairs that match in few trees.
+forest: a label packs its hashes most significant first, so sorted labels are the tree's prefix trie, and the longest prefix that a
+text shares with any other one is what it shares with its two neighbours (``matched_prefixes``). A text starts in each tree at
+that matched prefix, and shortens its longest ones, one hash at a time, until a pair at the threshold is met with the target
+recall (``shortened``). Prefixes never go below the length ``least_prefix`` at which all trees together reach the recall; a tree
+in which a text matches less than that is left out for it.
+
+No link is lost by following the matches: a pair is missed only if it shares less than the text's prefix in every tree, but then
+the matched prefixes, and so the choice of prefixes, are those that the other texts alone would give, and over the draws of the
+pair's own hashes the product that ``shortened`` bounds is the probability of a miss.
 
 Classes that meet are bundled (connected components over star edges, never pairs). The members of a large bundle are sorted by
 label and cut into blocks; two blocks are a tile if members of both share a node, and only tiles are compared, exactly, on
@@ -14,20 +18,23 @@ shingle sets. A task returns sums of links and a spanning forest, never the pair
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components, min_labels, shuffle_width, sorted_groups, sums_before
+from .shared import HUBS, MOST_EDGES, Workspace, components, min_labels, shuffle_width, sorted_groups, sums_before
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
 #: A label of 5 hashes of 12 bits; the prefixes in use, of 4 or more, are long enough to keep 10**11 texts apart.
 TREES, DEPTH, BITS = 16, 5, 12
+#: A node's blocks are paired in parts of so many. A row that repeats more often than its share, were there HUBS such rows, is a hot one.
+PAIRED = 64
 #: A block of a tile has so many texts at most, fewer where texts have many shingles: BLOCK texts of SHINGLES each fill it.
 BLOCK, SHINGLES = 256, 1000
 #: Longer words are hashed before the text is; texts are hashed in pieces of so many bytes.
@@ -102,12 +109,85 @@ def forest_labels(shingles: np.ndarray) -> np.ndarray:
     return digits @ (1 << (BITS * np.arange(DEPTH, dtype=np.int64)[::-1]))
 
 
-def prefix_lengths(threshold: float, recall: float) -> list[int]:
-    """A prefix length for each tree: from DEPTH down, one tree at a time, until pairs at the threshold meet with ``recall``."""
-    lengths = [DEPTH] * TREES
-    while math.prod(1 - threshold**x for x in lengths) > 1 - recall and max(lengths) > 1:
+def least_prefix(threshold: float, recall: float) -> int:
+    """The longest prefix at which pairs at the threshold meet in some tree with ``recall``; 1 if there is none."""
+    return max((x for x in range(1, DEPTH + 1) if (1 - threshold**x) ** TREES <= 1 - recall), default=1)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def shortened(matched: tuple[int, ...], threshold: float, recall: float) -> tuple[int, ...]:
+    """A text's prefix length in each tree: the matched ones (0: the tree is left out), the longest shortened until they reach ``recall``."""
+    least, lengths = least_prefix(threshold, recall), list(matched)
+    while math.prod(1 - threshold ** (x or least) for x in lengths) > 1 - recall and max(lengths) > least:
         lengths[lengths.index(max(lengths))] -= 1
-    return lengths
+    return tuple(lengths)
+
+
+def matched_prefixes(work: Workspace, labels: DataFrame, least: int) -> DataFrame:
+    """(node, tree, label, matched): the longest prefix, in hashes, that a label shares with another one of its tree, ``least`` or more.
+
+    The labels are sorted by ranges, and each is held against the one before and the one after; a range's first and last label
+    meet their neighbours through a table with a row for each range.
+    """
+    own = F.struct("tree", "label", "node")
+    ranges = labels.repartitionByRange(shuffle_width(work.spark), "tree", "label", "node").withColumn("_range", F.spark_partition_id())
+    ranges = work.save(ranges, "sorted_labels")
+    ends = ranges.groupBy("_range").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    along = Window.orderBy("_range")
+    ends = ends.select("_range", F.lag("last").over(along).alias("_before"), F.lead("first").over(along).alias("_after"))
+    inside = Window.partitionBy("_range").orderBy("tree", "label", "node")
+    out = ranges.withColumns({"before": F.lag(own).over(inside), "after": F.lead(own).over(inside)})
+    out = out.join(F.broadcast(ends), "_range")  # bounded: a row for each shuffle partition
+
+    def common(other: F.Column) -> F.Column:
+        found = F.lit(0)
+        for x in range(least, DEPTH + 1):
+            cut = lambda c: F.shiftright(c, BITS * (DEPTH - x))  # noqa: B023, E731
+            found = F.when(cut(other["label"]) == cut(F.col("label")), x).otherwise(found)
+        return F.coalesce(F.when(other["tree"] == F.col("tree"), found), F.lit(0))
+
+    matched = F.greatest(common(F.coalesce("before", "_before")), common(F.coalesce("after", "_after")))
+    return out.withColumn("matched", matched).where(F.col("matched") >= least).select("node", "tree", "label", "matched")
+
+
+def _shorten(threshold: float, recall: float):
+    """From the matched prefixes of each text (node, trees) its own ones: (node, tree, label, length)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for node, trees in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                matched = [0] * TREES
+                for t in trees:
+                    matched[t["tree"]] = t["matched"]
+                lengths = shortened(tuple(matched), threshold, recall)
+                rows += [(node, t["tree"], t["label"], lengths[t["tree"]]) for t in trees]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "tree", "label", "length"])
+
+    return run
+
+
+def shared_nodes(work: Workspace, labels: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(node, tree, prefix, least): the trie nodes that texts share, with the smallest text of each.
+
+    A text takes all that lie below its prefix to its node, so a node is cut where any text below it is: from the shortest
+    prefix down, what no text there has chosen is looked at again one hash longer.
+    """
+    least = least_prefix(threshold, recall)
+    matched = matched_prefixes(work, labels, least)
+    chosen = matched.groupBy("node").agg(F.collect_list(F.struct("tree", "label", "matched")).alias("trees"))  # TREES at most
+    rest = work.save(chosen.mapInArrow(_shorten(threshold, recall), "node long, tree int, label long, length int"), "chosen")
+    settled = None
+    for x in range(least, DEPTH + 1):
+        rest = rest.withColumn("prefix", F.col("label") - F.pmod("label", F.lit(1 << BITS * (DEPTH - x))))
+        groups = rest.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("length").alias("shortest"))
+        groups = work.save(groups.where("most > least"), f"groups-{x}")
+        joined = work.save(rest.join(groups.hint("merge"), ["tree", "prefix"]), f"nodes-{x}")
+        here = joined.where(F.col("shortest") <= x).select("node", "tree", "prefix", "least")
+        settled = here if settled is None else settled.unionByName(here)
+        rest = joined.where(F.col("shortest") > x).select("node", "tree", "label", "length")
+    return settled
 
 
 def _signatures(batches):
@@ -153,9 +233,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(batches):
-        for (_, left, right), table in sorted_groups(batches, ["bundle", "left", "right"]):
-            _, first = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows count once
-            table = table.take(pa.array(first))
+        for (_, left, right), table in sorted_groups(_without_repeats(batches), ["bundle", "left", "right"]):
             if table.num_rows < 2:
                 continue
             node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
@@ -194,13 +272,44 @@ def _tiles(work: Workspace, members: DataFrame, shared: DataFrame) -> DataFrame:
     blocks = work.save(sorted_members.select(*columns, F.floor(F.col("before") / full).alias("block")), "blocks")
     touched = shared.join(blocks.select("node", "bundle", "block"), "node").select("tree", "prefix", "bundle", "block").distinct()
     touched = work.save(touched, "touched")
-    other = touched.select("tree", "prefix", F.col("block").alias("right"))
-    pairs = touched.join(other, ["tree", "prefix"]).where("block <= right").select("bundle", F.col("block").alias("left"), "right").distinct()
+    sizes = touched.groupBy("tree", "prefix").agg(F.count("*").alias("n"))
+    touched = work.save(touched.join(sizes.hint("merge"), ["tree", "prefix"]).withColumn("parts", F.ceil(F.col("n") / PAIRED)), "sized")
+    # no task makes all pairs of a node: one side is dealt out to parts, the other goes to all of them
+    left = touched.where("n > 1").select("tree", "prefix", "bundle", F.col("block").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = touched.where("n > 1").select("tree", "prefix", F.col("block").alias("right"), F.pmod("block", "parts").alias("part"))
+    pairs = left.join(right, ["tree", "prefix", "part"]).where("left <= right").select("bundle", "left", "right")
+    pairs = pairs.unionByName(touched.where("n = 1").select("bundle", F.col("block").alias("left"), F.col("block").alias("right"))).distinct()
     sides = work.save(pairs.withColumn("block", F.explode(F.array_distinct(F.array("left", "right")))), "sides")
     tiled = blocks.join(sides, ["bundle", "block"]).select(*columns, "block", "left", "right")
     return work.save(small.unionByName(tiled), "tiles")
 
 
+def once(own: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_key, text) of which those that repeat very often stand once.
+
+    Their keys, fewer than HUBS, are told by broadcast, so that their copies meet in the tasks where they lie and never by a
+    shuffle; what repeats less goes on, and ``_verify`` passes over it.
+    """
+    counts = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") > max(MOST_EDGES, signed.count() // HUBS)).select("doc_id", "text_key")
+    hot = own.join(F.broadcast(often), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return own.join(F.broadcast(often), ["doc_id", "text_key"], "left_anti").unionByName(hot)
+
+
+def _without_repeats(batches):
+    """Rows sorted by tile and node, the first of each node in a tile."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bundle", "left", "right", "node")])
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        new[0] = held is None or (keys[0] != held).any()
+        held = keys[-1]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9997, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links between texts whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``.
 
@@ -222,20 +331,16 @@ def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall:
     first = F.min(F.struct("doc_id", "text_key", "size", "labels"))  # size and labels are the class's own
     classes = signed.where(real_class.isNotNull()).groupBy("class").agg(first.alias("x"), F.count("*").alias("copies"))
     classes = work.save(classes.select("class", "x.*", "copies").withColumn("node", F.monotonically_increasing_id()), "classes")
-    # a prefix is the label without its last hashes
-    cut = F.lit([1 << BITS * (DEPTH - x) for x in prefix_lengths(threshold, recall)])
-    prefixes = F.zip_with("labels", cut, lambda label, c: label - F.pmod(label, c))
-    nodes = work.save(classes.select("node", F.posexplode(prefixes).alias("tree", "prefix")), "nodes")
-    stars = nodes.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("most > least").drop("most")
-    shared = work.save(nodes.join(work.save(stars, "stars").hint("merge"), ["tree", "prefix"]), "shared")
+    shared = shared_nodes(work, classes.select("node", F.posexplode("labels").alias("tree", "label")), threshold, recall)
     bundles = components(work, shared.select(F.col("node").alias("a"), F.col("least").alias("b")), "bundles")
     bundles = work.save(bundles.withColumnRenamed("component", "bundle"), "bundles")
-    work.drop("nodes", "stars")
+    work.drop("sorted_labels", "chosen")
     members = classes.select("node", "doc_id", "text_key", "copies", (F.col("size") + SHINGLES).alias("weight"), F.col("labels")[0].alias("place"))
     members = _tiles(work, members.join(bundles, "node"), shared)
-    texts = own.join(members.hint("shuffle_hash"), ["doc_id", "text_key"]).select("bundle", "left", "right", "node", "block", "copies", "text")
+    # by a shuffle at every size, so that small inputs show what large ones cost
+    texts = once(own, signed).join(members.hint("merge"), ["doc_id", "text_key"]).select("bundle", "left", "right", "node", "block", "copies", "text")
     found = work.save(
-        texts.repartition(width, "bundle", "left", "right").sortWithinPartitions("bundle", "left", "right").mapInArrow(_verify(threshold), "a long, b long, links long"),
+        texts.repartition(width, "bundle", "left", "right").sortWithinPartitions("bundle", "left", "right", "node").mapInArrow(_verify(threshold), "a long, b long, links long"),
         "found",
     )
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -244,7 +349,8 @@ def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD, recall:
     parts = parts.join(work.save(names, "names"), "component")
     of_class = classes.select("class", "node", F.col("doc_id").alias("least"), "copies").join(links, "node", "left").join(parts, "node", "left")
     of_class = work.save(of_class.where("copies > 1 or component is not null").drop("node", "component"), "of_class")
-    work.drop("classes", "shared", "bundles", "large", "weighed", "sorted", "blocks", "touched", "sides", "tiles", "found", "parts", "names")
+    work.drop("classes", "bundles", "large", "weighed", "sorted", "blocks", "touched", "sized", "sides", "tiles", "found", "parts", "names")
+    work.drop(*(f"{name}-{x}" for x in range(1, DEPTH + 1) for name in ("groups", "nodes")))
     root = F.coalesce("name", "least", "doc_id")
     return (
         signed.select("doc_id", real_class.alias("class"))

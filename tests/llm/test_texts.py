@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 
@@ -285,21 +286,62 @@ def test_ngram_join(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == brute_join(rows)
 
 
-@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
-def test_forest_recall(similarity):
-    """Pairs at the threshold meet in some tree nearly always, unrelated ones hardly ever."""
+def test_prefixes_are_shortened_until_the_recall():
+    assert ngram_join.least_prefix(0.8, 0.9997) == 4 and ngram_join.least_prefix(0.95, 0.9997) == ngram_join.DEPTH and ngram_join.least_prefix(0.3, 0.9997) == 1
+    rng = random.Random(1)
+    for _ in range(500):
+        matched = tuple(rng.choice([0, 4, 5, 5]) for _ in range(ngram_join.TREES))
+        lengths = ngram_join.shortened(matched, 0.8, 0.9997)
+        assert all(x <= m and (x >= 4 or x == m == 0) for x, m in zip(lengths, matched))
+        assert math.prod(1 - 0.8 ** (x or 4) for x in lengths) <= 0.0003 + 1e-12
+        longer = [tuple(x + (k == i) for k, x in enumerate(lengths)) for i in range(ngram_join.TREES) if lengths[i] < matched[i]]
+        assert all(math.prod(1 - 0.8 ** (x or 4) for x in own) > 0.0003 for own in longer)  # no hash more than needed came off
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_forest_recall(spark, monkeypatch, partitions):
+    """Pairs at the threshold meet at a node nearly always, alone and in groups of near copies; unrelated ones hardly ever."""
     import numpy as np
 
+    from graphloom.llm.shared import Workspace
+
+    monkeypatch.setattr(ngram_join, "shuffle_width", lambda _: partitions)
     rng = np.random.default_rng(1)
-    lengths = ngram_join.prefix_lengths(0.8, 0.9997)
-    shift = np.array([ngram_join.BITS * (ngram_join.DEPTH - x) for x in lengths])
-    assert min(lengths) < ngram_join.DEPTH and math.prod(1 - 0.8**x for x in lengths) <= 0.0003
-    assert ngram_join.prefix_lengths(0.95, 0.9997) == [ngram_join.DEPTH] * ngram_join.TREES  # nothing to shorten
-    met = wrong = 0
-    for _ in range(300):
-        both = rng.integers(0, 2**63, 400, dtype=np.uint64)
-        own = int(400 * (1 - similarity) / similarity / 2)
-        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, own, dtype=np.uint64)])) for _ in range(2))
-        x, y, z = (ngram_join.forest_labels(s) >> shift for s in (a, b, np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))))
-        met, wrong = met + bool((x == y).any()), wrong + bool((x == z).any())
-    assert met >= 298 and wrong == 0
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    sets, pairs = [], []
+    for _ in range(1500):  # 400 of 500 shingles in common
+        both = draw(400)
+        sets += [np.unique(np.concatenate([both, draw(50)])) for _ in range(2)]
+        pairs.append((len(sets) - 2, len(sets) - 1))
+    for own in (2, 20, 45):
+        for _ in range(4):
+            both, first = draw(400), len(sets)
+            sets += [np.unique(np.concatenate([both, draw(own)])) for _ in range(40)]
+            pairs += [(i, j) for i in range(first, len(sets)) for j in range(first, i)]
+    labels = [(i, t, int(x)) for i, s in enumerate(sets) for t, x in enumerate(ngram_join.forest_labels(s))]
+    found = ngram_join.shared_nodes(Workspace(spark, "test"), spark.createDataFrame(labels, "node long, tree int, label long").repartition(3), 0.8, 0.9997)
+    nodes: dict[int, set] = {}
+    for r in found.collect():
+        nodes.setdefault(r.node, set()).add((r.tree, r.prefix))
+    met = sum(bool(nodes.get(i, set()) & nodes.get(j, set())) for i, j in pairs)
+    assert met >= len(pairs) - 3 and len(pairs) > 10_000
+    wrong = sum(bool(nodes.get(i, set()) & nodes.get(i + 2, set())) for i in range(0, 2998))
+    assert wrong == 0
+
+
+def test_ngram_join_of_rows_that_repeat_very_often(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_EDGES", 50)
+    text, near = " ".join(words(3)), " ".join([*words(3)[:59], "else"])
+    rows = [(5, text)] * 700 + [(6, near)] * 20 + [(7, text)] * 2 + [(8, " ".join(words(4)))]
+    found = ngram_join.near_duplicate_texts(spark.createDataFrame(rows, DOC)).groupBy("doc_id", "n_links", "component_id").count()
+    assert sorted(map(tuple, found.collect())) == [(5, 721, 5, 700), (6, 721, 5, 20), (7, 721, 5, 2), (8, 0, 8, 1)]
+
+
+def test_pairs_of_blocks_are_made_in_parts(spark, monkeypatch):
+    """A group of many blocks gives the same links however its pairs are dealt out."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    long = words(9, 300)
+    rows = [(v, " ".join([*long[v : 220 + v], f"end{v}"])) for v in range(70)]
+    found = ngram_join.near_duplicate_texts(spark.createDataFrame(rows, DOC)).select("doc_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_join(rows)
