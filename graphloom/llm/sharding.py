@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -107,7 +108,9 @@ def shard_rows(
     starts = [0, *itertools.accumulate(counts)]
     flows = bounded_flows(counts, ring_preferences(shards, virtual_nodes, segments), bounds)
     flows = [(segment, starts[segment] + first, starts[segment] + end, shard, slot) for segment, first, end, shard, slot in flows]
-    dealt = spark.createDataFrame(flows, "segment int, first long, end long, shard int, slot long")
+    names = ("segment", "first", "end", "shard", "slot")
+    told = json.dumps([dict(zip(names, flow)) for flow in flows])  # a literal, so that no Python worker is needed for it
+    dealt = spark.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<segment:int,first:long,end:long,shard:int,slot:long>>")))
     ranges = rows.join(F.broadcast(dealt), "segment")  # bounded by the ring: its segments and the shards' bounds
     ranges = ranges.withColumns({"from": F.greatest("before", "first"), "to": F.least(F.col("before") + F.col("rows"), "end")})
     ranges = ranges.where("from < to").select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - F.col("first")).alias("shift"), "from", "to")
