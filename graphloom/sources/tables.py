@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..functions.text import problems
 from ..model import EDGES, OBJECTS
 from . import storage
-from .files import listing, relative_path
+from .files import listing, read_texts
 
 #: Where edges lie whose node is not there.
 NO_LAYER = "none"
@@ -54,17 +54,16 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
     """(name, nf, version, status) of bundle folders by their ``bundle.json``; folders without one count as done."""
     names = listing(spark, root).where(F.contains("path", F.lit("/"))).select(F.substring_index("path", "/", 1).alias("name")).distinct()
-    described = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "bundle.json").text(root, wholetext=True)
-    described = described.select(relative_path(root).alias("path"), F.from_json("value", "nf string, version string, status string").alias("m"))
+    described = read_texts(spark, root, "bundle.json").select("path", F.from_json("text", "nf string, version string, status string").alias("m"))
     meta = described.where(F.col("path").rlike("^[^/]+/bundle\\.json$")).select(F.substring_index("path", "/", 1).alias("name"), "m")
     return names.join(meta, "name", "left").select("name", "m.nf", "m.version", F.coalesce("m.status", F.lit("done")).alias("status"))
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Build manifests (source_path, manifest as map); a bad file has an empty map."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    parsed = F.from_json("value", "map<string,string>")
-    return rows.select(relative_path(path).alias("source_path"), F.coalesce(parsed, F.create_map().cast("map<string,string>")).alias("manifest"))
+    rows = read_texts(spark, path, "*.json")
+    parsed = F.from_json("text", "map<string,string>")
+    return rows.select(F.col("path").alias("source_path"), F.coalesce(parsed, F.create_map().cast("map<string,string>")).alias("manifest"))
 
 
 def read_external_links(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +81,7 @@ def read_review_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """
     from ..functions.markdown import parse_documents
 
-    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    texts = scan.select(relative_path(root).alias("path"), F.col("value").alias("raw_md"))
+    texts = read_texts(spark, root, "*.md").select("path", F.col("text").alias("raw_md"))
     rows = listing(spark, root)
     pick = lambda pattern, *names: [F.regexp_extract("path", pattern, n + 1).alias(name) for n, name in enumerate(names)]
     in_case, in_run = r"^cases/(.*?)(TestCase@[^/]+)/(.+)$", r"^runs/([^/]+)/(Run@[^/]+)/(.+)$"

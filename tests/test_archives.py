@@ -130,3 +130,45 @@ def test_runs_go_in_and_out(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").glob("*")) == ["Run@a.zip", "Run@b.zip"]
     assert sorted(zipfile.ZipFile(tmp_path / "out/Run@a.zip").namelist()) == ["Run@a.md", "log.txt", "reviews/R1.md", "sub/x.txt"]
     assert zipfile.ZipFile(tmp_path / "out/Run@b.zip").read("out.bin") == b"\xff"
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDERS", 8)  # so that some folders are taken with all that is below
+    names = [f"a{i % 13}/b {i % 7}/é+%20{i}.{'MD' if i % 2 else 'md'}" for i in range(300)] + ["top.md", "x/y/z/deep.md"]
+    for name in [*names, ".no/a.md", "a0/_no/a.md", "a0/.no.md", "a0/_no.md"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "a1/empty.md").write_text("")
+    listed = files.listing(spark, str(tmp_path))
+    assert "MapInPandas" in (plan := listed._jdf.queryExecution().executedPlan().toString()) and "FileScan" not in plan  # no index of the files on the driver
+    assert {(r.path, r.size, r.mtime) for r in listed.collect()} == {(n, len(n.encode()), (tmp_path / n).stat().st_mtime_ns // 1_000_000 / 1000) for n in names}
+    assert {r.path for r in files.listing(spark, f"file://{tmp_path}/", "*.md").collect()} == {n for n in names if n.endswith(".md")}
+    assert {r.path for r in files.listing(spark, str(tmp_path), files.named(("md",))).collect()} == set(names)
+    assert {(r.path, r.text) for r in files.read_preview(spark, str(tmp_path)).collect()} == {(n, n) for n in names}
+    monkeypatch.setattr(files, "BATCH_BYTES", 50)
+    assert {(r.path, bytes(r.content)) for r in files.read_binary(spark, str(tmp_path), ("md",)).collect()} == {(n, n.encode()) for n in names}
+
+
+def test_files_are_deleted_and_folders_replaced_by_tasks(spark, tmp_path):
+    def rows(names):
+        return spark.createDataFrame([(n,) for n in names], "path string")
+
+    def put(name, text):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+
+    for i in range(20):
+        put(f"f/{i % 3}/{i}", "x")
+    archives.delete_files(rows([*(f"{i % 3}/{i}" for i in range(0, 20, 2)), "gone"]), str(tmp_path / "f"))
+    assert {p.name for p in (tmp_path / "f").rglob("*") if p.is_file()} == {str(i) for i in range(1, 20, 2)}
+    with pytest.raises(Exception, match="not below"):
+        archives.delete_files(rows(["../f/1/1"]), str(tmp_path / "f/0"))
+    for i in range(10):
+        put(f"new/b{i}/y", "y")
+        if i % 2:
+            put(f"root/b{i}/x", "x")
+    for _ in range(2):  # what is moved already stays
+        archives.replace_folders(rows([f"b{i}" for i in range(10)]), str(tmp_path / "new"), str(tmp_path / "root"), str(tmp_path / "trash"))
+        assert {str(p.relative_to(tmp_path)) for p in tmp_path.glob("[rt]*/*/*")} == {f"root/b{i}/y" for i in range(10)} | {f"trash/b{i}/x" for i in range(1, 10, 2)}
+    with pytest.raises(Exception, match="none"):
+        archives.replace_folders(rows(["none"]), str(tmp_path / "new"), str(tmp_path / "root"), str(tmp_path / "trash"))
