@@ -6,19 +6,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.maintenance import changed_files
+from ..sources import storage
 from ..sources.bundles import admit, to_edges, to_objects
-from ..sources.files import file_times, relative_path
+from ..sources.files import file_times, listing, read_files
 from ..sources.tables import Store
 
+NOTED = "path string, mtime double"
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """New and changed Markdown files below ``root`` as they come: (source_path, raw_md, mtime)."""
-    files = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").format("text").load(root)
-    return files.select(relative_path(root).alias("source_path"), F.col("value").alias("raw_md"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"))
+
+def note_files(spark: SparkSession, root: str, noted: str) -> None:
+    """Adds (path, mtime) of the Markdown files below ``root`` that are new or changed since they were last noted."""
+    found = listing(spark, root, "*.md").select("path", "mtime")
+    if storage.exists(spark, noted):
+        found = found.join(spark.read.schema(NOTED).parquet(noted), ["path", "mtime"], "left_anti")
+    found.repartition(1).write.mode("append").parquet(noted)
+
+
+def read_documents(spark: SparkSession, root: str, noted: str) -> DataFrame:
+    """Noted files as they come, opened by the tasks: (source_path, raw_md, mtime).
+
+    Spark's own stream of a folder's files lists every one of them on the driver, and again with a task each.
+    """
+    return read_files(spark.readStream.schema(NOTED).parquet(noted), root).select(F.col("path").alias("source_path"), F.col("content").cast("string").alias("raw_md"), "mtime")
 
 
 def reindex(spark: SparkSession, root: str, store: Store, registry: DataFrame, checkpoint: str):
     """Merges every batch of files into the store, of one node the file that was changed last, then stops."""
+    noted = checkpoint.rstrip("/") + "-noted"
+    note_files(spark, root, noted)
 
     def merge(batch: DataFrame, _: int) -> None:
         admitted = admit(batch, registry)
@@ -27,7 +42,7 @@ def reindex(spark: SparkSession, root: str, store: Store, registry: DataFrame, c
         store.merge(to_objects(admitted), to_edges(admitted))
         admitted.unpersist()
 
-    return read_documents(spark, root).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return read_documents(spark, root, noted).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def remove_deleted(spark: SparkSession, root: str, store: Store) -> None:
