@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import encoding, html
@@ -23,7 +25,7 @@ def html_nested(spark, sf):
         F.lit(".png' alt='alt'><p>legend</p></div><figure><img src='f.png'><figcaption>cap</figcaption></figure><blockquote>said<ul><li>q</ul></blockquote>"
               "<table><tr><td>a<p>b</p><ul><li>p<li>q</ul><div class='note'><span class='notetitle'>N.</span><div class='notebody'>body</div></div></td><td>c</td></tr></table>"),
     )
-    return X.parts(spark, sf).select("src", html.html_to_markdown(page).alias("md"))
+    return X.dealt(X.parts(spark, sf), "src").select("src", html.html_to_markdown(page).alias("md"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 1500 ELSE page_id % 4 END AS n_columns FROM pages")
@@ -32,7 +34,7 @@ def wide_spans(spark, sf):
     wide = F.when(F.col("page_id") % 4 == 0, 1500).otherwise(F.col("page_id") % 4)
     page = F.concat(F.lit("<table><tr><td colspan='"), wide, F.lit("'>x</td></tr></table>"))
     md = html.html_to_markdown(page)
-    return X.read(spark, sf, "pages").select("page_id", md.alias("md")).select("page_id", F.regexp_count("md", F.lit("---")).alias("n_columns"))
+    return X.dealt(X.read(spark, sf, "pages").select("page_id"), "page_id").select("page_id", md.alias("md")).select("page_id", F.regexp_count("md", F.lit("---")).alias("n_columns"))
 
 
 _ZH, _TW = "配置参数说明：增加对象 ", "設定參數說明：增加物件 "
@@ -45,13 +47,13 @@ def charset_pages(spark, sf):
     docs = X.read(spark, sf, "documents").where("text is not null and text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.lit("windows-1252").alias("own"))
     even = F.col("src") % 2 == 0
     parts = X.parts(spark, sf).select(F.concat(F.lit("c"), "src").alias("id"), F.concat(F.when(even, _ZH).otherwise(_TW), "local", F.lit("。")).alias("text"), F.when(even, "gb18030").otherwise("big5").alias("own"))
-    texts = docs.unionByName(parts)
+    texts = docs.unionByName(X.dealt(parts, "id"))
     model = encoding.train_charsets(texts.where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0))
     root = scratch(spark, "pages")
 
     def written(batches):
         for pdf in batches:
-            pdf["path"] = pdf["id"] + ".html"
+            pdf["path"] = [f"{zlib.crc32(i.encode()) % 1024}/{i}.html" for i in pdf["id"]]  # no folder holds all
             pdf["content"] = [t.encode(own) for t, own in zip(pdf["text"], pdf["own"])]
             yield pdf[["path", "content"]]
 

@@ -94,3 +94,12 @@ def test_positions_take_no_single_task(spark):
     assert [tuple(r) for r in numbered.orderBy("position").collect()] == list(enumerate(sorted(r["id"] for r in ids.collect())))
     plan = catalog.queries()["batch_md"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_rows_that_take_long_are_dealt_out(spark):
+    """A table of few bytes is one row group, so one task would have all its pages."""
+    from graphloom.plans import mining_queries, page_queries, source_queries
+
+    for query in (page_queries.html_nested, page_queries.wide_spans, source_queries.html_fragments, mining_queries.command_fields, mining_queries.loose_titles):
+        found = query(spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() >= 16, query.__name__
