@@ -66,5 +66,6 @@ def download_runs(spark: SparkSession, root: str, target: str, ids: DataFrame |
     files = listing(spark, root).where(F.col("path").rlike(pattern)).select("path", F.regexp_extract("path", pattern, 1).alias("archive"), F.regexp_extract("path", pattern, 2).alias("name"))
     if ids is not None:
         files = files.join(ids.select(F.col("id").alias("archive")).distinct(), "archive", "left_semi")
-    placed = files.repartition("archive").sortWithinPartitions("archive", "name")
+    tasks = max(16, 4 * spark.sparkContext.defaultParallelism)  # the paths are few bytes, what they name is not
+    placed = files.repartition(tasks, "archive").sortWithinPartitions("archive", "name")
     write_named_archives(read_chosen(placed, root), target)

@@ -172,3 +172,18 @@ def test_files_are_deleted_and_folders_replaced_by_tasks(spark, tmp_path):
         assert {str(p.relative_to(tmp_path)) for p in tmp_path.glob("[rt]*/*/*")} == {f"root/b{i}/y" for i in range(10)} | {f"trash/b{i}/x" for i in range(1, 10, 2)}
     with pytest.raises(Exception, match="none"):
         archives.replace_folders(rows(["none"]), str(tmp_path / "new"), str(tmp_path / "root"), str(tmp_path / "trash"))
+
+
+def test_small_archives_share_tasks(spark, tmp_path):
+    for i in range(200):
+        with zipfile.ZipFile(tmp_path / f"{i:03d}.zip", "w") as z:
+            z.writestr(f"{i}.txt", str(i))
+            z.writestr(f"{i}.md", b"")
+    rows = archives.read_archives(spark, str(tmp_path))
+    assert spark.sparkContext.defaultParallelism <= rows.rdd.getNumPartitions() <= 40  # not one for each archive
+    assert members_of(rows) == sorted([(f"{i}.txt", str(i).encode()) for i in range(200)] + [(f"{i}.md", b"") for i in range(200)])
+    some = archives.read_archives(spark, str(tmp_path), (".TXT",), contents=False)
+    assert sorted((r.archive, r.idx, r.name, r.size, r.content) for r in some.collect()) == [(f"{tmp_path}/{i:03d}.zip", 0, f"{i}.txt", len(str(i)), None) for i in range(200)]
+    found = [(f"{i}", 1 << 20) for i in range(100)]
+    assert [len(x.paths) for x in archives.together(found, 10 << 20, 1)] == [9] * 11 + [1]
+    assert len(list(archives.together(found, 64 << 20, 50))) == 50
