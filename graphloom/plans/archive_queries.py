@@ -25,7 +25,7 @@ _MEMBERS = """SELECT 'docs/' || coalesce(lang, 'none') || '/' || doc_id || '.md'
 def archive_members(spark, sf):
     """Archives of all documents, written in several tasks and inflated by ranges."""
     root = scratch(spark, "archives")
-    archives.write_archives(_document_members(spark, sf).repartition(4), root, 3000)
+    archives.write_archives(X.dealt(_document_members(spark, sf), "name"), root, 3000)
     rows = bundles.read_members(spark, root)
     return rows.select("name", F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
 
@@ -34,7 +34,7 @@ def archive_members(spark, sf):
 def archive_listing(spark, sf):
     """What the directories say of the images; nothing is inflated."""
     root = scratch(spark, "archives")
-    archives.write_archives(_document_members(spark, sf).repartition(2), root)
+    archives.write_archives(X.dealt(_document_members(spark, sf), "name"), root)
     rows = bundles.safe(archives.read_archives(spark, root, (".png",), contents=False))
     return rows.select("name", "size", F.col("content").isNull().alias("unread"))
 
@@ -68,7 +68,7 @@ def run_archives(spark, sf):
     unsafe = once.where(conv % 6 == 0).select(conv, F.lit("../out.txt").alias("name"), F.lit("x").cast("binary").alias("content"))
     packed = text.unionByName(cards).unionByName(unsafe).select(F.concat(F.lit("up"), conv).alias("archive"), "name", "content")
     uploaded, root, target = (scratch(spark, name) for name in ("uploaded", "runs", "packed"))
-    archives.write_named_archives(packed.repartition(3, "archive").sortWithinPartitions("archive", "name"), uploaded)
+    archives.write_named_archives(X.dealt(packed, "archive").sortWithinPartitions("archive", "name"), uploaded)
     uploads = once.select(F.concat(F.lit("up"), conv, F.lit(".zip")).alias("archive"), F.concat(F.lit("TestCase@"), conv % 10).alias("case"), run.alias("id"), F.when(conv % 2 == 1, F.concat(F.lit("run "), conv)).alias("name"), F.when(conv % 3 == 0, "ann").otherwise("").alias("runner"))
     cases = spark.range(10).where("id <> 3").select(F.concat(F.lit("TestCase@"), "id").alias("id"))
     runs.upload_runs(spark, uploaded, uploads, cases, root, "2026-01-01T00:00")
