@@ -64,16 +64,26 @@ def train_charsets(texts: DataFrame, column: str = "text", charsets: tuple[str,
 
     def count(batches):
         totals = {c: np.zeros(_PAIRS, dtype=np.int64) for c in charsets}
+        held = {c: [] for c in charsets}
+
+        def add(charset):
+            if held[charset]:
+                totals[charset] += np.bincount(np.concatenate(held[charset]), minlength=_PAIRS)
+                held[charset] = []
+
         for pdf in batches:
             for text in pdf[column]:
                 if text is None or text.isascii():
                     continue
                 for charset in charsets:
                     try:
-                        totals[charset] += np.bincount(byte_pairs(text.encode(charset)), minlength=_PAIRS)
+                        held[charset].append(byte_pairs(text.encode(charset)))
                     except UnicodeEncodeError:
                         continue
+                    if len(held[charset]) >= 500:  # a table of all pairs for each short text would take longer than the text
+                        add(charset)
         for charset, n in totals.items():
+            add(charset)
             found = np.flatnonzero(n)
             yield pd.DataFrame({"charset": charset, "pair": found, "n": n[found]})
 
