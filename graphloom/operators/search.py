@@ -24,10 +24,12 @@ def letter_runs(text: Column, lengths: tuple[int, ...] = LENGTHS) -> Column:
 
 def build_index(objects: DataFrame, path: str, buckets: int = 64) -> None:
     """Writes (gram, id) of id, name and Chinese name of all objects, in folders by a hash of the gram and sorted by it."""
-    grams = F.array_distinct(F.flatten(F.array(*(letter_runs(F.col(c)) for c in ("id", "name", "name_zh")))))
-    rows = objects.select("id", F.explode(grams).alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram"), buckets))
+    # versions of an object come together before its runs are told apart: the runs, a hundred times as many, are not compared again
+    own = objects.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set(F.array("name", "name_zh")))).alias("names"))
+    grams = F.array_distinct(F.flatten(F.transform(F.concat(F.array("id"), "names"), lambda x: letter_runs(x))))
+    rows = own.select("id", F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
     # a common run may have very many ids: those of one bucket go to several tasks
-    placed = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram")
+    placed = rows.repartition(2 * buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
