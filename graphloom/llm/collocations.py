@@ -2,14 +2,17 @@
 
 Every place in a text gives one suffix, cut off after ``longest`` words. The suffixes are counted where they arise, shuffled by
 language and first word, and sorted in reverse order, so that a phrase's suffixes stand together; one walk with a stack of the
-open phrases counts all prefixes at once. Suffixes end before a word, or a pair of words, that is too rare to be in a result:
-such are told by bit filters of fixed size, which may pass rare ones but never stop frequent ones. The suffixes of a very frequent
-first word, or first two, are dealt out to many tasks, whose counts are then added up. Last, phrases are joined to the counts
-of their parts.
+open phrases counts all prefixes at once. Suffixes end before a word, a pair of words or a longer phrase that is too rare to be in
+a result: such are told by bit filters of fixed size, which may pass rare ones but never stop frequent ones. Words and pairs of
+frequent words are counted exactly on the way to these filters, so only suffixes of three words or more are shuffled. The suffixes
+of a very frequent first word, or first two, are dealt out to many tasks, whose counts are then added up. Last, phrases are joined
+to the counts of their parts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,10 +33,10 @@ _TRANSLATE = bytes.maketrans(UPPER + ENDS + BLANKS, LOWER + b"\n" * len(ENDS) +
 GAP = b"\x00"
 #: Words that a task counts before it hands the counts on; distinct words that it holds; bytes that are split at once.
 CHUNK, HELD_WORDS, SLICE = 1 << 20, 1 << 19, 1 << 22
-#: Bits of the filters of frequent words and of frequent pairs of them.
-FILTER_BITS, PAIR_BITS = 1 << 26, 1 << 28
-#: Pairs are added up in so many buckets at least.
-BUCKETS = 256
+#: Bits of the filters of frequent words, of frequent pairs of them, and of frequent longer phrases.
+FILTER_BITS, PAIR_BITS, LONG_BITS = 1 << 26, 1 << 28, 1 << 26
+#: Pairs and longer phrases are added up in so many buckets at least; pairs of a bucket that wait to be added up.
+BUCKETS, WAITING = 256, 1 << 21
 
 
 def plain(text: bytes) -> bytes:
@@ -106,7 +109,7 @@ def _numbers(text: bytes, numbers: dict[bytes, int]) -> Iterator[np.ndarray]:
 class Chunk:
     """Numbered words of one language, with the hashes of the words; -1 stands for rare words and ends of pieces.
 
-    ``filters`` hold the words, and the pairs of words, that may be frequent, as far as they are known.
+    ``filters`` hold the words, the pairs of words and the longer phrases that may be frequent, as far as they are known.
     """
 
     def __init__(self, lang: str, numbers: dict[bytes, int], parts: list[np.ndarray], filters: list[np.ndarray]):
@@ -127,11 +130,53 @@ class Chunk:
         pairs = self.pairs()
         return (pairs >= 0) & _has(self.filters[1], np.maximum(pairs, 0))
 
+    def prefixes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For k = 2 to ``longest``: k, for each place whether its first k words may be frequent, and their number from k = 3 on."""
+        on = open_ = self.goes_on()
+        numbers = self.heads[self.words]
+        for k in range(2, longest + 1):
+            numbers = mixed(numbers, np.append(self.heads[self.words[k - 1 :]], np.zeros(min(k - 1, len(numbers)), dtype=np.int64)))
+            if k > 2:
+                open_ = open_ & np.append(on[k - 2 :], np.full(min(k - 2, len(on)), False))
+                if len(self.filters) > 2:
+                    open_ = open_ & _has(self.filters[2], numbers % LONG_BITS)
+            yield k, open_, numbers % LONG_BITS
+
+
+class Words:
+    """The frequent words, by the first 64 bits of their digests, all of which differ; other words are told by the next 64."""
+
+    def __init__(self, salt: int, digests: list[bytes], heads: np.ndarray):
+        both = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.argsort(both[:, 0])
+        self.salt, self.first, self.rest, self.heads = salt, both[order, 0], both[order, 1], heads[order]
+
+    def numbers(self, chunk: Chunk) -> np.ndarray:
+        """For each place of a chunk the number of its word, -1 where it is rare."""
+        prefix = _prefix(self.salt, chunk.lang)
+        used = np.unique(chunk.words[chunk.words >= 0])
+        own = np.full(len(chunk.vocabulary), -1, dtype=np.int64)
+        if len(used) and len(self.first):
+            digests = b"".join(hashlib.sha256(prefix + chunk.vocabulary[x]).digest()[:16] for x in used.tolist())
+            both = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            at = np.minimum(np.searchsorted(self.first, both[:, 0]), len(self.first) - 1)
+            own[used] = np.where((self.first[at] == both[:, 0]) & (self.rest[at] == both[:, 1]), at, -1)
+        return np.where(chunk.words >= 0, own[chunk.words], -1)
+
+
+def _prefix(salt: int, lang: str) -> bytes:
+    return b"%d" % salt + GAP + lang.encode() + GAP
+
+
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number of 32 bits from two such."""
+    product = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (product >> np.uint64(32)).astype(np.int64)
+
 
 def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The number of a pair of words from those of the two."""
-    mixed = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(32)).astype(np.int64) % PAIR_BITS
+    return mixed(left, right) % PAIR_BITS
 
 
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,32 +210,99 @@ def _chunks(batches, filters: list) -> Iterator[Chunk]:
         yield Chunk(lang, numbers, parts, filters)
 
 
-def _pair_counts(filters: list, bucket_size: int):
-    """Counts the pairs of frequent words of a task: (bucket, steps, counts), the pairs of a bucket as steps from one to the next."""
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+
+def _pair_counts(words, filters: list, buckets: int):
+    """Counts the pairs of frequent words of a task: (bucket, steps, seconds, counts), the first words as steps from one to the next."""
 
     def run(batches):
         for chunk in _chunks(batches, filters):
-            pairs = chunk.pairs()
-            pairs, counts = np.unique(pairs[pairs >= 0], return_counts=True)
+            numbers = words.value.numbers(chunk)
+            first, second = numbers[:-1], numbers[1:]
+            both = (first >= 0) & (second >= 0)
+            pairs, counts = np.unique(first[both] << 32 | second[both], return_counts=True)
             if not len(pairs):
                 continue
-            buckets = pairs // bucket_size
+            own = (mixed(pairs >> 32, pairs & 0xFFFFFFFF) % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(own, kind="stable")
+            own, pairs, counts = own[order], pairs[order], counts[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            steps = np.diff(pairs >> 32, prepend=0)
+            steps[starts] = pairs[starts] >> 32
+            steps, seconds, counts = (x.astype(np.uint32) for x in (steps, pairs & 0xFFFFFFFF, counts))
+            rows = [(int(own[a]), *(x[a:b].tobytes() for x in (steps, seconds, counts))) for a, b in zip(starts, [*starts[1:], len(pairs)])]
+            yield _rows(["bucket", "steps", "seconds", "counts"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()], rows)
+
+    return run
+
+
+def _frequent_pairs(words, least: int):
+    """Adds up the pairs of each bucket: (first, second, at, n) of those that occur ``least`` times, ``at`` for the pairs' filter."""
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        pairs, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(pairs, kind="stable")
+        pairs, counts = pairs[order], counts[order]
+        starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+        return [(pairs[starts], np.add.reduceat(counts, starts))]
+
+    def out(held) -> pa.RecordBatch:
+        ((pairs, counts),) = added(held)
+        pairs, counts = pairs[counts >= least], counts[counts >= least]
+        first, second = pairs >> 32, pairs & 0xFFFFFFFF
+        known = words.value
+        names = [known.first[side].astype(">u8").view("V8").tolist() for side in (first, second)]
+        at = joint(known.heads[first], known.heads[second])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in names), pa.array(at), pa.array(counts)], names=["first", "second", "at", "n"])
+
+    def run(batches):
+        own, held, waiting, most = None, [], 0, WAITING
+        for batch in batches:
+            for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != own:
+                    if held:
+                        yield out(held)
+                    own, held, waiting, most = bucket, [], 0, WAITING
+                steps, seconds, counts = (np.frombuffer(x, np.uint32).astype(np.int64) for x in parts)
+                held.append((np.cumsum(steps) << 32 | seconds, counts))
+                waiting += len(steps)
+                if waiting > most:
+                    held = added(held)
+                    waiting = len(held[0][0])
+                    most = max(WAITING, 2 * waiting)
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _long_counts(longest: int, filters: list, bucket_size: int):
+    """Counts a task's phrases of three words or more whose pairs are frequent, by number: (bucket, steps, counts) as for pairs."""
+
+    def run(batches):
+        for chunk in _chunks(batches, filters):
+            found = [numbers[may] for k, may, numbers in chunk.prefixes(longest) if k > 2]
+            phrases, counts = np.unique(np.concatenate(found), return_counts=True)
+            if not len(phrases):
+                continue
+            buckets = phrases // bucket_size
             starts = np.flatnonzero(np.diff(buckets, prepend=-1))
-            steps = np.diff(pairs, prepend=0)
-            steps[starts] = pairs[starts] % bucket_size
-            rows = [(int(buckets[a]), steps[a:b].astype(np.uint32).tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(starts, [*starts[1:], len(pairs)])]
-            kinds = (pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "steps", "counts"])
+            steps = np.diff(phrases, prepend=0)
+            steps[starts] = phrases[starts] % bucket_size
+            steps, counts = steps.astype(np.uint32), counts.astype(np.uint32)
+            rows = [(int(buckets[a]), steps[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(phrases)])]
+            yield _rows(["bucket", "steps", "counts"], [pa.int64(), pa.binary(), pa.binary()], rows)
 
     return run
 
 
-def _frequent_pairs(bucket_size: int, least: int):
-    """Adds up the pairs of each bucket: (at, n) of those that occur ``least`` times."""
+def _frequent_numbers(bucket_size: int, least: int):
+    """Adds up the numbers of each bucket: (at) of those that occur ``least`` times."""
 
     def out(bucket: int, totals: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(totals >= least)
-        return pa.RecordBatch.from_arrays([pa.array(at + bucket * bucket_size), pa.array(totals[at])], names=["at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(totals >= least) + bucket * bucket_size)], names=["at"])
 
     def run(batches):
         held, totals = None, None
@@ -207,47 +319,70 @@ def _frequent_pairs(bucket_size: int, least: int):
     return run
 
 
-def _suffixes(longest: int, filters: list, hot: np.ndarray, hot_pairs: np.ndarray):
-    """Counts the suffixes of a task in chunks: (lang, place, shared, suffix, n).
+def _suffixes(longest: int, filters: list, hot: np.ndarray, hot_pairs: np.ndarray, shortest: int = 1):
+    """Counts the suffixes of a task that have ``shortest`` words: (lang, place, shared, suffix, n).
 
     Suffixes of one ``place`` go to one task. It is a hash of the first word; of the first two where that word is very frequent;
     of the whole suffix where the two are. ``shared`` is the number of first words whose counts are thus dealt out.
     """
+    names = [f"w{k}" for k in range(longest)]
+
+    def counted(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        words, columns = chunk.words, [chunk.words]
+        for k, may, _ in chunk.prefixes(longest):
+            later = np.append(words[k - 1 :], np.full(min(k - 1, len(words)), -1, dtype=words.dtype))
+            columns.append(np.where(may, later, -1))
+        starts = columns[shortest - 1] >= 0
+        table = pa.table({n: pa.array(c[starts], mask=c[starts] < 0) for n, c in zip(names, columns)})
+        table = table.group_by(names, use_threads=False).aggregate([([], "count_all")])
+        spelled = pa.array(chunk.vocabulary, pa.large_binary())
+        for batch in table.to_batches(max_chunksize=1 << 16):
+            suffix = pc.binary_join_element_wise(*(spelled.take(batch.column(k)) for k in range(longest)), pa.scalar(GAP, pa.large_binary()), null_handling="skip")
+            first, second = (batch.column(k).fill_null(-1).to_numpy() for k in (0, 1))
+            pair = np.where(second >= 0, joint(chunk.heads[first], chunk.heads[second]), -1)
+            place, shared = chunk.heads[first], np.isin(chunk.heads[first], hot).astype(np.int32)
+            place = np.where((shared > 0) & (pair >= 0), pair, place)
+            several = (shared > 0) & np.isin(pair, hot_pairs)
+            shared[several] = longest
+            own = np.fromiter((zlib.crc32(x) for x in suffix.filter(pa.array(several)).to_pylist()), np.int64, several.sum())
+            place[several] = own
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk.lang] * len(first), pa.string()), pa.array(place), pa.array(shared), suffix, batch.column(longest).cast(pa.int64())],
+                names=["lang", "place", "shared", "suffix", "n"],
+            )
+
+    def added(held: list[pa.RecordBatch]) -> pa.Table:
+        keys = ["lang", "place", "shared", "suffix"]
+        table = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        return table.rename_columns([*keys, "n"])
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by([("lang", "ascending"), ("suffix", "ascending")])  # neighbours are alike, which packs well
+        table = table.set_column(3, "suffix", table.column(3).cast(pa.binary()))
+        yield from table.to_batches(max_chunksize=1 << 16)
 
     def run(batches):
+        held, waiting = [], 0
         for chunk in _chunks(batches, filters):
-            words, columns = chunk.words, [chunk.words]
-            on = chunk.goes_on()
-            for k in range(1, longest):
-                before, later = np.full(len(words), False), np.full(len(words), -1, dtype=words.dtype)
-                before[: max(0, len(words) - k + 1)], later[: max(0, len(words) - k)] = on[k - 1 :], words[k:]
-                columns.append(np.where((columns[-1] >= 0) & before, later, -1))
-            starts = words >= 0
-            names = [f"w{k}" for k in range(longest)]
-            table = pa.table({n: pa.array(c[starts], mask=c[starts] < 0) for n, c in zip(names, columns)})
-            table = table.group_by(names, use_threads=False).aggregate([([], "count_all")])
-            table = table.sort_by([(n, "ascending") for n in names])  # neighbours are alike, which packs well
-            spelled = pa.array(chunk.vocabulary, pa.large_binary())
-            for batch in table.to_batches(max_chunksize=1 << 16):
-                suffix = pc.binary_join_element_wise(*(spelled.take(batch.column(k)) for k in range(longest)), pa.scalar(GAP, pa.large_binary()), null_handling="skip")
-                first, second = (batch.column(k).fill_null(-1).to_numpy() for k in (0, 1))
-                pair = np.where(second >= 0, joint(chunk.heads[first], chunk.heads[second]), -1)
-                place, shared = chunk.heads[first], np.isin(chunk.heads[first], hot).astype(np.int32)
-                place = np.where((shared > 0) & (pair >= 0), pair, place)
-                several = (shared > 0) & np.isin(pair, hot_pairs)
-                shared[several] = longest
-                own = np.fromiter((zlib.crc32(x) for x in suffix.filter(pa.array(several)).to_pylist()), np.int64, several.sum())
-                place[several] = own
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk.lang] * len(first), pa.string()), pa.array(place), pa.array(shared), suffix.cast(pa.binary()), batch.column(longest).cast(pa.int64())],
-                    names=["lang", "place", "shared", "suffix", "n"],
-                )
+            for batch in counted(chunk):
+                held.append(batch)
+                waiting += len(batch)
+            if waiting > HELD_WORDS:
+                table = added(held)
+                held, waiting = table.to_batches(), len(table)
+                if waiting > HELD_WORDS // 2:
+                    yield from out(table)
+                    held, waiting = [], 0
+        if held:
+            yield from out(added(held))
 
     return run
 
 
-def _count_prefixes(longest: int, least: int):
-    """Counts all prefixes of sorted suffixes: (lang, phrase, words, f), those below ``least`` only where the count is shared.
+def _count_prefixes(longest: int, least: int, shortest: int = 1):
+    """Counts the prefixes of ``shortest`` words or more of sorted suffixes: (lang, phrase, words, f).
+
+    Those below ``least`` are returned only where the count is shared.
 
     The stack of open phrases is one phrase of each length, with the counts so far. A batch is walked as a whole: a phrase
     closes where its words change, and what its last row leaves open is carried to the next batch.
@@ -272,7 +407,7 @@ def _count_prefixes(longest: int, least: int):
         np.logical_or.accumulate(matrix[1:] != matrix[:-1], axis=1, out=new[1:])
         still = np.zeros(longest, dtype=np.int64)
         found = []
-        for k in range(longest):
+        for k in range(shortest - 1, longest):
             starts = np.flatnonzero(new[:, k])
             sums = np.add.reduceat(counts[:, k], starts)
             if matrix[-1, k] >= 0:
@@ -296,9 +431,8 @@ def _count_prefixes(longest: int, least: int):
     def closing(lang: str, carried) -> pa.RecordBatch:
         suffix, shared, counts = carried
         words = suffix.split(GAP)
-        rows = [(lang, GAP.join(words[: k + 1]), k + 1, int(counts[k])) for k in range(len(words)) if shared > k or counts[k] >= least]
-        kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["lang", "phrase", "words", "f"])
+        rows = [(lang, GAP.join(words[: k + 1]), k + 1, int(counts[k])) for k in range(shortest - 1, len(words)) if shared > k or counts[k] >= least]
+        return _rows(["lang", "phrase", "words", "f"], [pa.string(), pa.binary(), pa.int32(), pa.int64()], rows)
 
     def run(batches):
         lang, carried = None, None
@@ -321,32 +455,63 @@ def _count_prefixes(longest: int, least: int):
 
 def frequent_phrases(work: Workspace, texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n)."""
+    words, totals, pairs, suffixes, filters = counted_parts(work, texts, longest, least)
+    placed = suffixes.repartition(shuffle_width(work.spark), "lang", "place").sortWithinPartitions(F.col("lang"), F.col("suffix").desc())
+    found = placed.select("lang", "shared", "suffix", "n").mapInArrow(_count_prefixes(longest, least, 3), "lang string, phrase binary, words int, f long")
+    # shared counts are added up
+    found = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f").unionByName(pairs).unionByName(found)
+    phrases = work.save(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+    for sent in filters:
+        sent.unpersist()
+    return phrases, totals
+
+
+def counted_parts(work: Workspace, texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list]:
+    """Frequent words (lang, word, f), the number of all words (lang, n), frequent pairs (lang, phrase, words, f), the suffixes of
+    three words or more as ``_suffixes`` has them, not yet computed, and the broadcast filters that they need."""
     spark = work.spark
     width = shuffle_width(spark)
+    buckets = max(width, BUCKETS)
     counts = texts.mapInArrow(_word_counts, "lang string, word binary, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
     counts = work.save(counts.where((F.col("f") >= least) | F.col("word").isNull()), "words")
     totals = counts.where("word is null").select("lang", F.col("f").alias("n"))
-    hashed = counts.where((F.col("f") >= least) & F.col("word").isNotNull())
-    hashed = hashed.select("f", F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(GAP), "word")).alias("head"))
+    frequent = counts.where((F.col("f") >= least) & F.col("word").isNotNull())
+    hashed = frequent.select("lang", "word", "f", F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(GAP), "word")).alias("head"))
     filters = [spark.sparkContext.broadcast(_filter(hashed.select(F.pmod("head", F.lit(FILTER_BITS)).alias("at")), FILTER_BITS))]
-    size = -(-PAIR_BITS // max(width, BUCKETS))
-    pairs = texts.mapInArrow(_pair_counts(filters, size), "bucket long, steps binary, counts binary").repartition(width, "bucket").sortWithinPartitions("bucket")
-    pairs = work.save(pairs.mapInArrow(_frequent_pairs(size, least), "at long, n long"), "pairs")
+    for salt in itertools.count():  # until all frequent words differ in 64 bits, which the first does but for one time in millions
+        digest = F.unhex(F.sha2(F.concat(F.lit(b"%d" % salt), F.lit(GAP), F.encode("lang", "utf-8"), F.lit(GAP), "word"), 256))
+        named = hashed.select("lang", "word", "head", F.substring(digest, 1, 16).alias("digest"))
+        known = named.select("digest", "head").toArrow()
+        known = Words(salt, known.column("digest").to_pylist(), known.column("head").to_numpy())
+        if (known.first[1:] != known.first[:-1]).all():
+            break
+    known = spark.sparkContext.broadcast(known)
+    pairs = texts.mapInArrow(_pair_counts(known, filters, buckets), "bucket long, steps binary, seconds binary, counts binary")
+    pairs = pairs.repartition(width, "bucket").sortWithinPartitions("bucket")
+    pairs = work.save(pairs.mapInArrow(_frequent_pairs(known, least), "first binary, second binary, at long, n long"), "pairs")
+    known.unpersist()
     filters = [*filters, spark.sparkContext.broadcast(_filter(pairs.select("at"), PAIR_BITS))]
     # very frequent words and pairs have more than a partition's share of all: of each there are fewer than partitions
     share = (totals.agg(F.sum("n")).first()[0] or 0) / width
     hot, hot_pairs = (
         np.array(sorted({r[0] for r in df.where(F.col(n) > share).select(c).collect()}), dtype=np.int64) for df, c, n in ((hashed, "head", "f"), (pairs, "at", "n"))
     )
-    suffixes = texts.mapInArrow(_suffixes(longest, filters, hot, hot_pairs), "lang string, place long, shared int, suffix binary, n long")
-    placed = suffixes.repartition(width, "lang", "place").sortWithinPartitions(F.col("lang"), F.col("suffix").desc())
-    found = placed.select("lang", "shared", "suffix", "n").mapInArrow(_count_prefixes(longest, least), "lang string, phrase binary, words int, f long")
-    # shared counts are added up
-    phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    phrases = work.save(phrases.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
-    for sent in filters:
-        sent.unpersist()
-    return phrases, totals
+    spelled, n = pairs.select("first", "second", F.col("n").alias("f")), pairs.count()
+    names = named.select("lang", "word", F.substring("digest", 1, 8).alias("id"))
+    for side, columns in (("first", ("lang", "left")), ("second", (None, "right"))):
+        used = pairs.groupBy(side).count().withColumnRenamed("count", "n")
+        table = names.select(F.col("id").alias(side), *(F.col(c).alias(new) for c, new in zip(("lang", "word"), columns) if new))
+        spelled = looked_up(spelled, work.save(used.join(table, side), side), [side], n)
+    spelled = work.save(spelled.select("lang", F.concat("left", F.lit(GAP), "right").alias("phrase"), F.lit(2).alias("words"), "f"), "spelled")
+    if longest > 2:
+        size = -(-LONG_BITS // buckets)
+        longer = texts.mapInArrow(_long_counts(longest, filters, size), "bucket long, steps binary, counts binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+        longer = work.save(longer.mapInArrow(_frequent_numbers(size, least), "at long"), "longer")
+        filters = [*filters, spark.sparkContext.broadcast(_filter(longer, LONG_BITS))]
+    kinds = "lang string, place long, shared int, suffix binary, n long"
+    suffixes = texts.mapInArrow(_suffixes(longest, filters, hot, hot_pairs, 3), kinds) if longest > 2 else spark.createDataFrame([], kinds)
+    return frequent, totals, spelled, suffixes, filters
 
 
 def _filter(indexes: DataFrame, size: int) -> np.ndarray:

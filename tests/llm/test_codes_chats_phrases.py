@@ -264,6 +264,56 @@ def test_collocations_over_many_chunks(spark, monkeypatch):
     assert phrases == direct
 
 
+def test_suffixes_are_what_is_not_counted_yet(spark):
+    """Words, pairs and phrases that are too rare make no suffix, however often their words and pairs occur."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(" ".join(rng.choices(words, k=60)) + "! One fixed phrase here.", "en") for _ in range(600)]
+    work = shared.Workspace(spark, "test")
+    texts = spark.createDataFrame(rows, "text string, lang string").select("lang", "text").repartition(3)
+    frequent, _, pairs, suffixes, _ = collocations.counted_parts(work, texts, 5, 40)
+    got = suffixes.collect()
+    assert {r.suffix for r in got} == {b"one\0fixed\0phrase\0here", b"fixed\0phrase\0here"} and len(got) <= 2 * 3 and sum(r.n for r in got) == 1200
+    assert frequent.count() == 29 and pairs.count() > 500  # nearly all pairs of the 25 words
+    check_phrases(spark, rows, least=40)
+
+
+def test_pairs_are_added_up_exactly(monkeypatch):
+    """Also where a bucket's pairs are added up many times, and where a rare word's number begins like a frequent one's."""
+    import hashlib
+    import zlib
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "CHUNK", 64)
+    monkeypatch.setattr(collocations, "WAITING", 10)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices([*words, "rare"], k=300)) + rng.choice([". w1", ""]) for _ in range(20)]
+    digest = lambda w: hashlib.sha256(b"0\0en\0" + w.encode()).digest()[:16]
+    alike = digest("rare")[:8] + b"\0" * 8
+
+    class Known:
+        value = collocations.Words(0, [*map(digest, words), alike], np.array([zlib.crc32(w.encode(), zlib.crc32(b"en\0")) for w in [*words, "x"]]))
+
+    class Bits:
+        value = np.full(collocations.FILTER_BITS // 64, 2**64 - 1, dtype=np.uint64)
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    rows = sorted((r for out in collocations._pair_counts(Known, [Bits], 3)(iter([batch])) for r in out.to_pylist()), key=lambda r: r["bucket"])
+    got = [r for out in collocations._frequent_pairs(Known, 30)(iter([pa.RecordBatch.from_pylist(rows[:9]), pa.RecordBatch.from_pylist(rows[9:])])) for r in out.to_pylist()]
+    expected = Counter()
+    for piece in ".".join(texts).split("."):
+        own = piece.split()
+        expected.update((digest(a)[:8], digest(b)[:8]) for a, b in zip(own, own[1:]) if "rare" not in (a, b))
+    assert len(rows) == 60 and {(r["first"], r["second"]): r["n"] for r in got} == {k: n for k, n in expected.items() if n >= 30}
+
+
+def test_collocations_of_no_rows(spark):
+    assert collocations.mine_collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+    assert collocations.mine_collocations(spark.createDataFrame([("a b. " * 200, "en")], "text string, lang string"), longest=2).count() == 1
+
+
 def test_lookup_of_frequent_and_null_keys(spark, monkeypatch):
     monkeypatch.setattr(shared, "MOST_EDGES", 3)
     rows = spark.createDataFrame([(i, "a" if i < 50 else None if i < 90 else str(i)) for i in range(100)], "i int, k string")
