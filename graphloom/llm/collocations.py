@@ -488,7 +488,7 @@ def counted_parts(work: Workspace, texts: DataFrame, longest: int, least: int) -
             break
     known = spark.sparkContext.broadcast(known)
     pairs = texts.mapInArrow(_pair_counts(known, filters, buckets), "bucket long, steps binary, seconds binary, counts binary")
-    pairs = pairs.repartition(width, "bucket").sortWithinPartitions("bucket")
+    pairs = pairs.repartitionById(width, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     pairs = work.save(pairs.mapInArrow(_frequent_pairs(known, least), "first binary, second binary, at long, n long"), "pairs")
     known.unpersist()
     filters = [*filters, spark.sparkContext.broadcast(_filter(pairs.select("at"), PAIR_BITS))]
@@ -506,7 +506,7 @@ def counted_parts(work: Workspace, texts: DataFrame, longest: int, least: int) -
     spelled = work.save(spelled.select("lang", F.concat("left", F.lit(GAP), "right").alias("phrase"), F.lit(2).alias("words"), "f"), "spelled")
     if longest > 2:
         size = -(-LONG_BITS // buckets)
-        longer = texts.mapInArrow(_long_counts(longest, filters, size), "bucket long, steps binary, counts binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+        longer = texts.mapInArrow(_long_counts(longest, filters, size), "bucket long, steps binary, counts binary").repartitionById(width, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         longer = work.save(longer.mapInArrow(_frequent_numbers(size, least), "at long"), "longer")
         filters = [*filters, spark.sparkContext.broadcast(_filter(longer, LONG_BITS))]
     kinds = "lang string, place long, shared int, suffix binary, n long"
