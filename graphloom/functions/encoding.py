@@ -30,13 +30,21 @@ def byte_pairs(data: bytes) -> np.ndarray:
 
 
 class CharsetModel:
-    """For each character set, the logarithm of how likely a byte follows another one in its texts."""
+    """For each character set, the logarithm of how likely a byte follows another one in its texts.
 
-    def __init__(self, counts: dict[str, np.ndarray], smoothing: float = 0.02):
+    Likelihood for what never followed a byte is taken from what follows all bytes, ASCII or not, weighed by how many followers it has
+    (Witten and Bell); bytes that no text of a set has share ``unseen`` there, however many texts it has. So neither a lead byte that a
+    set never had nor a set of few texts gains from pairs that are odd in another one.
+    """
+
+    def __init__(self, counts: dict[str, np.ndarray], unseen: float = 1e-4):
         self.logs = {}
         for charset, n in counts.items():
-            table = n.reshape(256, 256) + smoothing
-            self.logs[charset] = np.log(table / table.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
+            table = n.reshape(2, 128, 256)  # after ASCII bytes, and after others
+            total, seen = table.sum(axis=1, keepdims=True), table.sum(axis=2, keepdims=True)
+            anywhere = (1 - unseen) * total / np.maximum(1, total.sum(axis=2, keepdims=True)) + unseen / 256
+            kinds = np.maximum(1, (table > 0).sum(axis=2, keepdims=True))
+            self.logs[charset] = np.log((table + kinds * anywhere) / (seen + kinds)).ravel().astype(np.float32)
 
     def detect(self, data: bytes) -> tuple[str, float] | None:
         """The likeliest set that can decode the data, and its share of the likelihood; None if there is none, or no byte above ASCII."""

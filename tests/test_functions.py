@@ -262,3 +262,19 @@ def test_charsets_by_statistics(spark):
         right = sum(encoding.decode_page(t.encode(charset), model)[0] == t for charset, t in pages)
         assert right / len(pages) >= least
     assert model.detect(b"plain") is None
+
+
+def test_charsets_of_odd_latin_words(spark):
+    """Letters of the samples in pairs that none of them has lose neither to unknown lead bytes nor to a set of few samples."""
+    import random
+
+    rng = random.Random(0)
+    ends = ["al", "ción", "ñor", "mente", "és", "für", "öhe", "ça", "té", "väl", "er", "un", "den", "oír", "la", "so"]
+    latin = [" ".join("".join(rng.choices(ends, k=2)) for _ in range(20)) for _ in range(400)]
+    latin = [t.upper().replace(" ", "!! ") if rng.random() < 0.1 else t for t in latin]
+    zh, tw = "配置参数说明：增加对象 ", "設定參數說明：增加物件 "
+    model = encoding.train_charsets(spark.createDataFrame([(t,) for t in latin + [zh + "ALPHA。", tw + "BETA。"] * 50], "text string"))
+    for t in ("COÍBO!! MENTECO!! ASÍÍCO!! " * 5, "stpf. Äen enge", "ENÊLE!! ÉMENT!! UNE!!"):
+        assert encoding.decode_page(t.encode("windows-1252"), model) == (t, "windows-1252")
+    for t, charset in ((zh + "Äen", "gb18030"), (tw + "GAMMA。", "big5")):
+        assert encoding.decode_page(t.encode(charset), model) == (t, charset)
