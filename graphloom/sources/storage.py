@@ -21,11 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes a file beside its place, then moves it there in one step: readers see the old one or the new one, also after a crash."""
+    """Writes a file beside its place under a hidden name, then moves it there in one step: readers see the old one or the new one, also after a crash."""
     fs, place = _open(spark, path)
     place = fs.makeQualified(place)
     fs.mkdirs(place.getParent())
-    _, part = _open(spark, f"{path}.{uuid.uuid4().hex[:8]}.part")
+    front, slash, name = path.rpartition("/")
+    _, part = _open(spark, f"{front}{slash}.{name}.{uuid.uuid4().hex[:8]}.part")  # Spark lists no hidden files
     part = fs.makeQualified(part)
     out = fs.create(part, True)
     try:

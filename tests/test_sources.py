@@ -205,3 +205,18 @@ def test_storage(spark, tmp_path):
         storage.replace_folder(spark, f"{root}/none", f"{root}/c/d", f"{root}/trash/2")
     assert storage.entries(spark, f"{root}/c/d") == ["y.md"]  # what was there came back
     assert storage.delete(spark, f"{root}/c/d/y.md", root) and not storage.exists(spark, f"{root}/c")
+
+
+def test_small_writes_are_hidden_until_they_are_whole(spark, tmp_path):
+    """A reader that lists the folder meanwhile must not find a name that is gone when it opens it."""
+    seen = []
+
+    class Watched:
+        def __iter__(self):
+            seen.extend(os.listdir(tmp_path))
+            seen.extend(r["path"] for r in spark.read.format("binaryFile").load(f"file://{tmp_path}").select("path").collect())
+            return iter(b"{}")
+
+    storage.write_bytes(spark, f"file://{tmp_path}/x.json", Watched())
+    assert seen and all(os.path.basename(n).startswith(".") for n in seen) and (tmp_path / "x.json").read_text() == "{}"
+    assert [n for n in os.listdir(tmp_path) if n.endswith(".part")] == []
